@@ -4,15 +4,32 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import url_filter
+import public_tokenizers
+
+from . import bpe, packing, secret_scan, url_filter
 from .frames import table
 
 
+def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.scan_secrets(table(spark, sf_dir, "documents"))
+
+
+def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(table(spark, sf_dir, "pages"), keep=("page_id",)).select("page_id", "host", "path", "rule", "verdict")
 
 
 QUERIES = {
+    "op4_secret_scan": op4_secret_scan,
+    "op6_bpe": op6_bpe,
+    "op7_packing": op7_packing,
     "op10_url_filter": op10_url_filter,
 }
 
