@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import public_tokenizers
 
-from . import bpe, fingerprint, packing, secret_scan, url_filter
+from . import bpe, fingerprint, ngram_join, packing, secret_scan, url_filter
 from .frames import table
 
 
@@ -26,6 +26,10 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.ngram_components(table(spark, sf_dir, "documents"))
+
+
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(table(spark, sf_dir, "pages"), keep=("page_id",)).select("page_id", "host", "path", "rule", "verdict")
 
@@ -35,6 +39,7 @@ QUERIES = {
     "op4_secret_scan": op4_secret_scan,
     "op6_bpe": op6_bpe,
     "op7_packing": op7_packing,
+    "op8_ngram_join": op8_ngram_join,
     "op10_url_filter": op10_url_filter,
 }
 
