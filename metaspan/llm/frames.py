@@ -70,3 +70,20 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_folder(df.sparkSession)}/tables/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+_FORM = np.full(256, 32, np.uint8)
+for _b in range(256):
+    if _b >= 128 or 97 <= _b <= 122:
+        _FORM[_b] = _b
+    elif 65 <= _b <= 90:
+        _FORM[_b] = _b + 32
+
+
+def formed(body: np.ndarray) -> np.ndarray:
+    """Bytes with ASCII and Latin-1 letters lower-cased and other ASCII made spaces."""
+    out = _FORM[body]
+    if len(body) > 1:
+        upper = np.flatnonzero((body[:-1] == 0xC3) & (body[1:] >= 0x80) & (body[1:] <= 0x9E) & (body[1:] != 0x97)) + 1
+        out[upper] += 32
+    return out

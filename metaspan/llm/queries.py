@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from . import bpe, fingerprint, ngram_join, packing, secret_scan, url_filter
+from . import bpe, fingerprint, language_id, ngram_join, packing, secret_scan, toxicity, url_filter
 from .frames import table
 
 
@@ -14,6 +15,26 @@ def op1_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.fingerprint_documents(table(spark, sf_dir, "documents"))
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return language_id.identify_languages(docs, language_id.train(docs), declared=docs.lang, host=docs.source)
+
+
+def pages_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same operator where markup and addresses exist: the text model is that of ``documents``."""
+    pages = table(spark, sf_dir, "pages")
+    host = url_filter.host_of(pages.url)
+    return language_id.identify_languages(
+        pages, language_id.train(table(spark, sf_dir, "documents")), keys=("page_id",), text=language_id.visible_text(pages.html),
+        declared=language_id.markup_language(pages.html), host=host, suffix=F.substring_index(host, ".", -1),
+    )
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score_toxicity(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+
+
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan_secrets(table(spark, sf_dir, "documents"))
 
@@ -36,6 +57,9 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_fingerprint": op1_fingerprint,
+    "op2_language_id": op2_language_id,
+    "pages_language_id": pages_language_id,
+    "op3_toxicity": op3_toxicity,
     "op4_secret_scan": op4_secret_scan,
     "op6_bpe": op6_bpe,
     "op7_packing": op7_packing,
