@@ -11,37 +11,68 @@ anywhere; every id lies in one piece; repeated rows are packed each. sequence_id
 
 from __future__ import annotations
 
+import json
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
+from pathlib import Path
 from struct import pack
 
 import numpy as np
+import public_tokenizers
 import pyarrow as pa
+import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import frames
-from .word_ids import PartCache
 
 #: Ids of a sequence, windows that a partition keeps open, neighbouring partitions whose rests are merged.
 LENGTH, WINDOWS, MERGED = 2048, 64, 8
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
+def _byte_of() -> dict[str, int]:
+    """The printable character that stands for each byte in byte-level vocabularies: itself if printable, else the next from U+0100."""
+    printable = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255]
+    rest = [b for b in range(256) if b not in printable]
+    return {chr(b): b for b in printable} | {chr(256 + i): b for i, b in enumerate(rest)}
+
+
 class Tokens:
-    """Ids of the tokenizer file, without special tokens: their strings are ordinary text."""
+    """Ids of the tokenizer file, without special tokens: their strings are ordinary text.
+
+    If the file is plain byte-level BPE whose ids are in the order of its merges, ids and ranks are the same thing
+    and the faster tiktoken gives the same ids; any other file is left to tokenizers.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.parts = PartCache(self._encode_parts, lambda t: self._encode_parts([t])[0])
-
-    def _encode_parts(self, parts: list[str]) -> list[bytes]:
-        return [pack(f"<{len(ids)}I", *ids) for ids in (e.ids for e in self.tokenizer.encode_batch(parts, add_special_tokens=False))]
+        self.ranked = self._ranked(json.loads(Path(path).read_text()))
+
+    @staticmethod
+    def _ranked(file: dict):
+        model, byte_of = file["model"], _byte_of()
+        pre = file.get("pre_tokenizer") or {}
+        if model["type"] != "BPE" or file.get("normalizer") or pre.get("type") != "ByteLevel" or pre.get("add_prefix_space") or not pre.get("use_regex", True):
+            return None
+        if any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges")):
+            return None
+        merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
+        if len(model["vocab"]) != 256 + len(merges) or any(model["vocab"].get(a + b) != 256 + i for i, (a, b) in enumerate(merges)):
+            return None
+        ranks = {bytes(byte_of[c] for c in token): i for token, i in model["vocab"].items()}
+        return tiktoken.Encoding("ranked", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+    def ids(self, text: str) -> bytes:
+        if self.ranked is not None:
+            return self.ranked.encode_to_numpy(text, disallowed_special=()).tobytes()
+        ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+        return pack(f"<{len(ids)}I", *ids)
 
 
 class Windows:
@@ -95,7 +126,7 @@ def pack_documents(
     schema = PIECE + ", ids binary" * with_ids
 
     def pieces_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, part = _tokens(tokenizer_path).parts, TaskContext.get().partitionId()
+        tokens, part = _tokens(tokenizer_path), TaskContext.get().partitionId()
         open_windows, full, end = Windows(windows, length), 0, pack("<I", end_id)
         rows: list[tuple] = []
 
