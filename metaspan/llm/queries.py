@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from . import bpe, fingerprint, language_id, ngram_join, packing, secret_scan, toxicity, url_filter
+from . import bpe, fingerprint, language_id, ngram_join, packing, secret_scan, toxicity, url_filter, vector_join
 from .frames import table
 
 
@@ -39,6 +39,10 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan_secrets(table(spark, sf_dir, "documents"))
 
 
+def op5_vector_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_join.link_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
@@ -61,6 +65,7 @@ QUERIES = {
     "pages_language_id": pages_language_id,
     "op3_toxicity": op3_toxicity,
     "op4_secret_scan": op4_secret_scan,
+    "op5_vector_join": op5_vector_join,
     "op6_bpe": op6_bpe,
     "op7_packing": op7_packing,
     "op8_ngram_join": op8_ngram_join,
@@ -68,5 +73,6 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op5_vector_join": vector_join.oracle,
     "op10_url_filter": url_filter.oracle,
 }
