@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from . import bpe, fingerprint, language_id, ngram_join, packing, secret_scan, toxicity, url_filter, vector_join
+from . import bpe, fingerprint, html_extract, language_id, ngram_join, packing, secret_scan, toxicity, url_filter, vector_join
 from .frames import table
 
 
@@ -55,6 +55,10 @@ def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.ngram_components(table(spark, sf_dir, "documents"))
 
 
+def op9_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract_pages(table(spark, sf_dir, "pages"))
+
+
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(table(spark, sf_dir, "pages"), keep=("page_id",)).select("page_id", "host", "path", "rule", "verdict")
 
@@ -69,6 +73,7 @@ QUERIES = {
     "op6_bpe": op6_bpe,
     "op7_packing": op7_packing,
     "op8_ngram_join": op8_ngram_join,
+    "op9_html_extract": op9_html_extract,
     "op10_url_filter": op10_url_filter,
 }
 
