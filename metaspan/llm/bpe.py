@@ -17,6 +17,7 @@ import hashlib
 from collections.abc import Iterator
 from struct import pack
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 import regex
@@ -38,7 +39,21 @@ class PrefixEncoder:
         self.bytes_of = {i: b for b, i in ranks.items()}
         self.longest = max(map(len, ranks))
         self.pairs: dict[int, bool] = {}
-        self.reached: dict[int, bool] = {}
+        self.split_of: dict[int, tuple[int, int] | None] = {}
+        self.edges: tuple[dict[int, list[int]], dict[int, list[int]]] = ({}, {})
+        n = max(self.bytes_of) + 1
+        self.sizes = np.zeros(n, np.int64)
+        self.sizes[list(self.bytes_of)] = [len(b) for b in self.bytes_of.values()]
+        self.size_of = self.sizes.tolist()
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.blob = np.frombuffer(b"".join(self.bytes_of.get(i, b"") for i in range(n)), np.uint8)
+        # All tokens that end at each byte, the longest first; one that its bytes do not encode to is never a last token.
+        words = ahocorasick.Automaton()
+        for b, i in ranks.items():
+            if self.stands(i):
+                words.add_word(b.decode("latin-1"), i)
+        words.make_automaton()
+        self.found = words.iter
         self.parts = PartCache(self._encode_parts, self._encode_whole)
         self.pieces: dict[str, bytes] = {}
 
@@ -57,40 +72,96 @@ class PrefixEncoder:
             parts[i : i + 2] = [parts[i] + parts[i + 1]]
         return [self.ranks[p] for p in parts]
 
+    def parts_of(self, token: int) -> tuple[int, int] | None:
+        """The two tokens that the last merge of the token's bytes joins; None for a byte or a token that its bytes do not encode to."""
+        known = self.split_of.get(token, -1)
+        if known == -1:
+            piece = self.bytes_of[token]
+            parts = [piece[i : i + 1] for i in range(len(piece))]
+            while len(parts) > 2:
+                rank, i = min((self.ranks.get(parts[i] + parts[i + 1], 1 << 60), i) for i in range(len(parts) - 1))
+                if rank == 1 << 60:
+                    break
+                parts[i : i + 2] = [parts[i] + parts[i + 1]]
+            known = self.split_of[token] = (self.ranks[parts[0]], self.ranks[parts[1]]) if len(parts) == 2 else None
+        return known
+
     def stands(self, token: int) -> bool:
         """Whether the token's bytes encode to the token."""
-        known = self.reached.get(token)
+        return len(self.bytes_of[token]) == 1 or self.parts_of(token) is not None
+
+    def _edge(self, token: int, side: int) -> list[int]:
+        """The token, its outer part on one side, that part's outer part, down to a byte."""
+        known = self.edges[side].get(token)
         if known is None:
-            known = self.reached[token] = self.merged(self.bytes_of[token]) == [token]
+            known = [token]
+            while (parts := self.parts_of(known[-1])) is not None:
+                known.append(parts[side])
+            self.edges[side][token] = known
         return known
 
     def fits(self, left: int, right: int) -> bool:
-        """Whether the two tokens' bytes encode to the two tokens."""
+        """Whether the two tokens' bytes encode to the two tokens.
+
+        They do unless a merge across the border comes before the merges that use up the tokens on both of its
+        sides. Going back in time, the younger of the two border tokens is undone; of equal ranks the left is
+        merged first, so the right is younger.
+        """
         key = (left << 32) | right
         known = self.pairs.get(key)
-        if known is None:
-            if len(self.pairs) >= CACHE_PAIRS:
-                self.pairs.clear()
-            known = self.pairs[key] = self.merged(self.bytes_of[left] + self.bytes_of[right]) == [left, right]
-        return known
+        if known is not None:
+            return known
+        a, b, i, j = self._edge(left, 1), self._edge(right, 0), 0, 0
+        used_a = used_b = 1 << 60
+        get, text, fits = self.ranks.get, self.bytes_of, True
+        while True:
+            across = get(text[a[i]] + text[b[j]])
+            if across is not None and across < used_a and across <= used_b:
+                fits = False
+                break
+            more_a, more_b = i + 1 < len(a), j + 1 < len(b)
+            if more_b and (b[j] >= a[i] or not more_a):
+                used_b, j = b[j], j + 1
+            elif more_a:
+                used_a, i = a[i], i + 1
+            else:
+                break
+        if len(self.pairs) >= CACHE_PAIRS:
+            self.pairs.clear()
+        self.pairs[key] = fits
+        return fits
 
     def extend(self, last: list[int], piece: bytes) -> list[int]:
         """Fill ``last`` (last token of each non-empty prefix) from where it ends up to all of ``piece``."""
-        get = self.ranks.get
-        for end in range(len(last) + 1, len(piece) + 1):
-            for begin in range(max(0, end - self.longest), end):
-                token = get(piece[begin:end])
-                if token is not None and (self.stands(token) if begin == 0 else self.stands(token) and self.fits(last[begin - 1], token)):
-                    last.append(token)
-                    break
+        done = len(last)
+        look = max(0, done + 1 - self.longest)
+        size, fits, known, add, at = self.size_of, self.fits, self.pairs.get, last.append, done
+        for end, token in self.found((piece[look:] if look else piece).decode("latin-1")):
+            end += look
+            if end < at:
+                continue
+            begin = end - size[token]
+            if begin == -1:
+                add(token)
+                at = end + 1
+            elif begin >= 0:
+                key = (last[begin] << 32) | token
+                fit = known(key)
+                if fit is None:
+                    fit = fits(last[begin], token)
+                if fit:
+                    add(token)
+                    at = end + 1
         return last
 
     def walk(self, last: list[int]) -> list[int]:
-        ids, at = [], len(last)
-        while at:
-            ids.append(last[at - 1])
-            at -= len(self.bytes_of[last[at - 1]])
-        return ids[::-1]
+        ids, at, size = [], len(last) - 1, self.size_of
+        while at >= 0:
+            token = last[at]
+            ids.append(token)
+            at -= size[token]
+        ids.reverse()
+        return ids
 
     def piece(self, piece: bytes) -> list[int]:
         """Ids of one pre-token; one that is a token itself is that token."""
@@ -121,7 +192,13 @@ class PrefixEncoder:
         return np.frombuffer(self.parts.ids(text), dtype="<u4")
 
     def decode(self, ids: np.ndarray) -> bytes:
-        return b"".join(map(self.bytes_of.__getitem__, ids.tolist()))
+        out = []
+        for a in range(0, len(ids), 1 << 16):
+            own = ids[a : a + (1 << 16)]
+            sizes = self.sizes[own]
+            shift = self.starts[own] - (np.cumsum(sizes) - sizes)
+            out.append(self.blob[np.arange(sizes.sum()) + np.repeat(shift, sizes)].tobytes())
+        return b"".join(out)
 
 
 class Growing:

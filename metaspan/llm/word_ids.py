@@ -12,7 +12,7 @@ from collections.abc import Callable
 
 _UNSAFE = re.compile(r" (?:\s|\Z)")
 #: Parts kept in a worker's cache, in two generations, and the longest part that is kept.
-CACHE_PARTS = 250_000
+CACHE_PARTS = 500_000
 LONGEST_PART = 120
 
 
