@@ -1,11 +1,65 @@
-"""The corpus pipeline."""
+"""The corpus pipeline: documents in, packed training sequences out.
 
-STAGES: list = []
+Language ID -> toxicity -> n-gram Jaccard join -> secret scan -> packing. Each stage takes all
+that its predecessor kept; between stages the documents are a Parquet table in the shared folder.
+
+A document is dropped by the first stage if its language is not accepted, by the second if it is predicted toxic, by
+the third if a document with a smaller id is in its component (of repeated ids, one row of each text
+stays). The fourth replaces secrets in the text and corrects n_chars. Rows without an id are never dropped by
+the first and third stage, null texts are empty documents; an empty table gives no sequences.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from metaspan.llm import frames, language_id, ngram_join, packing, secret_scan, toxicity
+
+#: Some stages are judged against brute force, not SQL.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
+def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    named = docs.withColumn("text_hash", F.xxhash64("text"))
+    judged = language_id.identify_languages(named, language_id.train(docs), keys=("doc_id", "text_hash"), declared=named.lang, host=named.source)
+    rejected = frames.written(judged.where(~F.col("accepted")).select("doc_id", "text_hash").distinct(), "rejected")
+    return named.join(rejected, ["doc_id", "text_hash"], "left_anti").select(*docs.columns)
+
+
+def detoxify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return toxicity.keep_clean(docs, toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
+def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    found = frames.written(ngram_join.ngram_components(docs).select("doc_id", "component_id"), "components")
+    copies = found.where("doc_id <> component_id").select("doc_id").distinct()
+    repeated = frames.written(found.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated")
+    first = docs.join(copies, "doc_id", "left_anti")
+    single = first.join(repeated, "doc_id", "left_anti")
+    return single.unionByName(first.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])).select(*docs.columns)
+
+
+def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return secret_scan.redact_secrets(docs)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
+
+
+STAGES = [
+    ("language_id", identify),
+    ("toxicity", detoxify),
+    ("ngram_join", deduplicate),
+    ("secret_scan", redact),
+    ("packing", pack),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = frames.written(stage(spark, docs, sf_dir), f"stage-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)
