@@ -4,11 +4,15 @@ Equal shingle sets are one node. Shingles are ordered rarest first by a fixed-si
 all documents; two sets with Jaccard similarity t share one of their first n - ceil(t n) + 1 shingles
 in any common order (prefix filter). Nodes that share such a shingle meet:
 
-1. each node is compared with the leader it shares most prefix shingles with, and linked ones merge;
-2. shingles whose nodes are still in several components are tiled: nodes of a shingle, in size
-   order and blocks of bounded size, are compared if their sizes allow the similarity. Hashed parity bitmaps
-   bound the overlap from above by bit counts; pairs that pass are decided exactly by intersecting
-   sorted arrays.
+in the group of the shingle's leader, its smallest node of a fitting size band; shingles with one leader make
+one group, so that a pair meets once and not once for each shingle.
+
+1. Each node is compared with the leaders it shares most prefix shingles with, and linked ones merge.
+2. Groups whose nodes are still in several components are tiled: nodes, in size order and blocks of bounded
+   size, are compared if their sizes allow the similarity.
+
+In both steps hashed parity bitmaps bound the overlap from above by bit counts; pairs that pass are decided
+exactly by intersecting sorted arrays.
 
 A pair whose nodes are already connected needs no comparison, so groups of copies cost no
 pairs, and no link that joins two components is lost.
@@ -25,8 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import frames, shingles
@@ -36,8 +39,10 @@ from .components import components
 SKETCH_BITS, CHUNK_BITS = 21, 12
 #: log2 of the bits of the filter of wanted documents.
 FILTER_BITS = 23
-#: Documents of a shingle that one task takes, and of a block of a tile.
+#: Documents of a shingle that one task takes, and nodes of a block of a tile.
 HEAVY, BLOCK = 200_000, 2048
+#: Leaders that a node is compared with before the tiles.
+LEADERS = 3
 #: 100 * intersection >= 75 * union.
 PART, WHOLE = 75, 100
 
@@ -54,8 +59,8 @@ def required(a, b):
 
 
 def bitmap(own: np.ndarray) -> bytes:
-    """Parities of the hashes by their low bits; as many bits as the set has members, a power of two from 64 to 16384."""
-    bits = min(max(64, 1 << int(len(own) - 1).bit_length()), 16384) if len(own) else 64
+    """Parities of the hashes by their low bits; twice as many bits as the set has members, a power of two from 64 to 32768."""
+    bits = min(max(64, 2 << int(len(own) - 1).bit_length()), 32768) if len(own) else 64
     odd = np.bincount((own & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
 
@@ -200,6 +205,16 @@ def _linked(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, name: str) -> D
     return frames.written(pairs.mapInArrow(decide, "a long, b long"), name + "-links")
 
 
+def _bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Those pairs that sizes and bitmaps let link."""
+    for batch in batches:
+        keep = []
+        for a, b, x, y in zip(*(c.to_pylist() for c in batch.columns[3:])):
+            x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)[None, :]
+            keep.append(PART * max(a, b) <= WHOLE * min(a, b) and bool(most_overlap(x, a, y, np.array([b]))[0] >= required(a, b)))
+        yield batch.select(["a", "b", "votes"]).filter(pa.array(keep, pa.bool_()))
+
+
 def _tile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs of a tile's nodes, of different components, that sizes and bitmaps let link. Rows come sorted by tile."""
     key, held, found = None, [], set()
@@ -239,10 +254,10 @@ def _tile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
     for batch in batches:
-        for token, i, j, *row in zip(*(c.to_pylist() for c in batch.columns)):
-            if (token, i, j) != key:
+        for lead, i, j, *row in zip(*(c.to_pylist() for c in batch.columns)):
+            if (lead, i, j) != key:
                 compare(held) if held else None
-                key, held = (token, i, j), []
+                key, held = (lead, i, j), []
             held.append((*row, i != j))
         if len(found) > 100_000:
             yield out()
@@ -325,9 +340,18 @@ def ngram_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 return
             begins, lengths = _grouped(chain)
             lead = np.repeat(np.minimum.reduceat(owner, begins), lengths)
-            for at in range(0, len(token), 100_000):
+            # a shingle that is dealt to several buckets has a leader in each, and a name for all
+            heavy = np.flatnonzero(salts(rank[(token >> shift).astype(np.int64)]) > 1)
+            owner, size = np.append(owner, owner[heavy]), np.append(size, size[heavy])
+            lead = np.append(lead, -1 - (shingles.mix(token[heavy]) >> np.uint64(1)).astype(np.int64))
+            order = np.lexsort((owner, lead))
+            owner, size, lead = owner[order], size[order], lead[order]
+            begins = np.flatnonzero(np.concatenate([[True], (lead[1:] != lead[:-1]) | (owner[1:] != owner[:-1])]))
+            votes = np.diff(np.append(begins, len(lead)))
+            owner, size, lead = owner[begins], size[begins], lead[begins]
+            for at in range(0, len(lead), 100_000):
                 own = slice(at, at + 100_000)
-                yield pa.RecordBatch.from_arrays([pa.array(token[own].view(np.int64)), pa.array(owner[own]), pa.array(size[own]), pa.array(lead[own])], names=["token", "node", "size", "lead"])
+                yield pa.RecordBatch.from_arrays([pa.array(owner[own]), pa.array(size[own]), pa.array(lead[own]), pa.array(votes[own])], names=["node", "size", "lead", "votes"])
 
         bucket, parts = None, []
         for batch in batches:
@@ -341,30 +365,32 @@ def ngram_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             yield from shares(parts)
 
     packed = docs.mapInArrow(prefixes, "bucket int, tokens binary, owners binary, sizes binary")
-    met = packed.repartition(frames.pieces(spark), "bucket").sortWithinPartitions("bucket").mapInArrow(meet, "token long, node long, size long, lead long")
-    met = frames.written(met, "met")
+    met = packed.repartition(frames.pieces(spark), "bucket").sortWithinPartitions("bucket").mapInArrow(meet, "node long, size long, lead long, votes long")
+    met = frames.written(met.groupBy("node", "size", "lead").agg(F.sum("votes").alias("votes")), "met")
 
     rows = described.where("chunk IS NULL").select("doc_id", "n_shingles", "node", "bitmap")
-    nodes = rows.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("first_id"), F.min("n_shingles").alias("size"))
-    nodes = frames.written(nodes, "nodes")
-    leads = met.where("node <> lead").groupBy("node", "lead").agg(F.count("*").alias("votes"))
-    leads = leads.groupBy("node").agg(F.max_by("lead", F.struct("votes", -F.col("lead"))).alias("lead"))
-    links = _linked(docs, leads.select(F.col("node").alias("a"), F.col("lead").alias("b")), nodes, "leads")
+    nodes = frames.written(rows.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("first_id"), F.first("bitmap").alias("bitmap")), "nodes")
+    bits = nodes.select("node", "bitmap")
+    sizes = met.select("node", "size").distinct()
+    led = met.where("lead >= 0 AND node <> lead").select(F.col("node").alias("a"), F.col("lead").alias("b"), F.col("size").alias("a_size"), "votes")
+    led = led.join(sizes.toDF("b", "b_size"), "b").join(bits.toDF("a", "a_bits"), "a").join(bits.toDF("b", "b_bits"), "b")
+    led = led.select("a", "b", "votes", "a_size", "b_size", "a_bits", "b_bits").mapInArrow(_bounded, "a long, b long, votes long")
+    best = led.withColumn("rank", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("votes"), "b"))).where(F.col("rank") <= LEADERS)
+    links = _linked(docs, best.select("a", "b"), nodes, "leads")
     parts = components(links)
 
-    comp = met.select("token", "node", "size").join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    open_tokens = comp.groupBy("token").agg(F.count("*").alias("n"), F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
-    open_tokens = open_tokens.select("token", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    bitmaps = rows.where("node IS NOT NULL").join(nodes.select(F.col("first_id").alias("doc_id"), "node"), ["doc_id", "node"], "left_semi").select("node", "bitmap").dropDuplicates(["node"])
+    comp = met.select("lead", "node", "size").join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    open_leads = comp.groupBy("lead").agg(F.count("*").alias("n"), F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
+    open_leads = open_leads.select("lead", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
     block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     tiles = (
-        comp.join(open_tokens, "token")
-        .join(bitmaps, "node")
+        comp.join(open_leads, "lead")
+        .join(bits, "node")
         .withColumn("block", block)
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("token", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "node", "size", "component", "bitmap", "block")
-        .repartition(frames.pieces(spark), "token", "i", "j")
-        .sortWithinPartitions("token", "i", "j")
+        .select("lead", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "node", "size", "component", "bitmap", "block")
+        .repartition(frames.pieces(spark), "lead", "i", "j")
+        .sortWithinPartitions("lead", "i", "j")
     )
     more = _linked(docs, tiles.mapInArrow(_tile, "a long, b long").distinct(), nodes, "tiles")
     parts = components(links.union(more))
