@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from metaspan.operators.profile import rounded
+
 FILE = ["file_path", "file_name", "column_name", "master_type"]
 #: Semantic types that are never keys of a relation.
 NEVER_JOINED = ["DATECHAR", "YYMMDD", "YEARMONTH", "YEAR", "TIMESTAMP", "TIME", "LATITUDE", "LONGITUDE", "TEL", "CELLPHONE", "ADDRESS", "Text", "CLOB", "YN_Flag", "True_False_Flag", "Alpha_Flag", "Num_Flag", "Kor_Flag", "NULL", "SINGLE VALUE"]
@@ -82,7 +84,7 @@ def inclusion(pairs: DataFrame, values: DataFrame, least: float = LEAST_MATCH) -
     right = values.toDF("master_path", "master_file", "master_column", "value").join(kinds, master).select(*master, "compare_length", cut).distinct()
     hits = left.join(right.withColumn("hit", F.lit(1)), [*master, "compare_length", "value"], "left")
     out = hits.groupBy(*source, *master, "compare_length").agg(F.count("hit").alias("compare_count"), F.count("*").alias("source_count"))
-    out = out.withColumn("match_pct", F.round(F.col("compare_count") / F.col("source_count") * 100, 2))
+    out = out.withColumn("match_pct", rounded(F.col("compare_count") / F.col("source_count") * 100))
     return out.where(F.col("match_pct") >= least)
 
 

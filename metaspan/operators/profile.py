@@ -15,6 +15,11 @@ from metaspan.functions import patterns
 COLUMN = "column_name"
 
 
+def rounded(c: Column, digits: int = 2) -> Column:
+    """Rounded half up, after what binary fractions add beyond six digits is gone."""
+    return F.round(F.round(c, 6), digits)
+
+
 def long_form(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """One row per cell: column_name, value as text."""
     cells = [F.struct(F.lit(c).alias(COLUMN), F.col(f"`{c}`").cast("string").alias("value")) for c in columns or df.columns]
@@ -40,8 +45,8 @@ def counts(vc: DataFrame) -> DataFrame:
     return out.withColumns(
         {
             "null_cnt": F.col("record_cnt") - F.col("value_cnt"),
-            "null_pct": F.round((F.col("record_cnt") - F.col("value_cnt")) / F.col("record_cnt") * 100, 2),
-            "unique_pct": F.round(F.try_divide(F.col("unique_cnt"), F.col("value_cnt")) * 100, 2),
+            "null_pct": rounded((F.col("record_cnt") - F.col("value_cnt")) / F.col("record_cnt") * 100),
+            "unique_pct": rounded(F.try_divide(F.col("unique_cnt"), F.col("value_cnt")) * 100),
         }
     )
 
@@ -58,7 +63,7 @@ def lengths(vc: DataFrame) -> DataFrame:
         F.count("*").alias("len_distinct"),
         F.min("len").alias("len_min"),
         F.max("len").alias("len_max"),
-        F.round(F.sum(F.col("len") * F.col("n")) / F.sum("n"), 1).alias("len_avg"),
+        rounded(F.sum(F.col("len") * F.col("n")) / F.sum("n"), 1).alias("len_avg"),
         F.max_by("len", F.struct("n", -F.col("len"))).alias("len_mode"),
         ((at(F.floor((F.col("total") - 1) / 2)) + at(F.floor(F.col("total") / 2))) / 2).alias("len_median"),
     )
@@ -102,7 +107,7 @@ def top_values(vc: DataFrame, k: int = 10) -> DataFrame:
     total = vc.groupBy(COLUMN).agg(F.sum(F.when(F.col("value").isNotNull(), F.col("cnt"))).alias("n"))
     top = ranked(_present(vc), [COLUMN], k).groupBy(COLUMN).agg(F.sort_array(F.collect_list(F.struct("rank", "value", "cnt"))).alias("ranked"), F.sum("cnt").alias("top_cnt"))
     return top.join(total, COLUMN).select(
-        COLUMN, F.transform("ranked", lambda r: F.struct(r.value.alias("value"), r.cnt.alias("cnt"))).alias("top_values"), F.round(F.col("top_cnt") / F.col("n") * 100, 2).alias("top_pct")
+        COLUMN, F.transform("ranked", lambda r: F.struct(r.value.alias("value"), r.cnt.alias("cnt"))).alias("top_values"), rounded(F.col("top_cnt") / F.col("n") * 100).alias("top_pct")
     )
 
 
@@ -120,7 +125,7 @@ def formats(vc: DataFrame, k: int = 3) -> DataFrame:
         .join(medians, [COLUMN, "format"])
         .join(total, COLUMN)
         .select(
-            COLUMN, "rank", "format", "format_cnt", F.col("cnt").alias("format_value"), F.round(F.col("cnt") / F.col("value_cnt") * 100, 2).alias("format_pct"),
+            COLUMN, "rank", "format", "format_cnt", F.col("cnt").alias("format_value"), rounded(F.col("cnt") / F.col("value_cnt") * 100).alias("format_pct"),
             "format_min", "format_max", "format_mode", "format_median",
         )
     )

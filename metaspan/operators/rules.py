@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from metaspan.functions import rules, validators
 from metaspan.functions.types import rule_type
-from metaspan.operators.profile import long_form
+from metaspan.operators.profile import long_form, rounded
 
 #: Rule names of profile columns -> their column and kind.
 NAMES = {
@@ -78,7 +78,7 @@ def validator_rates(df: DataFrame, checks: dict[str, str | list[str]]) -> DataFr
     cells = [F.when(F.col("column_name") == c, F.struct(F.lit(v).alias("validator"), validators.VALIDATORS[v](F.col("value")).alias("valid"))) for c, v in pairs]
     out = long.select("column_name", "cnt", F.inline(F.array_compact(F.array(*cells))))
     out = out.groupBy("column_name", "validator").agg(F.sum("cnt").alias("value_cnt"), F.sum(F.when(F.col("valid"), F.col("cnt")).otherwise(0)).alias("valid_cnt"))
-    return out.withColumn("valid_pct", F.round(F.col("valid_cnt") / F.col("value_cnt") * 100, 2))
+    return out.withColumn("valid_pct", rounded(F.col("valid_cnt") / F.col("value_cnt") * 100))
 
 
 def rule_checks(matched: DataFrame) -> Column:

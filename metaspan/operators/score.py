@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from metaspan.operators.profile import rounded
+
 WEIGHTS = {"null_share": 0.40, "type_mixed": 0.25, "length_vol": 0.15, "duplicate": 0.10, "rule_fail": 0.10}
 #: measure, limit, tag of values above it
 TAGS = (("null_share", 20, "High NULLs"), ("type_mixed", 30, "Mixed formats"), ("length_vol", 30, "Length volatility"), ("duplicate", 90, "Very low uniqueness"), ("rule_fail", 0, "Rule failures"))
@@ -30,7 +32,7 @@ def with_scores(profile: DataFrame, weights: dict[str, float] = WEIGHTS, tags=TA
     )
     penalty = sum(F.lit(w) * F.col(c) for c, w in weights.items())
     issues = F.array_compact(F.array(*[F.when(F.col(c) > limit, tag) for c, limit, tag in tags]))
-    return out.withColumns({"dq_score": F.round(_clip(100.0 - penalty), 2), "dq_issues": F.array_join(issues, ", "), "issue_count": F.size(issues)})
+    return out.withColumns({"dq_score": rounded(_clip(100.0 - penalty)), "dq_issues": F.array_join(issues, ", "), "issue_count": F.size(issues)})
 
 
 #: Views of a profile; a column that a profile lacks is left out.
@@ -75,7 +77,7 @@ def quality_kpis(profile: DataFrame) -> DataFrame:
     cells = F.array(*[F.struct(F.lit(k).alias("issue"), F.col(f"issue_{k}").alias("hit")) for k in names])
     long = flagged.select("file_name", "column_name", F.inline(cells))
     out = long.groupBy("issue").agg(F.countDistinct(F.when(F.col("hit") == 1, F.col("file_name"))).alias("files"), F.sum("hit").alias("columns"), F.count("*").alias("all_columns"))
-    return out.select("issue", "files", "columns", F.round(F.col("columns") / F.col("all_columns") * 100, 2).alias("columns_pct"))
+    return out.select("issue", "files", "columns", rounded(F.col("columns") / F.col("all_columns") * 100).alias("columns_pct"))
 
 
 def file_kpis(stats: DataFrame) -> DataFrame:

@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from metaspan.plans import columns
+
+QUERIES: dict = {**columns.QUERIES}
+ORACLES: dict[str, str] = {**columns.ORACLES}
