@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from metaspan.plans import columns
+from metaspan.plans import columns, relations
 
-QUERIES: dict = {**columns.QUERIES}
-ORACLES: dict[str, str] = {**columns.ORACLES}
+QUERIES: dict = {**columns.QUERIES, **relations.QUERIES}
+ORACLES: dict[str, str] = {**columns.ORACLES, **relations.ORACLES}
