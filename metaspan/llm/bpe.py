@@ -252,5 +252,5 @@ def encode_documents(df: DataFrame, ranks_path: str, pattern: str, id_col: str =
             yield pa.RecordBatch.from_arrays(arrays, names=names)
 
     return df.select(frames.long_id(df, id_col).alias("doc_id"), df[text_col].alias("text")).mapInArrow(
-        run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
+        frames.tidy(run), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
     )

@@ -38,7 +38,7 @@ def components(links: DataFrame) -> DataFrame:
 
     A node that is absent from the result is its own component. Links may repeat, go either way, or be loops.
     """
-    edges = frames.written(links.select(F.col("a").cast("long"), F.col("b").cast("long")).where("a <> b").mapInArrow(_contract, "a long, b long"), "links")
+    edges = frames.written(links.select(F.col("a").cast("long"), F.col("b").cast("long")).where("a <> b").mapInArrow(frames.tidy(_contract), "a long, b long"), "links")
     while True:
         # a > b everywhere; done if every a has one b and no b is an a.
         state = edges.groupBy("a").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
@@ -50,4 +50,4 @@ def components(links: DataFrame) -> DataFrame:
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         joined = large.join(least, "a")
         small = joined.select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
-        edges = frames.written(small.mapInArrow(_contract, "a long, b long"), "stars")
+        edges = frames.written(small.mapInArrow(frames.tidy(_contract), "a long, b long"), "stars")

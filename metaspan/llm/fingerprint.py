@@ -166,5 +166,5 @@ def fingerprint_documents(df: DataFrame, id_col: str = "doc_id", text_col: str =
             yield result()
 
     return dealt.mapInArrow(
-        run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+        frames.tidy(run), "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
     )

@@ -128,7 +128,7 @@ def identify_languages(df: DataFrame, model: Model, keys: tuple[str, ...] = ("do
             )
 
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in kept) + ", score array<double>, best int, strange boolean"
-    scored = frames.written(narrow.mapInArrow(run, schema), "language")
+    scored = frames.written(narrow.mapInArrow(frames.tidy(run), schema), "language")
     tally = lambda prefix="": F.array(*[F.sum(F.when(F.col("best") == k, F.col("n")).otherwise(0)).cast("double") for k in range(n)])
     added = lambda: F.array(*[F.sum(F.col("counts")[k]) for k in range(n)])
     counted = scored.groupBy("host", "suffix", "declared", "best").agg(F.count("*").alias("n"))

@@ -194,7 +194,7 @@ def pack_documents(
 
     columns = [c.split()[0] for c in schema.split(", ")]
     first = PIECE + ", is_open boolean, part int, ids binary"
-    packed = frames.written(df.select(frames.long_id(df, id_col).alias("doc_id"), df[text_col].alias("text")).mapInArrow(pieces_of, first), "packed")
+    packed = frames.written(df.select(frames.long_id(df, id_col).alias("doc_id"), df[text_col].alias("text")).mapInArrow(frames.tidy(pieces_of), first), "packed")
     done = packed.where(~F.col("is_open")).select(*columns)
     rests = packed.where("is_open").groupBy(F.floor(F.col("part") / MERGED).alias("near")).applyInArrow(merge, schema)
     return done.unionByName(rests)

@@ -227,7 +227,7 @@ def scan_secrets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             )
 
     return df.select(frames.long_id(df, id_col).alias("doc_id"), df[text_col].alias("text")).mapInArrow(
-        run, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string"
+        frames.tidy(run), "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string"
     )
 
 
@@ -247,4 +247,4 @@ def redact_secrets(df: DataFrame, text_col: str = "text", length_col: str | None
                 arrays[length_col] = pa.array([len(t) if s and t is not None else n for t, s, n in zip(clean, found, batch.column(length_col).to_pylist())], batch.column(length_col).type)
             yield pa.RecordBatch.from_arrays([arrays[n] for n in names], names=names)
 
-    return df.mapInArrow(run, df.schema)
+    return df.mapInArrow(frames.tidy(run), df.schema)

@@ -214,7 +214,7 @@ def score_toxicity(df: DataFrame, model: Model, id_col: str = "doc_id", text_col
                 [batch.column(0), pa.array(held, pa.bool_()), pa.array(score, pa.float64()), pa.array((score >= THRESHOLD).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"]
             )
 
-    return df.select(frames.long_id(df, id_col).alias("doc_id"), df[text_col].alias("text")).mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
+    return df.select(frames.long_id(df, id_col).alias("doc_id"), df[text_col].alias("text")).mapInArrow(frames.tidy(run), "doc_id long, held_out boolean, score double, predicted int")
 
 
 def keep_clean(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
@@ -224,4 +224,4 @@ def keep_clean(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame
         for batch in batches:
             yield batch.filter(pa.array(model.scores(frames.texts(batch.column(text_col))) < THRESHOLD))
 
-    return df.mapInArrow(run, df.schema)
+    return df.mapInArrow(frames.tidy(run), df.schema)

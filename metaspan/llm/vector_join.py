@@ -61,7 +61,7 @@ def link_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
     spark = df.sparkSession
     reach = float(np.sqrt(max(0.0, 2 - 2 * least))) + 1e-9
     rows = df.select(frames.long_id(df, id_col).alias("vec_id"), df[label_col].cast("long").alias("label"), df[vector_col].cast("array<double>").alias("vector"))
-    rows = frames.written(rows.mapInArrow(_units, "vec_id long, label long, high long, low long, unit binary"), "units")
+    rows = frames.written(rows.mapInArrow(frames.tidy(_units), "vec_id long, label long, high long, low long, unit binary"), "units")
     keys = ["label", "high", "low"]
     classes = rows.where("unit IS NOT NULL").groupBy(*keys).agg(F.min("vec_id").alias("id"), F.count("*").alias("n"), F.first("unit").alias("unit"))
     classes = frames.written(classes, "classes")
@@ -103,7 +103,7 @@ def link_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
             size = pa.array([len(units[i]) for i in where], pa.int32())
             yield pa.RecordBatch.from_arrays([taken.column(0), size, pa.array(cell, pa.int32()), pa.array(own, pa.bool_()), taken.column(1), taken.column(2), taken.column(3)], names=["label", "size", "cell", "own", "id", "n", "unit"])
 
-    dealt = frames.written(classes.select("label", "id", "n", "unit").mapInArrow(deal, "label long, size int, cell int, own boolean, id long, n long, unit binary"), "cells")
+    dealt = frames.written(classes.select("label", "id", "n", "unit").mapInArrow(frames.tidy(deal), "label long, size int, cell int, own boolean, id long, n long, unit binary"), "cells")
     counts = dealt.groupBy("label", "size", "cell").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     every = F.sequence(F.lit(0), F.col("blocks") - 1)
     placed = dealt.join(counts, ["label", "size", "cell"]).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
@@ -160,7 +160,7 @@ def link_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
         if out:
             yield flush()
 
-    joined = frames.written(tiles.mapInArrow(join, "a long, b long, links long"), "joined")
+    joined = frames.written(tiles.mapInArrow(frames.tidy(join), "a long, b long, links long"), "joined")
     parts = components(joined.where("b IS NOT NULL").select("a", "b"))
     links = joined.where("links IS NOT NULL").groupBy("a").agg(F.sum("links").alias("others"))
     found = (
