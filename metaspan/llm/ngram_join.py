@@ -25,10 +25,12 @@ does it connect others.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -38,7 +40,7 @@ from .components import components
 #: log2 of the sketch's cells, and of the cells that are summed together.
 SKETCH_BITS, CHUNK_BITS = 21, 12
 #: log2 of the bits of the filter of wanted documents.
-FILTER_BITS = 23
+FILTER_BITS = 25
 #: Documents of a shingle that one task takes, and nodes of a block of a tile.
 HEAVY, BLOCK = 200_000, 2048
 #: Leaders that a node is compared with before the tiles.
@@ -102,7 +104,7 @@ def _merged(rows: DataFrame, cells: int, dtype: str, join) -> np.ndarray:
 
     out = np.zeros(cells, dtype=dtype)
     n = min(64, frames.pieces(rows.sparkSession))
-    for r in rows.repartition(n, "chunk").mapInArrow(run, "chunk int, cells binary").collect():
+    for r in rows.repartition(n, "chunk").mapInArrow(frames.tidy(run), "chunk int, cells binary").collect():
         part = np.frombuffer(zlib.decompress(bytes(r.cells)), dtype=dtype)
         out[r.chunk << CHUNK_BITS : (r.chunk << CHUNK_BITS) + len(part)] = part
     return out
@@ -148,8 +150,8 @@ def _wanted(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (h >> np.uint64(64 - FILTER_BITS)).astype(np.int64), ((h >> np.uint64(8)) & np.uint64((1 << FILTER_BITS) - 1)).astype(np.int64)
 
 
-def _exact_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """(node, members) of the wanted (doc_id, node): a filter of fixed size thins the scan, a join ends it."""
+def _filter_of(ids: DataFrame) -> bytes:
+    """A filter of fixed size that holds the (first column's) ids and some more."""
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.zeros(1 << FILTER_BITS, np.uint8)
@@ -160,25 +162,51 @@ def _exact_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
         if packed:
             yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in packed], pa.int32()), pa.array([c for _, c in packed], pa.binary())], names=["chunk", "cells"])
 
-    found = _merged(ids.mapInArrow(mark, "chunk int, cells binary"), (1 << FILTER_BITS) // 8, "u1", np.bitwise_or)
-    shared = docs.sparkSession.sparkContext.broadcast(found.tobytes())
+    return _merged(ids.mapInArrow(frames.tidy(mark), "chunk int, cells binary"), (1 << FILTER_BITS) // 8, "u1", np.bitwise_or).tobytes()
+
+
+def _may_hold(found: bytes, ids: pa.Array) -> np.ndarray:
+    """Whether each id may be in the filter; null is not."""
+    bits = np.frombuffer(found, np.uint8)
+    a, b = _wanted(pc.fill_null(ids, 0).to_numpy(zero_copy_only=False))
+    has = lambda at: (bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1
+    return (has(a) & has(b)).astype(bool) & ids.is_valid().to_numpy(zero_copy_only=False)
+
+
+def without_ids(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """The rows whose id is not among ``ids``. Texts of rows that a fixed-size filter clears, nearly all, are not shuffled."""
+    ids = frames.written(ids.select(F.col(id_col).cast("long").alias("id")).distinct(), "dropped")
+    first = docs.sparkSession.sparkContext.broadcast(_filter_of(ids))
+
+    def keep(test: Callable[[pa.Array], np.ndarray]) -> Callable:
+        return lambda batches: (batch.filter(pa.array(test(batch.column(id_col)))) for batch in batches)
+
+    clear = docs.mapInArrow(frames.tidy(keep(lambda c: ~_may_hold(first.value, c))), docs.schema)
+    met = docs.select(id_col).mapInArrow(frames.tidy(keep(lambda c: _may_hold(first.value, c))), docs.select(id_col).schema)
+    wrong = frames.written(met.select(F.col(id_col).cast("long").alias("id")).join(ids, "id", "left_anti").distinct(), "kept-after-all")
+    if wrong.isEmpty():
+        return clear
+    second = docs.sparkSession.sparkContext.broadcast(_filter_of(wrong))
+    rest = docs.mapInArrow(frames.tidy(keep(lambda c: _may_hold(second.value, c))), docs.schema)
+    return clear.unionByName(rest.join(wrong.withColumnRenamed("id", id_col), id_col, "left_semi").select(*docs.columns))
+
+
+def _exact_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """(node, members) of the wanted (doc_id, node): a filter of fixed size thins the scan, a join ends it."""
+
+    shared = docs.sparkSession.sparkContext.broadcast(_filter_of(ids))
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.frombuffer(shared.value, np.uint8)
-        has = lambda at: (bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1
         for batch in batches:
-            batch = batch.filter(batch.column(0).is_valid())
-            a, b = _wanted(batch.column(0).to_numpy(zero_copy_only=False))
-            batch = batch.take(pa.array(np.flatnonzero(has(a) & has(b))))
-            own = list(_sets(batch)) if len(batch) else []
-            for at in range(0, len(own), 1024):
-                part = own[at : at + 1024]
+            batch = batch.take(pa.array(np.flatnonzero(_may_hold(shared.value, batch.column(0)))))
+            own = _sets(batch) if len(batch) else iter(())
+            while part := list(islice(own, 512)):
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([i for i, _ in part], pa.int64()), pa.array([node_of(s) if len(s) else None for _, s in part], pa.int64()), pa.array([s.tobytes() for _, s in part], pa.binary())],
                     names=["doc_id", "node", "members"],
                 )
 
-    return docs.mapInArrow(emit, "doc_id long, node long, members binary").join(ids, ["doc_id", "node"], "left_semi").select("node", "members").dropDuplicates(["node"])
+    return docs.mapInArrow(frames.tidy(emit), "doc_id long, node long, members binary").join(ids, ["doc_id", "node"], "left_semi").select("node", "members").dropDuplicates(["node"])
 
 
 def _linked(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, name: str) -> DataFrame:
@@ -192,8 +220,8 @@ def _linked(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, name: str) -> D
     def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             hit = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+            for x, y in zip(batch.column(2), batch.column(3)):
+                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
                 if len(x) > len(y):
                     x, y = y, x
                 at = np.minimum(np.searchsorted(y, x), len(y) - 1)
@@ -202,7 +230,7 @@ def _linked(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, name: str) -> D
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(hit, pa.bool_()))
 
     pairs = named.select("a", "b").join(members.toDF("a", "x"), "a").join(members.toDF("b", "y"), "b").select("a", "b", "x", "y")
-    return frames.written(pairs.mapInArrow(decide, "a long, b long"), name + "-links")
+    return frames.written(pairs.mapInArrow(frames.tidy(decide), "a long, b long"), name + "-links")
 
 
 def _bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -270,7 +298,7 @@ def ngram_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """doc_id, n_shingles and component_id, the smallest id reachable by links, of every row."""
     spark = df.sparkSession
     docs = df.select(frames.long_id(df, id_col).alias("doc_id"), df[text_col].alias("text"))
-    described = frames.written(docs.mapInArrow(_describe, "doc_id long, n_shingles long, node long, bitmap binary, chunk int, cells binary"), "described")
+    described = frames.written(docs.mapInArrow(frames.tidy(_describe), "doc_id long, n_shingles long, node long, bitmap binary, chunk int, cells binary"), "described")
     counts = _merged(described.where("chunk IS NOT NULL").select("chunk", "cells"), 1 << SKETCH_BITS, "<u4", lambda a, b: np.minimum(a.astype(np.uint64) + b, 0xFFFFFFFF).astype("<u4"))
     shared = spark.sparkContext.broadcast(np.round(8 * np.log2(1.0 + counts)).astype(np.uint8).tobytes())
     n_buckets = 4 * frames.pieces(spark)
@@ -313,7 +341,7 @@ def ngram_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 owners.append(np.full(n, node, np.int64))
                 sizes.append(np.full(n, len(own), np.uint32))
                 held += n
-                if held > 1 << 20:
+                if held > 1 << 18:
                     yield flush()
                     held = 0
         if held:
@@ -364,8 +392,8 @@ def ngram_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         if parts:
             yield from shares(parts)
 
-    packed = docs.mapInArrow(prefixes, "bucket int, tokens binary, owners binary, sizes binary")
-    met = packed.repartition(frames.pieces(spark), "bucket").sortWithinPartitions("bucket").mapInArrow(meet, "node long, size long, lead long, votes long")
+    packed = docs.mapInArrow(frames.tidy(prefixes), "bucket int, tokens binary, owners binary, sizes binary")
+    met = packed.repartition(frames.pieces(spark), "bucket").sortWithinPartitions("bucket").mapInArrow(frames.tidy(meet), "node long, size long, lead long, votes long")
     met = frames.written(met.groupBy("node", "size", "lead").agg(F.sum("votes").alias("votes")), "met")
 
     rows = described.where("chunk IS NULL").select("doc_id", "n_shingles", "node", "bitmap")
@@ -374,7 +402,7 @@ def ngram_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     sizes = met.select("node", "size").distinct()
     led = met.where("lead >= 0 AND node <> lead").select(F.col("node").alias("a"), F.col("lead").alias("b"), F.col("size").alias("a_size"), "votes")
     led = led.join(sizes.toDF("b", "b_size"), "b").join(bits.toDF("a", "a_bits"), "a").join(bits.toDF("b", "b_bits"), "b")
-    led = led.select("a", "b", "votes", "a_size", "b_size", "a_bits", "b_bits").mapInArrow(_bounded, "a long, b long, votes long")
+    led = led.select("a", "b", "votes", "a_size", "b_size", "a_bits", "b_bits").mapInArrow(frames.tidy(_bounded), "a long, b long, votes long")
     best = led.withColumn("rank", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("votes"), "b"))).where(F.col("rank") <= LEADERS)
     links = _linked(docs, best.select("a", "b"), nodes, "leads")
     parts = components(links)
@@ -392,7 +420,7 @@ def ngram_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         .repartition(frames.pieces(spark), "lead", "i", "j")
         .sortWithinPartitions("lead", "i", "j")
     )
-    more = _linked(docs, tiles.mapInArrow(_tile, "a long, b long").distinct(), nodes, "tiles")
+    more = _linked(docs, tiles.mapInArrow(frames.tidy(_tile), "a long, b long").distinct(), nodes, "tiles")
     parts = components(links.union(more))
     whole = nodes.join(parts, "node", "left").select("node", "first_id", F.coalesce("component", "node").alias("component"))
     least = whole.groupBy("component").agg(F.min("first_id").alias("component_id"))
