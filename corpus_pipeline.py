@@ -34,11 +34,13 @@ def detoxify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = frames.written(ngram_join.ngram_components(docs).select("doc_id", "component_id"), "components")
-    copies = found.where("doc_id <> component_id").select("doc_id").distinct()
+    copies = found.where("doc_id <> component_id").select("doc_id")
     repeated = frames.written(found.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated")
-    first = docs.join(copies, "doc_id", "left_anti")
-    single = first.join(repeated, "doc_id", "left_anti")
-    return single.unionByName(first.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])).select(*docs.columns)
+    if repeated.isEmpty():
+        return ngram_join.without_ids(docs, copies)
+    kept = ngram_join.without_ids(docs, copies.union(repeated))
+    again = docs.join(repeated, "doc_id", "left_semi").join(copies, "doc_id", "left_anti").dropDuplicates(["doc_id", "text"])
+    return kept.unionByName(again.select(*docs.columns))
 
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
