@@ -31,16 +31,15 @@ def chains(edges: DataFrame, max_depth: int = MAX_DEPTH, least: float = LEAST_WE
     A path ends where no edge leads on to a node that is not on it. Longer ones are left out.
     """
     strong = edges.where(F.col("weight").isNull() | (F.col("weight") > least)).select("src", "dst").distinct()
-    grown = strong.select("src").distinct().select(F.array("src").alias("path"))
-    done = None
-    for depth in range(1, max_depth + 1):
-        step = grown.withColumn("src", F.element_at("path", -1)).join(strong, "src", "left")
-        step = step.withColumn("on", F.col("dst").isNotNull() & ~F.coalesce(F.array_contains("path", F.col("dst")), F.lit(False)))
-        ended = step.groupBy("path").agg(F.max("on").alias("goes_on")).where(~F.col("goes_on") & (F.size("path") > 1)).select("path")
-        done = ended if done is None else done.unionByName(ended)
-        if depth < max_depth:
-            grown = step.where("on").select(F.concat("path", F.array("dst")).alias("path"))
-    return done.distinct()
+    # a node's edges side by side: each step is one join and nothing is used twice
+    leads_to = strong.groupBy("src").agg(F.collect_list("dst").alias("nexts")).cache()
+    walks = leads_to.select(F.array("src").alias("path"), F.lit(True).alias("open"))
+    for _ in range(max_depth):
+        step = walks.withColumn("src", F.when(F.col("open"), F.element_at("path", -1))).join(leads_to, "src", "left")
+        ahead = F.filter(F.coalesce("nexts", F.array().cast(leads_to.schema["nexts"].dataType)), lambda n: ~F.array_contains(F.col("path"), n))
+        step = step.select("path", F.explode_outer(F.when(F.size(ahead) > 0, ahead)).alias("next"))
+        walks = step.select(F.when(F.col("next").isNull(), F.col("path")).otherwise(F.concat("path", F.array("next"))).alias("path"), F.col("next").isNotNull().alias("open"))
+    return walks.where(F.size("path").between(2, max_depth)).select("path").distinct()
 
 
 def name_of(node: Column) -> Column:
@@ -67,6 +66,7 @@ def erd_mapping(final: DataFrame, max_depth: int = MAX_DEPTH, strict: bool = Fal
 
     level_1..4 come from the chain, then from the slots not yet shown; depth and relationship are those of the levels.
     """
+    final = final.cache()
     found = levels(chains(edges_of(final, strict), max_depth), max_depth).withColumns({"file_name": F.col("node.file"), "column_name": F.col("node.column"), "master_type": F.col("node.type")}).drop("node")
     slots = F.filter(
         F.array(*[F.when(F.trim(F.col(f"code_file_{k}")) != "", F.concat_ws(".", F.col(f"code_file_{k}"), F.col(f"code_column_{k}"))) for k in (1, 2, 3, 4)]), lambda s: s.isNotNull()
@@ -126,15 +126,16 @@ def table_summary(relations: DataFrame) -> DataFrame:
 def neighbourhood(links: DataFrame, start: DataFrame, hops: int) -> DataFrame:
     """start, table, level: tables within so many undirected hops of each start (level 0), by their least level.
 
-    links has columns a and b; start has a column start. Each step joins the last frontier and drops what is reached.
+    links has columns a and b; start has a column start. Each step joins the last frontier with its neighbours, kept side by side.
     """
     both = links.select("a", "b").union(links.select("b", "a")).where("a <> b").distinct()
+    nearby = both.groupBy("a").agg(F.collect_list("b").alias("nearby")).cache()
     reached = start.select("start", F.col("start").alias("table"), F.lit(0).alias("level")).distinct()
-    frontier = reached
     for level in range(1, hops + 1):
-        step = frontier.join(both, frontier["table"] == both["a"]).select("start", F.col("b").alias("table")).distinct()
-        frontier = step.join(reached.select("start", "table"), ["start", "table"], "left_anti").withColumn("level", F.lit(level))
-        reached = reached.unionByName(frontier)
+        step = reached.withColumn("a", F.when(F.col("level") == level - 1, F.col("table"))).join(nearby, "a", "left")
+        own = F.array(F.struct("table", "level"))
+        new = F.transform(F.coalesce("nearby", F.array().cast("array<string>")), lambda t: F.struct(t.alias("table"), F.lit(level).alias("level")))
+        reached = step.select("start", F.inline(F.concat(own, new))).groupBy("start", "table").agg(F.min("level").alias("level"))
     return reached
 
 

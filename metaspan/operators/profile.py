@@ -174,7 +174,8 @@ def profile(df: DataFrame, columns: list[str] | None = None, file_name: str | No
     out = with_scores(with_types(out))
     if file_name is not None:
         out = out.withColumns({"file_name": F.lit(file_name), "master_type": F.lit(master_type)})
-    return out
+    # a row per column: small, and used many times by what follows
+    return out.cache()
 
 
 def numeric_shape(vc: DataFrame) -> DataFrame:

@@ -175,7 +175,7 @@ def _profiles(spark, sf_dir) -> DataFrame:
     out = p.counts(vc)
     for part in (p.lengths(vc), p.value_stats(vc), p.top_values(vc), p.wide_formats(p.formats(vc)), p.composition(vc), p.first_characters(vc), p.numeric_shape(vc)):
         out = out.join(part, "column_name", "left")
-    return score.with_scores(types.with_types(out)).withColumns({"file_name": F.element_at(owner, F.col("column_name")), "file_path": F.lit("tables"), "master_type": F.lit("Master")})
+    return score.with_scores(types.with_types(out)).withColumns({"file_name": F.element_at(owner, F.col("column_name")), "file_path": F.lit("tables"), "master_type": F.lit("Master")}).cache()
 
 
 def detail_type(spark, sf_dir):

@@ -44,7 +44,10 @@ def detect_encoding(spark: SparkSession, path: str, head: int = 1 << 16) -> str:
 
 def read_csv(spark: SparkSession, path: str, encoding: str | None = None, separator: str = ",", infer: bool = False, skip_bad: bool = False, multiline: bool = True) -> DataFrame:
     """A flat file with a header: all text unless types are inferred, null tokens as nulls, clean header."""
-    reader = spark.read.option("header", True).option("sep", separator).option("encoding", encoding or detect_encoding(spark, path)).option("inferSchema", infer)
+    encoding = encoding or detect_encoding(spark, path)
+    if encoding != "UTF-8":
+        spark.conf.set("spark.sql.legacy.javaCharsets", "true")  # without it only UTF and Latin-1 names are allowed
+    reader = spark.read.option("header", True).option("sep", separator).option("encoding", encoding).option("inferSchema", infer)
     reader = reader.option("escape", '"').option("multiLine", multiline).option("mode", "DROPMALFORMED" if skip_bad else "PERMISSIVE")
     return null_tokens(clean_headers(reader.csv(path)))
 

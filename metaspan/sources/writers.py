@@ -12,7 +12,7 @@ def flat(df: DataFrame) -> DataFrame:
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    flat(df).write.mode("overwrite").option("header", True).csv(path)
+    flat(df).write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
 
 
 def write_table(df: DataFrame, path: str, by: str | None = None) -> None:
