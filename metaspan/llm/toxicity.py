@@ -30,9 +30,9 @@ from pyspark.sql import functions as F
 from . import frames
 
 #: Labelled documents that are learnt from, at most.
-MOST_TOXIC, MOST_ORDINARY = 1500, 3000
+MOST_TOXIC, MOST_ORDINARY = 2500, 4000
 #: Words of a window; bytes of ordinary prose in a dictionary; words that only the toxic one has, at most.
-WINDOW, PROSE, TOXIC_WORDS = 12, 30_000, 1500
+WINDOW, PROSE, TOXIC_WORDS = 12, 120_000, 1500
 #: Likelihood ratio statistic and ratio of document frequencies from which a word is toxic.
 LEAST_G, LEAST_RATIO = 12.0, 3.0
 #: Of crc32(doc_id as text): rows with this remainder are never learnt from.
@@ -74,7 +74,7 @@ class Model:
     def compressors(self) -> tuple:
         if self._both is None:
             how = zstandard.ZstdCompressionParameters(
-                compression_level=3, strategy=zstandard.STRATEGY_GREEDY, min_match=4, search_log=5, window_log=17, hash_log=15, chain_log=15,
+                compression_level=3, strategy=zstandard.STRATEGY_GREEDY, min_match=4, search_log=6, window_log=19, hash_log=18, chain_log=19,
                 write_content_size=0, write_dict_id=0, format=zstandard.FORMAT_ZSTD1_MAGICLESS,
             )
             both = []
@@ -160,14 +160,18 @@ def fit(rows: list[tuple[int, str, int]], share: float | None = None) -> Model:
 
     words = [w for w, a in seen[1].items() if a >= 3 and a / n_toxic > LEAST_RATIO * (seen[0][w] + 0.5) / n_ordinary and g(w) > LEAST_G]
     words = sorted(words, key=lambda w: (-g(w), w))[:TOXIC_WORDS]
-    # ordinary prose: windows of the shown ordinary documents in turn
-    begins, ends, row = windows(form, at)
-    use = np.flatnonzero(shown[row] & (y[row] == 0))
-    use = use[np.argsort((use * 2654435761) % (1 << 32), kind="stable")]
-    prose, size = [], 0
-    for k in use.tolist():
-        prose.append(form[begins[k] : ends[k]].tobytes())
-        size += len(prose[-1])
+    # ordinary prose: a window of each shown ordinary document in turn, until there is enough
+    prose, size, at_docs = [], 0, np.flatnonzero(shown & (y == 0))
+    for turn in range(64):
+        for k in at_docs.tolist():
+            if size >= PROSE:
+                break
+            own = form[at[k] : at[k + 1]]
+            begins, ends, _ = windows(own, np.array([0, len(own)]))
+            if turn < len(begins):
+                w = (k * 2654435761 + turn) % len(begins)
+                prose.append(own[begins[w] : ends[w]].tobytes())
+                size += len(prose[-1])
         if size >= PROSE:
             break
     prose = b"".join(prose)[-PROSE:]
