@@ -426,3 +426,19 @@ def ngram_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     least = whole.groupBy("component").agg(F.min("first_id").alias("component_id"))
     named = whole.join(least, "component").select("node", "component_id")
     return rows.join(named, "node", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def oracle() -> str:
+    """The same in DuckDB SQL over the view ``documents`` with distinct ids, comparing all pairs that share a shingle."""
+    return r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+s AS (
+  SELECT doc_id, CASE WHEN len(ws) >= 5 THEN list_distinct(list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' '))) WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END AS sh FROM w),
+e AS (SELECT doc_id, unnest(sh) AS g FROM s),
+n AS (SELECT doc_id, len(sh) AS n FROM s),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM e a JOIN e b USING (g) WHERE a.doc_id <> b.doc_id GROUP BY 1, 2),
+links AS (SELECT x, y FROM p JOIN n nx ON nx.doc_id = x JOIN n ny ON ny.doc_id = y WHERE 100 * c >= 75 * (nx.n + ny.n - c)),
+reach(x, c) AS (SELECT doc_id, doc_id FROM documents UNION SELECT links.x, reach.c FROM reach JOIN links ON links.y = reach.x),
+part AS (SELECT x, min(c) AS component_id FROM reach GROUP BY x)
+SELECT n.doc_id, n.n AS n_shingles, component_id FROM n JOIN part ON part.x = n.doc_id"""

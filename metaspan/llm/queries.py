@@ -79,5 +79,6 @@ QUERIES = {
 
 ORACLES = {
     "op5_vector_join": vector_join.oracle,
+    "op8_ngram_join": ngram_join.oracle,
     "op10_url_filter": url_filter.oracle,
 }
