@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from metaspan.sources.shared import materialised
+
 ARROW = " -> "
 MAX_DEPTH, LEAST_WEIGHT = 10, 50.0
 #: Master types that are left out of internal relationships.
@@ -32,7 +34,7 @@ def chains(edges: DataFrame, max_depth: int = MAX_DEPTH, least: float = LEAST_WE
     """
     strong = edges.where(F.col("weight").isNull() | (F.col("weight") > least)).select("src", "dst").distinct()
     # a node's edges side by side: each step is one join and nothing is used twice
-    leads_to = strong.groupBy("src").agg(F.collect_list("dst").alias("nexts")).cache()
+    leads_to = materialised(strong.groupBy("src").agg(F.collect_list("dst").alias("nexts")), "leads-to")
     walks = leads_to.select(F.array("src").alias("path"), F.lit(True).alias("open"))
     for _ in range(max_depth):
         step = walks.withColumn("src", F.when(F.col("open"), F.element_at("path", -1))).join(leads_to, "src", "left")
@@ -66,7 +68,7 @@ def erd_mapping(final: DataFrame, max_depth: int = MAX_DEPTH, strict: bool = Fal
 
     level_1..4 come from the chain, then from the slots not yet shown; depth and relationship are those of the levels.
     """
-    final = final.cache()
+    final = materialised(final, "final")
     found = levels(chains(edges_of(final, strict), max_depth), max_depth).withColumns({"file_name": F.col("node.file"), "column_name": F.col("node.column"), "master_type": F.col("node.type")}).drop("node")
     slots = F.filter(
         F.array(*[F.when(F.trim(F.col(f"code_file_{k}")) != "", F.concat_ws(".", F.col(f"code_file_{k}"), F.col(f"code_column_{k}"))) for k in (1, 2, 3, 4)]), lambda s: s.isNotNull()
@@ -129,7 +131,7 @@ def neighbourhood(links: DataFrame, start: DataFrame, hops: int) -> DataFrame:
     links has columns a and b; start has a column start. Each step joins the last frontier with its neighbours, kept side by side.
     """
     both = links.select("a", "b").union(links.select("b", "a")).where("a <> b").distinct()
-    nearby = both.groupBy("a").agg(F.collect_list("b").alias("nearby")).cache()
+    nearby = materialised(both.groupBy("a").agg(F.collect_list("b").alias("nearby")), "nearby")
     reached = start.select("start", F.col("start").alias("table"), F.lit(0).alias("level")).distinct()
     for level in range(1, hops + 1):
         step = reached.withColumn("a", F.when(F.col("level") == level - 1, F.col("table"))).join(nearby, "a", "left")

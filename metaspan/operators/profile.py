@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from metaspan.functions import patterns
+from metaspan.sources.shared import materialised
 
 COLUMN = "column_name"
 
@@ -175,7 +176,7 @@ def profile(df: DataFrame, columns: list[str] | None = None, file_name: str | No
     if file_name is not None:
         out = out.withColumns({"file_name": F.lit(file_name), "master_type": F.lit(master_type)})
     # a row per column: small, and used many times by what follows
-    return out.cache()
+    return materialised(out, "profile")
 
 
 def numeric_shape(vc: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from metaspan.functions import patterns, types
 from metaspan.operators import profile as p
 from metaspan.operators import rules, score, stats
+from metaspan.sources.shared import materialised
 
 #: Columns whose text form is the same in both engines.
 SHOWN = {
@@ -175,7 +176,8 @@ def _profiles(spark, sf_dir) -> DataFrame:
     out = p.counts(vc)
     for part in (p.lengths(vc), p.value_stats(vc), p.top_values(vc), p.wide_formats(p.formats(vc)), p.composition(vc), p.first_characters(vc), p.numeric_shape(vc)):
         out = out.join(part, "column_name", "left")
-    return score.with_scores(types.with_types(out)).withColumns({"file_name": F.element_at(owner, F.col("column_name")), "file_path": F.lit("tables"), "master_type": F.lit("Master")}).cache()
+    out = score.with_scores(types.with_types(out)).withColumns({"file_name": F.element_at(owner, F.col("column_name")), "file_path": F.lit("tables"), "master_type": F.lit("Master")})
+    return materialised(out, "profiles")
 
 
 def detail_type(spark, sf_dir):

@@ -12,6 +12,7 @@ from metaspan.operators import profile as p
 from metaspan.operators.profile import rounded
 from metaspan.plans.columns import _profiles, detail_case, table, vc_sql, wide_cte
 from metaspan.sources import readers
+from metaspan.sources.shared import materialised
 
 #: Key columns that refer to each other: table -> columns.
 KEYS = {
@@ -62,7 +63,8 @@ def _typed(spark, sf_dir) -> DataFrame:
     for part in (p.lengths(vc), p.value_stats(vc), p.top_values(vc), p.wide_formats(p.formats(vc)), p.composition(vc), p.numeric_shape(vc)):
         out = out.join(part, "column_name", "left")
     file = F.element_at(owner, F.col("column_name"))
-    return types.with_types(out).withColumns({"file_name": file, "file_path": F.lit("tables"), "master_type": F.when(file.isin("nation", "region", "part"), "Reference").otherwise("Master")}).cache()
+    out = types.with_types(out).withColumns({"file_name": file, "file_path": F.lit("tables"), "master_type": F.when(file.isin("nation", "region", "part"), "Reference").otherwise("Master")})
+    return materialised(out, "typed")
 
 
 _SHOW = ["file_name", "column_name", "master_file", "master_column", "compare_count", "source_count", "match_pct"]
