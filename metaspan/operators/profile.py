@@ -114,7 +114,8 @@ def top_values(vc: DataFrame, k: int = 10) -> DataFrame:
 
 def formats(vc: DataFrame, k: int = 3) -> DataFrame:
     """Per column and rank: pattern, number of patterns, values with it, share, least, greatest, most frequent and median value."""
-    shown = _present(vc).withColumn("format", patterns.format_pattern(F.col("value")))
+    # the pattern is five regexes long: made once per distinct value, not once per use
+    shown = _present(vc).withColumn("format", patterns.format_pattern(F.col("value"))).cache()
     by = shown.groupBy(COLUMN, "format").agg(F.sum("cnt").alias("cnt"), F.min("value").alias("format_min"), F.max("value").alias("format_max"))
     total = by.groupBy(COLUMN).agg(F.sum("cnt").alias("value_cnt"), F.count("*").alias("format_cnt"))
     top = ranked(by, [COLUMN], k, "format")

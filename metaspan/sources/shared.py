@@ -21,5 +21,5 @@ def shared_folder(spark: SparkSession) -> str:
 def materialised(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a table: computed once, a leaf for every plan built on it, safe against lost executors. For metadata, not for data."""
     path = f"{shared_folder(df.sparkSession)}/tables/{name}-{uuid.uuid4().hex}"
-    df.coalesce(1).write.parquet(path)
+    df.repartition(1).write.parquet(path)  # not coalesce: what is before keeps its tasks
     return df.sparkSession.read.schema(df.schema).parquet(path)
