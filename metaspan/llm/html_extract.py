@@ -3,11 +3,11 @@
 A page is a sequence of tokens: tags, told apart by the path of block tags they stand in, and text. For each host,
 tokens whose occurrence vectors over its pages are equal form a class; the vector is represented by the number
 of pages and a sum of hashes of (page, count), which adds up in any order, so no host's pages are ever
-collected. Classes that enough pages support and that nest, each path inside a path of a valid class, are the
+collected. Classes that enough pages support and that nest, all their paths inside paths of valid classes, are the
 template. Its paths are the slots; a text block belongs to the deepest slot around it. Slots that are menus,
-headers, footers, sidebars, notices, adverts, forms, scripts, styles or reader comments by their tags and names, or,
-outside articles, by what they hold over the host (mostly links; the same text on nearly every page), are template;
-the rest is extracted.
+headers, footers, sidebars, notices, adverts, forms, scripts, styles or reader comments by their tags and names, or
+by what they hold over the host (outside articles mostly links; anywhere, the same text on nearly every page), are
+template; of a class with links, boxes without other text close as a whole. The rest is extracted.
 
 Defined results: null or empty html, and pages without such text, give the empty string; a null url is the host
 ''; hosts with one page have a template of that page; malformed markup is read as far as it goes; repeated
@@ -21,6 +21,7 @@ import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pyarrow as pa
 import xxhash
@@ -115,7 +116,7 @@ def blocks(page: str) -> Iterator[tuple[str, str, int]]:
         elif tag in _OPENS_BLOCK:
             close({"p"}, frozenset({"div", "section", "article", "td", "li", "body", "blockquote"}))
         names = {k.lower(): a or b or c for k, a, b, c in _ATTRIBUTE.findall(m[4] or m[7] or "")}
-        mark = "".join(f"[{k}={' '.join(names[k].split()).lower()}]" for k in ("role", "id", "class") if names.get(k))
+        mark = "".join(f"[{k}={' '.join(names[k].split()).lower().replace('/', '|')}]" for k in ("role", "id", "class") if names.get(k))
         above, step = path(), f"/{tag}{mark}"
         # Far down a path grows only by what decides: so deep nesting stays linear.
         grows = len(stack) < DEEPEST or (is_template(step) and not is_template(above)) or (is_article(step) and not is_article(above))
@@ -184,22 +185,77 @@ def deduce_templates(pages: DataFrame) -> DataFrame:
     # texts are equal on n pages if the sums are n times one text's
     mean = F.col("t1") / F.col("pages")
     same = (F.col("t1") % F.col("pages") == 0) & (F.abs(F.col("t2") / F.col("pages") - mean * mean / 65536) <= 1) & (F.col("t1") > 0)
-    closed = (F.col("pages") >= KNOWN) & (F.col("chars") > 0) & ((F.col("linked") >= LINKED * F.col("chars")) | (same & (F.col("pages") >= CONSTANT * F.col("most"))))
-    # a class per occurrence vector; at most 1 / SUPPORT times a page's tokens are supported, so a host's template is small
-    classes = supported.groupBy("host", "pages", "v1", "v2").agg(F.collect_list(F.struct("path", closed.alias("closed"))).alias("members"))
-    return classes.groupBy("host").agg(F.flatten(F.collect_list("members")).alias("members")).select(
-        "host", F.col("members.path").alias("slots"), F.transform(F.filter("members", lambda m: m.closed), lambda m: m.path).alias("closed")
-    )
+    # at most 1 / SUPPORT times a page's tokens are supported, so a host's template is small
+    member = F.struct("path", "pages", "v1", "v2", "chars", "linked", same.alias("same"))
+    members = supported.groupBy("host").agg(F.collect_list(member).alias("members"), F.max("most").alias("most"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [template([Member(**m) for m in own], most) for own, most in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([sorted(f[i]) for f in found], pa.list_(pa.string())) for i in range(2))], names=["host", "slots", "closed"])
+
+    return members.mapInArrow(frames.tidy(run), "host string, slots array<string>, closed array<string>")
+
+
+@dataclass(frozen=True)
+class Member:
+    """A path's sums over its host; (pages, v1, v2) stands for its occurrence vector."""
+
+    path: str
+    pages: int
+    v1: int
+    v2: int
+    chars: int
+    linked: int
+    same: bool
+
+    @property
+    def vector(self) -> tuple[int, int, int]:
+        return self.pages, self.v1, self.v2
+
+
+def _above(path: str) -> str:
+    return path.rpartition("/")[0]
 
 
-def nested(slots: list[str]) -> frozenset[str]:
-    """The slots that nest: whose enclosing paths are slots too."""
-    valid: set[str] = set()
-    for path in sorted(slots, key=len):
-        above = path.rpartition("/")[0]
-        if not above or above in valid:
-            valid.add(path)
-    return frozenset(valid)
+def template(members: list[Member], most: int) -> tuple[set[str], set[str]]:
+    """Slots of the valid classes of a host with ``most`` pages, and those of them that are closed."""
+    classes: dict[tuple[int, int, int], list[str]] = {}
+    for m in members:
+        classes.setdefault(m.vector, []).append(m.path)
+    slots, before = {m.path for m in members}, -1
+    while len(slots) != before:
+        before = len(slots)
+        for own in classes.values():
+            if any(_above(p) and _above(p) not in slots for p in own):
+                slots.difference_update(own)
+    texts = {m.path: m for m in members if m.path in slots and m.chars and not is_template(m.path)}
+    menus = {p for p, m in texts.items() if m.pages >= KNOWN and m.linked >= LINKED * m.chars and not is_article(p)}
+    said = sum(m.chars for p, m in texts.items() if is_article(p))
+    # an article's title, and what holds most of the articles' text, are not notices: pages may be copies
+    fixed = {p for p, m in texts.items() if m.pages >= KNOWN and m.same and not (is_article(p) and (2 * m.chars > said or re.search(r"/h1(?:\[[^/]*)?$", p)))}
+    common = {p for p in fixed if texts[p].pages >= CONSTANT * most}
+    if all(m.same for m in texts.values()):
+        # nothing tells the pages from each other
+        return slots, set(menus)
+    closed = menus | common
+    # a box of one class, all of whose text is fixed or linked, closes whole if it holds a menu
+    open_, linked = Counter(), Counter()
+    for p in texts:
+        box = p
+        while box:
+            open_[box] += p not in fixed and p not in menus
+            linked[box] += p in menus
+            box = _above(box)
+    vectors = {m.path: m.vector for m in members}
+    for p in fixed - closed:
+        box = p
+        while box and vectors.get(box) == vectors[p] and not open_[box]:
+            if linked[box]:
+                closed.add(p)
+                break
+            box = _above(box)
+    return slots, closed
 
 
 def extract(page: str, slots: frozenset[str], closed: frozenset[str]) -> str:
@@ -213,8 +269,8 @@ def extract(page: str, slots: frozenset[str], closed: frozenset[str]) -> str:
         if keep is None:
             slot = path
             while slot and slot not in slots:
-                slot = slot.rpartition("/")[0]
-            keep = not is_template(path) and (is_article(path) if articles else slot not in closed)
+                slot = _above(slot)
+            keep = not is_template(path) and slot not in closed and (is_article(path) or not articles)
             known[path] = keep
         if keep:
             out.append(text)
@@ -235,7 +291,7 @@ def extract_pages(df: DataFrame, id_col: str = "page_id", url_col: str = "url",
                 if host not in ready:
                     if len(ready) > 1000:
                         ready.clear()
-                    ready[host] = nested(slots_of[i].as_py() or []), frozenset(closed_of[i].as_py() or [])
+                    ready[host] = frozenset(slots_of[i].as_py() or []), frozenset(closed_of[i].as_py() or [])
                 out.append(extract(page.as_py(), *ready[host]))
             yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array(out, pa.string()), pa.array([len(t) for t in out], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 

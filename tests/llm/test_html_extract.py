@@ -56,3 +56,25 @@ def test_pages_table(spark):
         article = re.search(r"(?s)<article>(.*)</article>", rows[r.page_id].html)[1]
         parts = [" ".join(h.entities.unescape(re.sub(r"</?b>|<br>", " ", p)).split()) for p in re.split(r"</?(?:p|h1)>", article)]
         assert r.text.split("\n\n") == [p for p in parts if p]
+
+
+def test_fixed_text_inside_articles(spark):
+    """A notice with a slot of its own is template inside an article too; titles, stories and copies of pages stay."""
+    rows = [(k, f"http://n.example.com/{k}", f'<html><body><article><h1>Same title</h1><p>Story {k}</p><div class="c3"><h4>Please note</h4><p>All prices may change</p></div><p>End {k}</p></article></body></html>') for k in range(8)]
+    copies = [(20 + k, f"http://m.example.com/{k}", "<html><body><article><h1>Title</h1><div>One</div><p>Two words more</p></article></body></html>") for k in range(8)]
+    got = run(spark, rows + copies)
+    assert all(got[k].text == f"Same title\n\nStory {k}\n\nEnd {k}" and got[20 + k].text == "Title\n\nOne\n\nTwo words more" for k in range(8))
+
+
+def test_classes_decide():
+    """Text of a menu's heading closes with the menu only if both stand in one box of one class."""
+    def members(v):
+        return [
+            h.Member("/body", 20, 1, 1, 0, 0, False), h.Member("/body/p", 20, 2, 2, 900, 0, False), h.Member("/body/div", 8, v, 7, 0, 0, False),
+            h.Member("/body/div/h4", 8, 5, 7, 80, 0, True), h.Member("/body/div/ul", 8, 5, 7, 300, 300, False),
+        ]
+
+    assert h.template(members(5), 20)[1] == {"/body/div/h4", "/body/div/ul"}
+    assert h.template(members(6), 20)[1] == {"/body/div/ul"}
+    # a class with a path outside the template is no class of the template
+    assert h.template([h.Member("/a", 9, 1, 1, 5, 0, False), h.Member("/x/b", 9, 1, 1, 5, 0, False), h.Member("/y", 9, 2, 2, 5, 0, False)], 9)[0] == {"/y"}
