@@ -5,8 +5,8 @@ tokens whose occurrence vectors over its pages are equal form a class; the vecto
 of pages and a sum of hashes of (page, count), which adds up in any order, so no host's pages are ever
 collected. Classes that enough pages support and that nest, all their paths inside paths of valid classes, are the
 template. Its paths are the slots; a text block belongs to the deepest slot around it. Slots that are menus,
-headers, footers, sidebars, notices, adverts, forms, scripts, styles or reader comments by their tags and names, or
-by what they hold over the host (outside articles mostly links; anywhere, the same text on nearly every page), are
+headers, footers, sidebars, notices, adverts, forms, scripts, styles or reader comments by their tags and names (names
+of html, body, main, article and of elements with most of the host's text say nothing), or by what they hold over the host (outside articles mostly links; anywhere, the same text on nearly every page), are
 template; of a class with links, boxes without other text close as a whole. The rest is extracted.
 
 Defined results: null or empty html, and pages without such text, give the empty string; a null url is the host
@@ -49,10 +49,14 @@ _VOID = frozenset("area base br col embed hr img input link meta param source tr
 _INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr br".split())
 _NEVER = frozenset("nav header footer aside form head title button dialog menu fieldset figcaption".split()) - {"figcaption"}
 _NAMED = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notice|alert|sidebar|side|comments?|respond|replies|menu|nav\w*|breadcrumbs?|footer|header|masthead|"
+    r"(?:^|[\s_-])(ads?|advert\w*|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notice|alert|sidebar|side|comments?|respond|replies|menu|nav\w*|breadcrumbs?|footer|header|masthead|"
     r"share|sharing|social|related|recommended|newsletter|subscri\w+|widget|login|signup|popup|modal|toolbar|pagination|pager)(?:$|[\s_-])",
     re.I,
 )
+#: Names of readers' comments; names that tell what a layout has; tags around whole pages and stories, whose names are not those of parts.
+_READERS = re.compile(r"comments?|respond|replies", re.I)
+_LAYOUT = re.compile(r"(?<![^\s_-])(?:has|have|no|with|without|hide|show)[_-][\w-]+", re.I)
+_WHOLE = frozenset({"html", "body", "main", "article"})
 _ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu".split())
 _CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _OPENS_BLOCK = frozenset("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
@@ -127,32 +131,58 @@ def blocks(page: str) -> Iterator[tuple[str, str, int]]:
     yield from flush()
 
 
-def is_template(path: str) -> bool:
-    """Whether a path is in a menu, header, footer, sidebar, notice, advert, form or comment by its tags and names."""
+def _steps(path: str) -> Iterator[tuple[str, bool, str]]:
+    """Tag, whether its tag or role is that of a template, and the name that says so, of each step of a path."""
     for step in path.split("/")[1:]:
         tag, _, marks = step.partition("[")
-        if tag in _NEVER:
-            return True
+        never, name = tag in _NEVER, ""
         for mark in marks.rstrip("]").split("]["):
             key, _, value = mark.partition("=")
-            if key == "role" and value in _ROLES or key in ("id", "class") and _NAMED.search(value):
-                return True
+            if tag in _WHOLE:
+                continue
+            never = never or key == "role" and value in _ROLES
+            if not name and key in ("id", "class"):
+                found = _NAMED.search(_LAYOUT.sub(" ", value))
+                name = found[1].lower() if found else ""
+        yield tag, never, name
+
+
+def is_template(path: str, holding: frozenset[str] = frozenset()) -> bool:
+    """Whether a path is in a menu, header, footer, sidebar, notice, advert, form or comment by its tags and names; those of ``holding`` are not, by their names."""
+    at = ""
+    for step, (_, never, name) in zip(path.split("/")[1:], _steps(path)):
+        at = f"{at}/{step}"
+        if never or name and at not in holding:
+            return True
     return False
 
 
+def _wrappers(path: str) -> list[str]:
+    """The named elements around a path that would hold the main text if they hold most text: none in a template's tag, none of readers' comments."""
+    at, out = "", []
+    for step, (_, never, name) in zip(path.split("/")[1:], _steps(path)):
+        at = f"{at}/{step}"
+        if never or name and _READERS.match(name):
+            return []
+        if name:
+            out.append(at)
+    return out
+
+
 def is_article(path: str) -> bool:
     return any(s.partition("[")[0] in ("article", "main") or "[role=main]" in s for s in path.split("/"))
 
 
 def _tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per host and path, over a batch: pages, hashes of the occurrence vector, characters, linked characters, a hash of the texts."""
+    """Per host and path, over a batch: pages, hashes of the occurrence vector, characters, linked characters, hashes of the texts, characters outside template tags and comments, characters inside it if it is named."""
     for batch in batches:
         sums: dict[tuple[str, str], list[int]] = {}
+        around: dict[str, tuple[bool, list[str]]] = {}
         for host, page_id, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), frames.texts(batch.column(2))):
             page = page.as_py()
             if not page:
                 continue
-            counts, chars, linked, said = Counter(), Counter(), Counter(), {}
+            counts, chars, linked, inside, said = Counter(), Counter(), Counter(), Counter(), {}
             for path, text, links in blocks(page):
                 if not text:
                     counts[path] += 1
@@ -160,41 +190,47 @@ def _tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 chars[path] += len(text)
                 linked[path] += links
                 said[path] = zlib.crc32(text.encode(), said.get(path, 0))
+                if path not in around:
+                    if len(around) > 20_000:
+                        around.clear()
+                    around[path] = any(never or _READERS.match(name) for _, never, name in _steps(path)), _wrappers(path)
+                for box in around[path][1]:
+                    inside[box] += len(text)
             for path, n in counts.items():
                 h = xxhash.xxh64_intdigest(f"{page_id}:{n}")
                 text = said.get(path, 0)
-                new = (1, h >> 33, h & 0x7FFFFFFF, chars[path], linked[path], text, text * text >> 16)
+                new = (1, h >> 33, h & 0x7FFFFFFF, chars[path], linked[path], text, text * text >> 16, 0 if path in chars and around[path][0] else chars[path], inside[path])
                 old = sums.get((host, path))
                 sums[host, path] = [a + b for a, b in zip(old, new)] if old else list(new)
         keys = list(sums)
         for at in range(0, len(keys), 20_000):
             own = keys[at : at + 20_000]
             yield pa.RecordBatch.from_arrays(
-                [pa.array([k[0] for k in own], pa.string()), pa.array([k[1] for k in own], pa.string()), *(pa.array([sums[k][i] for k in own], pa.int64()) for i in range(7))],
-                names=["host", "path", "pages", "v1", "v2", "chars", "linked", "t1", "t2"],
+                [pa.array([k[0] for k in own], pa.string()), pa.array([k[1] for k in own], pa.string()), *(pa.array([sums[k][i] for k in own], pa.int64()) for i in range(9))],
+                names=["host", "path", "pages", "v1", "v2", "chars", "linked", "t1", "t2", "plain", "inside"],
             )
 
 
 def deduce_templates(pages: DataFrame) -> DataFrame:
-    """(host, slots, closed): paths of each host's valid classes, and those of them that its statistics mark as template."""
-    tallied = pages.mapInArrow(frames.tidy(_tally), "host string, path string, pages long, v1 long, v2 long, chars long, linked long, t1 long, t2 long")
-    paths = tallied.groupBy("host", "path").agg(*[F.sum(c).alias(c) for c in ("pages", "v1", "v2", "chars", "linked", "t1", "t2")])
-    sizes = paths.groupBy("host").agg(F.max("pages").alias("most"))
+    """(host, slots, closed, holding): paths of each host's valid classes, those of them that its statistics mark as template, named elements that hold most text."""
+    tallied = pages.mapInArrow(frames.tidy(_tally), "host string, path string, pages long, v1 long, v2 long, chars long, linked long, t1 long, t2 long, plain long, inside long")
+    paths = tallied.groupBy("host", "path").agg(*[F.sum(c).alias(c) for c in ("pages", "v1", "v2", "chars", "linked", "t1", "t2", "plain", "inside")])
+    sizes = paths.groupBy("host").agg(F.max("pages").alias("most"), F.sum("plain").alias("whole"))
     # the commonest path (the root) is on every page of its host
     supported = paths.join(sizes, "host").where(F.col("pages") >= F.greatest(F.least(F.lit(2), F.col("most")), F.ceil(F.col("most") * SUPPORT)))
     # texts are equal on n pages if the sums are n times one text's
     mean = F.col("t1") / F.col("pages")
     same = (F.col("t1") % F.col("pages") == 0) & (F.abs(F.col("t2") / F.col("pages") - mean * mean / 65536) <= 1) & (F.col("t1") > 0)
     # at most 1 / SUPPORT times a page's tokens are supported, so a host's template is small
-    member = F.struct("path", "pages", "v1", "v2", "chars", "linked", same.alias("same"))
+    member = F.struct("path", "pages", "v1", "v2", "chars", "linked", same.alias("same"), (2 * F.col("inside") > F.col("whole")).alias("holds"))
     members = supported.groupBy("host").agg(F.collect_list(member).alias("members"), F.max("most").alias("most"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [template([Member(**m) for m in own], most) for own, most in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([sorted(f[i]) for f in found], pa.list_(pa.string())) for i in range(2))], names=["host", "slots", "closed"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([sorted(f[i]) for f in found], pa.list_(pa.string())) for i in range(3))], names=["host", "slots", "closed", "holding"])
 
-    return members.mapInArrow(frames.tidy(run), "host string, slots array<string>, closed array<string>")
+    return members.mapInArrow(frames.tidy(run), "host string, slots array<string>, closed array<string>, holding array<string>")
 
 
 @dataclass(frozen=True)
@@ -208,6 +244,7 @@ class Member:
     chars: int
     linked: int
     same: bool
+    holds: bool = False
 
     @property
     def vector(self) -> tuple[int, int, int]:
@@ -218,8 +255,9 @@ def _above(path: str) -> str:
     return path.rpartition("/")[0]
 
 
-def template(members: list[Member], most: int) -> tuple[set[str], set[str]]:
-    """Slots of the valid classes of a host with ``most`` pages, and those of them that are closed."""
+def template(members: list[Member], most: int) -> tuple[set[str], set[str], set[str]]:
+    """Slots of the valid classes of a host with ``most`` pages, those of them that are closed, and named elements that hold most of its text."""
+    holding = frozenset(m.path for m in members if m.holds)
     classes: dict[tuple[int, int, int], list[str]] = {}
     for m in members:
         classes.setdefault(m.vector, []).append(m.path)
@@ -229,7 +267,7 @@ def template(members: list[Member], most: int) -> tuple[set[str], set[str]]:
         for own in classes.values():
             if any(_above(p) and _above(p) not in slots for p in own):
                 slots.difference_update(own)
-    texts = {m.path: m for m in members if m.path in slots and m.chars and not is_template(m.path)}
+    texts = {m.path: m for m in members if m.path in slots and m.chars and not is_template(m.path, holding)}
     menus = {p for p, m in texts.items() if m.pages >= KNOWN and m.linked >= LINKED * m.chars and not is_article(p)}
     said = sum(m.chars for p, m in texts.items() if is_article(p))
     # an article's title, and what holds most of the articles' text, are not notices: pages may be copies
@@ -237,7 +275,7 @@ def template(members: list[Member], most: int) -> tuple[set[str], set[str]]:
     common = {p for p in fixed if texts[p].pages >= CONSTANT * most}
     if all(m.same for m in texts.values()):
         # nothing tells the pages from each other
-        return slots, set(menus)
+        return slots, set(menus), set(holding)
     closed = menus | common
     # a box of one class, all of whose text is fixed or linked, closes whole if it holds a menu
     open_, linked = Counter(), Counter()
@@ -255,13 +293,13 @@ def template(members: list[Member], most: int) -> tuple[set[str], set[str]]:
                 closed.add(p)
                 break
             box = _above(box)
-    return slots, closed
+    return slots, closed, set(holding)
 
 
-def extract(page: str, slots: frozenset[str], closed: frozenset[str]) -> str:
+def extract(page: str, slots: frozenset[str], closed: frozenset[str], holding: frozenset[str] = frozenset()) -> str:
     """The page's main text by its host's template."""
     found = [(path, text) for path, text, _ in blocks(page) if text]
-    articles = any(is_article(path) and not is_template(path) for path, _ in found)
+    articles = any(is_article(path) and not is_template(path, holding) for path, _ in found)
     known: dict[str, bool] = {}
     out = []
     for path, text in found:
@@ -270,7 +308,7 @@ def extract(page: str, slots: frozenset[str], closed: frozenset[str]) -> str:
             slot = path
             while slot and slot not in slots:
                 slot = _above(slot)
-            keep = not is_template(path) and slot not in closed and (is_article(path) or not articles)
+            keep = not is_template(path, holding) and slot not in closed and (is_article(path) or not articles)
             known[path] = keep
         if keep:
             out.append(text)
@@ -283,16 +321,15 @@ def extract_pages(df: DataFrame, id_col: str = "page_id", url_col: str = "url",
     templates = frames.written(deduce_templates(pages.select("host", "page_id", "html")), "templates")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ready: dict[str, tuple[frozenset[str], frozenset[str]]] = {}
+        ready: dict[str, tuple[frozenset[str], ...]] = {}
         for batch in batches:
             out = []
-            slots_of, closed_of = batch.column(4), batch.column(5)
             for i, (host, page) in enumerate(zip(batch.column(0).to_pylist(), frames.texts(batch.column(3)))):
                 if host not in ready:
                     if len(ready) > 1000:
                         ready.clear()
-                    ready[host] = frozenset(slots_of[i].as_py() or []), frozenset(closed_of[i].as_py() or [])
+                    ready[host] = tuple(frozenset(batch.column(k)[i].as_py() or []) for k in (4, 5, 6))
                 out.append(extract(page.as_py(), *ready[host]))
             yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array(out, pa.string()), pa.array([len(t) for t in out], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
-    return pages.join(templates, "host", "left").select("host", "page_id", "url", "html", "slots", "closed").mapInArrow(frames.tidy(run), "page_id long, url string, text string, n_chars long")
+    return pages.join(templates, "host", "left").select("host", "page_id", "url", "html", "slots", "closed", "holding").mapInArrow(frames.tidy(run), "page_id long, url string, text string, n_chars long")

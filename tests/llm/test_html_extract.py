@@ -78,3 +78,17 @@ def test_classes_decide():
     assert h.template(members(6), 20)[1] == {"/body/div/ul"}
     # a class with a path outside the template is no class of the template
     assert h.template([h.Member("/a", 9, 1, 1, 5, 0, False), h.Member("/x/b", 9, 1, 1, 5, 0, False), h.Member("/y", 9, 2, 2, 5, 0, False)], 9)[0] == {"/y"}
+
+
+def test_layout_names_are_no_parts(spark):
+    """Names of html, body, main and article, and of elements that hold most of a host's text, drop nothing; named parts inside still go."""
+    shapes = [
+        '<html class="has-header"><body class="home has-sidebar"><p>Story {k}</p>{rest}', '<body class="no-sidebar"><main class="with-header"><p>Story {k}</p></main>{rest}',
+        '<body><main id="social"><article class="post alert banner"><p>Story {k}</p></article></main>{rest}',
+        '<body class="nav sidebar"><div class="content-sidebar-wrap"><p>Story {k}, which is long enough to be most of the page</p></div>{rest}', '<body><div class="page has-sidebar with-comments"><p>Story {k}</p></div>{rest}',
+    ]
+    rest = '<div class="sidebar-left">Tags</div><div class="comments"><p>A reader wrote this, and it is longer than all of the story itself, by far.</p><p>So did another.</p></div>'
+    rows = [(10 * n + k, f"http://s{n}.example.com/{k}", shape.format(k=k, rest=rest)) for n, shape in enumerate(shapes) for k in range(3)]
+    got = run(spark, rows)
+    for key, r in got.items():
+        assert r.text == f"Story {key % 10}" + (", which is long enough to be most of the page" if key // 10 == 3 else ""), key
