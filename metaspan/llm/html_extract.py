@@ -7,7 +7,9 @@ collected. Classes that enough pages support and that nest, all their paths insi
 template. Its paths are the slots; a text block belongs to the deepest slot around it. Slots that are menus,
 headers, footers, sidebars, notices, adverts, forms, scripts, styles or reader comments by their tags and names (names
 of html, body, main, article and of elements with most of the host's text say nothing), or by what they hold over the host (outside articles mostly links; anywhere, the same text on nearly every page), are
-template; of a class with links, boxes without other text close as a whole. The rest is extracted.
+template; of a class with links, boxes without other text close as a whole. The rest is extracted, or of a page most of
+whose text is in one article element only that; by the host's template, elements that stand several times on a page,
+say the same everywhere or hold little of the host's text are cards and no such article.
 
 Defined results: null or empty html, and pages without such text, give the empty string; a null url is the host
 ''; hosts with one page have a template of that page; malformed markup is read as far as it goes; repeated
@@ -33,8 +35,8 @@ from .url_filter import host_of
 
 #: Pages that must support a class: this share of the host's pages, two at least if it has two.
 SUPPORT = 0.05
-#: Pages from which a host's statistics can mark a slot, share of linked text that makes a menu, share of pages with one text that makes a notice.
-KNOWN, LINKED, CONSTANT = 5, 0.6, 0.9
+#: Share of linked text that makes a menu, share of pages with one text that makes a notice.
+LINKED, CONSTANT = 0.6, 0.9
 #: Levels of a path that are always told apart.
 DEEPEST = 48
 
@@ -169,15 +171,25 @@ def _wrappers(path: str) -> list[str]:
     return out
 
 
+def article_of(path: str) -> str:
+    """The outermost article or main element around a path, or nothing."""
+    at = ""
+    for step in path.split("/")[1:]:
+        at = f"{at}/{step}"
+        if step.partition("[")[0] in ("article", "main") or "[role=main]" in step:
+            return at
+    return ""
+
+
 def is_article(path: str) -> bool:
-    return any(s.partition("[")[0] in ("article", "main") or "[role=main]" in s for s in path.split("/"))
+    return bool(article_of(path))
 
 
 def _tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per host and path, over a batch: pages, hashes of the occurrence vector, characters, linked characters, hashes of the texts, characters outside template tags and comments, characters inside it if it is named."""
+    """Per host and path, over a batch: pages, hashes of the occurrence vector, characters, linked characters, hashes of the texts, characters outside template tags and comments, characters inside it if it is named or an article, occurrences."""
     for batch in batches:
         sums: dict[tuple[str, str], list[int]] = {}
-        around: dict[str, tuple[bool, list[str]]] = {}
+        around: dict[str, tuple[bool, set[str]]] = {}
         for host, page_id, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), frames.texts(batch.column(2))):
             page = page.as_py()
             if not page:
@@ -193,28 +205,28 @@ def _tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if path not in around:
                     if len(around) > 20_000:
                         around.clear()
-                    around[path] = any(never or _READERS.match(name) for _, never, name in _steps(path)), _wrappers(path)
+                    around[path] = any(never or _READERS.match(name) for _, never, name in _steps(path)), {*_wrappers(path), article_of(path)} - {""}
                 for box in around[path][1]:
                     inside[box] += len(text)
             for path, n in counts.items():
                 h = xxhash.xxh64_intdigest(f"{page_id}:{n}")
                 text = said.get(path, 0)
-                new = (1, h >> 33, h & 0x7FFFFFFF, chars[path], linked[path], text, text * text >> 16, 0 if path in chars and around[path][0] else chars[path], inside[path])
+                new = (1, h >> 33, h & 0x7FFFFFFF, chars[path], linked[path], text, text * text >> 16, 0 if path in chars and around[path][0] else chars[path], inside[path], n)
                 old = sums.get((host, path))
                 sums[host, path] = [a + b for a, b in zip(old, new)] if old else list(new)
         keys = list(sums)
         for at in range(0, len(keys), 20_000):
             own = keys[at : at + 20_000]
             yield pa.RecordBatch.from_arrays(
-                [pa.array([k[0] for k in own], pa.string()), pa.array([k[1] for k in own], pa.string()), *(pa.array([sums[k][i] for k in own], pa.int64()) for i in range(9))],
-                names=["host", "path", "pages", "v1", "v2", "chars", "linked", "t1", "t2", "plain", "inside"],
+                [pa.array([k[0] for k in own], pa.string()), pa.array([k[1] for k in own], pa.string()), *(pa.array([sums[k][i] for k in own], pa.int64()) for i in range(10))],
+                names=["host", "path", "pages", "v1", "v2", "chars", "linked", "t1", "t2", "plain", "inside", "n"],
             )
 
 
 def deduce_templates(pages: DataFrame) -> DataFrame:
-    """(host, slots, closed, holding): paths of each host's valid classes, those of them that its statistics mark as template, named elements that hold most text."""
-    tallied = pages.mapInArrow(frames.tidy(_tally), "host string, path string, pages long, v1 long, v2 long, chars long, linked long, t1 long, t2 long, plain long, inside long")
-    paths = tallied.groupBy("host", "path").agg(*[F.sum(c).alias(c) for c in ("pages", "v1", "v2", "chars", "linked", "t1", "t2", "plain", "inside")])
+    """(host, slots, closed, holding, cards): paths of each host's valid classes, those of them that its statistics mark as template, named elements that hold most text, article elements that hold no story."""
+    tallied = pages.mapInArrow(frames.tidy(_tally), "host string, path string, pages long, v1 long, v2 long, chars long, linked long, t1 long, t2 long, plain long, inside long, n long")
+    paths = tallied.groupBy("host", "path").agg(*[F.sum(c).alias(c) for c in ("pages", "v1", "v2", "chars", "linked", "t1", "t2", "plain", "inside", "n")])
     sizes = paths.groupBy("host").agg(F.max("pages").alias("most"), F.sum("plain").alias("whole"))
     # the commonest path (the root) is on every page of its host
     supported = paths.join(sizes, "host").where(F.col("pages") >= F.greatest(F.least(F.lit(2), F.col("most")), F.ceil(F.col("most") * SUPPORT)))
@@ -222,15 +234,15 @@ def deduce_templates(pages: DataFrame) -> DataFrame:
     mean = F.col("t1") / F.col("pages")
     same = (F.col("t1") % F.col("pages") == 0) & (F.abs(F.col("t2") / F.col("pages") - mean * mean / 65536) <= 1) & (F.col("t1") > 0)
     # at most 1 / SUPPORT times a page's tokens are supported, so a host's template is small
-    member = F.struct("path", "pages", "v1", "v2", "chars", "linked", same.alias("same"), (2 * F.col("inside") > F.col("whole")).alias("holds"))
+    member = F.struct("path", "pages", "v1", "v2", "chars", "linked", same.alias("same"), (2 * F.col("inside") > F.col("whole")).alias("holds"), (F.col("n") == F.col("pages")).alias("once"))
     members = supported.groupBy("host").agg(F.collect_list(member).alias("members"), F.max("most").alias("most"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [template([Member(**m) for m in own], most) for own, most in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([sorted(f[i]) for f in found], pa.list_(pa.string())) for i in range(3))], names=["host", "slots", "closed", "holding"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([sorted(f[i]) for f in found], pa.list_(pa.string())) for i in range(4))], names=["host", "slots", "closed", "holding", "cards"])
 
-    return members.mapInArrow(frames.tidy(run), "host string, slots array<string>, closed array<string>, holding array<string>")
+    return members.mapInArrow(frames.tidy(run), "host string, slots array<string>, closed array<string>, holding array<string>, cards array<string>")
 
 
 @dataclass(frozen=True)
@@ -245,6 +257,7 @@ class Member:
     linked: int
     same: bool
     holds: bool = False
+    once: bool = True
 
     @property
     def vector(self) -> tuple[int, int, int]:
@@ -255,8 +268,8 @@ def _above(path: str) -> str:
     return path.rpartition("/")[0]
 
 
-def template(members: list[Member], most: int) -> tuple[set[str], set[str], set[str]]:
-    """Slots of the valid classes of a host with ``most`` pages, those of them that are closed, and named elements that hold most of its text."""
+def template(members: list[Member], most: int) -> tuple[set[str], set[str], set[str], set[str]]:
+    """Slots of the valid classes of a host with ``most`` pages, those of them that are closed, named elements that hold most of its text, and articles that are not its pages' stories."""
     holding = frozenset(m.path for m in members if m.holds)
     classes: dict[tuple[int, int, int], list[str]] = {}
     for m in members:
@@ -268,14 +281,17 @@ def template(members: list[Member], most: int) -> tuple[set[str], set[str], set[
             if any(_above(p) and _above(p) not in slots for p in own):
                 slots.difference_update(own)
     texts = {m.path: m for m in members if m.path in slots and m.chars and not is_template(m.path, holding)}
-    menus = {p for p, m in texts.items() if m.pages >= KNOWN and m.linked >= LINKED * m.chars and not is_article(p)}
+    varying = {article_of(p) for p, m in texts.items() if not m.same or m.pages < 2}
+    cards = {m.path for m in members if article_of(m.path) == m.path and not (m.once and m.holds and m.path in varying)}
+    # supported slots of hosts with more than a page are on two pages at least
+    menus = {p for p, m in texts.items() if m.pages >= 2 and m.linked >= LINKED * m.chars and not is_article(p)}
     said = sum(m.chars for p, m in texts.items() if is_article(p))
     # an article's title, and what holds most of the articles' text, are not notices: pages may be copies
-    fixed = {p for p, m in texts.items() if m.pages >= KNOWN and m.same and not (is_article(p) and (2 * m.chars > said or re.search(r"/h1(?:\[[^/]*)?$", p)))}
+    fixed = {p for p, m in texts.items() if m.pages >= 2 and m.same and not (is_article(p) and (2 * m.chars > said or re.search(r"/h1(?:\[[^/]*)?$", p)))}
     common = {p for p in fixed if texts[p].pages >= CONSTANT * most}
     if all(m.same for m in texts.values()):
         # nothing tells the pages from each other
-        return slots, set(menus), set(holding)
+        return slots, set(menus), set(holding), cards
     closed = menus | common
     # a box of one class, all of whose text is fixed or linked, closes whole if it holds a menu
     open_, linked = Counter(), Counter()
@@ -293,26 +309,29 @@ def template(members: list[Member], most: int) -> tuple[set[str], set[str], set[
                 closed.add(p)
                 break
             box = _above(box)
-    return slots, closed, set(holding)
+    return slots, closed, set(holding), cards
 
 
-def extract(page: str, slots: frozenset[str], closed: frozenset[str], holding: frozenset[str] = frozenset()) -> str:
+def extract(page: str, slots: frozenset[str], closed: frozenset[str], holding: frozenset[str] = frozenset(), cards: frozenset[str] = frozenset()) -> str:
     """The page's main text by its host's template."""
-    found = [(path, text) for path, text, _ in blocks(page) if text]
-    articles = any(is_article(path) and not is_template(path, holding) for path, _ in found)
-    known: dict[str, bool] = {}
-    out = []
-    for path, text in found:
-        keep = known.get(path)
-        if keep is None:
+    known: dict[str, tuple[bool, str]] = {}
+    kept: list[tuple[str, str]] = []
+    stories: Counter[str] = Counter()
+    for path, text, _ in blocks(page):
+        if path not in known:
             slot = path
             while slot and slot not in slots:
                 slot = _above(slot)
-            keep = not is_template(path, holding) and slot not in closed and (is_article(path) or not articles)
-            known[path] = keep
-        if keep:
-            out.append(text)
-    return "\n\n".join(out)
+            known[path] = not is_template(path, holding) and slot not in closed, article_of(path)
+        keep, article = known[path]
+        if keep and not text and path == article:
+            stories[path] += 1
+        elif keep and text:
+            kept.append((article, text))
+    story = next(iter(own)) if len(own := {a: n for a, n in stories.items() if a not in cards}) == 1 and set(own.values()) == {1} else ""
+    if story and 2 * sum(len(t) for a, t in kept if a == story) > sum(len(t) for _, t in kept):
+        kept = [(a, t) for a, t in kept if a == story]
+    return "\n\n".join(t for _, t in kept)
 
 
 def extract_pages(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -328,8 +347,8 @@ def extract_pages(df: DataFrame, id_col: str = "page_id", url_col: str = "url",
                 if host not in ready:
                     if len(ready) > 1000:
                         ready.clear()
-                    ready[host] = tuple(frozenset(batch.column(k)[i].as_py() or []) for k in (4, 5, 6))
+                    ready[host] = tuple(frozenset(batch.column(k)[i].as_py() or []) for k in (4, 5, 6, 7))
                 out.append(extract(page.as_py(), *ready[host]))
             yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array(out, pa.string()), pa.array([len(t) for t in out], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
-    return pages.join(templates, "host", "left").select("host", "page_id", "url", "html", "slots", "closed", "holding").mapInArrow(frames.tidy(run), "page_id long, url string, text string, n_chars long")
+    return pages.join(templates, "host", "left").select("host", "page_id", "url", "html", "slots", "closed", "holding", "cards").mapInArrow(frames.tidy(run), "page_id long, url string, text string, n_chars long")

@@ -92,3 +92,25 @@ def test_layout_names_are_no_parts(spark):
     got = run(spark, rows)
     for key, r in got.items():
         assert r.text == f"Story {key % 10}" + (", which is long enough to be most of the page" if key // 10 == 3 else ""), key
+
+
+def test_articles_are_chosen_by_the_template(spark):
+    """Cards in article elements do not displace a story in a div; a story in an article displaces what stands around it."""
+    story = "<div class=\"story\"><p>The story of page {k} that people come for</p></div>"
+    card, two = "<article class=\"card\"><p>Card {k}</p></article>", "<article class=\"card\"><p>Card {k} is longer than the whole story, so that it holds most text</p></article>" * 2
+    shapes = [story + card, story + two, "<article><p>The story of page {k} that people come for</p></article><div>Seen {k}</div>"]
+    rows = [(10 * n + k, f"http://a{n}.example.com/{k}", f"<html><body>{shape.format(k=k)}") for n, shape in enumerate(shapes) for k in range(4)]
+    got = run(spark, rows)
+    for key, r in got.items():
+        assert r.text.split("\n\n")[0] == f"The story of page {key % 10} that people come for", key
+        assert key < 20 or "Seen" not in r.text
+
+
+def test_small_hosts_have_templates(spark):
+    """Link lists and notices without telling names go from hosts with two to four pages too."""
+    rows = [
+        (10 * n + k, f"http://b{n}.example.com/{k}", f'<html><body><div class="x"><a href=1>One</a> <a href=2>Two {k}</a></div><div class="y">Sign in to read more</div><div class="z"><p>Text {k}</p></div>')
+        for n in (2, 3, 4) for k in range(n)
+    ]
+    got = run(spark, rows)
+    assert all(r.text == f"Text {key % 10}" for key, r in got.items())
