@@ -4,7 +4,7 @@ log P(language | all) = text log-likelihood (tempered, for neighbouring trigrams
 + log P(declared markup language | language) + log prior of the host, and a constant.
 
 The text model is a naive Bayes over hashed byte trigrams, trained on a bounded sample of documents
-with a declared language. What the declared language is worth, and the priors, come from grouped aggregation over
+of every declared language (en, en-US and EN are one). What the declared language is worth, and the priors, come from grouped aggregation over
 all rows: counts of text decisions by host are smoothed towards those of the address suffix, these towards
 those of all rows. The fusion itself is a Catalyst expression.
 
@@ -16,18 +16,18 @@ model's, with at least LEAST probability, and its text is not far less likely th
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import frames
 
-#: Documents of a language that are learnt from, and languages, at most.
-MOST_PER_LANGUAGE, MOST_LANGUAGES = 800, 32
+#: Documents of a language that are learnt from at most; languages whose documents are read at once.
+MOST_PER_LANGUAGE, AT_ONCE = 800, 16
 BUCKETS = 1 << 14
 #: Weight of a trigram's likelihood, trigrams that count, rows that a smoothing level counts as.
 TEMPER, MOST_GRAMS, STRENGTH = 0.2, 500, 5.0
@@ -66,38 +66,62 @@ class Model:
         return sums / np.maximum(counts, 1)[:, None], counts
 
 
-def fit(rows: list[tuple[str, str]]) -> Model:
-    """A model from (language, text) rows."""
-    languages = sorted({r[0] for r in rows})
+def _counted(rows: list[tuple[str, str]], language: str) -> np.ndarray:
+    body, at = frames.raw(pa.array([t for s, t in rows if s == language], pa.string()))
+    bucket, _ = grams(frames.formed(body[at[0] : at[-1]]), at)
+    return np.bincount(bucket, minlength=BUCKETS)
+
+
+def fit_parts(languages: list[str], part: Callable[[list[str]], list[tuple[str, str]]]) -> Model:
+    """A model of the languages; ``part`` gives the (language, text) rows of some of them, so that few are held at once."""
     if not languages:
         return Model()
-    counts = np.full((BUCKETS, len(languages)), 0.5)
-    for k, language in enumerate(languages):
-        body, at = frames.raw(pa.array([t for s, t in rows if s == language], pa.string()))
-        bucket, _ = grams(frames.formed(body[at[0] : at[-1]]), at)
-        counts[:, k] += np.bincount(bucket, minlength=BUCKETS)
-    table = np.log(counts / counts.sum(axis=0)).astype(np.float32)
+    counts = np.full((BUCKETS, len(languages)), 0.5, np.float32)
+    groups = [languages[k : k + AT_ONCE] for k in range(0, len(languages), AT_ONCE)]
+    held = []
+    for k, group in enumerate(groups):
+        held = part(group)
+        for j, language in enumerate(group):
+            counts[:, k * AT_ONCE + j] += _counted(held, language)
+    table = np.log(counts / counts.sum(axis=0, dtype=np.float64)).astype(np.float32)
     model = Model(languages, table)
-    mean, n = model.likelihoods(pa.array([t for _, t in rows], pa.string()))
-    best = mean.max(axis=1)[n >= 20]
-    model.floor = float(best.min()) - MARGIN if len(best) else -1e9
+    worst = []
+    for group in groups:
+        rows = held if len(groups) == 1 else part(group)
+        mean, n = model.likelihoods(pa.array([t for _, t in rows], pa.string()))
+        worst += mean.max(axis=1)[n >= 20].tolist()
+    model.floor = min(worst) - MARGIN if worst else -1e9
     return model
 
 
+def fit(rows: list[tuple[str, str]]) -> Model:
+    """A model from (language, text) rows."""
+    return fit_parts(sorted({r[0] for r in rows}), lambda group: [r for r in rows if r[0] in group])
+
+
+def spelt(declared: Column | str) -> Column:
+    """The language of a declared value: en of en-US, EN and en_GB."""
+    return F.lower(F.substring_index(F.substring_index(F.trim(declared), "-", 1), "_", 1))
+
+
 def train(docs: DataFrame) -> Model:
-    """A model from a bounded sample of ``docs`` (doc_id, text, lang): the commonest languages, some documents of each."""
-    known = docs.where("lang IS NOT NULL AND lang <> '' AND text IS NOT NULL AND doc_id IS NOT NULL")
-    common = [r.lang for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()]
-    ids = None
-    for language in common:
-        part = known.where(F.col("lang") == language).select(F.col("doc_id").alias("id")).orderBy(F.xxhash64("id"), "id").limit(MOST_PER_LANGUAGE)
-        ids = part if ids is None else ids.unionByName(part)
-    if ids is None:
+    """A model of all declared languages of ``docs`` (doc_id, text, lang) from a bounded sample: some documents of each."""
+    known = docs.where("text IS NOT NULL AND doc_id IS NOT NULL").select(spelt("lang").alias("lang"), F.col("doc_id").alias("id"), "text").where("lang IS NOT NULL AND lang <> ''")
+    sizes = frames.written(known.groupBy("lang").agg(F.count("*").alias("n")), "languages")
+    languages = sorted(r.lang for r in sizes.select("lang").collect())
+    if not languages:
         return Model()
-    # at most MOST_PER_LANGUAGE * MOST_LANGUAGES ids
-    rows = known.join(F.broadcast(ids.distinct()), F.col("doc_id") == F.col("id"), "left_semi").select("lang", "text").toArrow()
-    rows = sorted(zip(*(c.to_pylist() for c in rows.columns)))
-    return fit([r for r in rows if r[0] in set(common)])
+    # twice the wanted share by hash first, so that few rows are ranked, whatever the size of a language
+    place = F.xxhash64("id").cast("double") / 2.0**64 + 0.5
+    drawn = known.join(F.broadcast(sizes), "lang").where(place * F.col("n") <= 2 * MOST_PER_LANGUAGE + 1)
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id", F.xxhash64("text")))
+    sample = frames.written(drawn.withColumn("rank", rank).where(F.col("rank") <= MOST_PER_LANGUAGE).select("lang", "text"), "sample")
+
+    def part(group: list[str]) -> list[tuple[str, str]]:
+        rows = sample.where(F.col("lang").isin(group)).toArrow()
+        return sorted(zip(*(c.to_pylist() for c in rows.columns)))
+
+    return fit_parts(languages, part)
 
 
 def _prior(counts: Column, above: Column, n: int) -> Column:
@@ -140,13 +164,12 @@ def identify_languages(df: DataFrame, model: Model, keys: tuple[str, ...] = ("do
     base = F.array(*[F.lit(((x or 0.0) + 1.0) / (total + n)) for x in whole])
     suffixes = suffixes.select("suffix", _prior(F.col("counts"), base, n).alias("above"))
     hosts = hosts.join(suffixes, "suffix").select("host", "suffix", _prior(F.col("counts"), F.col("above"), n).alias("prior"))
-    spelt = F.lower(F.substring_index(F.substring_index(F.trim("declared"), "-", 1), "_", 1))
-    table = {(r.d, r.best): r.n for r in counted.where("best >= 0").select(spelt.alias("d"), "best", "n").where(F.col("d").isin(names)).groupBy("d", "best").agg(F.sum("n").alias("n")).collect()}
+    table = {(r.d, r.best): r.n for r in counted.where("best >= 0").select(spelt("declared").alias("d"), "best", "n").where(F.col("d").isin(names)).groupBy("d", "best").agg(F.sum("n").alias("n")).collect()}
     columns = [sum(table.get((d, k), 0) for d in names) for k in range(n)]
-    worth = F.lit(None).cast("array<double>")
-    for d in names:
-        worth = F.when(F.col("d") == d, F.array(*[F.lit(float(np.log((table.get((d, k), 0) + 1.0) / (columns[k] + n)))) for k in range(n)])).otherwise(worth)
-    fused = scored.withColumn("d", spelt).join(hosts, ["host", "suffix"]).withColumn("worth", F.coalesce(worth, F.array(*[F.lit(0.0)] * n)))
+    # as a table, for as an expression it grows with the square of the languages
+    worth = [(d, [float(np.log((table.get((d, k), 0) + 1.0) / (columns[k] + n))) for k in range(n)]) for d in names]
+    worth = F.broadcast(df.sparkSession.createDataFrame(worth, "d string, worth array<double>"))
+    fused = scored.withColumn("d", spelt("declared")).join(hosts, ["host", "suffix"]).join(worth, "d", "left").withColumn("worth", F.coalesce("worth", F.array(*[F.lit(0.0)] * n)))
     z = F.zip_with(F.zip_with("score", F.transform("prior", lambda p: F.log(p)), lambda a, b: a + b), "worth", lambda a, b: a + b)
     fused = fused.withColumn("z", z).withColumn("top", F.array_max("z"))
     mass = F.aggregate("z", F.lit(0.0), lambda a, x: a + F.exp(x - F.col("top")))

@@ -47,3 +47,26 @@ def test_strange_text_and_empty_table(spark, model):
     df = spark.createDataFrame([(1, "Привет мир это другой язык " * 20)], "doc_id long, text string")
     assert not g.identify_languages(df, model).first().accepted
     assert g.identify_languages(df.limit(0), model).count() == 0
+
+
+def test_every_declared_language_is_learnt(spark):
+    """However many languages are declared, each is in the model; spellings of one language are one."""
+    rows = [(2 * k + j, " ".join(chr(97 + k // 6) * 2 + chr(97 + k % 6) * 2 + w for w in "abcdefghij"), f"{'x' if j else 'X'}{chr(97 + k // 6)}{chr(97 + k % 6)}{'-ZZ' if j else ''}") for k in range(36) for j in range(2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = g.train(docs)
+    assert model.languages == sorted({r[2][:3].lower() for r in rows}) and len(model.languages) == 36
+    got = g.identify_languages(docs, model, declared=docs.lang).join(docs, "doc_id").collect()
+    assert all(r.lang_id == r.lang[:3].lower() and r.accepted for r in got)
+
+
+def test_sample_is_the_least_hashes(spark):
+    """The ranked draw takes the documents that ordering all of them would take."""
+    docs = spark.range(5000).selectExpr("id AS doc_id", "concat('word ', id) AS text", "'en' AS lang")
+    seen = []
+    fitted, g.fit_parts = g.fit_parts, lambda languages, part: seen.extend(part(languages))
+    try:
+        g.train(docs)
+    finally:
+        g.fit_parts = fitted
+    want = docs.orderBy(F.xxhash64("doc_id"), "doc_id").limit(g.MOST_PER_LANGUAGE).collect()
+    assert seen == sorted(("en", r.text) for r in want)
