@@ -47,9 +47,14 @@ BASE_RULES = (
 )
 #: Formats that are secrets by themselves.
 MORE_RULES = (
-    Rule("pem", r"-----BEGIN [A-Z ]{0,24}PRIVATE KEY-----"),
-    Rule("forge", r"gh[pousr]_[A-Za-z0-9]{36,255}"),
-    Rule("chat", r"xox[abprs]-[A-Za-z0-9-]{20,250}"),
+    # to the END line, or without one to the end of the headers and base64 lines; line ends may be escaped
+    Rule(
+        "pem",
+        r"-----BEGIN [A-Z ]{0,24}PRIVATE KEY-----(?:(?:(?!-----)[\s\S])*-----END [A-Z ]{0,24}PRIVATE KEY-----"
+        r"|(?:\s*(?:Proc-Type|DEK-Info):[^\n]*)*(?:(?:\s|\\[rn])*[A-Za-z0-9+/=]{20,})*(?:(?:\s|\\[rn])*[A-Za-z0-9+/]+={1,2})?)",
+    ),
+    Rule("forge", r"gh[pousr]_[A-Za-z0-9]{36,}"),
+    Rule("chat", r"xox[abprs]-[A-Za-z0-9-]{20,}"),
 )
 RULES = BASE_RULES + MORE_RULES
 
