@@ -6,11 +6,14 @@ that its predecessor kept; between stages the documents are a Parquet table in t
 A document is dropped by the first stage if its language is not accepted, by the second if it is predicted toxic, by
 the third if a document with a smaller id is in its component (of repeated ids, one row of each text
 stays). The fourth replaces secrets in the text and corrects n_chars. Rows without an id are never dropped by
-the first and third stage, null texts are empty documents; an empty table gives no sequences.
+the third stage, null texts are empty documents; an empty table gives no sequences.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,9 +26,12 @@ ORACLE_SQL = None
 
 def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     named = docs.withColumn("text_hash", F.xxhash64("text"))
-    judged = language_id.identify_languages(named, language_id.train(docs), keys=("doc_id", "text_hash"), declared=named.lang, host=named.source)
-    rejected = frames.written(judged.where(~F.col("accepted")).select("doc_id", "text_hash").distinct(), "rejected")
-    return named.join(rejected, ["doc_id", "text_hash"], "left_anti").select(*docs.columns)
+    # what the decision depends on, and the id; null is a value like others
+    keys = ("doc_id", "text_hash", "lang", "source")
+    judged = language_id.identify_languages(named, language_id.train(docs), keys=keys, declared=named.lang, host=named.source)
+    rejected = frames.written(judged.where(~F.col("accepted")).select(*keys).distinct(), "rejected")
+    equal = reduce(and_, [named[k].eqNullSafe(rejected[k]) for k in keys])
+    return named.join(rejected, equal, "left_anti").select(*docs.columns)
 
 
 def detoxify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

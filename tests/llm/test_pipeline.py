@@ -57,3 +57,14 @@ def test_stages_keep_columns_and_odd_rows(spark):
         got = sorted((r.doc_id or 0) for r in out.collect())
         assert got == ([0, 1, 2] if name == "ngram_join" else [0, 1, 1, 2, 3]) or name == "language_id", (name, got)
         assert f(spark, docs.limit(0), D).count() == 0
+
+
+def test_rejection_takes_effect_without_ids(spark):
+    """Rows without an id are dropped by the first stage like others if their own text, language and source are rejected."""
+    good = spark.read.parquet(f"{D}/documents.parquet").limit(100)
+    strange = "Привет мир это другой язык " * 20
+    odd = spark.createDataFrame([(None, strange, None, "s", 1), (-1, strange, None, None, 1), (None, None, None, None, None)], "doc_id long, text string, lang string, source string, n_chars long")
+    docs = good.unionByName(odd.select(*good.columns))
+    out = stage("language_id")(spark, docs, D)
+    left = out.collect()
+    assert not any(r.text == strange for r in left) and sum(r.doc_id is not None for r in left) > 95
