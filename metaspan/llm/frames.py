@@ -72,11 +72,16 @@ def slices(at: np.ndarray, most: int = SLICE_BYTES) -> Iterator[tuple[int, int]]
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share; a session without one (a test) gets a temporary folder."""
+    """The folder that all executors share. Only a session of one machine that names none gets a temporary folder."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         found = spark.sparkContext._jsc.sc().getCheckpointDir()
-        folder = found.get() if found.isDefined() else tempfile.mkdtemp(prefix="shared")
+        if found.isDefined():
+            folder = found.get()
+        elif spark.sparkContext.master.startswith("local"):
+            folder = tempfile.mkdtemp(prefix="shared")
+        else:
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
 
@@ -98,6 +103,22 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def split_join(left: DataFrame, right: DataFrame, on: str, how: str = "inner") -> DataFrame:
+    """``left``, a table that is cheap to read twice, joined to ``right``, which has one row for a key, without hot tasks.
+
+    A key (null is one) with more than a fair share of the rows of ``left`` is dealt over several tasks, and its row of ``right``
+    copied to each. Under 4 * pieces keys can be that frequent, so the list of them may be broadcast.
+    """
+    spark = left.sparkSession
+    fair = max(1, left.count() // (4 * pieces(spark)))
+    hot = F.broadcast(left.groupBy(F.col(on).alias("_hot")).count().where(F.col("count") > fair).select("_hot", F.ceil(F.col("count") / fair).cast("int").alias("_parts")))
+    dealt = left.join(hot, left[on].eqNullSafe(hot["_hot"]), "left").drop("_hot")
+    dealt = dealt.withColumn("_part", F.pmod(F.monotonically_increasing_id(), F.coalesce("_parts", F.lit(1))).cast("int")).drop("_parts")
+    copies = right.join(hot, right[on].eqNullSafe(hot["_hot"]), "left").drop("_hot")
+    copies = copies.withColumn("_part", F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1))).drop("_parts")
+    return dealt.join(copies, [on, "_part"], how).drop("_part")
+
+
 _FORM = np.full(256, 32, np.uint8)
 for _b in range(256):
     if _b >= 128 or 97 <= _b <= 122:

@@ -1,50 +1,49 @@
 """Exact n-gram Jaccard self-join of documents, down to components of near copies.
 
-Equal shingle sets are one node. Shingles are ordered rarest first by a fixed-size count sketch of
-all documents; two sets with Jaccard similarity t share one of their first n - ceil(t n) + 1 shingles
-in any common order (prefix filter). Nodes that share such a shingle meet:
+Equal shingle sets are one node. Shingles are ordered rarest first by a count sketch of all documents; two sets
+with Jaccard similarity t share one of their first n - ceil(t n) + 1 shingles in any common order (prefix
+filter). Nodes that share such a shingle meet in the group of the shingle's leader, its smallest node of a
+fitting size band; shingles with one leader make one group, so that a pair meets once and not once for each shingle.
 
-in the group of the shingle's leader, its smallest node of a fitting size band; shingles with one leader make
-one group, so that a pair meets once and not once for each shingle.
+A task compares a tile: nodes of one group, of bounded number and weight. Sizes and hashed parity bitmaps bound the
+overlap from above by bit counts; pairs that pass are decided exactly by intersecting sorted arrays. A tile gives
+nodes or the links that join its components, never all its pairs, so what it gives is linear in its nodes.
 
-1. Each node is compared with the leaders it shares most prefix shingles with, and linked ones merge.
-2. Groups whose nodes are still in several components are tiled: nodes, in size order and blocks of bounded
-   size, are compared if their sizes allow the similarity.
-
-In both steps hashed parity bitmaps bound the overlap from above by bit counts; pairs that pass are decided
-exactly by intersecting sorted arrays.
+1. Every group in parts, each with the group's centre, the node that shares most shingles: the bitmaps tell which
+   nodes may link at all, and only their sets are fetched; each node's sets meet in one of its groups.
+2. Groups that are then still in several components: blocks of the nodes outside a group's usual component against
+   blocks of all its nodes, first by bitmaps, then by the sets that they leave. This completes the join.
 
 A pair whose nodes are already connected needs no comparison, so groups of copies cost no
 pairs, and no link that joins two components is lost.
 
 Defined results: null or wordless texts have no shingles and link with nothing; under five words the whole
 sequence is one shingle; repeated rows are copies; a row without an id belongs to no component (null), nor
-does it connect others.
+does it connect others; an empty table gives no rows; other columns are ignored whatever their names. Texts are
+taken whole however long. Whether a pair at exactly 0.75 links is decided in integers.
 """
 
 from __future__ import annotations
 
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
+from dataclasses import dataclass
 from itertools import islice
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import frames, shingles
 from .components import components
 
-#: log2 of the sketch's cells, and of the cells that are summed together.
+#: log2 of the sketch's cells, and of the cells that are summed together. The sketch only orders and finds very common shingles.
 SKETCH_BITS, CHUNK_BITS = 21, 12
-#: log2 of the bits of the filter of wanted documents.
-FILTER_BITS = 25
-#: Documents of a shingle that one task takes, and nodes of a block of a tile.
-HEAVY, BLOCK = 200_000, 2048
-#: Leaders that a node is compared with before the tiles.
-LEADERS = 3
+#: Documents of a shingle that one bucket takes.
+HEAVY = 200_000
+#: Nodes of a block when bitmaps and when sets are compared, and the mean shingles of a node from which blocks have fewer.
+NODES, SETS, SHINGLES = 2048, 512, 2048
 #: 100 * intersection >= 75 * union.
 PART, WHOLE = 75, 100
 
@@ -82,31 +81,30 @@ def most_overlap(a: np.ndarray, na: int, b: np.ndarray, nb: np.ndarray) -> np.nd
     return (na + nb - differ) // 2
 
 
-def _chunks(cells: np.ndarray, name: str) -> Iterator[tuple[int, bytes]]:
+def _chunks(cells: np.ndarray) -> Iterator[tuple[int, bytes]]:
     step = 1 << CHUNK_BITS
     for i in range(0, len(cells), step):
         part = cells[i : i + step]
         if part.any():
-            yield i >> CHUNK_BITS, zlib.compress(part.tobytes(), 1)
+            yield i >> CHUNK_BITS, zlib.compress(part.astype("<u8").tobytes(), 1)
 
 
-def _merged(rows: DataFrame, cells: int, dtype: str, join) -> np.ndarray:
-    """The cell-wise sum or union of the tasks' arrays, whose (fixed) size is all the driver gets."""
+def _summed(rows: DataFrame) -> np.ndarray:
+    """The cell-wise sum of the tasks' sketches, whose (fixed) size is all the driver gets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, np.ndarray] = {}
         for batch in batches:
             for i, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                part = np.frombuffer(zlib.decompress(blob), dtype=dtype)
-                held[i] = join(held[i], part) if i in held else part
+                part = np.frombuffer(zlib.decompress(blob), "<u8")
+                held[i] = held[i] + part if i in held else part
         if held:
             yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array([zlib.compress(x.tobytes(), 1) for x in held.values()], pa.binary())], names=["chunk", "cells"])
 
-    out = np.zeros(cells, dtype=dtype)
+    out = np.zeros(1 << SKETCH_BITS, np.uint64)
     n = min(64, frames.pieces(rows.sparkSession))
     for r in rows.repartition(n, "chunk").mapInArrow(frames.tidy(run), "chunk int, cells binary").collect():
-        part = np.frombuffer(zlib.decompress(bytes(r.cells)), dtype=dtype)
-        out[r.chunk << CHUNK_BITS : (r.chunk << CHUNK_BITS) + len(part)] = part
+        out[r.chunk << CHUNK_BITS : (r.chunk + 1) << CHUNK_BITS] = np.frombuffer(zlib.decompress(bytes(r.cells)), "<u8")
     return out
 
 
@@ -117,7 +115,7 @@ def _sets(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray]]:
 
 def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Per document its set's size, node and bitmap; at the end the task's sketch of shingle counts."""
-    sketch = np.zeros(1 << SKETCH_BITS, np.uint32)
+    sketch = np.zeros(1 << SKETCH_BITS, np.uint64)
     shift = np.uint64(64 - SKETCH_BITS)
     names = ["doc_id", "n_shingles", "node", "bitmap", "chunk", "cells"]
     types = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.binary()]
@@ -128,13 +126,13 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             seen.append(own)
             size += len(own)
             if size > 1 << 18:
-                sketch += np.bincount((np.concatenate(seen) >> shift).astype(np.int64), minlength=len(sketch)).astype(np.uint32)
+                sketch += np.bincount((np.concatenate(seen) >> shift).astype(np.int64), minlength=len(sketch)).astype(np.uint64)
                 seen, size = [], 0
         if size:
-            sketch += np.bincount((np.concatenate(seen) >> shift).astype(np.int64), minlength=len(sketch)).astype(np.uint32)
+            sketch += np.bincount((np.concatenate(seen) >> shift).astype(np.int64), minlength=len(sketch)).astype(np.uint64)
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
-    rows = [(None, None, None, None, i, cells) for i, cells in _chunks(np.minimum(sketch, 65535).astype("<u2").astype("<u4"), "sketch")]
+    rows = [(None, None, None, None, i, cells) for i, cells in _chunks(sketch)]
     for at in range(0, len(rows), 64):
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[at : at + 64]), types)], names=names)
 
@@ -145,153 +143,183 @@ def _grouped(tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return begins, np.diff(np.append(begins, len(tokens)))
 
 
-def _wanted(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    h = shingles.mix(ids.astype(np.int64).view(np.uint64) + np.uint64(1))
-    return (h >> np.uint64(64 - FILTER_BITS)).astype(np.int64), ((h >> np.uint64(8)) & np.uint64((1 << FILTER_BITS) - 1)).astype(np.int64)
+@dataclass(frozen=True)
+class Order:
+    """What the sketch says of shingles. ``code``: their order, rarest first. ``heavy``, ``salts``: the cells that exceed the
+    mean by more than HEAVY, and over how many buckets their shingles are dealt. Both are of bounded size."""
 
+    code: np.ndarray
+    heavy: np.ndarray
+    salts: np.ndarray
 
-def _filter_of(ids: DataFrame) -> bytes:
-    """A filter of fixed size that holds the (first column's) ids and some more."""
+    @staticmethod
+    def of(counts: np.ndarray) -> Order:
+        code = np.minimum(np.round(8 * np.log2(1.0 + counts)), 255).astype(np.uint8)
+        more = np.maximum(counts.astype(np.float64) - counts.mean(), 0) // HEAVY
+        heavy = np.flatnonzero(more)
+        return Order(code, heavy, 1 + more[heavy].astype(np.int64))
 
-    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.zeros(1 << FILTER_BITS, np.uint8)
-        for batch in batches:
-            for at in _wanted(batch.column(0).to_numpy(zero_copy_only=False)):
-                bits[at] = 1
-        packed = list(_chunks(np.packbits(bits), "wanted"))
-        if packed:
-            yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in packed], pa.int32()), pa.array([c for _, c in packed], pa.binary())], names=["chunk", "cells"])
+    def rank(self, tokens: np.ndarray) -> np.ndarray:
+        return self.code[(tokens >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
 
-    return _merged(ids.mapInArrow(frames.tidy(mark), "chunk int, cells binary"), (1 << FILTER_BITS) // 8, "u1", np.bitwise_or).tobytes()
+    def dealt(self, tokens: np.ndarray) -> np.ndarray:
+        """Buckets of each shingle."""
+        out = np.ones(len(tokens), np.int64)
+        if len(self.heavy) and len(tokens):
+            cell = (tokens >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
+            at = np.minimum(np.searchsorted(self.heavy, cell), len(self.heavy) - 1)
+            out = np.where(self.heavy[at] == cell, self.salts[at], out)
+        return out
 
 
-def _may_hold(found: bytes, ids: pa.Array) -> np.ndarray:
-    """Whether each id may be in the filter; null is not."""
-    bits = np.frombuffer(found, np.uint8)
-    a, b = _wanted(pc.fill_null(ids, 0).to_numpy(zero_copy_only=False))
-    has = lambda at: (bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1
-    return (has(a) & has(b)).astype(bool) & ids.is_valid().to_numpy(zero_copy_only=False)
+def without_ids(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """The rows whose id is not among ``ids``: one shuffle of the rows at every size, dealt by the id or, without one, by the text."""
+    gone = ids.select(F.col(id_col).cast("long").alias("_gone")).distinct().withColumn("_same", F.col("_gone")).hint("shuffle_hash")
+    keyed = docs.withColumn("_key", F.coalesce(docs[id_col].cast("long"), F.xxhash64(*docs.columns)))
+    return keyed.join(gone, (keyed["_key"] == gone["_gone"]) & (keyed[id_col] == gone["_same"]), "left_anti").select(*docs.columns)
 
 
-def without_ids(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """The rows whose id is not among ``ids``. Texts of rows that a fixed-size filter clears, nearly all, are not shuffled."""
-    ids = frames.written(ids.select(F.col(id_col).cast("long").alias("id")).distinct(), "dropped")
-    first = docs.sparkSession.sparkContext.broadcast(_filter_of(ids))
+def _members(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """(node, members) of the wanted (doc_id, wanted): one shuffle of the texts at every size."""
 
-    def keep(test: Callable[[pa.Array], np.ndarray]) -> Callable:
-        return lambda batches: (batch.filter(pa.array(test(batch.column(id_col)))) for batch in batches)
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = ((wanted, own) for wanted, (_, own) in zip(batch.column(2).to_pylist(), _sets(batch)) if len(own) and node_of(own) == wanted)
+            while part := list(islice(rows, 256)):
+                yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in part], pa.int64()), pa.array([s.tobytes() for _, s in part], pa.binary())], names=["node", "members"])
 
-    clear = docs.mapInArrow(frames.tidy(keep(lambda c: ~_may_hold(first.value, c))), docs.schema)
-    met = docs.select(id_col).mapInArrow(frames.tidy(keep(lambda c: _may_hold(first.value, c))), docs.select(id_col).schema)
-    wrong = frames.written(met.select(F.col(id_col).cast("long").alias("id")).join(ids, "id", "left_anti").distinct(), "kept-after-all")
-    if wrong.isEmpty():
-        return clear
-    second = docs.sparkSession.sparkContext.broadcast(_filter_of(wrong))
-    rest = docs.mapInArrow(frames.tidy(keep(lambda c: _may_hold(second.value, c))), docs.schema)
-    return clear.unionByName(rest.join(wrong.withColumnRenamed("id", id_col), id_col, "left_semi").select(*docs.columns))
+    return docs.join(ids.hint("shuffle_hash"), "doc_id").select("doc_id", "text", "wanted").mapInArrow(frames.tidy(emit), "node long, members binary")
 
 
-def _exact_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """(node, members) of the wanted (doc_id, node): a filter of fixed size thins the scan, a join ends it."""
+class _Tile:
+    """Nodes of one group that one task compares: pairs of an active node and any other, of different components.
 
-    shared = docs.sparkSession.sparkContext.broadcast(_filter_of(ids))
+    Rows are (node, size, component, total, active, bitmap[, members])."""
 
-    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            batch = batch.take(pa.array(np.flatnonzero(_may_hold(shared.value, batch.column(0)))))
-            own = _sets(batch) if len(batch) else iter(())
-            while part := list(islice(own, 512)):
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([i for i, _ in part], pa.int64()), pa.array([node_of(s) if len(s) else None for _, s in part], pa.int64()), pa.array([s.tobytes() for _, s in part], pa.binary())],
-                    names=["doc_id", "node", "members"],
-                )
-
-    return docs.mapInArrow(frames.tidy(emit), "doc_id long, node long, members binary").join(ids, ["doc_id", "node"], "left_semi").select("node", "members").dropDuplicates(["node"])
-
-
-def _linked(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, name: str) -> DataFrame:
-    """Those pairs (a, b) of nodes whose sets link, by exact intersection."""
-    of = nodes.select("node", "first_id")
-    named = pairs.join(of.toDF("a", "a_id"), "a").join(of.toDF("b", "b_id"), "b")
-    named = frames.written(named, name)
-    ids = named.select(F.col("a_id").alias("doc_id"), F.col("a").alias("node")).union(named.select("b_id", "b")).distinct()
-    members = frames.written(_exact_sets(docs, ids), name + "-sets")
-
-    def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            hit = []
-            for x, y in zip(batch.column(2), batch.column(3)):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                if len(x) > len(y):
-                    x, y = y, x
-                at = np.minimum(np.searchsorted(y, x), len(y) - 1)
-                both = int((y[at] == x).sum())
-                hit.append(WHOLE * both >= PART * (len(x) + len(y) - both))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(hit, pa.bool_()))
-
-    pairs = named.select("a", "b").join(members.toDF("a", "x"), "a").join(members.toDF("b", "y"), "b").select("a", "b", "x", "y")
-    return frames.written(pairs.mapInArrow(frames.tidy(decide), "a long, b long"), name + "-links")
-
-
-def _bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Those pairs that sizes and bitmaps let link."""
-    for batch in batches:
-        keep = []
-        for a, b, x, y in zip(*(c.to_pylist() for c in batch.columns[3:])):
-            x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)[None, :]
-            keep.append(PART * max(a, b) <= WHOLE * min(a, b) and bool(most_overlap(x, a, y, np.array([b]))[0] >= required(a, b)))
-        yield batch.select(["a", "b", "votes"]).filter(pa.array(keep, pa.bool_()))
-
-
-def _tile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of a tile's nodes, of different components, that sizes and bitmaps let link. Rows come sorted by tile."""
-    key, held, found = None, [], set()
-
-    def compare(rows: list[tuple]) -> None:
-        rows.sort(key=lambda r: (r[1], r[0]))
-        node, size, comp, block = (np.array([r[k] for r in rows], np.int64) for k in (0, 1, 2, 4))
-        if len(rows) < 2 or (comp == comp[0]).all():
-            return
-        words: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        length = np.array([len(r[3]) for r in rows])
+    def __init__(self, rows: list[tuple]):
+        rows = sorted({r[0]: r for r in sorted(rows, key=lambda r: r[4])}.values(), key=lambda r: (r[1], r[0]))
+        self.rows = rows
+        self.node, self.size, self.comp = (np.array([r[k] for r in rows], np.int64) for k in (0, 1, 2))
+        self.active = np.array([r[4] for r in rows], bool)
+        self.words: list[tuple[np.ndarray, np.ndarray]] = []
+        length = np.array([len(r[5]) for r in rows])
         for n in np.unique(length):
             at = np.flatnonzero(length == n)
-            words[n] = at, np.stack([np.frombuffer(rows[i][3], np.uint64) for i in at])
-        where = {i: (n, k) for n, (at, _) in words.items() for k, i in enumerate(at.tolist())}
-        ends = np.searchsorted(size, size * WHOLE // PART, side="right")
-        crossing = rows[0][5]
-        usual = np.bincount(np.unique(comp, return_inverse=True)[1]).argmax()
-        usual = np.unique(comp)[usual]
-        begins = np.searchsorted(size, -(-size * PART // WHOLE), side="left")
-        for i in np.flatnonzero(comp != usual).tolist():
-            n, k = where[i]
-            own = words[n][1][k]
-            for at, bits in words.values():
-                take = (at >= begins[i]) & (at < ends[i]) & (comp[at] != comp[i]) & ((comp[at] == usual) | (at > i))
-                if crossing:
-                    take &= block[at] != block[i]
-                at = at[take]
-                if len(at):
-                    bound = most_overlap(own, int(size[i]), bits[take], size[at])
-                    for j in at[bound >= required(size[i], size[at])].tolist():
-                        found.add((min(int(node[i]), int(node[j])), max(int(node[i]), int(node[j]))))
-
-    def out() -> pa.RecordBatch:
-        pairs = list(found)
-        found.clear()
-        return pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], names=["a", "b"])
+            self.words.append((at, np.stack([np.frombuffer(rows[i][5], np.uint64) for i in at])))
+        self.low = np.searchsorted(self.size, -(-self.size * PART // WHOLE), side="left")
+        self.high = np.searchsorted(self.size, self.size * WHOLE // PART, side="right")
+
+    def centre_first(self) -> list[int]:
+        """The active nodes, the one that shares most shingles with others first: it is the likeliest to link."""
+        order = np.flatnonzero(self.active).tolist()
+        best = max(range(len(self.rows)), key=lambda i: (self.rows[i][3], -self.rows[i][0]))
+        return [best, *(i for i in order if i != best)]
+
+    def partners(self, i: int, open_: np.ndarray) -> np.ndarray:
+        """Those of ``open_`` that sizes and bitmaps let link with i."""
+        own, out = np.frombuffer(self.rows[i][5], np.uint64), []
+        for at, bits in self.words:
+            take = open_[at] & (at >= self.low[i]) & (at < self.high[i])
+            if take.any():
+                near = at[take]
+                out.append(near[most_overlap(own, int(self.size[i]), bits[take], self.size[near]) >= required(int(self.size[i]), self.size[near])])
+        return np.concatenate(out) if out else np.zeros(0, np.int64)
+
+    def candidates(self, every: bool) -> list[int]:
+        """Nodes with a possible partner of another component: with ``every``, all of them, else at least one of each pair's ends' groups."""
+        found = np.zeros(len(self.rows), bool)
+        for i in self.centre_first():
+            if every or not found[i]:
+                near = self.partners(i, self.comp != self.comp[i])
+                if len(near):
+                    found[near] = found[i] = True
+        return self.node[found].tolist()
+
+    def links(self) -> list[tuple[int, int]]:
+        """Pairs that link and join components, at most as many as there are nodes."""
+        comp, out = self.comp.copy(), []
+        sets = [np.frombuffer(r[6], np.uint64) for r in self.rows]
+        for i in self.centre_first():
+            for j in self.partners(i, comp != comp[i]).tolist():
+                if comp[j] == comp[i]:
+                    continue
+                x, y = (sets[i], sets[j]) if len(sets[i]) <= len(sets[j]) else (sets[j], sets[i])
+                both = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
+                if WHOLE * both >= PART * (len(x) + len(y) - both):
+                    comp[comp == comp[j]] = comp[i]
+                    out.append((int(self.node[i]), int(self.node[j])))
+        return out
 
+
+def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, _Tile]]:
+    """Lead and nodes of each tile with two components; rows come sorted by their tile, the first three columns."""
+    key, held = None, []
     for batch in batches:
         for lead, i, j, *row in zip(*(c.to_pylist() for c in batch.columns)):
             if (lead, i, j) != key:
-                compare(held) if held else None
+                if len({r[2] for r in held}) > 1:
+                    yield key[0], _Tile(held)
                 key, held = (lead, i, j), []
-            held.append((*row, i != j))
-        if len(found) > 100_000:
-            yield out()
-    compare(held) if held else None
-    if found:
-        yield out()
+            held.append(row)
+    if len({r[2] for r in held}) > 1:
+        yield key[0], _Tile(held)
+
+
+def _pairs(rows: Iterator[tuple[int, int]], names: tuple[str, str]) -> Iterator[pa.RecordBatch]:
+    while part := list(islice(rows, 50_000)):
+        yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in part], pa.int64()) for k in (0, 1)], names=list(names))
+
+
+def _some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    yield from _pairs(((lead, node) for lead, tile in _tiles(batches) for node in tile.candidates(False)), ("lead", "node"))
+
+
+def _every(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    yield from _pairs(((lead, node) for lead, tile in _tiles(batches) for node in tile.candidates(True)), ("lead", "node"))
+
+
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    yield from _pairs((link for _, tile in _tiles(batches) for link in tile.links()), ("a", "b"))
+
+
+def _blocks(n: str, weight: str, most: int) -> Column:
+    return F.greatest(F.ceil(F.col(n) / most), F.ceil(F.col(weight) / (most * SHINGLES)), F.lit(1)).cast("int")
+
+
+_ROW = ("node", "size", "component", "total", "active", "bitmap")
+
+
+def _sorted_tiles(rows: DataFrame) -> DataFrame:
+    keys = ("lead", "i", "j")
+    kept = [*keys, *_ROW, *(["members"] if "members" in rows.columns else [])]
+    return rows.select(*kept).repartition(frames.pieces(rows.sparkSession), *keys).sortWithinPartitions(*keys)
+
+
+def _round_one(rows: DataFrame, most: int) -> DataFrame:
+    """Tiles of groups in parts of bounded weight, each with the group's centre: linear in the rows, decides most."""
+    top = F.max(F.struct("total", F.negative("node").alias("last"))).alias("top")
+    groups = rows.groupBy("lead").agg(F.count("*").alias("n"), F.sum("size").alias("weight"), top).where("n > 1")
+    groups = groups.select("lead", _blocks("n", "weight", most).alias("parts"), F.negative(F.col("top.last")).alias("centre"))
+    dealt = frames.split_join(rows, groups, "lead")
+    own = F.array(F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    every = F.when(F.col("node") == F.col("centre"), F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(own)
+    return _sorted_tiles(dealt.withColumns({"i": F.explode(every), "j": F.lit(0), "component": F.col("node"), "active": F.lit(True)}))
+
+
+def _round_two(rows: DataFrame, most: int) -> DataFrame:
+    """Tiles of groups in several components, whose usual component needs no comparison within itself: blocks of the others against blocks of all."""
+    kinds = rows.groupBy("lead", "component").agg(F.count("*").alias("n"), F.sum("size").alias("weight"))
+    top = F.max(F.struct("n", "component", "weight")).alias("top")
+    groups = kinds.groupBy("lead").agg(F.count("*").alias("kinds"), F.sum("n").alias("n"), F.sum("weight").alias("weight"), top).where("kinds > 1")
+    groups = groups.withColumns({"n_out": F.col("n") - F.col("top.n"), "weight_out": F.col("weight") - F.col("top.weight"), "usual": F.col("top.component")})
+    groups = groups.select("lead", "usual", _blocks("n", "weight", most).alias("all"), _blocks("n_out", "weight_out", most).alias("out"))
+    dealt = frames.split_join(rows, groups, "lead").withColumn("active", F.col("component") != F.col("usual"))
+    i, j = (F.pmod(F.xxhash64("node"), F.col(c)).cast("int") for c in ("out", "all"))
+    passive = F.transform(F.sequence(F.lit(0), F.col("out") - 1), lambda k: F.struct(k.alias("i"), j.alias("j"), F.lit(False).alias("active")))
+    active = F.transform(F.sequence(F.lit(0), F.col("all") - 1), lambda k: F.struct(i.alias("i"), k.alias("j"), F.lit(True).alias("active")))
+    alone = (F.col("all") == 1) & (F.col("out") == 1)  # one tile: an active row need not stand in it twice
+    placed = F.when(~F.col("active"), passive).when(alone, active).otherwise(F.concat(passive, active))
+    return _sorted_tiles(dealt.withColumn("at", F.explode(placed)).drop("active").select("*", "at.*"))
 
 
 def ngram_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -299,22 +327,17 @@ def ngram_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     spark = df.sparkSession
     docs = df.select(frames.long_id(df, id_col).alias("doc_id"), df[text_col].alias("text"))
     described = frames.written(docs.mapInArrow(frames.tidy(_describe), "doc_id long, n_shingles long, node long, bitmap binary, chunk int, cells binary"), "described")
-    counts = _merged(described.where("chunk IS NOT NULL").select("chunk", "cells"), 1 << SKETCH_BITS, "<u4", lambda a, b: np.minimum(a.astype(np.uint64) + b, 0xFFFFFFFF).astype("<u4"))
-    shared = spark.sparkContext.broadcast(np.round(8 * np.log2(1.0 + counts)).astype(np.uint8).tobytes())
+    shared = spark.sparkContext.broadcast(Order.of(_summed(described.where("chunk IS NOT NULL").select("chunk", "cells"))))
     n_buckets = 4 * frames.pieces(spark)
-    shift = np.uint64(64 - SKETCH_BITS)
-
-    def salts(code: np.ndarray) -> np.ndarray:
-        return (1 + (2.0 ** (code.astype(np.float64) / 8) - 1) // HEAVY).astype(np.int64)
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rank = np.frombuffer(shared.value, np.uint8)
+        order_of = shared.value
         tokens, owners, sizes, held = [], [], [], 0
         seen: set[int] = set()
 
         def flush() -> pa.RecordBatch:
             token, owner, size = np.concatenate(tokens), np.concatenate(owners), np.concatenate(sizes)
-            salt = shingles.mix(owner.view(np.uint64)).view(np.int64) % salts(rank[(token >> shift).astype(np.int64)])
+            salt = shingles.mix(owner.view(np.uint64)).view(np.int64) % order_of.dealt(token)
             bucket = ((shingles.mix(token) >> np.uint64(33)).astype(np.int64) + salt) % n_buckets
             order = np.argsort(bucket, kind="stable")
             token, owner, size, bucket = token[order], owner[order], size[order], bucket[order]
@@ -334,7 +357,7 @@ def ngram_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                     seen.clear()
                 seen.add(node)
                 n = len(own) + (-PART * len(own)) // WHOLE + 1
-                code = rank[(own >> shift).astype(np.int64)]
+                code = order_of.rank(own)
                 # own is sorted by hash; a stable sort by code gives the common order
                 first = own[np.argsort(code, kind="stable")[:n]]
                 tokens.append(first)
@@ -349,7 +372,7 @@ def ngram_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows of shingles that two or more nodes of fitting sizes share, with the smallest such node. Rows come sorted by bucket."""
-        rank = np.frombuffer(shared.value, np.uint8)
+        order_of = shared.value
 
         def shares(parts: list[tuple]) -> Iterator[pa.RecordBatch]:
             token = np.concatenate([np.frombuffer(p[0], np.uint64) for p in parts])
@@ -361,7 +384,7 @@ def ngram_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             token, owner, size = token[fresh], owner[fresh], size[fresh]
             near = (token[1:] == token[:-1]) & (WHOLE * size[:-1] >= PART * size[1:])
             keep = np.concatenate([near, [False]]) | np.concatenate([[False], near])
-            keep |= salts(rank[(token >> shift).astype(np.int64)]) > 1
+            keep |= order_of.dealt(token) > 1
             chain = np.concatenate([[0], np.cumsum(~near)])[keep]  # runs of a shingle's nodes, each of a size that fits the next
             token, owner, size = token[keep], owner[keep], size[keep]
             if not len(token):
@@ -369,7 +392,7 @@ def ngram_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             begins, lengths = _grouped(chain)
             lead = np.repeat(np.minimum.reduceat(owner, begins), lengths)
             # a shingle that is dealt to several buckets has a leader in each, and a name for all
-            heavy = np.flatnonzero(salts(rank[(token >> shift).astype(np.int64)]) > 1)
+            heavy = np.flatnonzero(order_of.dealt(token) > 1)
             owner, size = np.append(owner, owner[heavy]), np.append(size, size[heavy])
             lead = np.append(lead, -1 - (shingles.mix(token[heavy]) >> np.uint64(1)).astype(np.int64))
             order = np.lexsort((owner, lead))
@@ -398,34 +421,39 @@ def ngram_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     rows = described.where("chunk IS NULL").select("doc_id", "n_shingles", "node", "bitmap")
     nodes = frames.written(rows.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("first_id"), F.first("bitmap").alias("bitmap")), "nodes")
-    bits = nodes.select("node", "bitmap")
-    sizes = met.select("node", "size").distinct()
-    led = met.where("lead >= 0 AND node <> lead").select(F.col("node").alias("a"), F.col("lead").alias("b"), F.col("size").alias("a_size"), "votes")
-    led = led.join(sizes.toDF("b", "b_size"), "b").join(bits.toDF("a", "a_bits"), "a").join(bits.toDF("b", "b_bits"), "b")
-    led = led.select("a", "b", "votes", "a_size", "b_size", "a_bits", "b_bits").mapInArrow(frames.tidy(_bounded), "a long, b long, votes long")
-    best = led.withColumn("rank", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("votes"), "b"))).where(F.col("rank") <= LEADERS)
-    links = _linked(docs, best.select("a", "b"), nodes, "leads")
+    total = met.groupBy("node").agg(F.sum("votes").alias("total"))
+    groups = frames.written(met.select("lead", "node", "size").join(total, "node").join(nodes.select("node", "bitmap"), "node"), "groups")
+
+    def fetched(wanted: DataFrame, name: str) -> DataFrame:
+        ids = wanted.select("node").distinct().join(nodes, "node").select(F.col("first_id").alias("doc_id"), F.col("node").alias("wanted"))
+        return frames.written(_members(docs, ids), name)
+
+    # 1. parts of groups: which nodes may link, then, in one group of each node, which do
+    found = _round_one(groups, NODES).mapInArrow(frames.tidy(_some), "lead long, node long").distinct()
+    found = frames.written(found.join(groups, ["lead", "node"]), "candidates")
+    members = fetched(found, "members")
+    chosen = found.groupBy("node").agg(F.min(F.struct(F.col("lead") < 0, "lead")).alias("best")).select("node", "best.lead")
+    first = frames.written(found.join(chosen, ["lead", "node"]).join(members, "node"), "first")
+    links = frames.written(_round_one(first, SETS).mapInArrow(frames.tidy(_joined), "a long, b long"), "links")
     parts = components(links)
 
-    comp = met.select("lead", "node", "size").join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    open_leads = comp.groupBy("lead").agg(F.count("*").alias("n"), F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
-    open_leads = open_leads.select("lead", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    tiles = (
-        comp.join(open_leads, "lead")
-        .join(bits, "node")
-        .withColumn("block", block)
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("lead", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "node", "size", "component", "bitmap", "block")
-        .repartition(frames.pieces(spark), "lead", "i", "j")
-        .sortWithinPartitions("lead", "i", "j")
-    )
-    more = _linked(docs, tiles.mapInArrow(frames.tidy(_tile), "a long, b long").distinct(), nodes, "tiles")
-    parts = components(links.union(more))
+    # 2. groups that are still in several components
+    now = frames.written(groups.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node")), "now")
+    left = _round_two(now, NODES).mapInArrow(frames.tidy(_every), "lead long, node long").distinct()
+    left = frames.written(now.join(left, ["lead", "node"]), "left")
+    unknown = frames.written(left.select("node").distinct().join(members, "node", "left_anti"), "unknown")
+    if not unknown.isEmpty():
+        members = members.union(fetched(unknown, "more-members"))
+    second = frames.written(left.join(members, "node"), "second")
+    more = frames.written(_round_two(second, SETS).mapInArrow(frames.tidy(_joined), "a long, b long"), "more-links")
+    if not more.isEmpty():
+        parts = components(links.union(more))
+
     whole = nodes.join(parts, "node", "left").select("node", "first_id", F.coalesce("component", "node").alias("component"))
+    whole = frames.written(whole, "whole")
     least = whole.groupBy("component").agg(F.min("first_id").alias("component_id"))
-    named = whole.join(least, "component").select("node", "component_id")
-    return rows.join(named, "node", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    named = frames.split_join(whole, least, "component").select("node", "component_id")
+    return frames.split_join(rows.select("doc_id", "n_shingles", "node"), named, "node", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def oracle() -> str:

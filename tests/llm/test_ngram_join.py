@@ -53,10 +53,11 @@ def corpus(seed=1, groups=25):
     return list(enumerate(texts + [None, "", " \n", "one", "ONE", "a b c d", "a b  c d", "a b c d e"]))
 
 
-@pytest.mark.parametrize("sizes", [(200_000, 2048), (3, 4)])
+@pytest.mark.parametrize("sizes", [(200_000, 2048, 512), (3, 4, 3)])
 def test_equals_brute_force(spark, monkeypatch, sizes):
     monkeypatch.setattr(n, "HEAVY", sizes[0])
-    monkeypatch.setattr(n, "BLOCK", sizes[1])
+    monkeypatch.setattr(n, "NODES", sizes[1])
+    monkeypatch.setattr(n, "SETS", sizes[2])
     texts = corpus()
     df = spark.createDataFrame(texts, "doc_id long, text string").selectExpr("*", "1 AS node", "2 AS token").repartition(3)
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in n.ngram_components(df).collect()}
@@ -100,3 +101,60 @@ def test_bitmaps_bound_the_overlap():
         a, b = (np.unique(rng.choice(pool, int(k))) for k in rng.integers(1, 500, 2))
         bits = [np.frombuffer(n.bitmap(x), np.uint64) for x in (a, b)]
         assert n.most_overlap(bits[0], len(a), bits[1][None, :], np.array([len(b)]))[0] >= len(np.intersect1d(a, b))
+
+
+def near_copies(count, seed=3):
+    """One large group of near copies: most pairs do not link, but all are connected."""
+    rng = random.Random(seed)
+    base = [f"w{rng.randrange(5000)}" for _ in range(150)]
+    texts = []
+    for _ in range(count):
+        own = list(base)
+        for _ in range(rng.choice([0, 1, 2, 3, 4, 5])):
+            own[rng.randrange(len(own))] = f"v{rng.randrange(10**6)}"
+        texts.append(" ".join(own))
+    return list(enumerate(texts))
+
+
+@pytest.mark.parametrize("sizes", [(2048, 512), (50, 20)])
+def test_a_large_group_of_near_copies_gives_linear_rows(spark, monkeypatch, sizes):
+    monkeypatch.setattr(n, "NODES", sizes[0])
+    monkeypatch.setattr(n, "SETS", sizes[1])
+    made = {}
+    written = n.frames.written
+
+    def counted(df, name):
+        out = written(df, name)
+        made[name] = out.count()
+        return out
+
+    monkeypatch.setattr(n.frames, "written", counted)
+    texts = near_copies(400)
+    df = spark.createDataFrame(texts, "doc_id long, text string").repartition(3)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in n.ngram_components(df).collect()}
+    assert got == brute(texts)
+    assert made["links"] < 2 * 400 and made["more-links"] < 400 and made["candidates"] <= made["met"]
+
+
+def test_very_long_text_and_extra_columns(spark):
+    rng = random.Random(8)
+    long = " ".join(f"w{rng.randrange(10**6)}" for _ in range(120_000))
+    rows = [(1, long), (2, long + " and one more"), (3, "short"), (4, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 AS lead", "'x' AS component_id", "2 AS _part")
+    got = {r.doc_id: r.component_id for r in n.ngram_components(df).collect()}
+    assert got == {1: 1, 2: 1, 3: 3, 4: 4}
+
+
+def test_the_order_counts_beyond_bytes_and_deals_only_what_exceeds_the_mean():
+    counts = np.full(1 << n.SKETCH_BITS, 5 * n.HEAVY, np.uint64)  # every cell is full: no shingle is common
+    counts[7] = 2**33
+    order = n.Order.of(counts)
+    token = np.array([7 << (64 - n.SKETCH_BITS), 9 << (64 - n.SKETCH_BITS)], np.uint64)
+    assert order.rank(token)[0] > order.rank(token)[1] and order.dealt(token)[1] == 1
+    assert order.dealt(token)[0] == 1 + (2**33 - int(counts.mean())) // n.HEAVY
+
+
+def test_without_ids(spark):
+    df = spark.createDataFrame([(1, "a"), (2, "b"), (2, "c"), (None, "d"), (None, "d")], "doc_id long, text string").selectExpr("*", "3 AS _id")
+    left = n.without_ids(df, spark.createDataFrame([(2,), (9,)], "doc_id long"))
+    assert left.columns == df.columns and sorted((r.doc_id or 0, r.text) for r in left.collect()) == [(0, "d"), (0, "d"), (1, "a")]
