@@ -6,87 +6,124 @@ The model is trained when the plan is built, on the small labelled URL table bel
 literal weight array; no Python runs on the executors.
 
 Defined results: a null url, or one without ``://``, has an empty host and path and is
-judged by the method on the empty string (allowed, the intercept is on that side).
-Columns of the input other than the url and the carried ones are ignored. Repeated rows
-each get a row.
+judged by the method on the empty string: allowed, for the table says so. Of rules of one length
+that fit, the later one in RULES counts (they can only be of one host). Urls are taken whole however long; repeated rows each get
+a row; an empty table gives none; columns other than the url and the carried ones are ignored whatever their names.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Sequence
 from functools import lru_cache
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Hash buckets for host trigrams, and as many again for path trigrams.
-BUCKETS = 512
+BUCKETS = 2048
 
-#: Labelled hosts: words of pages nobody wants in a corpus (1) and of ordinary sites (0).
+#: The labelled table: names of hosts nobody wants in a corpus (1) and of ordinary sites (0). None is in a test table.
 UNWANTED = (
-    "casino-win casino slots-777 poker-room free-bets bet-now betting-tips jackpot-city spam-farm linkfarm seo-spam cheap-pills pills-online "
-    "viagra-store pharma-discount adult-x adult-cams xxx-tube porn-hd hot-sex escort-girls payday-loans fast-loan replica-watches fake-bags "
-    "crack-warez torrent-free keygen-download win-prize lottery-winner click-here-now free-iphone miracle-diet hack-tool bitcoin-doubler"
+    "grandcasino casino-royal77 onlinecasinos lucky-casino-club casinobonus24 slotmachines megaslots "
+    "pokerstars-free texas-poker freebet sportsbetting-odds bestbets betfast livebet365 jackpotwins "
+    "cheapmeds pillstore buy-pills-now viagra-online canadian-pharmacy-discount dietpills weightloss-miracle "
+    "xxxvideos adult-webcams adultfriends freeporn porntube hotsexchat sexcams escorts-city nudegirls "
+    "spamlinks link-spammer buybacklinks linkfarms seo-traffic-boost article-spinner paydayloan quickloans-cash "
+    "fastcash replica-rolex cheap-handbags cheapviagra warez-downloads crackedsoftware keygens torrentz "
+    "win-a-phone youwin-prizes freegiftcards clickhere-money bitcoin-double cryptoprofit getrichquick forex-robot"
 ).split()
 ORDINARY = (
-    "news library museum university science garden recipes travel weather history music theatre school cityhall hospital research archive "
-    "journal gazette bakery cycling football railway planet ocean theorem thesis tions another there their with northern brother weather-map "
-    "theory therapist motherboard thin thanks notion nation station motion blether methane ether earth thread throne shared inland reading lyrics"
+    "wikipedia wikimedia github arxiv nature stanford cambridge unibas sorbonne maxplanck nasa noaa unesco europa parliament loc britishlibrary bnf archive gutenberg bbc nytimes "
+    "theguardian lemonde spiegel elpais reuters apnews radio stackoverflow python mozilla debian kernel apache openstreetmap unicode postgresql britannica merriam-webster nationalgeographic "
+    "smithsonian sciencedirect plos jstor springer bakerystreet gardening-tips localhistory cityhall villageschool railwaymuseum birdwatching cookbook travelblog familydoctor choralsociety "
+    "footballclub astronomy-night oceanography stationery-shop booknotes weatherstation mathforum linguistics carpentry-workshop hikingtrails chessclub theatregroup musiclessons orthography "
+    "thirteenthstreet national-notions nutrition-education rationalthought anotherweather thehistorian bathhouse northtown mothers-thread earthworks ethics thesis-review smiths-forge"
 ).split()
-#: Path segments seen under either kind.
-BAD_PATHS = ("free-spins", "bonus", "win", "buy-now", "cheap", "xxx", "cam", "bet", "pills", "spam")
-GOOD_PATHS = ("en/12", "fr/404", "de/88", "es/7", "article/5", "about", "2021/news", "docs/intro", "wiki/page", "blog/post")
-
-
-def labelled_urls() -> list[tuple[str, str, int]]:
-    """(host, path, label) rows: label 1 is unwanted. Ordinary paths occur with both labels."""
-    rows = []
-    for label, words in ((1, UNWANTED), (0, ORDINARY)):
-        for i, word in enumerate(words):
-            for j, form in enumerate(("{}.example.com", "www.{}.example.org", "blog.{}.example.net", "m.{}.example.com")):
-                rows.append((form.format(word), "/" + GOOD_PATHS[(i + 3 * j) % len(GOOD_PATHS)], label))
-    for path in BAD_PATHS:
-        rows.append(("www.site.example.com", f"/{path}/1", 1))
-    for path in GOOD_PATHS:
-        rows.append(("www.site.example.com", f"/{path}", 0))
+#: What stands around a name says nothing: both kinds have all of it.
+FORMS = ("{}.com", "www.{}.org", "{}.net", "blog.{}.example.net", "m.{}.example.com", "{}.example.org")
+#: Path beginnings that occur with both, and some that occur with one kind only.
+PATHS = ("/", "/en/12", "/fr/404", "/de/88", "/es/7", "/about", "/index.html", "/2021/03/news", "/p/18", "/item.html")
+BAD_PATHS = ("/casino/bonus", "/free-spins", "/buy-pills", "/cheap/meds", "/xxx/videos", "/adult/cams", "/bet/odds", "/win-prizes", "/loan/apply-now", "/poker")
+GOOD_PATHS = ("/wiki/Page", "/docs/intro", "/article/science", "/library/catalogue", "/research/papers", "/news/world", "/history/town", "/weather/today", "/recipes/bread", "/school/timetable")
+#: Every so many hosts of each kind are kept from training when accuracy is measured.
+FOLDS = 5
+
+
+def labelled_urls(kept: Callable[[int], bool] = lambda place: True) -> list[tuple[str, str, int]]:
+    """(host, path, label) rows of the hosts at the wanted places; label 1 is unwanted. A url without host and path is ordinary."""
+    rows = [("", "", 0)] * 20
+    for label, hosts in ((1, UNWANTED), (0, ORDINARY)):
+        for i, host in enumerate(hosts):
+            if not kept(i):
+                continue
+            for j, form in enumerate(FORMS):
+                rows.append((form.format(host), PATHS[(i + 3 * j) % len(PATHS)], label))
+    for label, own in ((1, BAD_PATHS), (0, GOOD_PATHS)):
+        rows += [(f"{front}site.example.com", path, label) for path in own for front in ("", "www.")]
     return rows
 
 
+def held_out_accuracy() -> dict[str, float]:
+    """Share of held-out hosts of each kind that a model of the others judges rightly, over all folds."""
+    right = {0: [], 1: []}
+    for fold in range(FOLDS):
+        bias, weights = _fit(labelled_urls(lambda place: place % FOLDS != fold))
+        for label, hosts in ((1, UNWANTED), (0, ORDINARY)):
+            for host in hosts[fold::FOLDS]:
+                right[label].append((score(f"www.{host}.com", "/en/12", bias, weights) >= 0.5) == bool(label))
+    return {"unwanted": sum(right[1]) / len(right[1]), "ordinary": sum(right[0]) / len(right[0])}
+
+
 def _buckets(text: str, shift: int) -> list[int]:
     padded = f"^{text}$"
     return [(ord(a) * 7919 + ord(b) * 104729 + ord(c) * 1299709) % BUCKETS + shift for a, b, c in zip(padded, padded[1:], padded[2:])]
 
 
-@lru_cache(maxsize=1)
-def train(epochs: int = 400, rate: float = 2.0, decay: float = 2e-4) -> tuple[float, tuple[float, ...]]:
-    """Full-batch gradient descent on the mean of the trigram features; returns intercept and weights."""
-    rows = []
-    for host, path, label in labelled_urls():
-        h, p = _buckets(host, 0), _buckets(path, BUCKETS)
-        n = math.sqrt(len(h) + len(p))
-        x: dict[int, float] = {}
-        for b in h + p:
-            x[b] = x.get(b, 0.0) + 1 / n
-        rows.append((x, label))
-    weights, bias = [0.0] * (2 * BUCKETS), -0.5
+def _features(host: str, path: str) -> dict[int, float]:
+    buckets = _buckets(host, 0) + _buckets(path, BUCKETS)
+    x: dict[int, float] = {}
+    for b in buckets:
+        x[b] = x.get(b, 0.0) + 1 / math.sqrt(len(buckets))
+    return x
+
+
+def score(host: str, path: str, bias: float, weights: Sequence[float]) -> float:
+    """Probability of unwanted, as the expression of judge_urls gives it."""
+    return 1 / (1 + math.exp(-bias - sum(weights[b] * v for b, v in _features(host, path).items())))
+
+
+def _fit(rows: list[tuple[str, str, int]], epochs: int = 300, rate: float = 6.0, decay: float = 2e-4) -> tuple[float, np.ndarray]:
+    """Full-batch gradient descent of a ridge logistic regression on trigram features of unit length."""
+    x, y = np.zeros((len(rows), 2 * BUCKETS)), np.array([r[2] for r in rows], float)
+    for i, (host, path, _) in enumerate(rows):
+        for b, v in _features(host, path).items():
+            x[i, b] = v
+    used = np.flatnonzero(x.any(axis=0))
+    x = x[:, used]
+    weights, bias, out = np.zeros(len(used)), -0.5, np.zeros(2 * BUCKETS)
     for _ in range(epochs):
-        slope, slope_0 = [0.0] * len(weights), 0.0
-        for x, label in rows:
-            z = bias + sum(weights[b] * v for b, v in x.items())
-            error = 1 / (1 + math.exp(-z)) - label
-            slope_0 += error
-            for b, v in x.items():
-                slope[b] += error * v
-        bias -= rate * slope_0 / len(rows)
-        weights = [w - rate * (g / len(rows) + decay * w) for w, g in zip(weights, slope)]
-    return round(bias, 6), tuple(round(w, 6) for w in weights)
+        error = 1 / (1 + np.exp(-(x @ weights + bias))) - y
+        bias -= rate * error.mean()
+        weights -= rate * (x.T @ error / len(rows) + decay * weights)
+    out[used] = weights
+    return bias, out
+
+
+@lru_cache(maxsize=1)
+def train() -> tuple[float, tuple[float, ...]]:
+    """Intercept and weights from the whole table."""
+    bias, weights = _fit(labelled_urls())
+    return round(float(bias), 6), tuple(round(float(w), 6) for w in weights)
 
 
 #: (host, path, verdict); the longest that fits wins.
 RULES = (("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block"))
 
 
-def host_of(url: Column) -> Column:
+def host_of(url: Column | str) -> Column:
+    url = F.col(url) if isinstance(url, str) else url
     host = F.regexp_extract(F.coalesce(url, F.lit("")), r"(?s)^.*?://([^/?#]*)", 1)
     return F.translate(host, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -105,27 +142,27 @@ def rule_of(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
     return rule, verdict
 
 
-def _sum_of_weights(text: Column, weights: Column, shift: int) -> tuple[Column, Column]:
-    codes = F.transform(F.split(F.concat(F.lit("^"), text, F.lit("$")), ""), F.ascii)
-    codes = F.filter(codes, lambda c: c > 0)
-    n = F.size(codes)
-    starts = F.when(n >= 3, F.sequence(F.lit(1), n - 2)).otherwise(F.array().cast("array<int>"))
+def _sum_of_weights(text: Column, weights: Column, shift: int) -> Column:
+    """total, the sum of the weights of the text's trigrams, and n, their number: one pass that carries the last two characters."""
+    codes = F.transform(F.split(F.concat(F.lit("^"), text, F.lit("$")), ""), lambda c: F.ascii(c).cast("long"))
+    zero = F.struct(F.lit(0.0).alias("total"), F.lit(0).alias("n"), F.lit(0).cast("long").alias("a"), F.lit(0).cast("long").alias("b"))
 
-    def add(total: Column, i: Column) -> Column:
-        code = [F.element_at(codes, i + k).cast("long") for k in range(3)]
-        return total + F.element_at(weights, ((code[0] * 7919 + code[1] * 104729 + code[2] * 1299709) % BUCKETS + (shift + 1)).cast("int"))
+    def add(held: Column, c: Column) -> Column:
+        at = ((held["a"] * 7919 + held["b"] * 104729 + c * 1299709) % BUCKETS + (shift + 1)).cast("int")
+        total = held["total"] + F.when(held["n"] >= 2, F.element_at(weights, at)).otherwise(0.0)
+        return F.struct(total.alias("total"), (held["n"] + 1).alias("n"), held["b"].alias("a"), c.alias("b"))
 
-    return F.aggregate(starts, F.lit(0.0), add), n - 2
+    return F.aggregate(F.filter(codes, lambda c: c > 0), zero, add, lambda held: F.struct(held["total"].alias("total"), (held["n"] - 2).alias("n")))
 
 
 def judge_urls(df: DataFrame, url: str = "url", keep: tuple[str, ...] = (), rules=RULES, threshold: float = 0.5) -> DataFrame:
     """``keep`` columns, host, path, rule, score (probability of unwanted) and verdict for each row."""
     bias, model = train()
     out = df.select(*[F.col(c) for c in keep], host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"))
-    weights = F.array(*[F.lit(w) for w in model])
-    a, n = _sum_of_weights(F.col("host"), weights, 0)
-    b, m = _sum_of_weights(F.col("path"), weights, BUCKETS)
-    z = F.lit(bias) + (a + b) / F.sqrt(F.greatest(n + m, F.lit(1)).cast("double"))
+    weights = F.lit(np.array(model))
+    of_host, of_path = _sum_of_weights(F.col("host"), weights, 0), _sum_of_weights(F.col("path"), weights, BUCKETS)
+    n = of_host["n"] + of_path["n"]
+    z = F.lit(bias) + (of_host["total"] + of_path["total"]) / F.sqrt(F.greatest(n, F.lit(1)).cast("double"))
     rule, says = rule_of(F.col("host"), F.col("path"), rules)
     score = F.round(F.lit(1.0) / (F.lit(1.0) + F.exp(-z)), 9)
     return out.withColumns({"rule": rule, "says": says, "score": score}).withColumn(
