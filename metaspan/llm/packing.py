@@ -12,6 +12,7 @@ anywhere; every id lies in one piece; repeated rows are packed each. sequence_id
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
@@ -41,18 +42,21 @@ def _byte_of() -> dict[str, int]:
 
 
 class Tokens:
-    """Ids of the tokenizer file, without special tokens: their strings are ordinary text.
+    """Ids as ``tokenizers`` gives them for the file with add_special_tokens=False: nothing is added, and strings of
+    the file's added tokens in a text are those tokens.
 
     If the file is plain byte-level BPE whose ids are in the order of its merges, ids and ranks are the same thing
-    and the faster tiktoken gives the same ids; any other file is left to tokenizers.
+    and the faster tiktoken gives the same ids for texts without such strings; any other file or text is left to tokenizers.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.ranked = self._ranked(json.loads(Path(path).read_text()))
+        file = json.loads(Path(path).read_text())
+        added = [re.escape(t["content"]) for t in file.get("added_tokens") or ()]
+        self.added = re.compile("|".join(added), re.I) if added else None
+        self.ranked = self._ranked(file)
 
     @staticmethod
     def _ranked(file: dict):
@@ -69,7 +73,7 @@ class Tokens:
         return tiktoken.Encoding("ranked", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def ids(self, text: str) -> bytes:
-        if self.ranked is not None:
+        if self.ranked is not None and not (self.added and self.added.search(text)):
             return self.ranked.encode_to_numpy(text, disallowed_special=()).tobytes()
         ids = self.tokenizer.encode(text, add_special_tokens=False).ids
         return pack(f"<{len(ids)}I", *ids)

@@ -12,7 +12,6 @@ PATH = P.path("byte_bpe_50k.json")
 
 def check(rows, texts):
     t = Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
     by_doc, by_sequence = defaultdict(list), defaultdict(list)
     for r in rows:
         by_doc[r.doc_id].append(r)
@@ -36,7 +35,7 @@ def check(rows, texts):
 
 
 def test_small_texts(spark):
-    texts = dict(enumerate([None, "", "a", "hello  world ", "x y z " * 3000, "<|endoftext|> t", "long " * 50_000, "a\x1cb \x85c\u2003 d\u200be", "tab\t b\n  c don't", "🙂日本\u0301 x", " " * 5000] + ["word " * k for k in range(200)]))
+    texts = dict(enumerate([None, "", "a", "hello  world ", "x y z " * 3000, "<|endoftext|> t", "a <|endoftext|> b", "a<|ENDOFTEXT|>", "long " * 50_000, "a\x1cb \x85c\u2003 d\u200be", "tab\t b\n  c don't", "🙂日本\u0301 x", " " * 5000] + ["word " * k for k in range(200)]))
     df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").selectExpr("*", "3 AS start", "4 AS part").repartition(5)
     check(packing.pack_documents(df, PATH).collect(), texts)
 
@@ -50,7 +49,6 @@ def test_documents(spark):
 
 def test_ids_of_the_faster_library_are_those_of_the_file():
     tokens, t = packing._tokens(PATH), Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
     assert tokens.ranked is not None
     for code in [*range(0x300), *range(0x2000, 0x2070), 0x3000, 0xFEFF, 0x1680]:
         text = f"a{chr(code)}b {chr(code)} c{chr(code)}{chr(code)}'s"

@@ -33,7 +33,6 @@ def test_run_equals_brute_force(spark):
             spans = [s.split(":") for s in brute_spans(r.text)]
             texts[r.doc_id] = secret_scan.redacted(r.text, [(int(a), int(b), k) for k, a, b in spans])
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     by_doc, by_sequence = defaultdict(list), defaultdict(list)
     for r in corpus_pipeline.run(spark, D).collect():
         by_doc[r.doc_id].append(r)
