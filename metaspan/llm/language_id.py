@@ -163,13 +163,14 @@ def identify_languages(df: DataFrame, model: Model, keys: tuple[str, ...] = ("do
     total = sum(x or 0.0 for x in whole)
     base = F.array(*[F.lit(((x or 0.0) + 1.0) / (total + n)) for x in whole])
     suffixes = suffixes.select("suffix", _prior(F.col("counts"), base, n).alias("above"))
-    hosts = hosts.join(suffixes, "suffix").select("host", "suffix", _prior(F.col("counts"), F.col("above"), n).alias("prior"))
+    place = F.struct("host", "suffix").alias("place")
+    hosts = hosts.join(suffixes, "suffix").select(place, _prior(F.col("counts"), F.col("above"), n).alias("prior"))
     table = {(r.d, r.best): r.n for r in counted.where("best >= 0").select(spelt("declared").alias("d"), "best", "n").where(F.col("d").isin(names)).groupBy("d", "best").agg(F.sum("n").alias("n")).collect()}
     columns = [sum(table.get((d, k), 0) for d in names) for k in range(n)]
     # as a table, for as an expression it grows with the square of the languages
     worth = [(d, [float(np.log((table.get((d, k), 0) + 1.0) / (columns[k] + n))) for k in range(n)]) for d in names]
     worth = F.broadcast(df.sparkSession.createDataFrame(worth, "d string, worth array<double>"))
-    fused = scored.withColumn("d", spelt("declared")).join(hosts, ["host", "suffix"]).join(worth, "d", "left").withColumn("worth", F.coalesce("worth", F.array(*[F.lit(0.0)] * n)))
+    fused = frames.split_join(scored.withColumns({"d": spelt("declared"), "place": F.struct("host", "suffix")}), hosts, "place").join(worth, "d", "left").withColumn("worth", F.coalesce("worth", F.array(*[F.lit(0.0)] * n)))
     z = F.zip_with(F.zip_with("score", F.transform("prior", lambda p: F.log(p)), lambda a, b: a + b), "worth", lambda a, b: a + b)
     fused = fused.withColumn("z", z).withColumn("top", F.array_max("z"))
     mass = F.aggregate("z", F.lit(0.0), lambda a, x: a + F.exp(x - F.col("top")))
