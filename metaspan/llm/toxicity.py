@@ -1,16 +1,21 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are trained on labelled text, one ordinary, one toxic: both hold the same
-ordinary prose, the toxic one also the words that stand in significantly more contexts in toxic documents. A
+Two zstandard dictionaries are trained on labelled text, one on windows of ordinary documents, one on the passages of
+toxic documents that are made of words which stand in significantly more contexts there. (Trained on whole
+windows of toxic documents, which are mostly ordinary prose, the dictionaries hardly differ in what is toxic.) Significant words
+that the trainer passes over are put in front. Both then hold the same ordinary prose. A
 text is cut into windows of twelve words; a window's distance is the length it compresses to with the
-ordinary dictionary less that with the toxic one. Thresholded and averaged distances of a document are turned
-into a probability by a logistic regression, fitted on labelled documents that the dictionaries have not seen.
+ordinary dictionary less that with the toxic one. The thresholds of distances are those that set shares of ordinary
+windows exceed; thresholded and averaged distances of a document are turned
+into a probability by a logistic regression, both fitted on labelled documents that the dictionaries have not seen.
 
 Training uses a bounded sample of labelled rows (MOST_TOXIC, MOST_ORDINARY; chosen by a hash of
 the id); every document is scored whole. Only the text is an input of a score.
 
-Defined results: null, empty and wordless texts have all distances 0 and so the lowest evidence; without toxic
-labels all scores are 0; equal texts have equal scores; repeated rows each get a row.
+Defined results: null, empty and wordless texts have all distances 0 and so the lowest evidence; with labels of one
+kind only all scores are the share of toxic labels, 0 or 1, and without labels 0; equal texts have equal scores; repeated rows each get a row, and a
+repeated label counts once, toxic if one of its rows is; an empty table gives no rows; very long texts are scored whole, by slices of whole documents;
+columns other than id and text are ignored whatever their names.
 """
 
 from __future__ import annotations
@@ -31,14 +36,17 @@ from . import frames
 
 #: Labelled documents that are learnt from, at most.
 MOST_TOXIC, MOST_ORDINARY = 2500, 4000
-#: Words of a window; bytes of ordinary prose in a dictionary; words that only the toxic one has, at most.
-WINDOW, PROSE, TOXIC_WORDS = 12, 120_000, 1500
+#: Words of a window; bytes of ordinary prose in a dictionary, of what is trained, and the trainer's segments and shortest matches.
+WINDOW, PROSE, TRAINED, SEGMENT, MATCH = 12, 120_000, 16_384, 24, 8
+#: Windows that the trainer sees at most, of the bounded sample's; shares of ordinary windows that exceed the thresholds.
+MOST_WINDOWS, EXCEED = 20_000, (0.05, 0.01, 0.002)
 #: Likelihood ratio statistic and ratio of document frequencies from which a word is toxic.
 LEAST_G, LEAST_RATIO = 12.0, 3.0
 #: Of crc32(doc_id as text): rows with this remainder are never learnt from.
 FOLDS, HELD_OUT = 4, 2
 THRESHOLD = 0.3
 
+
 def windows(form: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Begin, end and row of each window of the rows that begin at ``at``."""
     if not len(form):
@@ -66,6 +74,8 @@ class Model:
     scale: list[float] = field(default_factory=list)
     weights: list[float] = field(default_factory=list)
     bias: float = -1e9
+    levels: list[int] = field(default_factory=lambda: [2, 3, 5])
+    always: float = 0.0  # the score of every text if nothing could be learnt
     _both: tuple | None = None
 
     def __getstate__(self):
@@ -85,31 +95,37 @@ class Model:
             self._both = tuple(both)
         return self._both
 
-    def features(self, body: np.ndarray, at: np.ndarray) -> np.ndarray:
-        """Per row: largest distance, mean of the three largest, log counts of distances from 2, 3 and 5, share of windows from 3."""
-        out = np.zeros((len(at) - 1, 6))
+    def distances(self, body: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of each window of the rows: its distance and its row."""
         form = frames.formed(body)
         begins, ends, row = windows(form, at)
         if not len(begins):
-            return out
+            return np.zeros(0, np.int64), row
         segments = np.stack([begins, ends - begins], axis=1).astype(np.uint64)
         buffer = zstandard.BufferWithSegments(form.tobytes(), segments.tobytes())
         sizes = [np.fromiter(map(len, c.multi_compress_to_buffer(buffer, threads=1)), np.int64, len(begins)) for c in self.compressors()]
-        distance = sizes[0] - sizes[1]
+        return sizes[0] - sizes[1], row
+
+    def features(self, body: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Per row: largest distance, mean of the three largest, log counts of distances from each level, share of windows from the middle one."""
+        out = np.zeros((len(at) - 1, 6))
+        distance, row = self.distances(body, at)
+        if not len(row):
+            return out
         order = np.lexsort((-distance, row))
         distance, row = distance[order].astype(float), row[order]
         rows, first, n = np.unique(row, return_index=True, return_counts=True)
         out[rows, 0] = distance[first]
         rank = np.arange(len(row)) - np.repeat(first, n)
         out[rows, 1] = np.bincount(row, np.where(rank < 3, distance, 0), len(out))[rows] / np.minimum(n, 3)
-        for k, least in ((2, 2), (3, 3), (4, 5)):
+        for k, least in enumerate(self.levels, 2):
             out[:, k] = np.log1p(np.bincount(row, distance >= least, len(out)))
-        out[rows, 5] = np.bincount(row, distance >= 3, len(out))[rows] / n
+        out[rows, 5] = np.bincount(row, distance >= self.levels[1], len(out))[rows] / n
         return out
 
     def scores(self, column: pa.Array) -> np.ndarray:
         body, at = frames.raw(column)
-        out = np.zeros(len(column))
+        out = np.full(len(column), self.always)
         if not self.weights:
             return out
         for a, b in frames.slices(at):
@@ -131,11 +147,28 @@ def _logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray, ridge: float = 1.0) -
     return beta
 
 
+def trained(samples: list[bytes]) -> bytes:
+    """The content of a zstandard dictionary trained on the samples, or, where they are too few to train on, the different ones themselves."""
+    try:
+        return zstandard.train_dictionary(TRAINED, samples, k=SEGMENT, d=MATCH).as_bytes()
+    except zstandard.ZstdError:
+        return b"".join(dict.fromkeys(samples))[:TRAINED]
+
+
+def calibrated(ordinary: np.ndarray) -> list[int]:
+    """The least distances, one above the other, that at most the set shares of ordinary windows reach."""
+    levels: list[int] = []
+    for share in EXCEED:
+        least = int(np.sort(ordinary)[-int(len(ordinary) * share) - 1]) + 1 if len(ordinary) else 1
+        levels.append(max([1, least, *(x + 1 for x in levels)]))
+    return levels
+
+
 def fit(rows: list[tuple[int, str, int]], share: float | None = None) -> Model:
     """A model from (doc_id, text, toxic) rows; share is that of toxic rows among all labelled ones, if the rows are a sample by class."""
     texts, y = pa.array([t or "" for _, t, _ in rows], pa.string()), np.array([int(t) for *_, t in rows])
     if not y.any() or y.all():
-        return Model()
+        return Model(always=float(len(y) > 0 and y.all()))
     body, at = frames.raw(texts)
     form = frames.formed(body[: at[-1]])
     shown = np.array([zlib.crc32(str(i).encode()) % FOLDS != FOLDS - 1 for i, *_ in rows])
@@ -158,8 +191,19 @@ def fit(rows: list[tuple[int, str, int]], share: float | None = None) -> Model:
         p, term = (a + b) / (n_toxic + n_ordinary), lambda x, e: x * log(x / e) if x else 0.0
         return 2 * (term(a, p * n_toxic) + term(b, p * n_ordinary) + term(n_toxic - a, (1 - p) * n_toxic) + term(n_ordinary - b, (1 - p) * n_ordinary))
 
-    words = [w for w, a in seen[1].items() if a >= 3 and a / n_toxic > LEAST_RATIO * (seen[0][w] + 0.5) / n_ordinary and g(w) > LEAST_G]
-    words = sorted(words, key=lambda w: (-g(w), w))[:TOXIC_WORDS]
+    words = {w for w, a in seen[1].items() if a >= 3 and a / n_toxic > LEAST_RATIO * (seen[0][w] + 0.5) / n_ordinary and g(w) > LEAST_G}
+    passages: list[bytes] = []
+    for k in np.flatnonzero(shown & (y == 1)).tolist():
+        run: list[bytes] = []
+        for w in [*form[at[k] : at[k + 1]].tobytes().split(), b""]:
+            if w in words:
+                run.append(w)
+            elif run:
+                passages.append(b" " + b" ".join(run) + b" ")
+                run = []
+    toxic = trained(passages)
+    left = sorted((w for w in words if b" " + w + b" " not in toxic), key=lambda w: (g(w), w))
+    toxic = b" ".join([b"", *left, toxic])
     # ordinary prose: a window of each shown ordinary document in turn, until there is enough
     prose, size, at_docs = [], 0, np.flatnonzero(shown & (y == 0))
     for turn in range(64):
@@ -174,11 +218,20 @@ def fit(rows: list[tuple[int, str, int]], share: float | None = None) -> Model:
                 size += len(prose[-1])
         if size >= PROSE:
             break
-    prose = b"".join(prose)[-PROSE:]
-    model = Model(ordinary=prose + b" " * max(0, 64 - len(prose)), toxic=b" " + b" ".join(reversed(words)) + b" " + prose + b" " * max(0, 64 - len(prose)))
+    seen_windows = dict.fromkeys(prose)
+    for k in at_docs.tolist():
+        if len(seen_windows) >= MOST_WINDOWS:
+            break
+        own = form[at[k] : at[k + 1]]
+        seen_windows |= dict.fromkeys(own[a:b].tobytes() for a, b, _ in zip(*windows(own, np.array([0, len(own)]))))
+    common = trained(list(seen_windows)[:MOST_WINDOWS]) + b" " + b"".join(prose)[-PROSE:]
+    common += b" " * max(0, 64 - len(common))
+    model = Model(ordinary=common, toxic=toxic + b" " + common)
+    judged = ~shown if not shown.all() else shown
+    ordinary = [model.distances(body[at[k] : at[k + 1]], np.array([0, at[k + 1] - at[k]]))[0] for k in np.flatnonzero(judged & (y == 0))]
+    model.levels = calibrated(np.concatenate(ordinary))
     model.weights = [0.0] * 6
     model.mean, model.scale = [0.0] * 6, [1.0] * 6
-    judged = ~shown if not shown.all() else shown
     x = np.concatenate([model.features(body[at[k] : at[k + 1]], np.array([0, at[k + 1] - at[k]])) for k in np.flatnonzero(judged)])
     y = y[judged]
     w = np.ones(len(y))
@@ -201,7 +254,9 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
         part = known.where(F.col("toxic") == toxic).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
         sample = part if sample is None else sample.unionByName(part)
     # at most MOST_TOXIC + MOST_ORDINARY ids
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(sample), "doc_id").select("doc_id", "text", "toxic").toArrow()
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(sample), "doc_id")
+    # one text of a repeated id, so that the bound on ids bounds the rows
+    rows = rows.groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).select("doc_id", "text", "toxic").toArrow()
     rows = sorted(zip(*(c.to_pylist() for c in rows.columns)), key=lambda r: (r[0], r[1] or ""))
     total = sum(counts.values())
     return fit(rows, counts.get(1, 0) / total if total else None)
