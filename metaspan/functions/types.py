@@ -80,7 +80,7 @@ def _year() -> Column:
 
 
 def detail_type() -> Column:
-    """The first that holds. Coordinates are checked on the median value."""
+    """The first that holds. Coordinates are checked on the most frequent value of the format, dates on its median."""
     f, median, one = F.col("format"), F.col("format_median"), F.col("format_cnt") == 1
     korean = f.startswith("K")
     return (
@@ -91,8 +91,8 @@ def detail_type() -> Column:
         .when(f.isin(DATES) & v.date(median), "DATECHAR")
         .when(f.isin(MONTHS) & v.year_month(median), "YEARMONTH")
         .when(_year(), "YEAR")
-        .when(_coordinate(2) & v.latitude(median), "LATITUDE")
-        .when(_coordinate(3) & v.longitude(median), "LONGITUDE")
+        .when(_coordinate(2) & v.latitude(F.col("format_mode")), "LATITUDE")
+        .when(_coordinate(3) & v.longitude(F.col("format_mode")), "LONGITUDE")
         .when(_telephones(0.8), "TEL")
         .when(f.isin(CELLPHONES) & v.cellphone(median), "CELLPHONE")
         .when(f.isin(CARS), "CAR_NUMBER")

@@ -62,8 +62,10 @@ def longitude(c: Column) -> Column:
 #: Korean telephone numbers, digits only: local ones; area 02; mobile 010; other areas. A local part starts with 2-9.
 TELEPHONE = r"^([2-9][0-9]{6,7}|02[2-9][0-9]{6,7}|010[2-9][0-9]{6,7}|0[3-9][0-9][2-9][0-9]{6,7})\z"
 CELLPHONE = r"^01[016789][2-9][0-9]{6,7}\z"
-URL = r"(?i)^https?://(([a-z0-9]([a-z0-9-]*[a-z0-9])?\.)+[a-z]{2,}|localhost|[0-9]{1,3}(\.[0-9]{1,3}){3})(:[0-9]+)?([/?#][^\s]*)?\z"
-EMAIL = r"^[a-zA-Z0-9_.+-]+@[a-zA-Z0-9-]+\.[a-zA-Z0-9.-]+\z"
+#: What an address of a page and of a mailbox looks like.
+URL = r"(?i)^https?://((?:[a-z0-9](?:[a-z0-9-]{0,61}[a-z0-9])?\.)+[a-z]{2,6}\.?|localhost|[0-9]{1,3}(?:\.[0-9]{1,3}){3})(?::[0-9]+)?(?:/?|[/?]\S+)\z"
+EMAIL = r"^[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}\z"
+#: Number plates and times of day.
 CAR = r"^([0-9]{2,3}[가-힣][0-9]{4}|[가-힣]{2}[0-9]{2}[가-힣][0-9]{4})\z"
 TIME = r"^([0-9]{2}:[0-9]{2}:[0-9]{2}|[0-9]{2}:[0-9]{2}.?[0-9])\z"
 
@@ -140,11 +142,10 @@ VALIDATORS: dict[str, Callable[[Column], Column]] = {
     "CELLPHONE": cellphone, "URL": url, "EMAIL": email, "KOR_NAME": korean_name, "COUNTRY_ISO3": country_iso3, "ADDRESS": korean_address, "GENDER": gender,
     "GENDER_EN": gender_english, "CAR_NUMBER": car_number, "TIME": time, "TIMESTAMP": timestamp,
 }
-#: Other names under which rules know a validator.
+#: Other names under which rules know a validator.
 SYNONYMS = {
-    "날짜": "DATECHAR", "년월": "YEARMONTH", "연월": "YEARMONTH", "년도": "YEAR", "연도": "YEAR", "위도": "LATITUDE", "경도": "LONGITUDE", "전화번호": "TEL", "휴대폰": "CELLPHONE",
-    "핸드폰": "CELLPHONE", "이메일": "EMAIL", "성명": "KOR_NAME", "이름": "KOR_NAME", "국가": "COUNTRY_ISO3", "주소": "ADDRESS", "성별": "GENDER", "차량번호": "CAR_NUMBER",
-    "시간": "TIME", "일시": "TIMESTAMP",
+    "주소": "ADDRESS", "국가코드": "COUNTRY_ISO3", "이메일": "EMAIL", "휴대폰": "CELLPHONE", "전화": "TEL", "위도": "LATITUDE", "경도": "LONGITUDE", "연월": "YEARMONTH", "연월일": "DATECHAR",
+    "성씨": "KOR_NAME", "성별구분": "GENDER", "성별구분_영문": "GENDER_EN", "시도": "ADDRESS", "차량번호": "CAR_NUMBER",
 }
 
 

@@ -8,8 +8,13 @@ from pyspark.sql import functions as F
 from metaspan.operators.profile import rounded
 
 FILE = ["file_path", "file_name", "column_name", "master_type"]
-#: Semantic types that are never keys of a relation.
-NEVER_JOINED = ["DATECHAR", "YYMMDD", "YEARMONTH", "YEAR", "TIMESTAMP", "TIME", "LATITUDE", "LONGITUDE", "TEL", "CELLPHONE", "ADDRESS", "Text", "CLOB", "YN_Flag", "True_False_Flag", "Alpha_Flag", "Num_Flag", "Kor_Flag", "NULL", "SINGLE VALUE"]
+#: Semantic types that are never keys of a relation. Spelling counts, so Kor_Flag and KOR_NAME may be keys.
+NEVER_JOINED = [
+    "Time", "Timestamp", "Date", "DateTime", "DATECHAR", "TIME", "TIMESTAMP", "DATE", "DATETIME", "YEAR", "YEARMONTH", "YYMMDD", "LATITUDE", "LONGITUDE", "TEL", "CELLPHONE", "ADDRESS",
+    "Alpha_Flag", "Num_Flag", "YN_Flag", "NUM_Flag", "KOR_Flag", "KOR_Name",
+]
+#: Types that are hardly ever keys, for callers that want fewer candidates: joinable(..., NEVER_JOINED + SELDOM_JOINED).
+SELDOM_JOINED = ["Text", "CLOB", "True_False_Flag", "Kor_Flag", "NULL", "SINGLE VALUE"]
 LEAST_FORMAT_PCT, LEAST_UNIQUE, LEAST_VALUES, LEAST_MATCH = 10.0, 10, 10, 20.0
 PIVOT_MATCH, PIVOT_RANK = 10.0, 3
 
@@ -23,8 +28,8 @@ def expand_formats(profile: DataFrame) -> DataFrame:
     return long.where((F.trim("format") != "") & (F.col("format_pct") > LEAST_FORMAT_PCT)).distinct()
 
 
-def joinable(expanded: DataFrame) -> DataFrame:
-    return expanded.where(~F.coalesce(F.col("detail_type"), F.lit("")).isin(NEVER_JOINED))
+def joinable(expanded: DataFrame, never: list[str] = NEVER_JOINED) -> DataFrame:
+    return expanded.where(~F.coalesce(F.col("detail_type"), F.lit("")).isin(never))
 
 
 def compare_length(column: Column) -> Column:

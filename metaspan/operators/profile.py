@@ -141,6 +141,16 @@ def edges(vc: DataFrame, k: int = 3) -> DataFrame:
     return ranked(by, [COLUMN, "side", "n"], k).select(COLUMN, "side", "n", "rank", "value", "cnt")
 
 
+def edge_lists(vc: DataFrame, k: int = 10) -> DataFrame:
+    """first1_top10 to last3_top10: the values of edges() of each side and length, most frequent first."""
+    found = edges(vc, k)
+    cells = [
+        F.transform(F.sort_array(F.collect_list(F.when((F.col("side") == side) & (F.col("n") == n), F.struct("rank", "value")))), lambda r: r.value).alias(f"{side}{n}_top{k}")
+        for side in ("first", "last") for n in (1, 2, 3)
+    ]
+    return found.groupBy(COLUMN).agg(*cells)
+
+
 def composition(vc: DataFrame) -> DataFrame:
     """0/1 flags of what characters the values hold."""
     how = {"any": F.max, "all": F.min}
@@ -169,7 +179,7 @@ def profile(df: DataFrame, columns: list[str] | None = None, file_name: str | No
     types = {c: t for c, t in df.dtypes}
     vc = value_counts(df, columns).cache()
     out = counts(vc)
-    for part in (lengths(vc), value_stats(vc), top_values(vc), wide_formats(formats(vc)), composition(vc), first_characters(vc), numeric_shape(vc)):
+    for part in (lengths(vc), value_stats(vc), top_values(vc), wide_formats(formats(vc)), composition(vc), first_characters(vc), numeric_shape(vc), edge_lists(vc)):
         out = out.join(part, COLUMN, "left")
     kinds = F.create_map(*[F.lit(x) for c in columns or df.columns for x in (c, types[c])])
     out = out.withColumn("data_type", F.element_at(kinds, F.col(COLUMN)))

@@ -47,7 +47,8 @@ def apply_rules(profile: DataFrame, definitions: list[tuple[str, str, str | None
     """The profile with rule_type, matched_rules, matched_scores, score_avg, score_max and rule.
 
     definitions are (name, rule1, rule2); both must hold; a match scores the mean ratio of rule2's memberships, or 1.
-    Matches are in order of score, then of definition. All rules are one projection: no join with the rule table.
+    Matches are in order of score, then of definition; the columns in order of their best and mean score. All rules are one projection: no join with
+    the rule table. A run in which no rule matches any column has the rule types as its rules.
     """
     names = environment(profile)
     cells = []
@@ -68,7 +69,10 @@ def apply_rules(profile: DataFrame, definitions: list[tuple[str, str, str | None
             "score_max": F.array_max(scores),
         }
     )
-    return out.withColumn("rule", F.col("matched_rules")).drop("found")
+    # if no rule matched any column of the run, its columns are named by their types
+    some = out.agg(F.coalesce(F.bool_or(F.col("matched_rules") != ""), F.lit(False))).scalar()
+    out = out.withColumn("rule", F.when(some, F.col("matched_rules")).otherwise(F.col("rule_type"))).drop("found")
+    return out.orderBy(F.desc_nulls_last("score_max"), F.desc_nulls_last("score_avg"), "column_name")
 
 
 def validator_rates(df: DataFrame, checks: dict[str, str | list[str]]) -> DataFrame:
@@ -84,4 +88,5 @@ def validator_rates(df: DataFrame, checks: dict[str, str | list[str]]) -> DataFr
 def rule_checks(matched: DataFrame) -> Column:
     """The validator of a column's single matched rule; several rules name none."""
     names = F.create_map(*[F.lit(x) for k, v in {**{k: k for k in validators.VALIDATORS}, **validators.SYNONYMS}.items() for x in (k, v)])
-    return F.try_element_at(names, F.when(~matched.matched_rules.contains(";"), F.trim(matched.matched_rules)))
+    name = F.when(~matched.matched_rules.contains(";"), F.trim(matched.matched_rules))
+    return F.coalesce(F.try_element_at(names, name), F.try_element_at(names, F.upper(name)))

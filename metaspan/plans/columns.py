@@ -261,24 +261,76 @@ def validator_rates(spark, sf_dir):
 
 
 def validator_rates_sql():
-    from metaspan.functions import validators as v
-
     def rate(column, name, source, test):
         return f"SELECT '{column}' AS column_name, '{name}' AS validator, count(*) AS value_cnt, count(*) FILTER ({test}) AS valid_cnt FROM ({source}) WHERE x IS NOT NULL"
 
+    # the patterns are written out here, so that a changed constant of the library shows
+    url_form = r"(?i)^https?://((?:[A-Z0-9](?:[A-Z0-9-]{0,61}[A-Z0-9])?\.)+[A-Z]{2,6}\.?|localhost|\d{1,3}(?:\.\d{1,3}){3})(?::\d+)?(?:/?|[/?]\S+)$"
+    mail_form = r"^[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}$"
+    local = r"[2-9][0-9]{6,7}"
+    phone_form = rf"^({local}|02{local}|010{local}|0[3-9][0-9]{local})$"
+    mobile_form = rf"^01[016789]{local}$"
     day = lambda f: f"SELECT strftime(o_orderdate, '{f}') AS x FROM orders"
     number, url = "SELECT substr(c_name, 10, 9) AS x FROM customer", "SELECT url AS x FROM pages"
     rows = [
         rate("day", "DATECHAR", day("%Y%m%d"), "try_strptime(x, '%Y%m%d') IS NOT NULL AND left(x, 4) >= '1900'"), rate("day", "YYMMDD", day("%Y%m%d"), "length(x) = 6"),
         rate("short_day", "YYMMDD", day("%y%m%d"), "try_strptime(x, '%y%m%d') IS NOT NULL"), rate("month", "YEARMONTH", day("%Y%m"), "left(x, 4) >= '1900' AND right(x, 2) BETWEEN '01' AND '12'"),
-        rate("year", "YEAR", day("%Y"), "x::INT BETWEEN 1900 AND 2999"), rate("url", "URL", url, f"regexp_matches(trim(x), '{v.URL}')"), rate("url", "EMAIL", url, f"regexp_matches(trim(x), '{v.EMAIL}')"),
-        rate("number", "TEL", number, f"regexp_matches(x, '{v.TELEPHONE}')"), rate("number", "CELLPHONE", number, f"regexp_matches(x, '{v.CELLPHONE}')"),
+        rate("year", "YEAR", day("%Y"), "x::INT BETWEEN 1900 AND 2999"), rate("url", "URL", url, f"regexp_matches(trim(x), '{url_form}')"), rate("url", "EMAIL", url, f"regexp_matches(trim(x), '{mail_form}')"),
+        rate("number", "TEL", number, f"regexp_matches(x, '{phone_form}')"), rate("number", "CELLPHONE", number, f"regexp_matches(x, '{mobile_form}')"),
         rate("degree", "LATITUDE", "SELECT c_nationkey AS x FROM customer", "abs(x) <= 90"), rate("degree", "LONGITUDE", "SELECT c_nationkey AS x FROM customer", "abs(x) <= 180"),
         rate("code", "COUNTRY_ISO3", "SELECT left(c_mktsegment, 3) AS x FROM customer", "regexp_matches(x, '^[A-Z]{3}\\z')"),
     ]
     return f"SELECT *, round((valid_cnt::DOUBLE / value_cnt::DOUBLE * 100)::DECIMAL(18, 6), 2)::DOUBLE AS valid_pct FROM ({' UNION ALL '.join(rows)})"
 
 
+#: Texts that tell right patterns from nearly right ones, dealt to customers by number: column -> validator and (text, valid).
+CASES = {
+    "mail": ("EMAIL", [("a@b.co", 1), ("a%b@x.com", 1), ("a@b.1", 0), ("a@b.c-", 0), ("a.b+c@d-e.org", 1), ("a b@x.com", 0), ("a@x", 0)]),
+    "page": ("URL", [("http://a.com./", 1), ("http://a.museums", 0), ("http://a.com#x", 0), ("https://localhost:80/x", 1), ("HTTP://1.2.3.4?q", 1), ("ftp://a.com", 0), ("http://-a.com", 0)]),
+    "plate": ("CAR_NUMBER", [("12가3456", 1), ("123나4567", 1), ("서울12가3456", 1), ("12A3456", 0)]),
+    "clock": ("TIME", [("12:30:59", 1), ("12:30", 0), ("noon", 0)]),
+    "sex": ("GENDER", [("남", 1), ("여", 1), ("M", 0)]),
+    "sex_en": ("GENDER_EN", [("m", 1), ("F", 1), ("x", 0)]),
+    "stamp": ("TIMESTAMP", [("2024-01-01 00:00:00", 1), ("anything", 1)]),
+    "family": ("KOR_NAME", [("김", 1), ("x", 1)]),
+    "place": ("ADDRESS", [("서울특별시 강남구", 1), ("x", 1)]),
+}
+
+
+def validator_cases(spark, sf_dir):
+    """Rates of texts whose validity is known; without sets of valid values names and addresses pass."""
+    texts = {c: F.element_at(F.array(*[F.lit(x) for x, _ in cases]), (F.col("c_custkey") % len(cases)).cast("int") + 1) for c, (_, cases) in CASES.items()}
+    return rules.validator_rates(table(spark, sf_dir, "customer").select(*[x.alias(c) for c, x in texts.items()]), {c: v for c, (v, _) in CASES.items()})
+
+
+def validator_cases_sql():
+    rows = []
+    for column, (validator, cases) in CASES.items():
+        good = ", ".join(str(i) for i, (_, valid) in enumerate(cases) if valid)
+        rows.append(f"SELECT '{column}' AS column_name, '{validator}' AS validator, count(*) AS value_cnt, count(*) FILTER (c_custkey % {len(cases)} IN ({good})) AS valid_cnt FROM customer")
+    return f"SELECT *, round((valid_cnt::DOUBLE / value_cnt::DOUBLE * 100)::DECIMAL(18, 6), 2)::DOUBLE AS valid_pct FROM ({' UNION ALL '.join(rows)})"
+
+
+#: Names of rules -> validators that the oracle expects; None: no validator.
+RULE_NAMES = {
+    "주소": "ADDRESS", "국가코드": "COUNTRY_ISO3", "이메일": "EMAIL", "휴대폰": "CELLPHONE", "전화": "TEL", "위도": "LATITUDE", "경도": "LONGITUDE", "연월": "YEARMONTH", "연월일": "DATECHAR",
+    "성씨": "KOR_NAME", "성별구분": "GENDER", "성별구분_영문": "GENDER_EN", "차량번호": "CAR_NUMBER", "url": "URL", "URL": "URL", "전화; 휴대폰": None, "성명": None,
+}
+
+
+def rule_validators(spark, sf_dir):
+    """The validator that each customer's rule name stands for."""
+    names = list(RULE_NAMES)
+    named = table(spark, sf_dir, "customer").select("c_custkey", F.element_at(F.array(*[F.lit(x) for x in names]), (F.col("c_custkey") % len(names)).cast("int") + 1).alias("matched_rules"))
+    return named.select("c_custkey", "matched_rules", rules.rule_checks(named).alias("validator"))
+
+
+def rule_validators_sql():
+    cases = " ".join(f"WHEN {i} THEN " + (f"'{v}'" if v else "NULL") for i, v in enumerate(RULE_NAMES.values()))
+    names = ", ".join(f"'{n}'" for n in RULE_NAMES)
+    return f"SELECT c_custkey, ([{names}])[c_custkey % {len(RULE_NAMES)} + 1] AS matched_rules, CASE c_custkey % {len(RULE_NAMES)} {cases} END AS validator FROM customer"
+
+
 NUMERIC = {"lineitem": ["l_quantity", "l_extendedprice", "l_discount"], "orders": ["o_totalprice"], "customer": ["c_acctbal"], "events": ["value"]}
 
 
@@ -310,6 +362,15 @@ def rule_matches(spark, sf_dir):
     return out.select("column_name", "matched_rules", "score_avg", "score_max")
 
 
+def unmatched_rules(spark, sf_dir):
+    """A run in which no rule matches: the rule types take the place of the rules."""
+    return rules.apply_rules(_profiles(spark, sf_dir), [("never", "LenMax < 0", None)]).select("column_name", "matched_rules", (F.col("rule") == F.col("rule_type")).alias("falls_back"))
+
+
+def unmatched_rules_sql():
+    return f"WITH {vc_sql()} SELECT DISTINCT column_name, '' AS matched_rules, true AS falls_back FROM pv"
+
+
 def rule_matches_sql():
     """Rule 3 shows the grammar: `HasOnlyNum == 1 & LenMax <= 3` is HasOnlyNum == (1 & LenMax) <= 3, where (1 & LenMax) is true."""
     top = "t10 AS (SELECT column_name, list(value ORDER BY cnt DESC, value) AS top FROM (SELECT *, row_number() OVER (PARTITION BY column_name ORDER BY cnt DESC, value) AS rn FROM pv) WHERE rn <= 10 GROUP BY column_name)"
@@ -337,13 +398,13 @@ QUERIES = {
     f.__name__: f
     for f in (
         column_profile, profile_counts, profile_lengths, profile_values, value_top10, format_top3, edge_top3, composition_flags, first_char_counts, oracle_type, detail_type, dq_score, quality_kpis,
-        per_file_kpis, validator_rates, numeric_control_limits, rule_matches,
+        per_file_kpis, validator_rates, validator_cases, rule_validators, numeric_control_limits, rule_matches, unmatched_rules,
     )
 }
 ORACLES = {
     f.__name__.removesuffix("_sql"): f()
     for f in (
         profile_counts_sql, profile_lengths_sql, profile_values_sql, value_top10_sql, format_top3_sql, edge_top3_sql, composition_flags_sql, first_char_counts_sql, oracle_type_sql, detail_type_sql,
-        dq_score_sql, quality_kpis_sql, per_file_kpis_sql, validator_rates_sql, numeric_control_limits_sql, rule_matches_sql,
+        dq_score_sql, quality_kpis_sql, per_file_kpis_sql, validator_rates_sql, validator_cases_sql, rule_validators_sql, numeric_control_limits_sql, rule_matches_sql, unmatched_rules_sql,
     )
 }

@@ -81,7 +81,11 @@ def internal_mapping(spark, sf_dir):
 def mapping_cte() -> str:
     """links: matches above the limit of columns (s) with master columns (m), by the gates of candidate_pairs()."""
     owner = " UNION ALL ".join(f"SELECT '{c}' AS column_name, '{t}' AS file_name, {'1' if t in ('nation', 'region', 'part') else '0'} AS ref" for t, cs in KEYS.items() for c in cs)
-    never = ", ".join(f"'{t}'" for t in match.NEVER_JOINED)
+    # written out, so that a changed list of the library shows
+    never = (
+        "'Time', 'Timestamp', 'Date', 'DateTime', 'DATECHAR', 'TIME', 'TIMESTAMP', 'DATE', 'DATETIME', 'YEAR', 'YEARMONTH', 'YYMMDD', 'LATITUDE', 'LONGITUDE', "
+        "'TEL', 'CELLPHONE', 'ADDRESS', 'Alpha_Flag', 'Num_Flag', 'YN_Flag', 'NUM_Flag', 'KOR_Flag', 'KOR_Name'"
+    )
     return f"""{vc_sql(KEYS)}, {wide_cte()}, owner AS ({owner}), td AS (SELECT column_name, unique_cnt, {detail_case()} AS detail FROM wide),
 x AS (SELECT o.file_name, o.ref, t.unique_cnt, f.* FROM formats f JOIN owner o USING (column_name) JOIN td t USING (column_name) WHERE format <> '' AND format_pct > 10 AND detail NOT IN ({never})),
 cand AS (SELECT DISTINCT s.file_name, s.column_name, s.ref AS s_ref, m.file_name AS master_file, m.column_name AS master_column, m.ref AS m_ref FROM x s JOIN x m ON s.format = m.format

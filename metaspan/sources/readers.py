@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import re
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,23 +28,40 @@ def null_tokens(df: DataFrame, tokens: list[str] = NULL_TOKENS) -> DataFrame:
     return df.select(*[F.when(~F.col(f"`{c}`").isin(tokens), F.col(f"`{c}`")).alias(c) if kinds[c] == "string" else F.col(f"`{c}`") for c in df.columns])
 
 
-def detect_encoding(spark: SparkSession, path: str, head: int = 1 << 16) -> str:
-    """The first encoding that decodes the head of the (first) file; a bounded read on one executor."""
-    names = {"UTF-8": "utf-8", "x-windows-949": "cp949", "EUC-KR": "euc-kr"}
-    first = spark.read.format("binaryFile").load(path).select(F.substring("content", 1, head).alias("head")).first()
-    content = bytes(first.head) if first else b""
-    for java in ENCODINGS:
-        try:
-            content.decode(names[java])
-            return java
-        except UnicodeDecodeError as error:
-            if error.start > len(content) - 4 and len(content) == head:  # a character cut off by the head's end
-                return java
-    return ENCODINGS[0]
-
-
-def read_csv(spark: SparkSession, path: str, encoding: str | None = None, separator: str = ",", infer: bool = False, skip_bad: bool = False, multiline: bool = True) -> DataFrame:
-    """A flat file with a header: all text unless types are inferred, null tokens as nulls, clean header."""
+def encodings(spark: SparkSession, path: str | list[str], suffix: str = "", head: int = 1 << 16) -> dict[str, str]:
+    """The encoding of each file: UTF-8 if every line is, which a distributed pass over all of it tells; else the first other one that decodes the file's head."""
+    lines = spark.read.option("pathGlobFilter", f"*{suffix}").text(path)
+    valid = lines.groupBy(F.col("_metadata.file_path").alias("path")).agg(F.bool_and(F.is_valid_utf8("value")).alias("valid")).collect()
+    found = {row.path: ENCODINGS[0] for row in valid if row.valid}
+    names = {"x-windows-949": "cp949", "EUC-KR": "euc-kr"}
+    for row in valid:
+        if row.valid:
+            continue
+        first = spark.read.format("binaryFile").load(row.path).select(F.substring("content", 1, head).alias("head")).first()
+        content = bytes(first.head)
+        found[row.path] = ENCODINGS[1]
+        for java in ENCODINGS[1:]:
+            try:
+                content.decode(names[java])
+                found[row.path] = java
+                break
+            except UnicodeDecodeError as error:
+                if error.start > len(content) - 4 and len(content) == head:  # a character cut off by the head's end
+                    found[row.path] = java
+                    break
+    return found
+
+
+def detect_encoding(spark: SparkSession, path: str) -> str:
+    """The encoding of a file or, of several, the first of ENCODINGS that is not UTF-8 if one has it."""
+    return max(encodings(spark, path).values(), key=ENCODINGS.index, default=ENCODINGS[0])
+
+
+def read_csv(spark: SparkSession, path: str, encoding: str | None = None, separator: str = ",", infer: bool = False, skip_bad: bool = False, multiline: bool = False) -> DataFrame:
+    """A flat file with a header: all text unless types are inferred, null tokens as nulls, clean header.
+
+    With ``multiline`` quoted values may hold line ends, but a file is then one task, however large.
+    """
     encoding = encoding or detect_encoding(spark, path)
     if encoding != "UTF-8":
         spark.conf.set("spark.sql.legacy.javaCharsets", "true")  # without it only UTF and Latin-1 names are allowed
@@ -61,9 +79,55 @@ def read_excel(path: str, spark: SparkSession) -> DataFrame:
 
 
 def read_directory(spark: SparkSession, path: str, suffix: str = ".csv", **options) -> DataFrame:
-    """All files of a directory with the suffix, as one table with file_path and file_name."""
-    reader = spark.read.option("header", True).option("pathGlobFilter", f"*{suffix}").option("inferSchema", options.get("infer", False))
-    return clean_headers(reader.csv(path).select("*", F.col("_metadata.file_path").alias("file_path"), F.col("_metadata.file_name").alias("file_name")))
+    """All files of a directory with the suffix, as one table with file_path and file_name: each in its encoding, null tokens as nulls."""
+    groups: dict[str, list[str]] = {}
+    for file, encoding in encodings(spark, path, suffix).items():
+        groups.setdefault(encoding, []).append(file)
+    out = None
+    for encoding, files in sorted(groups.items()):
+        if encoding != "UTF-8":
+            spark.conf.set("spark.sql.legacy.javaCharsets", "true")
+        reader = spark.read.option("header", True).option("escape", '"').option("encoding", encoding).option("inferSchema", options.get("infer", False))
+        rows = reader.csv(sorted(files)).select("*", F.col("_metadata.file_path").alias("_path"), F.col("_metadata.file_name").alias("_name"))
+        part = null_tokens(clean_headers(rows)).withColumnsRenamed({"_path": "file_path", "_name": "file_name"})
+        out = part if out is None else out.unionByName(part, allowMissingColumns=True)
+    if out is None:
+        raise ValueError(f"{path} holds no file *{suffix}")
+    return out
+
+
+def read_existing(spark: SparkSession, paths: dict[str, str], infer: bool = True) -> tuple[dict[str, DataFrame], list[str]]:
+    """The tables (Parquet, else flat files) of those paths that exist, by name, and the names of the others."""
+    found, missing = {}, []
+    for name, path in paths.items():
+        try:
+            found[name] = spark.read.parquet(path) if path.rstrip("/").endswith(".parquet") else read_csv(spark, path, infer=infer)
+        except AnalysisException as error:
+            if "PATH_NOT_FOUND" not in str(error.getCondition()):
+                raise
+            missing.append(name)
+    return found, missing
+
+
+def read_config(path: str) -> dict:
+    """A YAML configuration or data contract: plain values only."""
+    import yaml
+
+    with open(path, encoding="utf-8") as file:
+        return yaml.safe_load(file) or {}
+
+
+def read_rules(spark: SparkSession, path: str) -> list[tuple[str, str, str | None]]:
+    """Active definitions (name, rule1, rule2) of a rule table, in its order: flat file with Use_Flag, RuleName, rule1 and rule2."""
+    rows = read_csv(spark, path).where((F.upper(F.trim("Use_Flag")) == "Y") & F.col("rule1").isNotNull()).select("RuleName", "rule1", "rule2")
+    return [(r.RuleName.strip(), r.rule1, r.rule2) for r in rows.collect()]
+
+
+def read_valid_sets(spark: SparkSession, path: str, folder: str = "") -> dict[str, list[str]]:
+    """The sets of a valid-value table: flat file with valid_name, ListOrFile and valid_list; files are found in ``folder``."""
+    rows = read_csv(spark, path).where("valid_name IS NOT NULL").select("valid_name", "ListOrFile", "valid_list").collect()
+    where = lambda kind, text: f"{folder.rstrip('/')}/{text.strip()}" if folder and kind == "file" else text
+    return valid_values([(r.valid_name.strip(), (r.ListOrFile or "List").strip().lower(), where((r.ListOrFile or "").strip().lower(), r.valid_list or "")) for r in rows], spark)
 
 
 def list_files(spark: SparkSession, path: str, suffix: str = "") -> DataFrame:

@@ -29,8 +29,8 @@ def test_edges(spark):
         ("LONGITUDE", ["126.97", "-180"], ["180.5", "", None]),
         ("TEL", ["02-123-4567"[:3] + "212-4567", "02-2123-4567", "031-234-5678", "010-2345-6789", "234-5678", "2345-6789"], ["123-4567", "0212345", "010-1234-567", "", None]),
         ("CELLPHONE", ["010-2345-6789", "01123456789", "0162345678"], ["1023456789", "012-2345-6789", "010-1345-6789", None]),
-        ("URL", ["http://a.com", "HTTPS://Sub.Example.org:80/x?y", "http://localhost/z", "http://1.2.3.4"], ["ftp://a.com", "a.com", "http://", None]),
-        ("EMAIL", ["a.b+c@d-e.co", "x@y.z"], ["a.b.c", "@x.y", "a@b", None]),
+        ("URL", ["http://a.com", "HTTPS://Sub.Example.org:80/x?y", "http://localhost/z", "http://1.2.3.4", "http://a.com./"], ["http://a.museums", "http://a.com#x", "ftp://a.com", "a.com", "http://", None]),
+        ("EMAIL", ["a.b+c@d-e.co", "x%1@y.zz"], ["x@y.z", "a@b.1", "a@b.cc-", "a.b.c", "@x.y", "a@b", None]),
         ("COUNTRY_ISO3", ["KOR", " usa "], ["KO", "KORE", "K1R", None]),
         ("GENDER", ["남", "여"], ["M", None]),
         ("GENDER_EN", ["m", "F"], ["남", None]),
@@ -55,7 +55,7 @@ def test_reference_sets(spark):
 
 
 def test_validator_names():
-    assert validators.validator_of("전화번호") == "TEL" and validators.validator_of("email") == "EMAIL" and validators.validator_of("a; b") is None
+    assert validators.validator_of("전화") == "TEL" and validators.validator_of("전화번호") is None and validators.validator_of("email") == "EMAIL" and validators.validator_of("a; b") is None
 
 
 def evaluate(spark, text, sets=None, strict=True, **values):

@@ -175,3 +175,34 @@ def test_stream_profile(spark, tmp_path):
     query.stop()
     rows = sorted((r.record_cnt, r.value_cnt, r.has_num) for r in spark.table("profiled").collect())
     assert rows == [(1, 1, 0), (2, 1, 1)]
+
+
+def test_rules_from_their_tables(spark, tmp_path):
+    (tmp_path / "rules.csv").write_text('﻿Use_Flag,RuleName,rule1,rule2\nY,day,"Format == ""nnnnnnnn""",First2Top10 in century and Last2Top10 in days\nN,off,LenMax > 0,\nY,broken,"(Format == ""A"") | Format == ""B"")",\n', encoding="utf-8")
+    (tmp_path / "days.csv").write_text("code\n" + "\n".join(f"{d:02d}" for d in range(1, 32)) + "\n")
+    (tmp_path / "valid.csv").write_text('valid_name,ListOrFile,valid_list\ncentury,List ,"""19"", ""20"""\ndays,File,days.csv\n')
+    definitions = readers.read_rules(spark, str(tmp_path / "rules.csv"))
+    assert [d[0] for d in definitions] == ["day", "broken"]
+    sets = readers.read_valid_sets(spark, str(tmp_path / "valid.csv"), str(tmp_path))
+    assert sets["century"] == ["19", "20"] and len(sets["days"]) == 31
+    df = spark.createDataFrame([("20240131", "x"), ("19990215", "y")], "d string, t string")
+    found = profile.profile(df, file_name="f", master_type="Master")
+    got = {r.column_name: r.rule for r in rules.apply_rules(found, definitions, sets, strict=False).collect()}
+    assert got == {"d": "day", "t": ""}
+
+
+def test_directory_with_encodings_and_nulls(spark, tmp_path):
+    (tmp_path / "a.csv").write_bytes("이름,n\n김,NA\n".encode("cp949"))
+    (tmp_path / "b.csv").write_bytes(("이름,n\n" + "x,1\n" * 30_000 + "박,2\n").encode("utf-8"))
+    (tmp_path / "c.csv").write_bytes(("이름,n\n" + "x,1\n" * 30_000 + "최,3\n").encode("cp949"))
+    (tmp_path / "d.txt").write_text("no")
+    rows = readers.read_directory(spark, str(tmp_path)).where("`이름` <> 'x'").collect()
+    assert sorted((r.file_name, r["이름"], r.n) for r in rows) == [("a.csv", "김", None), ("b.csv", "박", "2"), ("c.csv", "최", "3")]
+
+
+def test_existing_tables_and_config(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("k\n1\n")
+    (tmp_path / "c.yaml").write_text("quality:\n  - rule: not_null\n    column: k\n")
+    found, missing = readers.read_existing(spark, {"a": str(tmp_path / "a.csv"), "b": str(tmp_path / "b.csv"), "p": str(tmp_path / "p.parquet")})
+    assert list(found) == ["a"] and missing == ["b", "p"] and found["a"].first().k == 1
+    assert readers.read_config(str(tmp_path / "c.yaml"))["quality"][0]["column"] == "k"
