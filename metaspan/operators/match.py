@@ -77,18 +77,21 @@ def distinct_values(tables: dict[tuple[str, str], DataFrame], columns: dict[tupl
 def inclusion(pairs: DataFrame, values: DataFrame, least: float = LEAST_MATCH) -> DataFrame:
     """compare_count (values of both), source_count (values of the source) and match_pct of each pair, from `least` on.
 
-    Only the short pair list meets the values; values of a master with a compare length are cut to it, as are those of the
-    source, before they are compared. Values join on (master, value): both sides are distinct.
+    Each value is shuffled once, whatever the number of pairs its column is in: it is grouped with the columns that hold it, and every pair of
+    such a group is counted where it stands, combined before the counts move. Pairs and columns are metadata; only they are broadcast, if
+    they are small. Values of a pair with a compare length are cut to it first, so a value has a copy for each length that its column needs.
     """
     source = ["file_path", "file_name", "column_name"]
     master = ["master_path", "master_file", "master_column"]
-    short = pairs.select(*source, *master, "compare_length").distinct()
+    name = lambda columns: F.xxhash64(*columns)  # noqa: E731  of metadata: some thousands of columns
+    short = pairs.select(*source, *master, "compare_length", name(source).alias("s"), name(master).alias("m")).distinct()
+    kinds = short.select(F.col("s").alias("held"), "compare_length").union(short.select("m", "compare_length")).distinct()
     cut = F.when(F.col("compare_length") > 0, F.expr("left(value, compare_length)")).otherwise(F.col("value")).alias("value")
-    left = values.join(short, source).select(*source, *master, "compare_length", cut).distinct()
-    kinds = short.select(*master, "compare_length").distinct()
-    right = values.toDF("master_path", "master_file", "master_column", "value").join(kinds, master).select(*master, "compare_length", cut).distinct()
-    hits = left.join(right.withColumn("hit", F.lit(1)), [*master, "compare_length", "value"], "left")
-    out = hits.groupBy(*source, *master, "compare_length").agg(F.count("hit").alias("compare_count"), F.count("*").alias("source_count"))
+    named = values.select(name(source).alias("held"), "value").join(kinds, "held").select("compare_length", cut, "held")
+    sets = named.groupBy("compare_length", "value").agg(F.collect_set("held").alias("holders"))
+    met = sets.select("compare_length", "holders", F.explode("holders").alias("s")).join(short.select("s", "m", "compare_length"), ["s", "compare_length"])
+    counts = met.groupBy("s", "m", "compare_length").agg(F.sum(F.array_contains("holders", F.col("m")).cast("long")).alias("compare_count"), F.count("*").alias("source_count"))
+    out = counts.join(short, ["s", "m", "compare_length"]).select(*source, *master, "compare_length", "compare_count", "source_count")
     out = out.withColumn("match_pct", rounded(F.col("compare_count") / F.col("source_count") * 100))
     return out.where(F.col("match_pct") >= least)
 
