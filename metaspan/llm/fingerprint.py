@@ -29,8 +29,8 @@ from . import frames, shingles
 
 #: Samples of a fingerprint, 16 bits each, and the log2 of the number of gamma triples.
 SAMPLES, TABLE_BITS = 128, 20
-#: Ranges of ids that the documents are dealt to, in each of which the next document is found.
-MOST_RANGES = 1024
+#: Ranges of ids for each shuffle partition; in each the next document is found. How finely their bounds are estimated.
+RANGES, ACCURACY = 3, 100_000
 
 
 @lru_cache(maxsize=1)
@@ -90,12 +90,13 @@ def edited(text: str, other: str) -> str:
     return text[: len(text) - half] + other[:half]
 
 
-def _range_of(key: Column, bounds: list[int], low: int = 0) -> Column:
-    """The number of bounds that are at most ``key``, less one, by a binary tree of comparisons."""
-    if len(bounds) <= 1:
-        return F.lit(low)
-    half = len(bounds) // 2
-    return F.when(key < bounds[half], _range_of(key, bounds[:half], low)).otherwise(_range_of(key, bounds[half:], low + half))
+def _range_of(key: Column, bounds: Column, n: int) -> Column:
+    """The number of the n ascending bounds that are at most ``key``, less one, by bisection; ``key`` is not below the first."""
+
+    def step(at: Column, width: Column) -> Column:
+        return F.when((at + width < n) & (F.element_at(bounds, F.least(at + width, F.lit(n - 1)) + 1) <= key), at + width).otherwise(at)
+
+    return F.aggregate(F.lit(np.array([1 << k for k in reversed(range(n.bit_length()))], np.int32)), F.lit(0), step)
 
 
 def fingerprint_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -104,21 +105,29 @@ def fingerprint_documents(df: DataFrame, id_col: str = "doc_id", text_col: str =
     The next document is the one with the next id (equal ids: by text), after the last the first. Rows without an
     id have no next document: its text counts as empty and near_next is null. The documents are dealt to ranges of
     ids, whose bounds are ids of documents; the first document of a range also goes to the range before, as
-    the next of its last. So texts are shuffled once and each task streams over sorted rows.
+    the next of its last. So texts are shuffled once and each task streams over sorted rows. Texts are taken whole however long;
+    repeated rows each get a row; an empty table gives none; columns other than id and text are ignored whatever their names.
     """
     docs = df.select(frames.long_id(df, id_col).alias("doc_id"), F.coalesce(df[text_col], F.lit("")).alias("text"))
-    n = min(MOST_RANGES, 3 * frames.pieces(df.sparkSession))
+    n = RANGES * frames.pieces(df.sparkSession)
     ids = docs.select(F.col("doc_id")).where("doc_id IS NOT NULL")
-    bounds = ids.agg(F.percentile_approx("doc_id", [k / n for k in range(n)], 20 * n), F.min("doc_id")).first()
+    bounds = ids.agg(F.percentile_approx("doc_id", F.lit(np.arange(n) / n), ACCURACY), F.min("doc_id")).first()
     bounds = sorted({*(bounds[0] or []), bounds[1]}) if bounds[1] is not None else []
-    own, last = _range_of(F.col("doc_id"), bounds), max(len(bounds) - 1, 0)
     place = lambda number, tail: F.struct(number.alias("range"), F.lit(tail).alias("tail"))
-    places = F.array(place(F.coalesce(F.when(F.col("doc_id").isNotNull(), own), F.lit(-1)), False))
     if bounds:
-        is_head = F.coalesce(F.col("doc_id").isin(bounds), F.lit(False))
-        places = F.when(is_head, F.concat(places, F.array(place(F.when(own == 0, F.lit(last)).otherwise(own - 1), True)))).otherwise(places)
+        # one literal, whatever the number of ranges
+        held, last = F.lit(np.array(bounds, np.int64)), len(bounds) - 1
+        docs = docs.withColumn("own", F.when(F.col("doc_id").isNotNull(), _range_of(F.col("doc_id"), held, len(bounds))))
+        places = F.array(place(F.coalesce("own", F.lit(-1)), False))
+        is_head = F.coalesce(F.element_at(held, F.col("own") + 1) == F.col("doc_id"), F.lit(False))
+        before = F.when(F.col("own") == 0, F.lit(last)).otherwise(F.col("own") - 1)
+        places = F.when(is_head, F.concat(places, F.array(place(before, True)))).otherwise(places)
+    else:
+        places = F.array(place(F.lit(-1), False))
     dealt = docs.select("doc_id", "text", F.explode(places).alias("at")).select("at.range", "doc_id", "at.tail", "text")
-    dealt = dealt.repartition(n, "range").sortWithinPartitions("range", "tail", "doc_id", "text")
+    # a range is a task; rows without an id, which need no order, go anywhere
+    task = F.when(F.col("range") < 0, F.pmod(F.monotonically_increasing_id(), F.lit(n)).cast("int")).otherwise(F.col("range"))
+    dealt = dealt.repartitionById(n, task).sortWithinPartitions("range", "tail", "doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None  # the row whose next row has not come: (range, id, text)

@@ -54,3 +54,10 @@ def test_rows_without_ids_and_empty_table(spark):
     rows = f.fingerprint_documents(df).collect()
     assert len(rows) == 3 and sum(r.near_next is None for r in rows) == 2
     assert f.fingerprint_documents(df.limit(0)).count() == 0
+
+
+def test_many_ranges_give_the_same(spark, monkeypatch):
+    df = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").selectExpr("doc_id * 7 - 300 AS doc_id", "text", "1 AS own", "2 AS at")
+    expected = sorted(f.fingerprint_documents(df).collect())
+    monkeypatch.setattr(f, "RANGES", 40)
+    assert sorted(f.fingerprint_documents(df.repartition(3)).collect()) == expected

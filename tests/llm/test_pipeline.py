@@ -49,7 +49,7 @@ def test_run_equals_brute_force(spark):
 
 def test_stages_keep_columns_and_odd_rows(spark):
     rows = [(1, "the and of that was for with", "en", "s", 28), (1, "the and of that was for with", "en", "s", 28), (2, None, None, None, None), (None, "the of", "en", "s", 6), (3, "The and of that was for with", "en", "s", 28)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").selectExpr("*", "1 AS node", "2 AS host")
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").selectExpr("*", "1 AS node", "2 AS host", "3 AS text_hash", "4 AS _id")
     for name, f in corpus_pipeline.STAGES[:-1]:
         out = f(spark, docs, D)
         assert out.columns == docs.columns, name
