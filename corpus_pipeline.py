@@ -25,9 +25,12 @@ ORACLE_SQL = None
 
 
 def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    named = docs.withColumn("text_hash", F.xxhash64("text"))
+    mark = "text_hash"
+    while mark in docs.columns:
+        mark = f"_{mark}"
+    named = docs.withColumn(mark, F.xxhash64("text"))
     # what the decision depends on, and the id; null is a value like others
-    keys = ("doc_id", "text_hash", "lang", "source")
+    keys = ("doc_id", mark, "lang", "source")
     judged = language_id.identify_languages(named, language_id.train(docs), keys=keys, declared=named.lang, host=named.source)
     rejected = frames.written(judged.where(~F.col("accepted")).select(*keys).distinct(), "rejected")
     equal = reduce(and_, [named[k].eqNullSafe(rejected[k]) for k in keys])
