@@ -26,7 +26,7 @@ from . import frames
 from .components import components
 
 #: Classes that a cell should hold, pivots at most, classes of a block.
-CELL, MOST_PIVOTS, BLOCK = 2000, 4096, 1024
+CELL, MOST_PIVOTS, BLOCK = 2000, 4096, 4096
 
 
 def unit(values: list | None) -> np.ndarray | None:
@@ -70,11 +70,11 @@ def link_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
     for r in classes.orderBy(F.xxhash64(*keys), *keys).limit(most).select("label", "unit").collect() if most else []:
         x = np.frombuffer(bytes(r.unit))
         pivots.setdefault((r.label, len(x)), []).append(x)
-    tables = {k: np.stack(v) for k, v in pivots.items()}
+    shared = spark.sparkContext.broadcast({k: np.stack(v) for k, v in pivots.items()})
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A row of each class for its own cell and for each that it visits."""
-        between = {k: np.sqrt(np.maximum(2 - 2 * v @ v.T, 0)) for k, v in tables.items()}
+        tables = shared.value
         for batch in batches:
             label, units = batch.column(0).to_pylist(), [np.frombuffer(u) for u in batch.column(3).to_pylist()]
             where, cell, own = [], [], []
@@ -92,7 +92,8 @@ def link_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
                     d = np.sqrt(np.maximum(2 - 2 * np.stack([units[i] for i in part]) @ tables[key].T, 0))
                     home = d.argmin(axis=1)
                     nearest = d[np.arange(len(d)), home][:, None]
-                    gap = between[key][home]
+                    used, of = np.unique(home, return_inverse=True)
+                    gap = np.sqrt(np.maximum(2 - 2 * tables[key][used] @ tables[key].T, 0))[of]
                     visits = (d <= nearest + 2 * reach) & ((d * d - nearest * nearest) <= 2 * reach * gap + 1e-9)
                     visits[np.arange(len(d)), home] = True
                     i, c = np.nonzero(visits)
