@@ -2,6 +2,7 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from metaspan.llm import language_id as g
@@ -70,3 +71,24 @@ def test_sample_is_the_least_hashes(spark):
         g.fit_parts = fitted
     want = docs.orderBy(F.xxhash64("doc_id"), "doc_id").limit(g.MOST_PER_LANGUAGE).collect()
     assert seen == sorted(("en", r.text) for r in want)
+
+
+def test_text_alone_tells_the_language_of_documents_outside_the_sample(spark, monkeypatch):
+    monkeypatch.setattr(g, "MOST_PER_LANGUAGE", 100)
+    docs = spark.read.parquet(f"{D}/documents.parquet")
+    fitted = g.train(docs)
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
+    unseen = docs.withColumn("rank", rank).where("rank > 100").drop("rank")
+    rows = g.identify_languages(unseen, fitted).join(docs.select("doc_id", "lang"), "doc_id").collect()
+    assert len(rows) > 400 and np.mean([r.text_lang == r.lang for r in rows]) > 0.95
+
+
+def test_pages_with_odd_rows(spark, model):
+    """Null and broken pages, repeats, clashing columns, an empty table."""
+    rows = [(1, None, None), (2, "", "x"), (3, "<html lang='fr'>", "http://a.fr/"), (3, "<html lang='fr'>", "http://a.fr/"), (None, "<p>the and of", "http://b.org/"), (4, "<html lang=de>" + "und der die das nicht " * 15_000, "http://c.de")]
+    pages = spark.createDataFrame(rows, "page_id long, html string, url string").selectExpr("*", "1 AS host", "2 AS place", "3 AS d")
+    host = F.regexp_extract("url", "://([^/]*)", 1)
+    judge = lambda df: g.identify_languages(df, model, keys=("page_id",), text=g.visible_text(df.html), declared=g.markup_language(df.html), host=host, suffix=F.substring_index(host, ".", -1))
+    got = judge(pages).collect()
+    assert len(got) == len(rows) and {r.lang_id for r in got} <= set(model.languages) and {r.lang_id for r in got if r.page_id == 4} == {"de"}
+    assert judge(pages.limit(0)).count() == 0
