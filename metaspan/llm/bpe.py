@@ -7,7 +7,8 @@ by walking back, lets bytes be appended without touching what is stored, and let
 re-encode from the edit on only.
 
 Defined results: null text is the empty text (no ids; hashes of no bytes); special-token strings
-are ordinary text; any length is encoded whole.
+are ordinary text; any length is encoded whole; repeated rows each get a row; an empty table gives none; other columns
+are ignored whatever their names.
 """
 
 from __future__ import annotations

@@ -13,7 +13,8 @@ say the same everywhere or hold little of the host's text are cards and no such
 
 Defined results: null or empty html, and pages without such text, give the empty string; a null url is the host
 ''; hosts with one page have a template of that page; malformed markup is read as far as it goes; repeated
-rows each get a row. Texts are neither dropped for being short nor capped.
+rows each get a row and count as pages each; an empty table gives none; other columns are ignored whatever their names. Texts are neither
+dropped for being short nor capped.
 """
 
 from __future__ import annotations

@@ -9,7 +9,8 @@ all rows: counts of text decisions by host are smoothed towards those of the add
 those of all rows. The fusion itself is a Catalyst expression.
 
 Defined results: null text is the empty text, whose likelihoods are equal; a missing or unknown declared language,
-host or suffix is no evidence (hosts without a name share one prior); repeated rows each get a row; equal
+host or suffix is no evidence (hosts without a name share one prior); repeated rows each get a row; an empty table
+gives none; texts are judged whole however long; columns that are not named are ignored, so names may clash; equal
 probabilities go to the first language in alphabetical order. A row is accepted if its language is among the
 model's, with at least LEAST probability, and its text is not far less likely than any training text.
 """

@@ -6,7 +6,9 @@ windows are open, the fullest is emitted. What is open at the end of the partiti
 neighbouring partitions: best fit again, and what is still not full is laid end to end and cut.
 
 Defined results: null text is the empty text, whose document is the end id alone; ids are cut
-anywhere; every id lies in one piece; repeated rows are packed each. sequence_id is unique, not dense.
+anywhere; every id lies in one piece; repeated rows are packed each, so that their pieces share doc_id and start; an empty table gives no pieces; very long texts
+are packed whole; of windows with equal room the older is filled, of equally full ones the older is closed; other columns are ignored
+whatever their names. sequence_id is unique, not dense.
 """
 
 from __future__ import annotations

@@ -9,7 +9,8 @@ The index is local to a batch, so nothing is shuffled and no posting list grows
 
 Defined results: null text is the empty text (no spans); matches are leftmost and
 non-overlapping per kind; offsets count code points, the end is exclusive; repeated rows each
-get a row; texts are scanned whole whatever their length.
+get a row; an empty table gives none; other columns are ignored whatever their names; matches of several kinds at one place all
+count, in the order of the kinds; texts are scanned whole whatever their length.
 """
 
 from __future__ import annotations

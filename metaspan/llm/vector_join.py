@@ -9,7 +9,8 @@ blocks. A tile gives each of its residents a count of links, and links that span
 
 Defined results: vectors that are null, zero, or hold null or non-finite components, and rows without label or id
 link with nothing; vectors of different length do not link; repeated rows are copies that link; an id-less row has no
-component.
+component; an empty table gives no rows; other columns are ignored whatever their names. A pair links if the dot product of its
+unit vectors in double precision, as computed, is at least the limit: at exactly 0.98 rounding decides.
 """
 
 from __future__ import annotations

@@ -57,3 +57,11 @@ def test_ids_of_the_faster_library_are_those_of_the_file():
 
 def test_empty_table(spark):
     assert packing.pack_documents(spark.createDataFrame([], "doc_id long, text string"), PATH).count() == 0
+
+
+def test_repeated_rows_are_packed_each(spark):
+    df = spark.createDataFrame([(1, "same text " * 700)] * 3 + [(None, "x")], "doc_id long, text string").repartition(2)
+    rows = packing.pack_documents(df, PATH).collect()
+    per_row = {r.doc_tokens for r in rows if r.doc_id == 1}
+    assert len(per_row) == 1 and sum(r.length for r in rows if r.doc_id == 1) == 3 * per_row.pop()
+    assert packing.pack_documents(df.limit(0), PATH).count() == 0
