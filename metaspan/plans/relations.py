@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from metaspan.operators import checks, lineage, match, valuechain
+from metaspan.operators import checks, lineage, match, rules, valuechain
 from metaspan.operators import profile as p
 from metaspan.operators.profile import rounded
 from metaspan.plans.columns import _profiles, detail_case, table, vc_sql, wide_cte
@@ -131,6 +131,25 @@ SELECT o.file_name, o.column_name, code_file_1, code_column_1, code_file_4, code
 FROM owner o JOIN td t USING (column_name) LEFT JOIN one USING (file_name, column_name) LEFT JOIN four USING (column_name)"""
 
 
+#: Key columns whose values are also tried with a validator: table, column, validator, the same in SQL.
+CHECKED = [("customer", "c_nationkey", "LATITUDE", "abs({0}) <= 90"), ("supplier", "s_nationkey", "LONGITUDE", "abs({0}) <= 180"), ("orders", "o_custkey", "YEAR", "{0} BETWEEN 1900 AND 2999")]
+
+
+def all_mappings(spark, sf_dir):
+    """Internal, reference and rule mappings in one table, told apart by their kind."""
+    typed, values = _typed(spark, sf_dir), _values(spark, sf_dir)
+    rates = reduce(DataFrame.unionByName, [rules.validator_rates(table(spark, sf_dir, t), {c: v}) for t, c, v, _ in CHECKED])
+    out = match.concat_mappings(internal=match.internal_mapping(typed, values), reference=match.reference_mapping(typed, values), rule=match.rule_mapping(typed, rates))
+    return out.select("mapping_kind", *_SHOW)
+
+
+def all_mappings_sql():
+    rate = "SELECT 'rule' AS mapping_kind, '{t}' AS file_name, '{c}' AS column_name, '' AS master_file, '{v}' AS master_column, count(*) FILTER ({test}) AS compare_count, count(*) AS source_count FROM {t} WHERE {c} IS NOT NULL"
+    rows = " UNION ALL ".join(rate.format(t=t, c=c, v=v, test=test.format(c)) for t, c, v, test in CHECKED)
+    return f"""WITH {mapping_cte()}, r AS (SELECT *, round((compare_count::DOUBLE / source_count::DOUBLE * 100)::DECIMAL(18, 6), 2)::DOUBLE AS match_pct FROM ({rows}))
+SELECT CASE WHEN m_ref = 1 THEN 'reference' ELSE 'internal' END AS mapping_kind, {", ".join(_SHOW)} FROM good UNION ALL SELECT mapping_kind, {", ".join(_SHOW)} FROM r WHERE match_pct > 20"""
+
+
 #: The tables' columns under names that tables share: file, column, pk, type.
 GRAPH = [
     ("region", "regionkey", 1, "NUMBER"), ("region", "name", 0, "VARCHAR2"), ("nation", "nationkey", 1, "NUMBER"), ("nation", "regionkey", 0, "NUMBER"), ("nation", "name", 0, "VARCHAR2"),
@@ -463,7 +482,7 @@ def event_windows_sql():
 
 
 _ALL = (
-    inclusion_match, reference_mapping, internal_mapping, mapping_top3_pivot, final_mapping, fk_chain_paths, path_relations, related_files, table_summary, physical_hierarchy, related_tables, physical_edges,
+    inclusion_match, reference_mapping, internal_mapping, mapping_top3_pivot, final_mapping, all_mappings, fk_chain_paths, path_relations, related_files, table_summary, physical_hierarchy, related_tables, physical_edges,
     edge_classification, erd_info, type_consistency, table_connection_counts, industry_kpis, files_per_group, activity_edges, system_activity_links, upsert_slice, append_numbered, semi_filter, anti_filter,
     union_distinct, ambiguous_codes, contract_checks, migration_outcome, null_tokens, expanded_formats, hash_sample, event_windows,
 )
