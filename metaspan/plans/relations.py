@@ -243,6 +243,25 @@ def related_tables_sql():
     return f"""WITH RECURSIVE {GRAPH_SQL.format(5)} SELECT start, tab AS "table", level FROM lev WHERE start IN ('lineitem', 'region')"""
 
 
+#: Columns that make no relation in a diagram.
+EXCLUDED = ["orderdate", "nationkey"]
+
+
+def related_without_excluded(spark, sf_dir):
+    """Tables that share a key column when some columns are excluded, and the steps from orders over what is left."""
+    shared = lineage.shared_columns(_graph(spark), literal(spark, "column string", [(c,) for c in EXCLUDED]))
+    reached = lineage.neighbourhood(shared.select("a", "b").distinct(), literal(spark, "start string", [("orders",)]), 4).select(F.col("table").alias("b"), "level")
+    return shared.select("a", "b", "column").join(reached, "b", "left")
+
+
+def related_without_excluded_sql():
+    out = ", ".join(f"'{c}'" for c in EXCLUDED)
+    return f"""WITH RECURSIVE g AS {values_sql("file, col, pk, type", GRAPH)},
+sh AS (SELECT DISTINCT x.file AS a, y.file AS b, x.col FROM g x JOIN g y ON x.col = y.col AND x.file < y.file AND (x.pk = 1 OR y.pk = 1) WHERE x.col NOT IN ({out})),
+link AS (SELECT a, b FROM sh UNION SELECT b, a FROM sh), walk(t, k) AS (SELECT 'orders', 0 UNION SELECT link.b, k + 1 FROM walk JOIN link ON link.a = t WHERE k < 4), lev AS (SELECT t, min(k) AS level FROM walk GROUP BY t)
+SELECT a, b, col AS "column", level FROM sh LEFT JOIN lev ON lev.t = sh.b"""
+
+
 def physical_edges(spark, sf_dir):
     g = _graph(spark)
     links = lineage.shared_columns(g).select("a", "b").distinct()
@@ -482,7 +501,7 @@ def event_windows_sql():
 
 
 _ALL = (
-    inclusion_match, reference_mapping, internal_mapping, mapping_top3_pivot, final_mapping, all_mappings, fk_chain_paths, path_relations, related_files, table_summary, physical_hierarchy, related_tables, physical_edges,
+    inclusion_match, reference_mapping, internal_mapping, mapping_top3_pivot, final_mapping, all_mappings, related_without_excluded, fk_chain_paths, path_relations, related_files, table_summary, physical_hierarchy, related_tables, physical_edges,
     edge_classification, erd_info, type_consistency, table_connection_counts, industry_kpis, files_per_group, activity_edges, system_activity_links, upsert_slice, append_numbered, semi_filter, anti_filter,
     union_distinct, ambiguous_codes, contract_checks, migration_outcome, null_tokens, expanded_formats, hash_sample, event_windows,
 )
