@@ -352,4 +352,4 @@ def extract_pages(df: DataFrame, id_col: str = "page_id", url_col: str = "url",
                 out.append(extract(page.as_py(), *ready[host]))
             yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array(out, pa.string()), pa.array([len(t) for t in out], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
-    return frames.split_join(pages, templates, "host", "left").select("host", "page_id", "url", "html", "slots", "closed", "holding", "cards").mapInArrow(frames.tidy(run), "page_id long, url string, text string, n_chars long")
+    return frames.join_by_size(pages, templates, "host", "left").select("host", "page_id", "url", "html", "slots", "closed", "holding", "cards").mapInArrow(frames.tidy(run), "page_id long, url string, text string, n_chars long")

@@ -114,3 +114,10 @@ def test_small_hosts_have_templates(spark):
     ]
     got = run(spark, rows)
     assert all(r.text == f"Text {key % 10}" for key, r in got.items())
+
+
+def test_large_templates_are_joined_without_broadcast(spark, monkeypatch):
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet").unionByName(spark.createDataFrame([(-1, None, None)], "page_id long, url string, html string"), allowMissingColumns=True)
+    expected = sorted((r.page_id, r.text) for r in h.extract_pages(pages).collect())
+    monkeypatch.setattr(h.frames, "SMALL", -1)
+    assert sorted((r.page_id, r.text) for r in h.extract_pages(pages).collect()) == expected
