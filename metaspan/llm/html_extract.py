@@ -1,4 +1,4 @@
-"""Main text of HTML pages by equivalence-class template deduction.
+"""Main text of HTML pages by equivalence-class template deduction, beside what tags and telling names say.
 
 A page is a sequence of tokens: tags, told apart by the path of block tags they stand in, and text. For each host,
 tokens whose occurrence vectors over its pages are equal form a class; the vector is represented by the number
