@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from . import bpe, fingerprint, html_extract, language_id, license_scan, merkle, ngram_join, packing, secret_scan, toxicity, url_filter, vector_join
+from . import bpe, collocations, fingerprint, html_extract, language_id, license_scan, merkle, ngram_join, packing, secret_scan, toxicity, url_filter, vector_join
 from .frames import table
 
 
@@ -63,6 +63,10 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(table(spark, sf_dir, "pages"), keep=("page_id",)).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine(table(spark, sf_dir, "documents"))
+
+
 def op12_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan_documents(table(spark, sf_dir, "documents"))
 
@@ -83,6 +87,7 @@ QUERIES = {
     "op8_ngram_join": op8_ngram_join,
     "op9_html_extract": op9_html_extract,
     "op10_url_filter": op10_url_filter,
+    "op11_collocations": op11_collocations,
     "op12_license_scan": op12_license_scan,
     "op13_merkle_manifest": op13_merkle_manifest,
 }
@@ -91,6 +96,7 @@ ORACLES = {
     "op5_vector_join": vector_join.oracle,
     "op8_ngram_join": ngram_join.oracle,
     "op10_url_filter": url_filter.oracle,
+    "op11_collocations": collocations.oracle,
     "op12_license_scan": license_scan.oracle,
     "op13_merkle_manifest": merkle.oracle,
 }
