@@ -70,23 +70,46 @@ def lengths(vc: DataFrame) -> DataFrame:
     )
 
 
-def weighted_medians(vc: DataFrame, keys: list[str]) -> DataFrame:
+#: Different values of a key that are ordered in one task to find its median; more are narrowed down first.
+ORDERED = 1 << 16
+#: Characters by which the beginning of the median is lengthened in a round.
+STEP = 2
+
+
+def _shared(low: str, high: str) -> Column:
+    """The number of characters that all texts between two begin with."""
+    same = F.zip_with(F.split(low, ""), F.split(high, ""), lambda a, b: F.coalesce(a == b, F.lit(False)))
+    # texts without a difference are equal, or one begins with the other
+    return F.when(F.col(low) == F.col(high), F.length(low)).otherwise(F.coalesce(F.nullif(F.array_position(same, False), F.lit(0)) - 1, F.length(low))).cast("int")
+
+
+def weighted_medians(vc: DataFrame, keys: list[str], ordered: int = ORDERED) -> DataFrame:
     """keys, median: the value at position floor(n / 2) of the sorted values, with repeats.
 
-    Only the values that share the first characters of the median (three beyond what all values of the
-    key share) are ordered; which these are follows from counts of beginnings.
+    Selection by beginnings, for all keys at once. Of each key one group of values is held, those that begin as the median does, with the
+    number of values before it. While a group has more than ``ordered`` different values, its beginnings of STEP characters beyond what all its
+    values share are counted, and the one in which the median falls is the next group. So what is ever ordered within a key is the beginnings of one
+    round or the values of a small group, however the values are distributed; each round reads the values once and moves counts only.
     """
-    bounds = vc.groupBy(*keys).agg(F.min("value").alias("low"), F.max("value").alias("high"), F.sum("cnt").alias("n"))
-    shared = F.coalesce(F.array_position(F.zip_with(F.split("low", ""), F.split("high", ""), lambda a, b: F.coalesce(a == b, F.lit(False))), False) - 1, F.lit(0))
-    bounds = bounds.select(*keys, "n", (shared + 3).cast("int").alias("size"))
-    cut = vc.join(bounds, keys).withColumn("head", F.expr("left(value, size)"))
-    heads = cut.groupBy(*keys, "n", "head").agg(F.sum("cnt").alias("cnt"))
-    before = F.coalesce(F.sum("cnt").over(Window.partitionBy(*keys).orderBy("head").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    middle = F.floor(F.col("n") / 2)
-    heads = heads.withColumn("before", before).where((F.col("before") <= middle) & (middle < F.col("before") + F.col("cnt"))).select(*keys, "head", "before")
-    near = cut.join(heads, [*keys, "head"])
+    at = F.struct(F.lit("").alias("head"), F.lit(0).cast("long").alias("before"))
+    sizes = [F.sum("cnt").alias("n"), F.count("*").alias("different"), F.min("value").alias("low"), F.max("value").alias("high")]
+    held = materialised(vc.groupBy(*keys).agg(*sizes).withColumns({"at": at, "middle": F.floor(F.col("n") / 2)}), "medians")
+    while True:
+        large = held.where(f"different > {ordered}")
+        if large.isEmpty():
+            break
+        # the values of a group are those from its low to its high one; both are its own
+        large = large.select(*keys, "middle", "at", "low", "high", (_shared("low", "high") + STEP).alias("size"))
+        inside = vc.join(large, keys).where("value >= low AND value <= high").withColumn("head", F.expr("left(value, size)"))
+        heads = inside.groupBy(*keys, "middle", "at", "head").agg(*sizes).drop("low", "high")
+        ends = inside.groupBy(*keys, "head").agg(F.min("value").alias("low"), F.max("value").alias("high"))
+        before = F.coalesce(F.sum("n").over(Window.partitionBy(*keys).orderBy("head").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) + F.col("at.before")
+        found = heads.withColumn("first", before).where((F.col("first") <= F.col("middle")) & (F.col("middle") < F.col("first") + F.col("n")))
+        found = found.join(ends, [*keys, "head"]).select(*keys, "n", "different", "low", "high", F.struct("head", F.col("first").alias("before")).alias("at"), "middle")
+        held = materialised(held.where(f"different <= {ordered}").unionByName(found), "medians")
+    near = vc.join(held.select(*keys, "low", "high", "middle", "at.before"), keys).where("value >= low AND value <= high")
     upto = F.col("before") + F.sum("cnt").over(Window.partitionBy(*keys).orderBy("value"))
-    return near.withColumn("upto", upto).where(F.col("upto") > middle).groupBy(*keys).agg(F.min("value").alias("median"))
+    return near.withColumn("upto", upto).where(F.col("upto") > F.col("middle")).groupBy(*keys).agg(F.min("value").alias("median"))
 
 
 def value_stats(vc: DataFrame) -> DataFrame:

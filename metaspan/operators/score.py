@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from metaspan.operators.profile import rounded
 
+#: Weights of the score's penalties, and below them limits and texts of its tags.
 WEIGHTS = {"null_share": 0.40, "type_mixed": 0.25, "length_vol": 0.15, "duplicate": 0.10, "rule_fail": 0.10}
-#: measure, limit, tag of values above it
+#: Measure, limit, tag of values above it
 TAGS = (("null_share", 20, "High NULLs"), ("type_mixed", 30, "Mixed formats"), ("length_vol", 30, "Length volatility"), ("duplicate", 90, "Very low uniqueness"), ("rule_fail", 0, "Rule failures"))
 
 

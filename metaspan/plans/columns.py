@@ -287,8 +287,12 @@ def validator_rates_sql():
 CASES = {
     "mail": ("EMAIL", [("a@b.co", 1), ("a%b@x.com", 1), ("a@b.1", 0), ("a@b.c-", 0), ("a.b+c@d-e.org", 1), ("a b@x.com", 0), ("a@x", 0)]),
     "page": ("URL", [("http://a.com./", 1), ("http://a.museums", 0), ("http://a.com#x", 0), ("https://localhost:80/x", 1), ("HTTP://1.2.3.4?q", 1), ("ftp://a.com", 0), ("http://-a.com", 0)]),
-    "plate": ("CAR_NUMBER", [("12가3456", 1), ("123나4567", 1), ("서울12가3456", 1), ("12A3456", 0)]),
-    "clock": ("TIME", [("12:30:59", 1), ("12:30", 0), ("noon", 0)]),
+    "plate": ("CAR_NUMBER", [("12가3456", 1), ("123나4567", 1), ("서울12가3456", 1), ("12A3456", 0), ("12가 3456", 0), (" 12가3456 ", 1)]),
+    "clock": ("TIME", [("12:30:59", 1), ("12:30", 0), ("noon", 0), ("12:345", 0), ("12:30.5", 1), ("12:3015", 1)]),
+    "short": ("YYMMDD", [("240131.0", 1), ("240131", 1), ("240230", 0), (" 24-01-31 ", 1), ("2401310", 0)]),
+    "month": ("YEARMONTH", [("202401.0", 1), ("2024-13", 0), ("2024.01", 1), ("189912", 0)]),
+    "annual": ("YEAR", [("2024.0", 1), ("1899", 0), ("2024.5", 0), (" 2999 ", 1)]),
+    "mobile": ("CELLPHONE", [("01012345678.0", 1), ("010-1234-5678", 1), ("010-0234-5678", 0), ("0101234567", 1)]),
     "sex": ("GENDER", [("남", 1), ("여", 1), ("M", 0)]),
     "sex_en": ("GENDER_EN", [("m", 1), ("F", 1), ("x", 0)]),
     "stamp": ("TIMESTAMP", [("2024-01-01 00:00:00", 1), ("anything", 1)]),

@@ -206,3 +206,94 @@ def test_existing_tables_and_config(spark, tmp_path):
     found, missing = readers.read_existing(spark, {"a": str(tmp_path / "a.csv"), "b": str(tmp_path / "b.csv"), "p": str(tmp_path / "p.parquet")})
     assert list(found) == ["a"] and missing == ["b", "p"] and found["a"].first().k == 1
     assert readers.read_config(str(tmp_path / "c.yaml"))["quality"][0]["column"] == "k"
+
+
+@pytest.mark.parametrize("ordered", [1, 3, 40])
+def test_medians_by_selection_equal_sorting(spark, ordered):
+    import random
+
+    rnd = random.Random(ordered)
+    made = {
+        "random": ["".join(rnd.choice("abé🙂") for _ in range(rnd.randint(0, 9))) for _ in range(300)],
+        "one beginning": [f"http://example.org/a/long/shared/path/{rnd.randint(0, 10**6):07d}" for _ in range(200)],
+        "nested": ["x" * k for k in range(60)] + ["x" * 60] * 5, "one": ["same"] * 7, "two": ["a", "b"],
+    }
+    rows = [(k, v) for k, vs in made.items() for v in vs]
+    vc = spark.createDataFrame(rows, "k string, value string").groupBy("k", "value").agg(F.count("*").alias("cnt"))
+    found = {r.k: r.median for r in profile.weighted_medians(vc, ["k"], ordered).collect()}
+    assert found == {k: sorted(vs, key=str.encode)[len(vs) // 2] for k, vs in made.items()}
+
+
+def _pair_tables(spark, n):
+    """n columns of one format, each with its own range of values, and one that spans all."""
+    names = "file_path string, file_name string, column_name string, master_type string, detail_type string, unique_cnt long, value_cnt long, format_cnt long, pk int, match_no int, format string, format_value long, format_pct double, format_min string, format_max string, format_mode string, format_median string"
+    rows = [("d", f"f{k}", "c", "Master", "", 50, 50, 1, 0, 1, "AAn", 50, 100.0, f"ID{k * 100:09d}", f"ID{k * 100 + 99:09d}", "", f"ID{k * 100 + 50:09d}") for k in range(n)]
+    rows.append(("d", "all", "c", "Master", "", 50, 50, 1, 0, 1, "AAn", 50, 100.0, f"ID{0:09d}", f"ID{n * 100:09d}", "", "ID"))
+    return spark.createDataFrame(rows, names)
+
+
+def test_candidates_of_many_columns_of_one_format(spark, capsys):
+    table = _pair_tables(spark, 5000)
+    found = match.candidate_pairs(table, table)
+    rows = {(r.file_name, r.master_file) for r in found.collect()}
+    # each median lies in the range of its own column (left out) and in that of the one that spans all
+    assert rows == {(f"f{k}", "all") for k in range(5000)}
+    found.explain()
+    plan = capsys.readouterr().out
+    assert "Cartesian" not in plan and "NestedLoop" not in plan
+
+
+def test_ranges_met_equals_all_comparisons(spark):
+    import random
+
+    rnd = random.Random(5)
+    word = lambda: "pre" + "".join(rnd.choice("ab é한") for _ in range(rnd.randint(0, 12)))
+    points = [(rnd.choice("fg"), word(), k) for k in range(150)] + [("h", "same", 1000), (None, "x", 1001)]
+    ranges = [(rnd.choice("fg"), *sorted((word(), word()), key=str.encode), k) for k in range(120)] + [("h", "same", "same", 500), ("f", "z", "a", 501)]
+    met = match.ranges_met(spark.createDataFrame(points, "format string, point string, p int"), spark.createDataFrame(ranges, "format string, low string, high string, r int"))
+    rows = sorted((r.p, r.r) for r in met.collect())
+    assert rows == sorted((p, r) for f, x, p in points for g, a, b, r in ranges if f == g and a.encode() <= x.encode() <= b.encode())
+
+
+def test_inclusion_counts_values_and_rows(spark):
+    import random
+    from collections import Counter
+
+    rnd = random.Random(3)
+    columns = [("d", f"f{k % 3}", f"c{k}") for k in range(7)]
+    held = {c: Counter(rnd.choice([f"v{i}" for i in range(30)]) for _ in range(rnd.randint(5, 90))) for c in columns}
+    values = spark.createDataFrame([(*c, v, n) for c, vs in held.items() for v, n in vs.items()], "file_path string, file_name string, column_name string, value string, cnt long")
+    wanted = [(*a, *b, size) for a in columns for b in columns if a != b for size in (0, 2) if size == 0 or rnd.random() < 0.3]
+    pairs = spark.createDataFrame(wanted, "file_path string, file_name string, column_name string, master_path string, master_file string, master_column string, compare_length int")
+    cut = lambda vs, size: Counter({k: sum(n for v, n in vs.items() if (v[:size] if size else v) == k) for k in {v[:size] if size else v for v in vs}})
+    want = []
+    for r in wanted:
+        a, b = cut(held[r[:3]], r[6]), cut(held[r[3:6]], r[6])
+        want.append((*r, len(a.keys() & b.keys()), len(a), sum(n for v, n in a.items() if v in b), sum(a.values())))
+    found = match.inclusion(pairs, values, 0.0).select(*pairs.columns, "compare_count", "source_count", "matched_rows", "source_rows")
+    assert sorted(map(tuple, found.collect())) == sorted(want)
+
+
+def test_integrity_counters_in_a_profile(spark):
+    from metaspan.operators import integrity
+
+    masters = spark.createDataFrame([(f"K{k:03d}",) for k in range(40)], "id string")
+    facts = spark.createDataFrame([(f"K{k % 45:03d}" if k % 10 else None, "20240230" if k % 8 == 0 else f"202401{k % 28 + 1:02d}", float(k % 7) if k else 1e6) for k in range(270)], "ref string, day string, amount double")
+    a = profile.profile(masters, file_name="masters", master_type="Master").withColumn("file_path", F.lit("d"))
+    b = profile.profile(facts, file_name="facts", master_type="Master").withColumn("file_path", F.lit("d"))
+    both = a.unionByName(b)
+    values = match.distinct_values({("d", "masters"): masters, ("d", "facts"): facts}, {("d", "masters"): ["id"], ("d", "facts"): ["ref"]})
+    pairs = spark.createDataFrame([("d", "facts", "ref", "d", "masters", "id", 0)], "file_path string, file_name string, column_name string, master_path string, master_file string, master_column string, compare_length int")
+    lost = integrity.orphans(match.inclusion(pairs, values))
+    dates = integrity.date_conflicts(profile.value_counts(facts, ["day"]), {"day": "DATECHAR"})
+    out = integrity.with_counters(both, lost, dates, stats.control_limits(facts, ["amount"]))
+    rows = {r.column_name: r for r in out.collect()}
+    orphan = sum(1 for k in range(270) if k % 10 and k % 45 >= 40)
+    assert rows["ref"].fk_mismatch == orphan > 0 and rows["ref"].master == "masters.id" and rows["day"].date_mismatch == 34
+    assert rows["amount"].above_ucl == 1 and rows["amount"].below_lcl == 0 and rows["id"].fk_mismatch == 0
+    kpis = {r.issue: (r.files, r["columns"]) for r in score.quality_kpis(out).collect()}
+    assert kpis["fk_mismatch"] == kpis["date_mismatch"] == kpis["above_ucl"] == (1, 1) and kpis["below_lcl"] == (0, 0)
+    assert integrity.issue_list(out, "fk_mismatch").columns == ["file_name", "column_name", "record_cnt", "value_cnt", "null_cnt", "master", "matched_rows_pct", "fk_mismatch"]
+    assert integrity.orphans(match.inclusion(pairs, values), tolerance=50.0).first().fk_mismatch == 0
+    with pytest.raises(ValueError):
+        integrity.date_conflicts(profile.value_counts(facts, ["day"]), {"day": "TEL"})
