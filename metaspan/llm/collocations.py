@@ -21,6 +21,7 @@ gives no rows; columns other than text and lang are ignored whatever their names
 from __future__ import annotations
 
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -280,11 +281,12 @@ def phrase_counts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang
     for r in survivors(summarise(rows, bits), bits, threshold).collect():  # slices of one bit map of bounded size
         own = np.frombuffer(zlib.decompress(r.bitmap), np.uint8)
         bitmap[r.base : r.base + len(own)] |= own
+    parts = frames.pieces(spark)
     shared = spark.sparkContext.broadcast(zlib.compress(bitmap.tobytes(), 1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bitmap = np.frombuffer(zlib.decompress(shared.value), np.uint8)
-        exact = Exact()
+        exact = Exact(parts)
         for batch in batches:
             for part, starts, ends, pieces, at, langs in _slices_of(batch):
                 hashes = gram_hashes(_keys_of(part, starts, ends, at, langs, _language_seeds(langs)), pieces)
@@ -300,14 +302,48 @@ def phrase_counts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang
                     yield from exact.flushed()
         yield from exact.flushed()
 
-    local = rows.mapInArrow(frames.tidy(run), "lang string, phrase string, size int, f long")
-    return frames.written(local.groupBy("lang", "phrase", "size").agg(F.sum("f").alias("f")).where((F.col("f") >= threshold) | (F.col("size") == 0)), "phrases")
+    local = rows.mapInArrow(frames.tidy(run), "part int, lang string, size int, phrases binary, counts binary")
+    return frames.written(summed(local, threshold), "phrases")
+
+
+def summed(local: DataFrame, threshold: int) -> DataFrame:
+    """Sums what tasks have counted: a hash partition's phrases of one language and size at a time, of which those that reach the threshold are kept."""
+    dealt = local.repartitionById(frames.pieces(local.sparkSession), "part").sortWithinPartitions("part", "lang", "size")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, found = None, Counter()
+
+        def result() -> Iterator[pa.RecordBatch]:
+            _, lang, size = own
+            kept = [(p, n) for p, n in found.items() if n >= threshold or size == 0]
+            for a in range(0, len(kept), 1 << 16):
+                some = kept[a : a + (1 << 16)]
+                columns = [pa.array([lang] * len(some), pa.string()), pa.array([p.decode() for p, _ in some], pa.string()), pa.array([size] * len(some), pa.int32()), pa.array([n for _, n in some], pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, names=["lang", "phrase", "size", "f"])
+            found.clear()
+
+        for batch in batches:
+            for part, lang, size, phrases, counts in zip(*[c.to_pylist() for c in batch.columns]):
+                if (part, lang, size) != own:
+                    if own is not None:
+                        yield from result()
+                    own = (part, lang, size)
+                for phrase, n in zip(zlib.decompress(phrases).split(b"\n"), _integers(counts).tolist()):
+                    found[phrase] += n
+        if own is not None:
+            yield from result()
+
+    return dealt.mapInArrow(frames.tidy(run), "lang string, phrase string, size int, f long")
 
 
 class Exact:
-    """Counts of phrases by their words: every different word has a number, every phrase the numbers of its first words and of its last."""
+    """Counts of phrases by their words: every different word has a number, every phrase the numbers of its first words and of its last.
+
+    What it has counted goes out by hash partition, language and size, as the phrases between line ends (no word holds one) and their counts.
+    """
 
-    def __init__(self):
+    def __init__(self, parts: int):
+        self.parts = parts
         self.words: dict[tuple[str, bytes], int] = {}
         self.names: list[tuple[str, bytes]] = []
         self.slices: list[list[tuple[np.ndarray, ...]]] = []
@@ -328,7 +364,7 @@ class Exact:
         pair = at.astype(np.int64) << 32 | np.asarray(words.indices)
         different, inverse = np.unique(pair, return_inverse=True)
         own = words.dictionary.to_pylist()
-        known = self.words
+        known, before = self.words, len(self.names)
         numbers = np.empty(len(different), np.int64)
         for k, p in enumerate(different.tolist()):
             key = (names[p >> 32], own[p & 0xFFFFFFFF])
@@ -339,13 +375,13 @@ class Exact:
         number = np.full(len(starts) + 1, -1, np.int64)
         number[kept] = numbers[inverse]
         self.slices.append((number, alive))
-        self.n += len(starts) + 8 * len(different)
+        self.n += len(starts) + len(self.names) - before
 
     def flushed(self) -> Iterator[pa.RecordBatch]:
         """Counts so far; then it starts anew."""
         if not self.slices:
             return
-        yield self._batch([*self.totals], [b""] * len(self.totals), 0, np.array([*self.totals.values()], np.int64))
+        yield self._batch([*self.totals], [b""] * len(self.totals), 0, [*self.totals.values()])
         words = np.concatenate([s[0] for s in self.slices])  # a -1 ends each slice
         ids = words
         for m in range(1, LONGEST + 1):
@@ -364,15 +400,20 @@ class Exact:
                 ids = np.full(len(words), -1, np.int64)
                 ids[at] = inverse
             langs = [self.names[k][0] for k in owner.tolist()]
-            for a in range(0, len(texts), 1 << 16):
-                b = a + (1 << 16)
-                yield self._batch(langs[a:b], texts[a:b], m, counts[a:b])
-        self.__init__()
-
-    @staticmethod
-    def _batch(langs: list[str], phrases: list[bytes], size: int, counts: np.ndarray) -> pa.RecordBatch:
-        columns = [pa.array(langs, pa.string()), pa.array([p.decode() for p in phrases], pa.string()), pa.array([size] * len(langs), pa.int32()), pa.array(counts, pa.int64())]
-        return pa.RecordBatch.from_arrays(columns, names=["lang", "phrase", "size", "f"])
+            yield self._batch(langs, texts, m, counts.tolist())
+        self.__init__(self.parts)
+
+    def _batch(self, langs: list[str], phrases: list[bytes], size: int, counts: list[int]) -> pa.RecordBatch:
+        cells: dict[tuple[int, str], tuple[list[bytes], list[int]]] = {}
+        for lang, phrase, n in zip(langs, phrases, counts):
+            cell = cells.setdefault((zlib.crc32(phrase) % self.parts, lang), ([], []))
+            cell[0].append(phrase)
+            cell[1].append(n)
+        columns = [
+            pa.array([p for p, _ in cells], pa.int32()), pa.array([g for _, g in cells], pa.string()), pa.array([size] * len(cells), pa.int32()),
+            pa.array([zlib.compress(b"\n".join(t), 1) for t, _ in cells.values()], pa.binary()), pa.array([_varints(np.array(n, np.uint64)) for _, n in cells.values()], pa.binary()),
+        ]
+        return pa.RecordBatch.from_arrays(columns, names=["part", "lang", "size", "phrases", "counts"])
 
 
 def collocations(counts: DataFrame, threshold: int = THRESHOLD, best: int = BEST) -> DataFrame:
