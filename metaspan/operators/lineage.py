@@ -194,6 +194,34 @@ def erd_info(columns: DataFrame, physical: DataFrame, logical: DataFrame) -> Dat
     return out.withColumn("check", ((F.col("logical") == 1) & (F.col("physical") == 0)).cast("int"))
 
 
+#: Which edges a diagram shows.
+ERD_MODES = ("physical", "logical", "both")
+
+
+def erd_frame(columns: DataFrame, physical: DataFrame, logical: DataFrame, anchors: DataFrame, mode: str = "both") -> DataFrame:
+    """A row for each column that a diagram shows and each column that it is related to ('' where to none).
+
+    Shown are columns of edges of the mode, keys, and all columns of anchors (file). ``physical`` has src, dst and column, ``logical`` child_file, child_column,
+    parent_file and parent_column. fk: the row has a relation; physical, logical, both: of which kinds; check: of the logical kind only.
+    """
+    if mode not in ERD_MODES:
+        raise ValueError(f"mode is one of {', '.join(ERD_MODES)}")
+    side = lambda a, ac, b, bc, p: F.struct(F.col(a).alias("file"), F.col(ac).alias("column"), F.col(b).alias("related_file"), F.col(bc).alias("related_column"), F.lit(p).alias("physical"), F.lit(1 - p).alias("logical"))
+    ways = {
+        "physical": physical.select(F.inline(F.array(side("src", "column", "dst", "column", 1), side("dst", "column", "src", "column", 1)))),
+        "logical": logical.select(F.inline(F.array(side("child_file", "child_column", "parent_file", "parent_column", 0), side("parent_file", "parent_column", "child_file", "child_column", 0)))),
+    }
+    relations = ways["physical"].unionByName(ways["logical"]) if mode == "both" else ways[mode]
+    relations = relations.groupBy("file", "column", "related_file", "related_column").agg(F.max("physical").alias("physical"), F.max("logical").alias("logical"))
+    out = columns.select("file", "column", "pk").join(relations, ["file", "column"], "left").join(anchors.select("file", F.lit(1).alias("anchor")).distinct(), "file", "left")
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0)).alias(c)
+    related = F.col("related_file").isNotNull()
+    out = out.where(related | (F.col("pk") == 1) | F.col("anchor").isNotNull()).select(
+        "file", "column", "pk", related.cast("int").alias("fk"), zero("physical"), zero("logical"), F.coalesce("related_file", F.lit("")).alias("related_file"), F.coalesce("related_column", F.lit("")).alias("related_column"), zero("anchor")
+    )
+    return out.withColumns({"both": F.col("physical") * F.col("logical"), "check": F.col("logical") * (1 - F.col("physical"))})
+
+
 def type_consistency(columns: DataFrame) -> DataFrame:
     """Column names with more than one type: column, type, table_cnt, tables."""
     by = columns.groupBy("column", "type").agg(F.countDistinct("file").alias("table_cnt"), F.array_join(F.array_sort(F.collect_set("file")), ", ").alias("tables"))

@@ -292,7 +292,7 @@ CASES = {
     "short": ("YYMMDD", [("240131.0", 1), ("240131", 1), ("240230", 0), (" 24-01-31 ", 1), ("2401310", 0)]),
     "month": ("YEARMONTH", [("202401.0", 1), ("2024-13", 0), ("2024.01", 1), ("189912", 0)]),
     "annual": ("YEAR", [("2024.0", 1), ("1899", 0), ("2024.5", 0), (" 2999 ", 1)]),
-    "mobile": ("CELLPHONE", [("01012345678.0", 1), ("010-1234-5678", 1), ("010-0234-5678", 0), ("0101234567", 1)]),
+    "mobile": ("CELLPHONE", [("01023456789.0", 1), ("010-2345-6789", 1), ("010-1234-5678", 0), ("0102345678", 1)]),
     "sex": ("GENDER", [("남", 1), ("여", 1), ("M", 0)]),
     "sex_en": ("GENDER_EN", [("m", 1), ("F", 1), ("x", 0)]),
     "stamp": ("TIMESTAMP", [("2024-01-01 00:00:00", 1), ("anything", 1)]),

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from metaspan.operators import checks, lineage, match, rules, valuechain
+from metaspan.operators import checks, integrity, lineage, match, rules, score, stats, valuechain
 from metaspan.operators import profile as p
 from metaspan.operators.profile import rounded
 from metaspan.plans.columns import _profiles, detail_case, table, vc_sql, wide_cte
@@ -150,35 +150,65 @@ def all_mappings_sql():
 SELECT CASE WHEN m_ref = 1 THEN 'reference' ELSE 'internal' END AS mapping_kind, {", ".join(_SHOW)} FROM good UNION ALL SELECT mapping_kind, {", ".join(_SHOW)} FROM r WHERE match_pct > 20"""
 
 
-#: The tables' columns under names that tables share: file, column, pk, type.
-GRAPH = [
-    ("region", "regionkey", 1, "NUMBER"), ("region", "name", 0, "VARCHAR2"), ("nation", "nationkey", 1, "NUMBER"), ("nation", "regionkey", 0, "NUMBER"), ("nation", "name", 0, "VARCHAR2"),
-    ("customer", "custkey", 1, "NUMBER"), ("customer", "nationkey", 0, "NUMBER"), ("customer", "name", 0, "VARCHAR2"), ("supplier", "suppkey", 1, "NUMBER"), ("supplier", "nationkey", 0, "VARCHAR2"),
-    ("supplier", "name", 0, "VARCHAR2"), ("part", "partkey", 1, "NUMBER"), ("part", "name", 0, "CLOB"), ("orders", "orderkey", 1, "NUMBER"), ("orders", "custkey", 0, "NUMBER"), ("orders", "orderdate", 0, "DATE"),
-    ("lineitem", "orderkey", 0, "NUMBER"), ("lineitem", "partkey", 0, "NUMBER"), ("lineitem", "suppkey", 0, "NUMBER"), ("lineitem", "shipdate", 0, "DATE"), ("events", "orderdate", 0, "TIMESTAMP"),
-]
-#: Column-to-column references with their match rates; one closes a cycle, one is too weak.
-REFERENCES = [
-    ("lineitem", "orderkey", "orders", "orderkey", 100.0), ("orders", "orderkey", "events", "orderkey", 60.0), ("events", "orderkey", "archive", "orderkey", 51.0), ("archive", "orderkey", "lineitem", "orderkey", 90.0),
-    ("lineitem", "partkey", "part", "partkey", 100.0), ("part", "partkey", "customer", "custkey", 45.0), ("customer", "nationkey", "nation", "nationkey", 100.0), ("supplier", "nationkey", "nation", "nationkey", None),
-]
+#: The tables of the graph with their columns. A column goes by its name without the table's letter, under which tables share it.
+GRAPH = {
+    "region": ["r_regionkey", "r_name"], "nation": ["n_nationkey", "n_name", "n_regionkey"], "customer": ["c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"],
+    "supplier": ["s_suppkey", "s_name", "s_nationkey", "s_acctbal"], "part": ["p_partkey", "p_name", "p_brand", "p_type", "p_size", "p_retailprice"],
+    "orders": ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"],
+    "lineitem": ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"],
+    "events": ["event_id", "ts", "user_id", "event_type", "value"],
+}
+
+
+def _shared_name(column: str) -> str:
+    return column[2:] if column[1] == "_" else column
+
+
+def _graph(spark, sf_dir) -> DataFrame:
+    """file, column, pk, type of the tables' columns: keys and lengths from their profiles, the rest from their schemas."""
+    out = None
+    for name, columns in GRAPH.items():
+        df = table(spark, sf_dir, name)
+        kinds = {c: "NUMBER" if t in ("int", "bigint", "double") else t.upper().removesuffix("_NTZ") for c, t in df.dtypes}
+        vc = p.value_counts(df, columns)
+        kind = F.element_at(F.create_map(*[F.lit(x) for c in columns for x in (c, kinds[c])]), F.col("column_name"))
+        shared = F.element_at(F.create_map(*[F.lit(x) for c in columns for x in (c, _shared_name(c))]), F.col("column_name"))
+        sizes = vc.groupBy("column_name").agg(F.count("value").alias("unique_cnt"), F.sum("cnt").alias("record_cnt"), F.max(F.length("value")).alias("len_max"))
+        part = sizes.select(
+            F.lit(name).alias("file"), shared.alias("column"), (F.col("unique_cnt") == F.col("record_cnt")).cast("int").alias("pk"),
+            F.when(kind == "STRING", F.concat(F.lit("VARCHAR2("), "len_max", F.lit(")"))).otherwise(kind).alias("type"),
+        )
+        out = part if out is None else out.unionByName(part)
+    return materialised(out, "graph")
 
 
-def _graph(spark) -> DataFrame:
-    return literal(spark, "file string, column string, pk int, type string", GRAPH)
+def graph_sql() -> str:
+    """The same table, from the columns themselves."""
+    kind = "CASE typeof(any_value({0})) WHEN 'VARCHAR' THEN 'VARCHAR2(' || max(length(CAST({0} AS VARCHAR))) || ')' WHEN 'TIMESTAMP' THEN 'TIMESTAMP' ELSE 'NUMBER' END"
+    return "(" + " UNION ALL ".join(f"SELECT '{t}' AS file, '{_shared_name(c)}' AS col, (count(DISTINCT {c}) = count(*))::INT AS pk, {kind.format(c)} AS type FROM {t}" for t, cs in GRAPH.items() for c in cs) + ")"
 
 
-def _edges(spark) -> DataFrame:
-    out = literal(spark, "a string, ac string, b string, bc string, weight double", REFERENCES)
+def _references(spark, sf_dir) -> DataFrame:
+    """a, ac, b, bc, weight: references between columns, weighted by how many of their values the tables share."""
+    shared = lambda c: F.when(F.col(c).rlike("^[a-z]_"), F.substr(c, F.lit(3))).otherwise(F.col(c))
+    found = inclusion_match(spark, sf_dir)
+    return found.select(F.col("file_name").alias("a"), shared("column_name").alias("ac"), F.col("master_file").alias("b"), shared("master_column").alias("bc"), F.col("match_pct").alias("weight"))
+
+
+def references_sql() -> str:
+    return f"(SELECT file_name AS a, column_name[3:] AS ac, master_file AS b, master_column[3:] AS bc, match_pct AS w FROM ({inclusion_match_sql()}))"
+
+
+def _edges(spark, sf_dir) -> DataFrame:
     node = lambda f, c: F.struct(F.col(f).alias("file"), F.col(c).alias("column"), F.lit("Master").alias("type"))
-    return out.select(node("a", "ac").alias("src"), node("b", "bc").alias("dst"), "weight")
+    return materialised(_references(spark, sf_dir).select(node("a", "ac").alias("src"), node("b", "bc").alias("dst"), "weight"), "edges")
 
 
 def fk_chain_paths(spark, sf_dir):
-    return lineage.levels(lineage.chains(_edges(spark))).select("level_0", "level_1", "level_2", "level_3", "relationship", "depth", "depth_internal")
+    return lineage.levels(lineage.chains(_edges(spark, sf_dir))).select("level_0", "level_1", "level_2", "level_3", "relationship", "depth", "depth_internal")
 
 
-CHAINS_SQL = f"""refs AS {values_sql("a, ac, b, bc, w", REFERENCES)}, edge AS (SELECT DISTINCT a || '.' || ac AS s, b || '.' || bc AS d FROM refs WHERE w IS NULL OR w > 50),
+CHAINS_SQL = f"""refs AS {references_sql()}, edge AS (SELECT DISTINCT a || '.' || ac AS s, b || '.' || bc AS d FROM refs WHERE w IS NULL OR w > 50),
 walk AS (SELECT [s] AS path FROM edge GROUP BY s UNION ALL SELECT list_append(path, d) FROM walk JOIN edge ON s = path[-1] WHERE NOT list_contains(path, d) AND len(path) < 10),
 chain AS (SELECT path FROM walk w WHERE len(path) > 1 AND NOT EXISTS (SELECT 1 FROM edge WHERE s = w.path[-1] AND NOT list_contains(w.path, d)))"""
 
@@ -189,7 +219,7 @@ def fk_chain_paths_sql():
 
 def path_relations(spark, sf_dir):
     """Table pairs parsed back from path texts."""
-    return lineage.table_pairs(lineage.parse_relationships(lineage.levels(lineage.chains(_edges(spark)))))
+    return lineage.table_pairs(lineage.parse_relationships(lineage.levels(lineage.chains(_edges(spark, sf_dir)))))
 
 
 STEPS_SQL = "steps AS (SELECT DISTINCT path[i] AS c, path[i + 1] AS p FROM (SELECT path, unnest(range(1, len(path))) AS i FROM chain)), rel AS (SELECT split_part(c, '.', 1) AS child_file, split_part(c, '.', 2) AS cc, split_part(p, '.', 1) AS parent_file, split_part(p, '.', 2) AS pc FROM steps)"
@@ -200,7 +230,7 @@ def path_relations_sql():
 
 
 def related_files(spark, sf_dir):
-    return lineage.related_files(lineage.parse_relationships(lineage.levels(lineage.chains(_edges(spark)))))
+    return lineage.related_files(lineage.parse_relationships(lineage.levels(lineage.chains(_edges(spark, sf_dir)))))
 
 
 def related_files_sql():
@@ -209,7 +239,7 @@ SELECT f AS file, count(DISTINCT o) AS related_cnt, string_agg(DISTINCT o, ', '
 
 
 def table_summary(spark, sf_dir):
-    return lineage.table_summary(lineage.parse_relationships(lineage.levels(lineage.chains(_edges(spark)))))
+    return lineage.table_summary(lineage.parse_relationships(lineage.levels(lineage.chains(_edges(spark, sf_dir)))))
 
 
 def table_summary_sql():
@@ -217,7 +247,7 @@ def table_summary_sql():
 SELECT file, coalesce(string_agg(DISTINCT fk, ', ' ORDER BY fk), '') AS fk_columns, coalesce(string_agg(DISTINCT parent, ', ' ORDER BY parent), '') AS parents, coalesce(string_agg(DISTINCT child, ', ' ORDER BY child), '') AS children, count(*) AS edge_cnt FROM t GROUP BY file"""
 
 
-GRAPH_SQL = f"""g AS {values_sql("file, col, pk, type", GRAPH)},
+GRAPH_SQL = f"""g AS {graph_sql()},
 shared AS (SELECT x.file AS a, y.file AS b, x.col AS col, x.pk AS a_pk, y.pk AS b_pk FROM g x JOIN g y USING (col) WHERE x.file < y.file AND (x.pk = 1 OR y.pk = 1)),
 link AS (SELECT DISTINCT a, b FROM shared UNION SELECT DISTINCT b, a FROM shared),
 reach(start, tab, level) AS (SELECT DISTINCT file, file, 0 FROM g UNION SELECT start, link.b, level + 1 FROM reach JOIN link ON link.a = tab WHERE level < {{}}),
@@ -225,7 +255,7 @@ lev AS (SELECT start, tab, min(level) AS level FROM reach GROUP BY start, tab)""
 
 
 def physical_hierarchy(spark, sf_dir):
-    return lineage.physical_hierarchy(_graph(spark))
+    return lineage.physical_hierarchy(_graph(spark, sf_dir))
 
 
 def physical_hierarchy_sql():
@@ -235,7 +265,7 @@ def physical_hierarchy_sql():
 
 def related_tables(spark, sf_dir):
     """Tables within five hops of two anchors."""
-    links = lineage.shared_columns(_graph(spark)).select("a", "b").distinct()
+    links = lineage.shared_columns(_graph(spark, sf_dir)).select("a", "b").distinct()
     return lineage.neighbourhood(links, literal(spark, "start string", [("lineitem",), ("region",)]), 5)
 
 
@@ -244,26 +274,26 @@ def related_tables_sql():
 
 
 #: Columns that make no relation in a diagram.
-EXCLUDED = ["orderdate", "nationkey"]
+EXCLUDED = ["name", "nationkey"]
 
 
 def related_without_excluded(spark, sf_dir):
     """Tables that share a key column when some columns are excluded, and the steps from orders over what is left."""
-    shared = lineage.shared_columns(_graph(spark), literal(spark, "column string", [(c,) for c in EXCLUDED]))
+    shared = lineage.shared_columns(_graph(spark, sf_dir), literal(spark, "column string", [(c,) for c in EXCLUDED]))
     reached = lineage.neighbourhood(shared.select("a", "b").distinct(), literal(spark, "start string", [("orders",)]), 4).select(F.col("table").alias("b"), "level")
     return shared.select("a", "b", "column").join(reached, "b", "left")
 
 
 def related_without_excluded_sql():
     out = ", ".join(f"'{c}'" for c in EXCLUDED)
-    return f"""WITH RECURSIVE g AS {values_sql("file, col, pk, type", GRAPH)},
+    return f"""WITH RECURSIVE g AS {graph_sql()},
 sh AS (SELECT DISTINCT x.file AS a, y.file AS b, x.col FROM g x JOIN g y ON x.col = y.col AND x.file < y.file AND (x.pk = 1 OR y.pk = 1) WHERE x.col NOT IN ({out})),
 link AS (SELECT a, b FROM sh UNION SELECT b, a FROM sh), walk(t, k) AS (SELECT 'orders', 0 UNION SELECT link.b, k + 1 FROM walk JOIN link ON link.a = t WHERE k < 4), lev AS (SELECT t, min(k) AS level FROM walk GROUP BY t)
 SELECT a, b, col AS "column", level FROM sh LEFT JOIN lev ON lev.t = sh.b"""
 
 
 def physical_edges(spark, sf_dir):
-    g = _graph(spark)
+    g = _graph(spark, sf_dir)
     links = lineage.shared_columns(g).select("a", "b").distinct()
     levels = lineage.neighbourhood(links, literal(spark, "start string", [("lineitem",)]), 4).select("table", "level")
     return lineage.physical_edges(g, levels)
@@ -279,43 +309,114 @@ def physical_edges_sql():
 
 
 def edge_classification(spark, sf_dir):
-    logical = literal(spark, "src string, ac string, dst string, bc string, weight double", REFERENCES)
+    logical = _references(spark, sf_dir).withColumnsRenamed({"a": "src", "b": "dst"})
     return lineage.classify_edges(physical_edges(spark, sf_dir), logical)
 
 
 def edge_classification_sql():
-    return f"""WITH RECURSIVE {GRAPH_SQL.format(4)}, {EDGES_SQL}, refs AS {values_sql("src, ac, dst, bc, w", REFERENCES)},
+    return f"""WITH RECURSIVE {GRAPH_SQL.format(4)}, {EDGES_SQL}, refs AS (SELECT a AS src, b AS dst FROM {references_sql()}),
 t AS (SELECT src, dst, 1 AS p, 0 AS l FROM phys UNION ALL SELECT src, dst, 0, 1 FROM refs), u AS (SELECT least(src, dst) AS a, greatest(src, dst) AS b, max(p) AS p, max(l) AS l FROM t WHERE src <> dst GROUP BY 1, 2)
 SELECT a, b, CASE WHEN p = 1 AND l = 1 THEN 'both' WHEN p = 1 THEN 'physical' ELSE 'logical' END AS edge_kind FROM u"""
 
 
 def erd_info(spark, sf_dir):
-    logical = literal(spark, "child_file string, child_column string, parent_file string, parent_column string, weight double", REFERENCES)
-    return lineage.erd_info(_graph(spark), physical_edges(spark, sf_dir), logical)
+    logical = _references(spark, sf_dir).toDF("child_file", "child_column", "parent_file", "parent_column", "weight")
+    return lineage.erd_info(_graph(spark, sf_dir), physical_edges(spark, sf_dir), logical)
 
 
 def erd_info_sql():
-    return f"""WITH RECURSIVE {GRAPH_SQL.format(4)}, {EDGES_SQL}, refs AS {values_sql("a, ac, b, bc, w", REFERENCES)}, lo AS (SELECT a AS file, ac AS col FROM refs UNION SELECT b, bc FROM refs), ph AS (SELECT src AS file, col FROM phys UNION SELECT dst, col FROM phys),
+    return f"""WITH RECURSIVE {GRAPH_SQL.format(4)}, {EDGES_SQL}, refs AS {references_sql()}, lo AS (SELECT a AS file, ac AS col FROM refs UNION SELECT b, bc FROM refs), ph AS (SELECT src AS file, col FROM phys UNION SELECT dst, col FROM phys),
 t AS (SELECT g.*, (EXISTS (SELECT 1 FROM ph WHERE ph.file = g.file AND ph.col = g.col))::INT AS physical, (EXISTS (SELECT 1 FROM lo WHERE lo.file = g.file AND lo.col = g.col))::INT AS logical FROM g)
 SELECT file, col AS "column", pk, type, physical, logical, (logical = 1 AND physical = 0)::INT AS "check" FROM t"""
 
 
+def erd_frame(spark, sf_dir):
+    """The rows of a diagram around two anchors in its three modes."""
+    graph, physical = _graph(spark, sf_dir), materialised(physical_edges(spark, sf_dir), "physical")
+    logical = _references(spark, sf_dir).toDF("child_file", "child_column", "parent_file", "parent_column", "weight").drop("weight")
+    anchors = literal(spark, "file string", [("orders",), ("nation",)])
+    frames = [lineage.erd_frame(graph, physical, logical, anchors, mode).withColumn("mode", F.lit(mode)) for mode in lineage.ERD_MODES]
+    return reduce(DataFrame.unionByName, frames)
+
+
+def erd_frame_sql():
+    return f"""WITH RECURSIVE {GRAPH_SQL.format(4)}, {EDGES_SQL}, refs AS {references_sql()},
+rel AS (SELECT src AS file, col, dst AS rf, col AS rc, 1 AS p, 0 AS l FROM phys UNION ALL SELECT dst, col, src, col, 1, 0 FROM phys UNION ALL SELECT a, ac, b, bc, 0, 1 FROM refs UNION ALL SELECT b, bc, a, ac, 0, 1 FROM refs),
+modes(mode, wp, wl) AS (VALUES ('physical', 1, 0), ('logical', 0, 1), ('both', 1, 1)),
+r AS (SELECT mode, file, col, rf, rc, max(p) AS p, max(l) AS l FROM rel, modes WHERE p * wp + l * wl > 0 GROUP BY ALL),
+x AS (SELECT m.mode, g.file, g.col, g.pk, r.rf, r.rc, coalesce(p, 0) AS p, coalesce(l, 0) AS l FROM g CROSS JOIN modes m LEFT JOIN r ON r.mode = m.mode AND r.file = g.file AND r.col = g.col)
+SELECT mode, file, col AS "column", pk, (rf IS NOT NULL)::INT AS fk, p AS physical, l AS logical, (p = 1 AND l = 1)::INT AS "both", (l = 1 AND p = 0)::INT AS "check",
+ coalesce(rf, '') AS related_file, coalesce(rc, '') AS related_column, (file IN ('orders', 'nation'))::INT AS anchor FROM x WHERE rf IS NOT NULL OR pk = 1 OR file IN ('orders', 'nation')"""
+
+
+#: Part of the customers' keys that some orders are given a mark on, so that no customer has them, and the like for days.
+LOST, BAD_DAYS = 10, 7
+
+
+def _planted(spark, sf_dir) -> DataFrame:
+    """Orders with orphans planted in a derived key, and days of which some are none."""
+    o = table(spark, sf_dir, "orders")
+    ref = F.when(F.col("o_orderkey") % LOST == 0, F.concat(F.lit("X"), "o_custkey")).otherwise(F.col("o_custkey").cast("string"))
+    day = F.when(F.col("o_orderkey") % BAD_DAYS == 0, F.lit("20240230")).otherwise(F.date_format("o_orderdate", "yyyyMMdd"))
+    return o.select("o_orderkey", ref.alias("o_ref"), day.alias("o_day"), "o_totalprice")
+
+
+def integrity_kpis(spark, sf_dir):
+    """Key figures of issues in a profile with counters: orphans of a reference, dates that are none, values outside control limits."""
+    orders, customer = _planted(spark, sf_dir), table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal")
+    a = p.profile(orders, ["o_ref", "o_day", "o_totalprice"], file_name="orders", master_type="Master")
+    b = p.profile(customer, file_name="customer", master_type="Master")
+    both = a.unionByName(b).withColumn("file_path", F.lit("tables"))
+    values = match.distinct_values({("tables", "orders"): orders, ("tables", "customer"): customer}, {("tables", "orders"): ["o_ref"], ("tables", "customer"): ["c_custkey"]})
+    pair = literal(spark, "file_path string, file_name string, column_name string, master_path string, master_file string, master_column string, compare_length int", [("tables", "orders", "o_ref", "tables", "customer", "c_custkey", 0)])
+    lost = integrity.orphans(match.inclusion(pair, values))
+    dates = integrity.date_conflicts(p.value_counts(orders, ["o_day"]), {"o_day": "DATECHAR"})
+    limits = stats.control_limits(orders, ["o_totalprice"]).unionByName(stats.control_limits(customer, ["c_acctbal"]))
+    return score.quality_kpis(integrity.with_counters(both, lost, dates, limits)).where("issue IN ('fk_mismatch', 'date_mismatch', 'below_lcl', 'above_ucl')")
+
+
+def integrity_kpis_sql():
+    lim = lambda t, c, f, s: f"(SELECT count(*) > 0 FROM {t}, (SELECT avg({c}) {s} 3 * stddev_samp({c}) AS x FROM {t}) WHERE {c} {f} x)::INT"
+    row = lambda issue, *cells: f"SELECT '{issue}' AS issue, {' + '.join(cells)} AS files, {' + '.join(cells)} AS columns"
+    rows = " UNION ALL ".join((
+        row("fk_mismatch", f"(SELECT count(*) > 0 FROM orders WHERE o_orderkey % {LOST} = 0 OR o_custkey NOT IN (SELECT c_custkey FROM customer))::INT"),
+        row("date_mismatch", f"(SELECT count(*) > 0 FROM orders WHERE o_orderkey % {BAD_DAYS} = 0)::INT"),
+        row("below_lcl", lim("orders", "o_totalprice", "<", "-"), lim("customer", "c_acctbal", "<", "-")), row("above_ucl", lim("orders", "o_totalprice", ">", "+"), lim("customer", "c_acctbal", ">", "+")),
+    ))
+    return f"SELECT issue, files::BIGINT AS files, columns::BIGINT AS columns, round((columns / 5 * 100)::DECIMAL(18, 6), 2)::DOUBLE AS columns_pct FROM ({rows})"
+
+
+def orphan_rows(spark, sf_dir):
+    """Rows of orders by whether their derived key has a customer."""
+    orders, customer = _planted(spark, sf_dir), table(spark, sf_dir, "customer").select("c_custkey")
+    values = match.distinct_values({("tables", "orders"): orders, ("tables", "customer"): customer}, {("tables", "orders"): ["o_ref"], ("tables", "customer"): ["c_custkey"]})
+    pair = literal(spark, "file_path string, file_name string, column_name string, master_path string, master_file string, master_column string, compare_length int", [("tables", "orders", "o_ref", "tables", "customer", "c_custkey", 0)])
+    return integrity.orphans(match.inclusion(pair, values)).drop("file_path")
+
+
+def orphan_rows_sql():
+    ref = f"CASE WHEN o_orderkey % {LOST} = 0 THEN 'X' || o_custkey ELSE o_custkey::VARCHAR END"
+    return f"""WITH x AS (SELECT count(*) AS source_rows, count(*) FILTER ({ref} IN (SELECT c_custkey::VARCHAR FROM customer)) AS matched_rows FROM orders)
+SELECT 'orders' AS file_name, 'o_ref' AS column_name, 'customer.c_custkey' AS master, source_rows, matched_rows, source_rows - matched_rows AS orphan_rows,
+ round((matched_rows / source_rows * 100)::DECIMAL(18, 6), 2)::DOUBLE AS matched_rows_pct, source_rows - matched_rows AS fk_mismatch FROM x"""
+
+
 def type_consistency(spark, sf_dir):
-    return lineage.type_consistency(_graph(spark))
+    return lineage.type_consistency(_graph(spark, sf_dir))
 
 
 def type_consistency_sql():
-    return f"""WITH g AS {values_sql("file, col, pk, type", GRAPH)} SELECT col AS "column", type, count(DISTINCT file) AS table_cnt, string_agg(DISTINCT file, ', ' ORDER BY file) AS tables FROM g
+    return f"""WITH g AS {graph_sql()} SELECT col AS "column", type, count(DISTINCT file) AS table_cnt, string_agg(DISTINCT file, ', ' ORDER BY file) AS tables FROM g
 WHERE col IN (SELECT col FROM g GROUP BY col HAVING count(DISTINCT type) > 1) GROUP BY col, type"""
 
 
 def table_connection_counts(spark, sf_dir):
-    kept = literal(spark, "column string, exclusive int", [("name", 1), ("orderdate", 0)])
-    return lineage.exclusions(lineage.connection_counts(_graph(spark)), kept)
+    kept = literal(spark, "column string, exclusive int", [("name", 1), ("orderdate", 0), ("shipdate", None)])
+    return lineage.exclusions(lineage.connection_counts(_graph(spark, sf_dir)), kept)
 
 
 def table_connection_counts_sql():
-    return f"""WITH g AS {values_sql("file, col, pk, type", GRAPH)}, n AS (SELECT col, type, count(DISTINCT file) AS n FROM g GROUP BY col, type),
+    return f"""WITH g AS {graph_sql()}, n AS (SELECT col, type, count(DISTINCT file) AS n FROM g GROUP BY col, type),
 r AS (SELECT *, row_number() OVER (PARTITION BY col ORDER BY type IN ('DATE', 'TIMESTAMP') DESC, n DESC, type) AS rn FROM n)
 SELECT r.col AS "column", (SELECT count(DISTINCT file) FROM g WHERE g.col = r.col) AS connection_cnt, type,
  CASE col WHEN 'name' THEN 1 WHEN 'orderdate' THEN 0 ELSE (type IN ('DATE', 'TIMESTAMP'))::INT END AS exclusive FROM r WHERE rn = 1"""
@@ -407,11 +508,11 @@ def semi_filter_sql():
 
 
 def anti_filter(spark, sf_dir):
-    return table(spark, sf_dir, "customer").join(table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti").select("c_custkey", "c_name")
+    return table(spark, sf_dir, "customer").join(table(spark, sf_dir, "orders").where("o_orderstatus = 'P'").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti").select("c_custkey", "c_name")
 
 
 def anti_filter_sql():
-    return "SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)"
+    return "SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P')"
 
 
 def union_distinct(spark, sf_dir):
@@ -502,7 +603,7 @@ def event_windows_sql():
 
 _ALL = (
     inclusion_match, reference_mapping, internal_mapping, mapping_top3_pivot, final_mapping, all_mappings, related_without_excluded, fk_chain_paths, path_relations, related_files, table_summary, physical_hierarchy, related_tables, physical_edges,
-    edge_classification, erd_info, type_consistency, table_connection_counts, industry_kpis, files_per_group, activity_edges, system_activity_links, upsert_slice, append_numbered, semi_filter, anti_filter,
+    edge_classification, erd_info, erd_frame, integrity_kpis, orphan_rows, type_consistency, table_connection_counts, industry_kpis, files_per_group, activity_edges, system_activity_links, upsert_slice, append_numbered, semi_filter, anti_filter,
     union_distinct, ambiguous_codes, contract_checks, migration_outcome, null_tokens, expanded_formats, hash_sample, event_windows,
 )
 QUERIES = {f.__name__: f for f in _ALL}

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from metaspan.operators import display, lineage, match, score, stats
 from metaspan.plans.columns import SHOWN, _profiles, detail_case, table, vc_sql, wide_cte
-from metaspan.plans.relations import CHAINS_SQL, EDGES_SQL, GRAPH, GRAPH_SQL, STEPS_SQL, _edges, _graph, _typed, _values, literal, mapping_cte, physical_edges, values_sql
+from metaspan.plans.relations import CHAINS_SQL, EDGES_SQL, GRAPH_SQL, STEPS_SQL, _edges, _graph, _typed, _values, graph_sql, literal, mapping_cte, physical_edges
 
 STATS = [("customer", "Master"), ("orders", "Master"), ("nation", "Reference"), ("region", "Reference")]
 
@@ -84,7 +84,7 @@ SELECT file_name, column_name, shown[1] AS level_1, shown[2] AS level_2, array_t
 def shown_columns(spark, sf_dir):
     """Columns of a diagram around one anchor."""
     involved = physical_edges(spark, sf_dir).select(F.col("src").alias("file"), "column")
-    return lineage.shown_columns(_graph(spark), involved, literal(spark, "file string", [("nation",)]))
+    return lineage.shown_columns(_graph(spark, sf_dir), involved, literal(spark, "file string", [("nation",)]))
 
 
 def shown_columns_sql():
@@ -92,7 +92,7 @@ def shown_columns_sql():
 
 
 def column_roles(spark, sf_dir):
-    return lineage.column_roles(lineage.parse_relationships(lineage.levels(lineage.chains(_edges(spark)))))
+    return lineage.column_roles(lineage.parse_relationships(lineage.levels(lineage.chains(_edges(spark, sf_dir)))))
 
 
 def column_roles_sql():
@@ -100,13 +100,13 @@ def column_roles_sql():
 
 
 def table_stats(spark, sf_dir):
-    levels = lineage.levels(lineage.chains(_edges(spark))).select(F.substring_index("level_0", ".", 1).alias("file_name"), "depth")
-    columns = _graph(spark).select(F.col("file").alias("file_name"), F.col("column").alias("column_name"), F.lit("tables").alias("file_path"))
+    levels = lineage.levels(lineage.chains(_edges(spark, sf_dir))).select(F.substring_index("level_0", ".", 1).alias("file_name"), "depth")
+    columns = _graph(spark, sf_dir).select(F.col("file").alias("file_name"), F.col("column").alias("column_name"), F.lit("tables").alias("file_path"))
     return display.table_stats(columns, levels)
 
 
 def table_stats_sql():
-    return f"""WITH RECURSIVE {CHAINS_SQL}, g AS {values_sql("file, col, pk, type", GRAPH)} SELECT file AS file_name, count(DISTINCT col) AS column_cnt, 'tables' AS file_path,
+    return f"""WITH RECURSIVE {CHAINS_SQL}, g AS {graph_sql()} SELECT file AS file_name, count(DISTINCT col) AS column_cnt, 'tables' AS file_path,
  coalesce((SELECT max(len(path) - 1) FROM chain WHERE split_part(path[1], '.', 1) = file), 0)::INT AS max_level FROM g GROUP BY file"""
 
 
