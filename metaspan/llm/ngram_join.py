@@ -101,9 +101,12 @@ def _summed(rows: DataFrame) -> np.ndarray:
         if held:
             yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array([zlib.compress(x.tobytes(), 1) for x in held.values()], pa.binary())], names=["chunk", "cells"])
 
+    # a chunk's parts are summed in groups first, as many as keep all tasks busy, then the groups' sums
+    pieces, chunks = frames.pieces(rows.sparkSession), 1 << (SKETCH_BITS - CHUNK_BITS)
+    grouped = rows.withColumn("group", F.pmod(F.xxhash64("cells"), F.lit(max(1, pieces // chunks)))).repartition(pieces, "chunk", "group").select("chunk", "cells")
+    summed = grouped.mapInArrow(frames.tidy(run), "chunk int, cells binary").repartition(min(chunks, pieces), "chunk").mapInArrow(frames.tidy(run), "chunk int, cells binary")
     out = np.zeros(1 << SKETCH_BITS, np.uint64)
-    n = min(64, frames.pieces(rows.sparkSession))
-    for r in rows.repartition(n, "chunk").mapInArrow(frames.tidy(run), "chunk int, cells binary").collect():
+    for r in summed.collect():
         out[r.chunk << CHUNK_BITS : (r.chunk + 1) << CHUNK_BITS] = np.frombuffer(zlib.decompress(bytes(r.cells)), "<u8")
     return out
 
@@ -183,8 +186,11 @@ def _members(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """(node, members) of the wanted (doc_id, wanted): one shuffle of the texts at every size."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()  # repeats of a row meet here, as they have one id; one set of a node is enough
         for batch in batches:
-            rows = ((wanted, own) for wanted, (_, own) in zip(batch.column(2).to_pylist(), _sets(batch)) if len(own) and node_of(own) == wanted)
+            rows = (
+                (wanted, own) for wanted, (_, own) in zip(batch.column(2).to_pylist(), _sets(batch)) if len(own) and wanted not in seen and node_of(own) == wanted and not seen.add(wanted)
+            )
             while part := list(islice(rows, 256)):
                 yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in part], pa.int64()), pa.array([s.tobytes() for _, s in part], pa.binary())], names=["node", "members"])
 

@@ -3,6 +3,7 @@ import re
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from metaspan.llm import components as c
@@ -158,3 +159,13 @@ def test_without_ids(spark):
     df = spark.createDataFrame([(1, "a"), (2, "b"), (2, "c"), (None, "d"), (None, "d")], "doc_id long, text string").selectExpr("*", "3 AS _id")
     left = n.without_ids(df, spark.createDataFrame([(2,), (9,)], "doc_id long"))
     assert left.columns == df.columns and sorted((r.doc_id or 0, r.text) for r in left.collect()) == [(0, "d"), (0, "d"), (1, "a")]
+
+
+def test_one_row_repeated_many_times_is_one_node(spark):
+    base = " ".join(f"w{k}" for k in range(60))
+    rows = [(7, base)] * 3000 + [(3, base + " x"), (9, "y " + base), (1, "quite another text of some words"), (1, "quite another text of some words")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = n.ngram_components(docs)
+    assert {tuple(r) for r in found.distinct().collect()} == {(7, 56, 3), (3, 57, 3), (9, 57, 3), (1, 2, 1)} and found.count() == len(rows)
+    node = spark.createDataFrame([(7, n.node_of(next(n._sets(pa.RecordBatch.from_pydict({"doc_id": [7], "text": [base]})))[1]))], "doc_id long, wanted long")
+    assert n._members(docs, node).count() == 1
