@@ -9,8 +9,10 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Encodings in the order in which they are tried, as Java names them.
-ENCODINGS = ("UTF-8", "x-windows-949", "EUC-KR")
+from metaspan.sources import files
+
+#: Names of encodings in Python and in Java.
+JAVA_NAMES = {"utf-8": "UTF-8", "cp949": "x-windows-949", "euc-kr": "EUC-KR"}
 #: Texts that flat-file readers take for null.
 NULL_TOKENS = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null"]
 CATALOG_COLUMNS = ["execution_flag", "type", "source", "extension"]
@@ -28,41 +30,29 @@ def null_tokens(df: DataFrame, tokens: list[str] = NULL_TOKENS) -> DataFrame:
     return df.select(*[F.when(~F.col(f"`{c}`").isin(tokens), F.col(f"`{c}`")).alias(c) if kinds[c] == "string" else F.col(f"`{c}`") for c in df.columns])
 
 
-def encodings(spark: SparkSession, path: str | list[str], suffix: str = "", head: int = 1 << 16) -> dict[str, str]:
-    """The encoding of each file: UTF-8 if every line is, which a distributed pass over all of it tells; else the first other one that decodes the file's head."""
-    lines = spark.read.option("pathGlobFilter", f"*{suffix}").text(path)
-    valid = lines.groupBy(F.col("_metadata.file_path").alias("path")).agg(F.bool_and(F.is_valid_utf8("value")).alias("valid")).collect()
-    found = {row.path: ENCODINGS[0] for row in valid if row.valid}
-    names = {"x-windows-949": "cp949", "EUC-KR": "euc-kr"}
-    for row in valid:
-        if row.valid:
-            continue
-        first = spark.read.format("binaryFile").load(row.path).select(F.substring("content", 1, head).alias("head")).first()
-        content = bytes(first.head)
-        found[row.path] = ENCODINGS[1]
-        for java in ENCODINGS[1:]:
-            try:
-                content.decode(names[java])
-                found[row.path] = java
-                break
-            except UnicodeDecodeError as error:
-                if error.start > len(content) - 4 and len(content) == head:  # a character cut off by the head's end
-                    found[row.path] = java
-                    break
-    return found
-
-
-def detect_encoding(spark: SparkSession, path: str) -> str:
-    """The encoding of a file or, of several, the first of ENCODINGS that is not UTF-8 if one has it."""
-    return max(encodings(spark, path).values(), key=ENCODINGS.index, default=ENCODINGS[0])
+def encodings(path: str, suffix: str = "") -> dict[str, str]:
+    """The first encoding that the head of each file is in. More of a file is looked at, and checked, when it is read."""
+    source = files.FlatFiles({"path": path, "suffix": suffix})
+    return {file.path: file.encodings[0] for file in source.files()}
+
+
+def _flat_files(spark: SparkSession, path: str, suffix: str, separator: str, skip_bad: bool) -> DataFrame:
+    spark.dataSource.register(files.FlatFiles)
+    reader = spark.read.format("flat_files").option("suffix", suffix).option("separator", separator)
+    return reader.option("nulls", "\n".join(NULL_TOKENS)).option("skip_bad", str(skip_bad).lower()).load(path)
 
 
 def read_csv(spark: SparkSession, path: str, encoding: str | None = None, separator: str = ",", infer: bool = False, skip_bad: bool = False, multiline: bool = False) -> DataFrame:
     """A flat file with a header: all text unless types are inferred, null tokens as nulls, clean header.
 
-    With ``multiline`` quoted values may hold line ends, but a file is then one task, however large.
+    Without an ``encoding`` (as Java names it) the file is read in byte ranges that are decoded in the encoding that fits, see files.FlatFiles; to infer types or for values that hold
+    line ends (``multiline``: a file is then one task, however large) the encoding of the file's head is taken.
     """
-    encoding = encoding or detect_encoding(spark, path)
+    if encoding is None and not infer and not multiline:
+        files.found(path, "")
+        return _flat_files(spark, path, "", separator, skip_bad).drop("file_path", "file_name")
+    if encoding is None:
+        encoding = max((JAVA_NAMES[e] for e in encodings(path).values()), key=[*JAVA_NAMES.values()].index)
     if encoding != "UTF-8":
         spark.conf.set("spark.sql.legacy.javaCharsets", "true")  # without it only UTF and Latin-1 names are allowed
     reader = spark.read.option("header", True).option("sep", separator).option("encoding", encoding).option("inferSchema", infer)
@@ -70,30 +60,16 @@ def read_csv(spark: SparkSession, path: str, encoding: str | None = None, separa
     return null_tokens(clean_headers(reader.csv(path)))
 
 
-def read_excel(path: str, spark: SparkSession) -> DataFrame:
-    """A spreadsheet, if pandas can read such files here: on the driver, as spreadsheets are bounded by their format."""
-    import pandas as pd
-
-    frame = pd.read_excel(path, dtype=str)
-    return clean_headers(spark.createDataFrame(frame.astype(object).where(frame.notna(), None), schema=", ".join(f"`{c}` string" for c in frame.columns)))
-
-
-def read_directory(spark: SparkSession, path: str, suffix: str = ".csv", **options) -> DataFrame:
-    """All files of a directory with the suffix, as one table with file_path and file_name: each in its encoding, null tokens as nulls."""
-    groups: dict[str, list[str]] = {}
-    for file, encoding in encodings(spark, path, suffix).items():
-        groups.setdefault(encoding, []).append(file)
-    out = None
-    for encoding, files in sorted(groups.items()):
-        if encoding != "UTF-8":
-            spark.conf.set("spark.sql.legacy.javaCharsets", "true")
-        reader = spark.read.option("header", True).option("escape", '"').option("encoding", encoding).option("inferSchema", options.get("infer", False))
-        rows = reader.csv(sorted(files)).select("*", F.col("_metadata.file_path").alias("_path"), F.col("_metadata.file_name").alias("_name"))
-        part = null_tokens(clean_headers(rows)).withColumnsRenamed({"_path": "file_path", "_name": "file_name"})
-        out = part if out is None else out.unionByName(part, allowMissingColumns=True)
-    if out is None:
-        raise ValueError(f"{path} holds no file *{suffix}")
-    return out
+def read_excel(path: str, spark: SparkSession, sheet: str | None = None) -> DataFrame:
+    """A sheet of a workbook, or of each workbook of a folder: all text, null tokens as nulls, clean header, rows streamed by a task for each file."""
+    spark.dataSource.register(files.Workbook)
+    reader = spark.read.format("workbook").option("nulls", "\n".join(NULL_TOKENS))
+    return (reader.option("sheet", sheet) if sheet else reader).load(path)
+
+
+def read_directory(spark: SparkSession, path: str, suffix: str = ".csv", separator: str = ",", skip_bad: bool = False) -> DataFrame:
+    """All files of a directory with the suffix, as one table with file_path and file_name: each in its encoding, null tokens as nulls, columns that a file lacks as nulls."""
+    return _flat_files(spark, path, suffix, separator, skip_bad)
 
 
 def read_existing(spark: SparkSession, paths: dict[str, str], infer: bool = True) -> tuple[dict[str, DataFrame], list[str]]:
@@ -102,6 +78,8 @@ def read_existing(spark: SparkSession, paths: dict[str, str], infer: bool = True
     for name, path in paths.items():
         try:
             found[name] = spark.read.parquet(path) if path.rstrip("/").endswith(".parquet") else read_csv(spark, path, infer=infer)
+        except FileNotFoundError:
+            missing.append(name)
         except AnalysisException as error:
             if "PATH_NOT_FOUND" not in str(error.getCondition()):
                 raise

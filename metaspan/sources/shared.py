@@ -9,11 +9,16 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the session names in spark.checkpoint.dir; a session without one (a test) gets a temporary folder."""
+    """The folder that all executors share, as the session names it. Only a session of one machine that names none gets a temporary folder."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         found = spark.sparkContext._jsc.sc().getCheckpointDir()
-        folder = found.get() if found.isDefined() else tempfile.mkdtemp(prefix="shared")
+        if found.isDefined():
+            folder = found.get()
+        elif spark.sparkContext.master.startswith("local"):
+            folder = tempfile.mkdtemp(prefix="shared")
+        else:
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
 
