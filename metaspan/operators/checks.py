@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from fnmatch import fnmatchcase
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -43,10 +43,42 @@ def ambiguous(df: DataFrame, key: str, value: str) -> DataFrame:
     return df.groupBy(key).agg(F.countDistinct(value).alias("value_cnt"), F.array_join(F.array_sort(F.collect_set(F.col(value).cast("string"))), ", ").alias("value_list")).where("value_cnt > 1")
 
 
+def letters(name: Column) -> Column:
+    """The name with Hangul syllables as the two or three letters that they are made of."""
+
+    def parts(c: Column) -> Column:
+        code = F.ascii(c) - 0xAC00
+        letter = lambda first, k: F.decode(F.unhex(F.hex(F.lit(first) + k)), "UTF-16BE")
+        last = F.when(code % 28 > 0, letter(0x11A7, code % 28)).otherwise("")
+        return F.when(code.between(0, 11171), F.concat(letter(0x1100, F.floor(code / 588)), letter(0x1161, F.floor(code % 588 / 28)), last)).otherwise(c)
+
+    return F.when(name.rlike("[가-힣]"), F.array_join(F.transform(F.split(name, ""), parts), "")).otherwise(name)
+
+
+def _shortened(text: Column, most: int) -> Column:
+    """The text, and what is left of it when up to ``most`` of its characters are deleted."""
+    out = last = F.array(text)
+    for _ in range(most):
+        drop = lambda t: F.transform(F.sequence(F.lit(1), F.greatest(F.length(t), F.lit(1))), lambda i: F.concat(F.substr(t, F.lit(1), i - 1), F.substr(t, i + 1)))
+        last = F.array_distinct(F.flatten(F.transform(last, drop)))
+        out = F.array_union(out, last)
+    return out
+
+
 def similar_names(df: DataFrame, column: str, most: int = 2) -> DataFrame:
-    """Pairs of distinct values that sound alike and differ by at most so many edits; only values of one sound meet."""
-    own = df.select(F.col(column).alias("a")).where("a IS NOT NULL").distinct().withColumn("sound", F.soundex("a"))
-    return own.join(own.withColumnRenamed("a", "b"), "sound").where("a < b").withColumn("distance", F.levenshtein("a", "b")).where(F.col("distance") <= most).select("a", "b", "distance")
+    """a, b, distance, same_sound: pairs of distinct values that differ by at most so many edits of letters (up to 2), and whether they sound alike.
+
+    An index of deletions: two names within ``most`` edits share a form that is left when at most so many letters of each are deleted, so the names meet on hashes of those
+    forms and only names near each other do. A name has about half the square of its length in forms, hence names and not texts.
+    """
+    if most not in (1, 2):
+        raise ValueError("one or two edits")
+    own = df.select(F.col(column).alias("name")).where("name IS NOT NULL").distinct().withColumn("letters", letters(F.col("name")))
+    index = own.select("name", "letters", F.explode(F.array_distinct(F.transform(_shortened(F.col("letters"), most), lambda t: F.xxhash64(t)))).alias("form"))
+    other = index.select(F.col("name").alias("b"), F.col("letters").alias("b_letters"), "form")
+    pairs = index.withColumnsRenamed({"name": "a", "letters": "a_letters"}).join(other, "form").where("a < b").select("a", "b", "a_letters", "b_letters").distinct()
+    pairs = pairs.withColumn("distance", F.levenshtein("a_letters", "b_letters", most)).where("distance >= 0")
+    return pairs.select("a", "b", "distance", (F.soundex("a") == F.soundex("b")).alias("same_sound"))
 
 
 def standard_differences(df: DataFrame, standard: DataFrame) -> DataFrame:
@@ -59,6 +91,72 @@ def missing_columns(present: DataFrame, required: DataFrame) -> DataFrame:
     return required.join(present, ["master_type", "column_name"], "left_anti")
 
 
+#: The cases of a migration's outcome, whether it counts as right, and how the tables relate. Conditions on them follow in _cases().
+CASES = [
+    (1, True, "identical in columns, their order, rows and their order"), (2, True, "columns in another order"), (3, True, "rows in another order"), (4, True, "columns added"), (5, True, "columns deleted"),
+    (6, True, "columns added and deleted"), (7, True, "1:n, measures agree by key"), (8, True, "n:1, measures agree by key"), (9, True, "1:1, measures agree within the tolerance"),
+    (10, True, "1:n or n:1, measures agree within the tolerance"), (11, False, "1:1, totals agree, keys differ"), (12, False, "1:1, keys agree, totals differ"), (13, False, "1:1, columns added, keys and totals differ"),
+    (14, False, "1:1, columns deleted, totals agree, measures differ by key"), (15, False, "1:1, columns changed, totals differ"), (16, False, "1:n, totals agree, measures differ by key"),
+    (17, False, "1:n, totals differ"), (18, False, "n:1, totals agree, measures differ by key"), (19, False, "n:1, totals differ"),
+]
+
+
+def _cases() -> list[Column]:
+    c = F.col
+    same, other = ~c("columns_changed"), c("columns_changed")
+    more, fewer, even = c("rows_after") > c("rows_before"), c("rows_after") < c("rows_before"), c("rows_after") == c("rows_before")
+    return [
+        c("identical"), c("rows_in_order") & same, ~c("rows_in_order") & same & c("rows_agree"), c("rows_in_order") & c("rows_agree") & (c("added") > 0) & (c("deleted") == 0),
+        c("rows_in_order") & c("rows_agree") & (c("added") == 0) & (c("deleted") > 0), c("rows_in_order") & c("rows_agree") & (c("added") > 0) & (c("deleted") > 0),
+        c("keys_agree") & ~c("rows_in_order") & more, c("keys_agree") & ~c("rows_in_order") & fewer, c("near") & (c("keys_changed") == 0) & even, c("near") & (c("keys_changed") == 0) & ~even,
+        ~c("keys_agree") & even & same & c("totals_agree") & (c("keys_changed") > 0), ~c("keys_agree") & even & same & ~c("totals_agree") & (c("keys_changed") == 0) & (c("measures_changed") > 0),
+        ~c("keys_agree") & even & other & ~c("totals_agree") & (c("keys_changed") > 0) & (c("added") > 0) & (c("deleted") == 0),
+        ~c("keys_agree") & even & other & c("totals_agree") & (c("keys_changed") == 0) & (c("added") == 0) & (c("deleted") > 0), ~c("keys_agree") & even & other & ~c("totals_agree") & (c("keys_changed") == 0),
+        ~c("keys_agree") & more & c("totals_agree"), ~c("keys_agree") & more & ~c("totals_agree"), ~c("keys_agree") & fewer & c("totals_agree"), ~c("keys_agree") & fewer & ~c("totals_agree"),
+    ]
+
+
+def migration_case(before: DataFrame, after: DataFrame, keys: list[str], measures: list[str], position: str | None = None, tolerance: float = 0.01) -> DataFrame:
+    """One row: which of CASES a migrated table is, 0 for none, with the findings that decide it.
+
+    Each table is aggregated once, by ``keys`` (columns of both): rows, sums of the ``measures`` (exact, as decimals), and sums of row hashes over the common columns, of which one
+    takes the row's ``position`` (a column of its number in the table, which is not compared itself) and so depends on the order. All findings follow from these sums. Tables without a
+    position have no order. Measures are near if those of every key differ by at most ``tolerance`` of the earlier ones.
+    """
+    skipped = {position} if position else set()
+    a, b = ([c for c in df.columns if c not in skipped] for df in (before, after))
+    common, added, deleted = [c for c in a if c in b], [c for c in b if c not in a], [c for c in a if c not in b]
+    at = [F.col(position)] if position else []
+    money = "decimal(38,6)"
+
+    def summed(df: DataFrame, tag: int) -> DataFrame:
+        row = [F.col(c).cast("string") for c in sorted(common)]
+        big = lambda h: F.sum(h.cast("decimal(20,0)"))
+        by = df.groupBy(*keys).agg(F.count("*").alias("n"), big(F.xxhash64(*row)).alias("free"), big(F.xxhash64(*at, *row)).alias("bound"), *[F.sum(F.col(m).cast("decimal(28,6)")).alias(f"m{k}") for k, m in enumerate(measures)])
+        return by.select(*keys, *[F.when(F.lit(tag == t), F.col(c)).alias(f"{c}_{t}") for t in (0, 1) for c in ("n", "free", "bound", *[f"m{k}" for k in range(len(measures))])])
+
+    ms = [f"m{k}" for k in range(len(measures))]
+    both = summed(before, 0).unionByName(summed(after, 1)).groupBy(*keys).agg(*[F.sum(f"{c}_{t}").alias(f"{c}_{t}") for t in (0, 1) for c in ("n", "free", "bound", *ms)])
+    there = F.col("n_0").isNotNull() & F.col("n_1").isNotNull()
+    equal = lambda cs: F.forall(F.array(*[F.col(f"{c}_0").eqNullSafe(F.col(f"{c}_1")) for c in cs]), lambda x: x) if cs else F.lit(True)
+    close = F.forall(F.array(*[F.coalesce(F.abs(F.col(f"{m}_1") - F.col(f"{m}_0")) <= F.abs(F.col(f"{m}_0")) * tolerance, F.col(f"{m}_0").eqNullSafe(F.col(f"{m}_1"))) for m in ms]), lambda x: x) if ms else F.lit(True)
+    zero = lambda c: F.coalesce(F.sum(c), F.lit(0).cast(money))
+    total = both.agg(
+        F.coalesce(F.sum("n_0"), F.lit(0)).alias("rows_before"), F.coalesce(F.sum("n_1"), F.lit(0)).alias("rows_after"), F.count_if(~there).alias("keys_changed"), F.count_if(there & ~equal(ms)).alias("measures_changed"),
+        F.coalesce(F.bool_and(equal(["n", "free"])), F.lit(True)).alias("rows_agree"), F.coalesce(F.bool_and(equal(["n", "bound"])), F.lit(True)).alias("rows_in_order"), F.coalesce(F.bool_and(there & close), F.lit(True)).alias("near"),
+        F.forall(F.array(F.lit(True), *[zero(f"{m}_0") == zero(f"{m}_1") for m in ms]), lambda x: x).alias("totals_agree"),
+    )
+    total = total.withColumns(
+        {
+            "keys_agree": (F.col("keys_changed") == 0) & (F.col("measures_changed") == 0), "added": F.lit(len(added)), "deleted": F.lit(len(deleted)), "columns_changed": F.lit(bool(added or deleted)),
+            "identical": F.col("rows_in_order") & F.lit(a == b),
+        }
+    )
+    case = F.coalesce(*[F.when(c, k) for (k, _, _), c in zip(CASES, _cases())], F.lit(0))
+    told = lambda i: F.element_at(F.create_map(*[F.lit(x) for row in [(0, False, "none of the cases"), *CASES] for x in (row[0], row[i])]), F.col("case"))
+    return total.withColumn("case", case).select("case", told(1).alias("right"), told(2).alias("relation"), *[c for c in total.columns])
+
+
 def migration_outcome(before: DataFrame, after: DataFrame, keys: list[str], sums: list[str]) -> DataFrame:
     """One row: whether rows, columns, sums and distinct keys agree between two tables."""
     def measure(df, tag):

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from metaspan.sources.shared import stored
+
 
 def enrich(mapping: DataFrame, activities: DataFrame, systems: DataFrame) -> DataFrame:
     """File mappings with the sequences of their activity and system; rows without a known activity and system are left out."""
@@ -50,10 +52,22 @@ def replace_slice(df: DataFrame, key: str, value, new: DataFrame) -> DataFrame:
 
 
 def append_numbered(df: DataFrame, new: DataFrame, key: str, seq: str) -> DataFrame:
-    """The table with new rows numbered on from the greatest sequence of their key, in their order by all columns."""
-    top = df.groupBy(key).agg(F.max(seq).alias("top"))
-    w = Window.partitionBy(key).orderBy(*[c for c in new.columns if c != seq])
-    numbered = new.drop(seq).join(top, key, "left").withColumn(seq, (F.coalesce("top", F.lit(0)) + F.row_number().over(w)).cast(dict(df.dtypes)[seq])).drop("top")
+    """The table with new rows numbered on from the greatest sequence of their key, in their order by all columns.
+
+    The new rows are dealt to ranges of that order, so one key may be many tasks. A row's number is its place among the rows of its key and range, plus the rows of the
+    key in the ranges before: a prefix sum of counts, of which a key has one for each range that it spans. Equal rows are told apart by where they stand.
+    """
+    order = [c for c in new.columns if c not in (key, seq)]
+    rows = stored(new.drop(seq).withColumn("_row", F.monotonically_increasing_id()), "new-rows")
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = stored(rows.repartitionByRange(n, key, *order, "_row").withColumn("_range", F.spark_partition_id()), "dealt-rows")
+    before = F.sum("n").over(Window.partitionBy(key).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
+    starts = dealt.groupBy(key, "_range").agg(F.count("*").alias("n")).select(F.col(key).alias("_key"), F.col("_range").alias("_at"), F.coalesce(before, F.lit(0)).alias("_before"))
+    top = df.groupBy(F.col(key).alias("_key")).agg(F.max(seq).alias("_top"))
+    starts = starts.join(top, starts["_key"].eqNullSafe(top["_key"]), "left").select(starts["_key"], "_at", (F.col("_before") + F.coalesce("_top", F.lit(0))).alias("_start"))
+    place = F.row_number().over(Window.partitionBy("_range", key).orderBy(*order, "_row"))
+    numbered = dealt.withColumn("_place", place).join(starts, dealt[key].eqNullSafe(F.col("_key")) & (F.col("_range") == F.col("_at")))
+    numbered = numbered.withColumn(seq, (F.col("_start") + F.col("_place")).cast(dict(df.dtypes)[seq]))
     return df.unionByName(numbered.select(*df.columns))
 
 

@@ -561,6 +561,35 @@ def migration_outcome_sql():
     return f"SELECT {same('count(*)')} AS row_status, 'same' AS column_status, {same('sum(o_orderkey)')} AS sum_status, {same('count(DISTINCT o_custkey)')} AS dimension_status"
 
 
+def migration_cases(spark, sf_dir):
+    """Three tables that orders could have become: columns in another order, some prices raised, some rows lost."""
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice")
+    raised = F.when(F.col("o_orderstatus") == "P", F.col("o_totalprice") * 1.5).otherwise(F.col("o_totalprice"))
+    made = {"same": orders.select("o_totalprice", "o_orderkey", "o_orderstatus", "o_custkey"), "raised": orders.withColumn("o_totalprice", raised), "lost": orders.where("o_orderstatus <> 'P'")}
+    found = [checks.migration_case(orders, after, ["o_custkey"], ["o_totalprice"], "o_orderkey").withColumn("variant", F.lit(name)) for name, after in made.items()]
+    return reduce(DataFrame.unionByName, found).select("variant", "case", "right", "rows_before", "rows_after", "keys_changed", "measures_changed", "totals_agree", "rows_agree")
+
+
+def migration_cases_sql():
+    after = {"same": ("o_totalprice", "true"), "raised": ("CASE WHEN o_orderstatus = 'P' THEN o_totalprice * 1.5 ELSE o_totalprice END", "true"), "lost": ("o_totalprice", "o_orderstatus <> 'P'")}
+    side = lambda price, kept: f"(SELECT o_custkey AS k, count(*) AS n, sum(({price})::DECIMAL(28, 6)) AS m FROM orders WHERE {kept} GROUP BY 1)"
+    rows = " UNION ALL ".join(f"SELECT '{v}' AS variant, a.k AS ka, b.k AS kb, a.n AS na, b.n AS nb, a.m AS ma, b.m AS mb FROM {side('o_totalprice', 'true')} a FULL JOIN {side(p_, kept)} b ON a.k = b.k" for v, (p_, kept) in after.items())
+    return f"""WITH x AS ({rows}), y AS (SELECT variant, sum(na)::BIGINT AS rows_before, sum(nb)::BIGINT AS rows_after, count(*) FILTER (ka IS NULL OR kb IS NULL) AS keys_changed, count(*) FILTER (ka IS NOT NULL AND kb IS NOT NULL AND ma <> mb) AS measures_changed,
+ coalesce(sum(ma), 0) = coalesce(sum(mb), 0) AS totals_agree, bool_and(na IS NOT DISTINCT FROM nb AND ma IS NOT DISTINCT FROM mb) AS rows_agree FROM x GROUP BY variant),
+z AS (SELECT *, CASE WHEN rows_agree THEN 2 WHEN rows_after < rows_before AND totals_agree THEN 18 WHEN rows_after < rows_before THEN 19 WHEN keys_changed = 0 AND measures_changed > 0 AND NOT totals_agree THEN 12 ELSE 0 END AS c FROM y)
+SELECT variant, c AS "case", c BETWEEN 1 AND 10 AS "right", rows_before, rows_after, keys_changed, measures_changed, totals_agree, rows_agree FROM z"""
+
+
+def similar_words(spark, sf_dir):
+    """Words of part names that are within two edits of each other."""
+    words = table(spark, sf_dir, "part").select(F.explode(F.split("p_name", " ")).alias("word"))
+    return checks.similar_names(words, "word").drop("same_sound")
+
+
+def similar_words_sql():
+    return """WITH w AS (SELECT DISTINCT unnest(string_split(p_name, ' ')) AS w FROM part) SELECT x.w AS a, y.w AS b, levenshtein(x.w, y.w)::INT AS distance FROM w x JOIN w y ON x.w < y.w AND levenshtein(x.w, y.w) <= 2"""
+
+
 def null_tokens(spark, sf_dir):
     """Texts that flat-file readers take for null, here planted in a typed table."""
     part = table(spark, sf_dir, "part").select("p_partkey", F.when(F.col("p_size") % 5 == 0, "NA").when(F.col("p_size") % 5 == 1, "").otherwise(F.col("p_brand")).alias("p_brand"))
@@ -604,7 +633,7 @@ def event_windows_sql():
 _ALL = (
     inclusion_match, reference_mapping, internal_mapping, mapping_top3_pivot, final_mapping, all_mappings, related_without_excluded, fk_chain_paths, path_relations, related_files, table_summary, physical_hierarchy, related_tables, physical_edges,
     edge_classification, erd_info, erd_frame, integrity_kpis, orphan_rows, type_consistency, table_connection_counts, industry_kpis, files_per_group, activity_edges, system_activity_links, upsert_slice, append_numbered, semi_filter, anti_filter,
-    union_distinct, ambiguous_codes, contract_checks, migration_outcome, null_tokens, expanded_formats, hash_sample, event_windows,
+    union_distinct, ambiguous_codes, contract_checks, migration_outcome, migration_cases, similar_words, null_tokens, expanded_formats, hash_sample, event_windows,
 )
 QUERIES = {f.__name__: f for f in _ALL}
 ORACLES = {f.__name__: globals()[f"{f.__name__}_sql"]() for f in _ALL if f"{f.__name__}_sql" in globals()}

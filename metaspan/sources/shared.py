@@ -23,6 +23,13 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a table in as many files as it has partitions: computed once, safe against lost executors."""
+    path = f"{shared_folder(df.sparkSession)}/tables/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def materialised(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a table: computed once, a leaf for every plan built on it, safe against lost executors. For metadata, not for data."""
     path = f"{shared_folder(df.sparkSession)}/tables/{name}-{uuid.uuid4().hex}"

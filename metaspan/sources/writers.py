@@ -11,8 +11,15 @@ def flat(df: DataFrame) -> DataFrame:
     return df.select(*[F.to_json(F.col(f"`{c}`")).alias(c) if t.startswith(("array", "map", "struct")) else F.col(f"`{c}`") for c, t in df.dtypes])
 
 
-def write_csv(df: DataFrame, path: str) -> None:
-    flat(df).write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+BYTE_ORDER_MARK = "\ufeff"
+
+
+def write_csv(df: DataFrame, path: str, mark: bool = False) -> None:
+    """Flat files with a header; with ``mark`` each begins with a byte-order mark, by which spreadsheet programs tell UTF-8."""
+    out = flat(df)
+    if mark and out.columns:
+        out = out.withColumnRenamed(out.columns[0], BYTE_ORDER_MARK + out.columns[0])
+    out.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
 
 
 def write_table(df: DataFrame, path: str, by: str | None = None) -> None:
@@ -20,6 +27,22 @@ def write_table(df: DataFrame, path: str, by: str | None = None) -> None:
     (writer.partitionBy(by) if by else writer).parquet(path)
 
 
+def replace_partition(new: DataFrame, path: str, by: str, value) -> None:
+    """The rows of one value of the partition column ``by`` in the table at ``path``, replaced by ``new``; files of other partitions are not touched.
+
+    ``new`` holds rows of that value only; an empty one removes the partition. ``new`` may be derived from the table itself: what it reads stays until all of it is written.
+    """
+    if not new.where(~F.col(by).eqNullSafe(F.lit(value))).isEmpty():
+        raise ValueError(f"rows of another {by} than {value!r}")
+    if new.isEmpty():
+        jvm = new.sparkSession._jvm
+        name = jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.getPartitionPathString(by, str(value) if value is not None else "__HIVE_DEFAULT_PARTITION__")
+        folder = jvm.org.apache.hadoop.fs.Path(path, name)
+        folder.getFileSystem(new.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+        return
+    new.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(path)
+
+
 def write_stages(path: str, **frames: DataFrame) -> None:
     """Named intermediate tables, each under its name."""
     for name, df in frames.items():

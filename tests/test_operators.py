@@ -111,7 +111,7 @@ def test_rules_over_profiles(spark):
 def test_checks(spark):
     df = spark.createDataFrame([("a", "Jon"), ("a", "John"), ("b", "Mary")], "code string, meaning string")
     assert checks.ambiguous(df, "code", "meaning").first().value_list == "John, Jon"
-    assert [tuple(r) for r in checks.similar_names(df, "meaning").collect()] == [("John", "Jon", 1)]
+    assert [tuple(r) for r in checks.similar_names(df, "meaning").collect()] == [("John", "Jon", 1, True)]
     assert checks.standard_differences(df, spark.createDataFrame([("b", "Maria")], "code string, standard_meaning string")).count() == 1
     present = spark.createDataFrame([("Master", "id")], "master_type string, column_name string")
     assert checks.missing_columns(present, present.union(spark.createDataFrame([("Master", "name")], present.schema))).first().column_name == "name"
@@ -297,3 +297,106 @@ def test_integrity_counters_in_a_profile(spark):
     assert integrity.orphans(match.inclusion(pairs, values), tolerance=50.0).first().fk_mismatch == 0
     with pytest.raises(ValueError):
         integrity.date_conflicts(profile.value_counts(facts, ["day"]), {"day": "TEL"})
+
+
+def test_names_within_two_edits(spark):
+    import random
+
+    def distance(a, b):
+        row = [*range(len(b) + 1)]
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        return row[-1]
+
+    import unicodedata
+
+    rnd = random.Random(4)
+    names = sorted({"".join(rnd.choice("abcd") for _ in range(rnd.randint(0, 7))) for _ in range(120)} | {"김철수", "김철우", "긴철수", "이영희", "Jon", "John", "ab", "ba"})
+    plain = {n: unicodedata.normalize("NFD", n) for n in names}
+    assert {r.name: r.l for r in spark.createDataFrame([(n,) for n in names], "name string").select("name", checks.letters(F.col("name")).alias("l")).collect()} == plain
+    for most in (1, 2):
+        found = checks.similar_names(spark.createDataFrame([(n,) for n in [*names, None, "ab"]], "n string"), "n", most)
+        want = {(a, b, distance(plain[a], plain[b])) for a in names for b in names if a.encode() < b.encode() and distance(plain[a], plain[b]) <= most}
+        assert {tuple(r)[:3] for r in found.collect()} == want and found.count() == len(want)
+    with pytest.raises(ValueError):
+        checks.similar_names(spark.createDataFrame([("a",)], "n string"), "n", 3)
+
+
+def _migrations():
+    base = [(i, f"k{i % 5}", f"x{i}", 100 + i) for i in range(40)]
+    cols = ["pos", "k", "x", "m"]
+    add = lambda rows: [(*r, "new") for r in rows]
+    less = lambda rows: [(r[0], r[1], r[3]) for r in rows]
+    both = lambda rows: [(r[0], r[1], r[3], "new") for r in rows]
+    split = [(2 * r[0] + j, r[1], r[2], r[3] - 1 if j else 1) for r in base for j in (0, 1)]
+    merged = [(i, f"k{i}", f"y{i}", sum(r[3] for r in base if r[1] == f"k{i}")) for i in range(5)]
+    nearly = [(*r[:3], r[3] + (r[0] == 7)) for r in base]
+    moved = [(r[0], "k9" if r[0] == 3 else r[1], r[2], r[3]) for r in base]
+    raised = [(*r[:3], r[3] * 2) for r in base]
+    shifted = [(*r[:3], r[3] + (500 if r[0] == 0 else -500 if r[0] == 1 else 0)) for r in base]
+    off = lambda rows, by: [(*r[:3], r[3] + (by if k == 0 else -by if k == 2 else 0)) for k, r in enumerate(rows)]
+    return {
+        1: (cols, base), 2: (["pos", "m", "x", "k"], [(r[0], r[3], r[2], r[1]) for r in base]), 3: (cols, [(39 - r[0], *r[1:]) for r in base]), 4: ([*cols, "z"], add(base)), 5: (["pos", "k", "m"], less(base)),
+        6: (["pos", "k", "m", "z"], both(base)), 7: (cols, split), 8: (cols, merged), 9: (cols, nearly), 10: (cols, off(split, 5)), 11: (cols, moved), 12: (cols, raised),
+        13: ([*cols, "z"], add([(*r[:3], r[3] + 7) for r in moved])), 14: (["pos", "k", "m"], less(shifted)), 15: (["pos", "k", "m", "z"], both(raised)), 16: (cols, off(split, 500)),
+        17: (cols, [(*r[:3], r[3] * 2) for r in split]), 18: (cols, off(merged, 500)), 19: (cols, [(*r[:3], r[3] * 2) for r in merged]), 0: (["pos", "k", "x", "m"], [(*r[:3], r[3] + 900 * (r[1] == "k9")) for r in moved]),
+    }, (cols, base)
+
+
+def test_all_cases_of_a_migration(spark):
+    cases, (cols, base) = _migrations()
+    before = spark.createDataFrame(base, cols)
+    for case, (names, data) in cases.items():
+        r = checks.migration_case(before, spark.createDataFrame(data, names), ["k"], ["m"], "pos").first()
+        assert (r.case, r.right) == (case, 0 < case <= 10), (case, r)
+    assert checks.migration_case(before.limit(0), before.limit(0), ["k"], ["m"]).first().case == 1
+
+
+def test_slice_is_replaced_without_touching_other_files(spark, tmp_path):
+    import os
+
+    path = str(tmp_path / "t")
+    df = spark.createDataFrame([(k, "abc"[k % 3], k) for k in range(30)], "id int, part string, v int")
+    writers.write_table(df, path, "part")
+    files_of = lambda p: {f"{p}/{f}" for f in os.listdir(f"{path}/part={p}") if f.startswith("part-")}
+    kept, gone = files_of("a") | files_of("c"), files_of("b")
+    table = spark.read.parquet(path)
+    writers.replace_partition(table.where("part = 'b' AND id > 10").withColumn("v", F.lit(-1)), path, "part", "b")
+    assert files_of("a") | files_of("c") == kept and not files_of("b") & gone
+    rows = {tuple(r) for r in spark.read.parquet(path).select("id", "part", "v").collect()}
+    assert rows == {(k, "abc"[k % 3], -1 if k % 3 == 1 else k) for k in range(30) if k % 3 != 1 or k > 10}
+    writers.replace_partition(spark.read.parquet(path).limit(0), path, "part", "b")
+    assert not os.path.exists(f"{path}/part=b") and files_of("a") | files_of("c") == kept
+    with pytest.raises(ValueError):
+        writers.replace_partition(df.where("part = 'a'"), path, "part", "c")
+
+
+def test_one_hot_key_is_numbered_over_many_tasks(spark):
+    old = spark.createDataFrame([("hot", "x", 7), ("b", "y", 2)], "k string, v string, n int")
+    new = [("hot" if i % 10 else None if i % 20 else "b", f"v{i % 400:03d}", None) for i in range(5000)]
+    out = valuechain.append_numbered(old, spark.createDataFrame(new, old.schema), "k", "n")
+    rows = [tuple(r) for r in out.collect()]
+    for key, first in (("hot", 7), ("b", 2), (None, 0)):
+        own = sorted((v, n) for k, v, n in rows[2:] if k == key)
+        assert sorted(n for _, n in own) == [*range(first + 1, first + 1 + len(own))] and [n for _, n in own] == sorted(n for _, n in own)
+    assert len(rows) == 5002
+
+
+def test_byte_order_mark(spark, tmp_path):
+    import glob
+
+    writers.write_csv(spark.createDataFrame([("a", "b")], "`이름` string, k string").coalesce(1), str(tmp_path / "o"), mark=True)
+    content = open(glob.glob(str(tmp_path / "o" / "part-*"))[0], "rb").read()
+    assert content.startswith(b"\xef\xbb\xbf") and content.decode("utf-8-sig") == "이름,k\na,b\n"
+
+
+def test_strict_edges_leave_out_reference_and_common_columns(spark):
+    names = "file_name string, column_name string, master_type string, code_file_1 string, code_column_1 string, code_type_1 string, matched_pct_1 double"
+    rows = [("a", "x", "Master", "b", "y", "Master", 90.0), ("a", "z", "Master", "r", "y", "Reference", 90.0), ("c", "k", "Common", "b", "y", "Master", 90.0), ("a", "u", "Master", "", "URL", "Rule", 99.0), ("b", "y", "Master", "d", "w", "Master", 80.0)]
+    mapping = spark.createDataFrame(rows, names)
+    ends = lambda strict: sorted((r.src.file, r.src.column, r.dst.file) for r in lineage.edges_of(mapping, strict).collect())
+    assert ends(False) == [("a", "x", "b"), ("a", "z", "r"), ("b", "y", "d"), ("c", "k", "b")] and ends(True) == [("a", "x", "b"), ("b", "y", "d")]
+    found = {r.relationship for r in lineage.levels(lineage.chains(lineage.edges_of(mapping, strict=True))).collect()}
+    assert found == {"a.x -> b.y -> d.w", "b.y -> d.w"}
