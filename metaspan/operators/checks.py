@@ -11,20 +11,22 @@ from pyspark.sql import functions as F
 def contract(df: DataFrame, file_name: str, rules: list[dict]) -> DataFrame:
     """column_name, rule, checked, failed, passed of a contract's rules, in one aggregation.
 
-    A rule: {file, column (globs), max_null_pct, min_length, max_length, regex, min, max, severity}; which apply is decided by names.
+    A rule: {file, column (globs; a name with exact), max_null_pct, min_length, max_length, fixed_length, regex, values, leading_zero (False: none), min, max, severity}; which apply is decided by names.
     """
     cells = []
     for r in rules:
         if not fnmatchcase(file_name, r.get("file", "*")):
             continue
         for c in df.columns:
-            if not fnmatchcase(c, r.get("column", "*")):
+            if not (c == r["column"] if r.get("exact") else fnmatchcase(c, r.get("column", "*"))):
                 continue
             v = F.col(f"`{c}`").cast("string")
             number = v.try_cast("double")
             tests = {
                 "max_null_pct": (lambda x: v.isNull(), "null"), "min_length": (lambda x: F.length(v) < x, "fail"), "max_length": (lambda x: F.length(v) > x, "fail"),
-                "regex": (lambda x: ~v.rlike(x), "fail"), "min": (lambda x: number.isNull() | (number < x), "fail"), "max": (lambda x: number.isNull() | (number > x), "fail"),
+                "regex": (lambda x: ~v.rlike(x), "fail"), "fixed_length": (lambda x: F.length(v) != x, "fail"),
+                "values": (lambda x: ~v.isin([str(y) for y in x]), "fail"), "leading_zero": (lambda x: v.rlike("^0[0-9]") if x is False else F.lit(False), "fail"),
+                "min": (lambda x: number.isNull() | (number < x), "fail"), "max": (lambda x: number.isNull() | (number > x), "fail"),
             }
             for key, (test, kind) in tests.items():
                 if key in r:
@@ -38,6 +40,47 @@ def contract(df: DataFrame, file_name: str, rules: list[dict]) -> DataFrame:
     return long.select("column_name", "rule", "severity", F.col("n").alias("checked"), "failed", (F.col("failed") * 100 <= F.col("most_pct") * F.col("n")).alias("passed"))
 
 
+def _flat_rule(tree: dict) -> dict:
+    """The rule keys of contract() from the groups null, length, pattern, numeric and domain."""
+    tree = {"null" if k is None else k: v for k, v in tree.items()}  # an unquoted null is no text in YAML
+    part = lambda name: tree.get(name) or {}
+    named = {
+        "max_null_pct": part("null").get("max_pct"), "min_length": part("length").get("min"), "max_length": part("length").get("max"), "regex": part("pattern").get("regex"),
+        "fixed_length": part("pattern").get("fixed_length"), "min": part("numeric").get("min"), "max": part("numeric").get("max"), "values": part("domain").get("values"),
+    }
+    if part("pattern").get("allow_leading_zero") is False:
+        named["leading_zero"] = False
+    return {k: v for k, v in named.items() if v is not None}
+
+
+def contract_rules(config: dict, file_name: str, columns: list[str]) -> list[dict]:
+    """The rules of a data contract for a file's columns, one for each column, in the form of contract().
+
+    ``config`` is the tree of a contract file (readers.read_config): defaults, and entries with globs of file and column, severity, importance and rules. A column takes
+    the defaults, then what each entry that fits it says, later entries over earlier ones. Importance is 1 unless said.
+    """
+    tree = config.get("data_contract", config)
+    defaults = tree.get("defaults") or {}
+    out = []
+    for column in columns:
+        rule = {"column": column, "exact": True, "severity": defaults.get("severity", "medium"), "importance": float(defaults.get("importance", 1.0)), **_flat_rule(defaults)}
+        for entry in tree.get("columns") or []:
+            if fnmatchcase(file_name, entry.get("file", "*")) and fnmatchcase(column, entry.get("column", "*")):
+                rule |= {k: entry[k] for k in ("severity", "importance") if k in entry} | _flat_rule(entry.get("rules") or {})
+        out.append(rule)
+    return out
+
+
+def contract_report(df: DataFrame, file_name: str, config: dict) -> DataFrame:
+    """contract() by a contract file, with each rule's importance and weighted_pct, the share of failed rows times the importance, at most 100."""
+    rules = contract_rules(config, file_name, df.columns)
+    found = contract(df, file_name, rules)
+    importance = F.create_map(*[F.lit(x) for r in rules for x in (r["column"], float(r["importance"]))])
+    share = F.coalesce(F.try_divide(F.col("failed") * 100.0, F.col("checked")), F.lit(0.0))
+    out = found.withColumn("importance", F.element_at(importance, F.col("column_name")))
+    return out.withColumn("weighted_pct", F.round(F.round(F.least(F.lit(100.0), share * F.col("importance")), 6), 2))
+
+
 def ambiguous(df: DataFrame, key: str, value: str) -> DataFrame:
     """Keys with more than one distinct value: a code with several names; swapped, a name with several codes."""
     return df.groupBy(key).agg(F.countDistinct(value).alias("value_cnt"), F.array_join(F.array_sort(F.collect_set(F.col(value).cast("string"))), ", ").alias("value_list")).where("value_cnt > 1")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -131,6 +132,26 @@ SELECT o.file_name, o.column_name, code_file_1, code_column_1, code_file_4, code
 FROM owner o JOIN td t USING (column_name) LEFT JOIN one USING (file_name, column_name) LEFT JOIN four USING (column_name)"""
 
 
+#: Rules that name key columns, in the order in which they are tried.
+KEY_RULES = [("identity", "UniqueCnt == ValueCnt", None), ("small code", "LenMax <= 2 and HasOnlyNum == 1", None)]
+
+
+def final_mapping_rules(spark, sf_dir):
+    """The final mapping with the rules that the columns match: the first of them is the attribute."""
+    typed, values = _typed(spark, sf_dir), _values(spark, sf_dir)
+    named = rules.apply_rules(typed, KEY_RULES)
+    out = match.final_mapping(typed, match.pivot_mapping(match.internal_mapping(typed, values)), match.reference_mapping(typed, values), named)
+    return out.select("file_name", "column_name", "rule", "code_column_4", "attribute", "fk")
+
+
+def final_mapping_rules_sql():
+    return f"""WITH {mapping_cte()}, r AS (SELECT *, row_number() OVER (PARTITION BY file_name, column_name, m_ref ORDER BY match_pct DESC, compare_count DESC, master_file, master_column) AS rk FROM good),
+one AS (SELECT file_name, column_name, master_column AS code_column_1 FROM r WHERE m_ref = 0 AND rk = 1), four AS (SELECT column_name, master_column AS code_column_4 FROM r WHERE m_ref = 1 AND rk = 1), pks AS (SELECT column_name FROM td WHERE detail = 'UNIQUE'),
+named AS (SELECT column_name, array_to_string(list_filter([CASE WHEN unique_cnt = value_cnt THEN 'identity' END, CASE WHEN len_max <= 2 THEN 'small code' END], lambda x: x IS NOT NULL), '; ') AS rule FROM wide)
+SELECT o.file_name, o.column_name, rule, code_column_4, coalesce(nullif(split_part(rule, ';', 1), ''), code_column_4, '') AS attribute, (code_column_1 IN (SELECT column_name FROM pks) AND code_column_1 IS NOT NULL)::INT AS fk
+FROM owner o JOIN named USING (column_name) LEFT JOIN one USING (file_name, column_name) LEFT JOIN four USING (column_name)"""
+
+
 #: Key columns whose values are also tried with a validator: table, column, validator, the same in SQL.
 CHECKED = [("customer", "c_nationkey", "LATITUDE", "abs({0}) <= 90"), ("supplier", "s_nationkey", "LONGITUDE", "abs({0}) <= 180"), ("orders", "o_custkey", "YEAR", "{0} BETWEEN 1900 AND 2999")]
 
@@ -551,6 +572,24 @@ def contract_checks_sql():
     return f"SELECT *, failed = 0 AS passed FROM ({' UNION ALL '.join(rows)})"
 
 
+def contract_report(spark, sf_dir):
+    """Customers against the data contract in the file beside this one."""
+    config = readers.read_config(os.path.join(os.path.dirname(__file__), "contract.yaml"))
+    return checks.contract_report(table(spark, sf_dir, "customer"), "customer", config)
+
+
+def contract_report_sql():
+    row = lambda c, r, s, w, most, bad: f"SELECT '{c}' AS column_name, '{r}' AS rule, '{s}' AS severity, {w}::DOUBLE AS importance, count(*) AS checked, count(*) FILTER ({bad}) AS failed, {most} AS most FROM customer"
+    rows = [
+        row("c_custkey", "max_null_pct", "high", 1.8, 0, "c_custkey IS NULL"), row("c_custkey", "min", "high", 1.8, 0, "c_custkey < 1"), row("c_name", "max_null_pct", "medium", 1, 5, "c_name IS NULL"),
+        row("c_name", "min_length", "medium", 1, 0, "length(c_name) < 10"), row("c_name", "max_length", "medium", 1, 0, "length(c_name) > 18"), row("c_name", "regex", "medium", 1, 0, "NOT regexp_matches(c_name, '^Customer#[0-9]+\\z')"),
+        row("c_nationkey", "max_null_pct", "high", 2.5, 0, "c_nationkey IS NULL"), row("c_nationkey", "min", "high", 2.5, 0, "c_nationkey < 0"), row("c_nationkey", "max", "high", 2.5, 0, "c_nationkey > 19"),
+        row("c_acctbal", "max_null_pct", "medium", 1, 5, "c_acctbal IS NULL"), row("c_mktsegment", "max_null_pct", "low", 1, 5, "c_mktsegment IS NULL"),
+        row("c_mktsegment", "values", "low", 1, 0, "c_mktsegment NOT IN ('BUILDING', 'AUTOMOBILE', 'MACHINERY')"),
+    ]
+    return f"SELECT column_name, rule, severity, checked, failed, failed * 100 <= most * checked AS passed, importance, round(least(100, failed * 100.0 / checked * importance)::DECIMAL(18, 6), 2)::DOUBLE AS weighted_pct FROM ({' UNION ALL '.join(rows)})"
+
+
 def migration_outcome(spark, sf_dir):
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus")
     return checks.migration_outcome(orders, orders.where("o_orderstatus <> 'P'"), ["o_custkey"], ["o_orderkey"])
@@ -631,9 +670,9 @@ def event_windows_sql():
 
 
 _ALL = (
-    inclusion_match, reference_mapping, internal_mapping, mapping_top3_pivot, final_mapping, all_mappings, related_without_excluded, fk_chain_paths, path_relations, related_files, table_summary, physical_hierarchy, related_tables, physical_edges,
+    inclusion_match, reference_mapping, internal_mapping, mapping_top3_pivot, final_mapping, final_mapping_rules, all_mappings, related_without_excluded, fk_chain_paths, path_relations, related_files, table_summary, physical_hierarchy, related_tables, physical_edges,
     edge_classification, erd_info, erd_frame, integrity_kpis, orphan_rows, type_consistency, table_connection_counts, industry_kpis, files_per_group, activity_edges, system_activity_links, upsert_slice, append_numbered, semi_filter, anti_filter,
-    union_distinct, ambiguous_codes, contract_checks, migration_outcome, migration_cases, similar_words, null_tokens, expanded_formats, hash_sample, event_windows,
+    union_distinct, ambiguous_codes, contract_checks, contract_report, migration_outcome, migration_cases, similar_words, null_tokens, expanded_formats, hash_sample, event_windows,
 )
 QUERIES = {f.__name__: f for f in _ALL}
 ORACLES = {f.__name__: globals()[f"{f.__name__}_sql"]() for f in _ALL if f"{f.__name__}_sql" in globals()}

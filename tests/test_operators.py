@@ -400,3 +400,17 @@ def test_strict_edges_leave_out_reference_and_common_columns(spark):
     assert ends(False) == [("a", "x", "b"), ("a", "z", "r"), ("b", "y", "d"), ("c", "k", "b")] and ends(True) == [("a", "x", "b"), ("b", "y", "d")]
     found = {r.relationship for r in lineage.levels(lineage.chains(lineage.edges_of(mapping, strict=True))).collect()}
     assert found == {"a.x -> b.y -> d.w", "b.y -> d.w"}
+
+
+def test_contract_files(spark, tmp_path):
+    (tmp_path / "c.yaml").write_text(
+        "data_contract:\n  defaults:\n    severity: low\n    null: {max_pct: 50}\n  columns:\n    - {file: '*', column: 'Zip*', severity: high, importance: 3, rules: {null: {max_pct: 0}, pattern: {regex: '^[0-9]{5}$', fixed_length: 5, allow_leading_zero: false}}}\n"
+        "    - {file: other, column: '*', rules: {numeric: {min: 0}}}\n    - {column: kind, rules: {domain: {values: [a, b]}}}\n"
+    )
+    config = readers.read_config(str(tmp_path / "c.yaml"))
+    df = spark.createDataFrame([("12345", "a"), ("01234", "b"), ("1234", None), (None, "x")], "ZipCode string, kind string")
+    rows = {(r.column_name, r.rule): (r.severity, r.failed, r.passed, r.importance, r.weighted_pct) for r in checks.contract_report(df, "people", config).collect()}
+    assert rows == {
+        ("ZipCode", "max_null_pct"): ("high", 1, False, 3.0, 75.0), ("ZipCode", "regex"): ("high", 1, False, 3.0, 75.0), ("ZipCode", "fixed_length"): ("high", 1, False, 3.0, 75.0), ("ZipCode", "leading_zero"): ("high", 1, False, 3.0, 75.0),
+        ("kind", "max_null_pct"): ("low", 1, True, 1.0, 25.0), ("kind", "values"): ("low", 1, False, 1.0, 25.0),
+    }
