@@ -4,7 +4,7 @@ log P(language | all) = text log-likelihood (tempered, for neighbouring trigrams
 + log P(declared markup language | language) + log prior of the host, and a constant.
 
 The text model is a naive Bayes over hashed byte trigrams, trained on a bounded sample of documents
-of every declared language (en, en-US and EN are one). What the declared language is worth, and the priors, come from grouped aggregation over
+of every declared language of some weight (en, en-US and EN are one). What the declared language is worth, and the priors, come from grouped aggregation over
 all rows: counts of text decisions by host are smoothed towards those of the address suffix, these towards
 those of all rows. The fusion itself is a Catalyst expression.
 
@@ -27,8 +27,10 @@ from pyspark.sql import functions as F
 
 from . import frames
 
-#: Documents of a language that are learnt from at most; languages whose documents are read at once.
-MOST_PER_LANGUAGE, AT_ONCE = 800, 16
+#: Documents of a language that are learnt from at most, bytes of the longest one, languages whose documents are read at once. So at most some 200 MB of text are on the driver.
+MOST_PER_LANGUAGE, LONGEST_LEARNT, AT_ONCE = 800, 1 << 16, 4
+#: Share of the documents with a declared language that a value needs to be a language of the model, which so has at most 1 / LEAST_SHARE of them.
+LEAST_SHARE = 0.001
 BUCKETS = 1 << 14
 #: Weight of a trigram's likelihood, trigrams that count, rows that a smoothing level counts as.
 TEMPER, MOST_GRAMS, STRENGTH = 0.2, 500, 5.0
@@ -106,15 +108,20 @@ def spelt(declared: Column | str) -> Column:
 
 
 def train(docs: DataFrame) -> Model:
-    """A model of all declared languages of ``docs`` (doc_id, text, lang) from a bounded sample: some documents of each."""
+    """A model of the declared languages of ``docs`` (doc_id, text, lang) from a bounded sample: some documents of each.
+
+    Values that under LEAST_SHARE of the documents declare are no languages of the model: their documents are judged by the other evidence. Documents over LONGEST_LEARNT bytes are not learnt from.
+    """
     known = docs.where("text IS NOT NULL AND doc_id IS NOT NULL").select(spelt("lang").alias("lang"), F.col("doc_id").alias("id"), "text").where("lang IS NOT NULL AND lang <> ''")
     sizes = frames.written(known.groupBy("lang").agg(F.count("*").alias("n")), "languages")
-    languages = sorted(r.lang for r in sizes.select("lang").collect())
+    total = sizes.agg(F.sum("n")).first()[0] or 0
+    languages = sorted(r.lang for r in sizes.where(F.col("n") >= LEAST_SHARE * total).select("lang").collect())
     if not languages:
         return Model()
     # twice the wanted share by hash first, so that few rows are ranked, whatever the size of a language
     place = F.xxhash64("id").cast("double") / 2.0**64 + 0.5
-    drawn = known.join(F.broadcast(sizes), "lang").where(place * F.col("n") <= 2 * MOST_PER_LANGUAGE + 1)
+    short = known.where((F.octet_length("text") <= LONGEST_LEARNT) & F.col("lang").isin(languages))
+    drawn = short.join(F.broadcast(sizes.where(F.col("lang").isin(languages))), "lang").where(place * F.col("n") <= 2 * MOST_PER_LANGUAGE + 1)
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id", F.xxhash64("text")))
     sample = frames.written(drawn.withColumn("rank", rank).where(F.col("rank") <= MOST_PER_LANGUAGE).select("lang", "text"), "sample")
 

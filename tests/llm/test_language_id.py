@@ -92,3 +92,14 @@ def test_pages_with_odd_rows(spark, model):
     got = judge(pages).collect()
     assert len(got) == len(rows) and {r.lang_id for r in got} <= set(model.languages) and {r.lang_id for r in got if r.page_id == 4} == {"de"}
     assert judge(pages.limit(0)).count() == 0
+
+
+def test_dirty_languages_do_not_become_classes(spark):
+    """Thousands of odd declared values leave the model with the languages of some weight."""
+    rows = [(i, "the cat and the dog in the house with the garden " * 3, "en") for i in range(3000)] + [(5000 + i, "le chat et le chien dans la maison avec le jardin " * 3, "fr") for i in range(3000)]
+    rows += [(10_000 + i, "noise", f"x{i}") for i in range(2500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = g.train(docs)
+    assert model.languages == ["en", "fr"]
+    found = g.identify_languages(docs.where("doc_id >= 5000 AND doc_id < 5010"), model, declared=docs.lang)
+    assert {r.lang_id for r in found.collect()} == {"fr"}
