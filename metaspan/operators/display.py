@@ -48,9 +48,13 @@ def table_stats(columns: DataFrame, levels: DataFrame) -> DataFrame:
     return own.join(deepest, "file_name", "left").withColumn("max_level", F.coalesce("max_level", F.lit(0)))
 
 
-def selection(files: DataFrame, summary: DataFrame, hierarchy: DataFrame) -> DataFrame:
-    """Files with their relation summary and physical hierarchy, for choosing among them."""
-    return files.join(summary, "file", "left").join(hierarchy, "file", "left")
+def selection(columns: DataFrame, summary: DataFrame, hierarchy: DataFrame) -> DataFrame:
+    """Files for choosing among them: number of columns, names of keys, relation summary and physical hierarchy; files of one column are left out.
+
+    ``columns`` has file, column and pk; the others a row for each file.
+    """
+    files = columns.groupBy("file").agg(F.countDistinct("column").alias("column_cnt"), F.array_join(F.array_sort(F.collect_set(F.when(F.col("pk") == 1, F.col("column")))), ", ").alias("pk_columns"))
+    return files.join(summary, "file", "left").join(hierarchy, "file", "left").where("column_cnt > 1").orderBy("file")
 
 
 def reference_set(df: DataFrame, column: str, upper: bool = False) -> DataFrame:

@@ -27,12 +27,85 @@ def edges_of(mapping: DataFrame, strict: bool = False) -> DataFrame:
     return out.where(~F.coalesce(F.col("src.type"), F.lit("")).isin(left_out) & ~F.coalesce(F.col("dst.type"), F.lit("")).isin(left_out)).distinct()
 
 
-def chains(edges: DataFrame, max_depth: int = MAX_DEPTH, least: float = LEAST_WEIGHT) -> DataFrame:
+class TooManyPaths(ValueError):
+    """A graph has more walks than may be listed; says from which nodes most start and which nodes lie on cycles."""
+
+
+def strong_edges(edges: DataFrame, least: float = LEAST_WEIGHT) -> DataFrame:
+    """src, dst of the edges heavier than `least` or without a weight, each once."""
+    return edges.where(F.col("weight").isNull() | (F.col("weight") > least)).select("src", "dst").where("src <> dst").distinct()
+
+
+def cycles(strong: DataFrame) -> DataFrame:
+    """node, component: the strongly connected components of more than one node, each named by its least node.
+
+    Nodes that no edge enters or none leaves are on no cycle and go first, round by round. What is left takes colours: the least node that reaches
+    it. A colour's own node and all that reach it within the colour are a component, which is set aside before the next colours are taken.
+    """
+    found = None
+    while True:
+        before = -1
+        strong = materialised(strong, "cyclic")
+        while (n := strong.count()) != before:  # ends that lead nowhere
+            before = n
+            inner = strong.join(strong.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst")
+            strong = materialised(inner.join(inner.select(F.col("dst").alias("src")).distinct(), "src", "left_semi"), "cyclic")
+        if not before:
+            break
+        colours = _spread(strong, strong.select(F.col("src").alias("node"), F.col("src").alias("colour")).distinct())
+        c = lambda side: colours.select(F.col("node").alias(side), F.col("colour").alias(f"{side}_colour"))
+        same = materialised(strong.join(c("src"), "src").join(c("dst"), "dst").where("src_colour = dst_colour").select(F.col("dst").alias("src"), F.col("src").alias("dst"), F.col("src_colour").alias("colour")), "coloured")
+        # against the edges from each colour's own node
+        back = _spread(same.select("src", "dst"), same.select(F.col("colour").alias("node"), F.col("colour")).distinct(), only_new=True)
+        own = colours.join(back.select("node", F.col("colour").alias("component")), "node").where("colour = component").select("node", "component")
+        own = materialised(own.join(own.groupBy("component").count().where("count > 1"), "component", "left_semi").select("node", "component"), "components")
+        found = own if found is None else found.unionByName(own)
+        done = materialised(colours.join(back.select("node").distinct(), "node", "left_semi").select("node"), "done")
+        strong = strong.join(done.select(F.col("node").alias("src")), "src", "left_anti").join(done.select(F.col("node").alias("dst")), "dst", "left_anti").select("src", "dst")
+    return found if found is not None else strong.select(F.col("src").alias("node"), F.col("dst").alias("component"))
+
+
+def _spread(edges: DataFrame, start: DataFrame, only_new: bool = False) -> DataFrame:
+    """node, colour: the least colour of the nodes of ``start`` that edges lead from, itself included; with only_new, a node that has one keeps it and the others get the one that reaches them."""
+    held = materialised(start, "colours")
+    while True:
+        sent = edges.join(held.withColumnRenamed("node", "src"), "src").select(F.col("dst").alias("node"), "colour")
+        sent = sent.join(held.select("node"), "node", "left_anti") if only_new else sent
+        now = materialised(held.unionByName(sent).groupBy("node").agg(F.min("colour").alias("colour")), "colours")
+        if now.join(held, ["node", "colour"], "left_anti").isEmpty():
+            return now
+        held = now
+
+
+def walk_counts(strong: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
+    """node, walks: for each node the number of walks of two to max_depth nodes from it, which no number of paths exceeds. Counted, not listed: a row a node in each step."""
+    ways = strong.select(F.col("src").alias("node"), "dst")
+    step = ways.groupBy("node").agg(F.count("*").cast("double").alias("n"))
+    total = step
+    for _ in range(max_depth - 2):
+        step = materialised(ways.join(step.withColumnRenamed("node", "dst"), "dst").groupBy("node").agg(F.sum("n").alias("n")), "walks")
+        total = total.unionByName(step)
+    return total.groupBy("node").agg(F.sum("n").alias("walks"))
+
+
+#: Walks beyond which paths are not listed.
+MOST_WALKS = 10_000_000
+
+
+def chains(edges: DataFrame, max_depth: int = MAX_DEPTH, least: float = LEAST_WEIGHT, most: float = MOST_WALKS) -> DataFrame:
     """path: every longest cycle-free path from every node, of at most max_depth nodes, along edges heavier than `least` (or without a weight).
 
-    A path ends where no edge leads on to a node that is not on it. Longer ones are left out.
+    A path ends where no edge leads on to a node that is not on it. Longer ones are left out. Paths can be exponentially many, so walks are counted before paths are listed:
+    beyond `most` this raises TooManyPaths, which names the nodes to look at.
     """
-    strong = edges.where(F.col("weight").isNull() | (F.col("weight") > least)).select("src", "dst").distinct()
+    strong = materialised(strong_edges(edges, least), "strong")
+    walks = walk_counts(strong, max_depth)
+    count = walks.agg(F.sum("walks")).first()[0] or 0
+    if count > most:
+        name = lambda n: f"{n.file}.{n.column}" if hasattr(n, "file") else str(n)
+        tops = ", ".join(name(r.node) for r in walks.orderBy(F.desc("walks")).limit(5).collect())
+        loops = [f"{name(r.component)} ({r['count']} nodes)" for r in cycles(strong).groupBy("component").count().orderBy(F.desc("count")).limit(5).collect()]
+        raise TooManyPaths(f"up to {count:.3g} paths, most from {tops}; cycles through {', '.join(loops) or 'none'}")
     # a node's edges side by side: each step is one join and nothing is used twice
     leads_to = materialised(strong.groupBy("src").agg(F.collect_list("dst").alias("nexts")), "leads-to")
     walks = leads_to.select(F.array("src").alias("path"), F.lit(True).alias("open"))
@@ -237,6 +310,14 @@ def connection_counts(columns: DataFrame) -> DataFrame:
     return total.join(first, "column")
 
 
+def with_types(columns: DataFrame, types: DataFrame) -> DataFrame:
+    """Columns (file, column) with their type from ``types`` (file_name, column_name, oracle_type); a type that they have already stays."""
+    known = types.select(F.col("file_name").alias("file"), F.col("column_name").alias("column"), F.col("oracle_type").alias("_type")).distinct()
+    out = columns.join(known, ["file", "column"], "left")
+    own = F.nullif(F.trim("type"), F.lit("")) if "type" in columns.columns else F.lit(None).cast("string")
+    return out.withColumn("type", F.coalesce(own, "_type")).drop("_type")
+
+
 def exclusions(connections: DataFrame, kept: DataFrame | None = None) -> DataFrame:
     """The exclusion list anew: a column keeps its old flag, a new one is excluded if it is of a date type."""
     initial = F.when(F.col("type").isin("DATE", "TIMESTAMP"), 1).otherwise(0)

@@ -114,3 +114,21 @@ def display_size(count: Column) -> Column:
     for power, unit in ((1, "KB"), (2, "MB"), (3, "GB")):
         out = F.when(count >= 1024**power, F.concat(F.format_number(count / 1024**power, 2), F.lit(f" {unit}"))).otherwise(out)
     return out
+
+
+def scaled_count(count: Column) -> tuple[Column, Column]:
+    """A number of records and its unit: as it is under a thousand, else in ten thousands. The units' names."""
+    return F.when(count < 1000, count.cast("double")).otherwise(count / 10000), F.when(count < 1000, "건").otherwise("만건")
+
+
+def scaled_size(size: Column) -> tuple[Column, Column]:
+    """Bytes in the largest unit of powers of a thousand that keeps them at 1 or more, and the unit."""
+    value, unit = size.cast("double"), F.lit("Bytes")
+    for power, name in ((1, "KB"), (2, "MB"), (3, "GB")):
+        value, unit = F.when(size >= 1000**power, size / 1000**power).otherwise(value), F.when(size >= 1000**power, name).otherwise(unit)
+    return value, unit
+
+
+def sampling_share(sampled: Column, records: Column) -> Column:
+    """Sampled rows as a percentage of all records, null without records."""
+    return rounded(F.try_divide(sampled, records) * 100)

@@ -71,8 +71,12 @@ def append_numbered(df: DataFrame, new: DataFrame, key: str, seq: str) -> DataFr
     return df.unionByName(numbered.select(*df.columns))
 
 
-def file_overview(stats: DataFrame, profile: DataFrame, mapping: DataFrame | None = None) -> DataFrame:
-    """File statistics with key columns and, if given, the mapping of the file."""
+def file_overview(stats: DataFrame, profile: DataFrame, mapping: DataFrame | None = None, industry: str | None = None) -> DataFrame:
+    """File statistics with key columns and, if given, activity and system of the file, in one industry if it is named; '' where there are none."""
     keys = profile.where("pk = 1").groupBy("file_path", "file_name").agg(F.array_join(F.array_sort(F.collect_set("column_name")), ", ").alias("pk_columns"))
     out = stats.join(keys, ["file_path", "file_name"], "left")
-    return out.join(mapping, "file_name", "left") if mapping is not None else out
+    if mapping is None:
+        return out
+    own = mapping if industry is None else mapping.where(F.col("industry") == industry)
+    out = out.join(own.select("file_name", "activity", "system"), "file_name", "left")
+    return out.withColumns({c: F.coalesce(c, F.lit("")) for c in ("activity", "system")})

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from metaspan.operators import display, lineage, match, score, stats
-from metaspan.plans.columns import SHOWN, _profiles, detail_case, table, vc_sql, wide_cte
+from metaspan.functions import types
+from metaspan.operators import display, lineage, match, score, stats, valuechain
+from metaspan.plans.columns import SHAPE_SQL, SHOWN, _oracle_case, _profiles, detail_case, table, vc_sql, wide_cte
 from metaspan.plans.relations import CHAINS_SQL, EDGES_SQL, GRAPH_SQL, STEPS_SQL, _edges, _graph, _typed, _values, graph_sql, literal, mapping_cte, physical_edges
+from metaspan.streaming.profile import windowed_values
 
 STATS = [("customer", "Master"), ("orders", "Master"), ("nation", "Reference"), ("region", "Reference")]
 
@@ -142,6 +144,83 @@ def without_hangul_sql():
     return "SELECT n_nationkey, NOT regexp_matches(n_name, '[가-힣]') AND n_regionkey <> 1 AS plain FROM nation"
 
 
-_ALL = (file_kpis, files_by_type, issue_flags, numeric_candidates, erd_mapping, shown_columns, column_roles, table_stats, reference_sets, profile_display, without_hangul)
+def scaled_kpis(spark, sf_dir):
+    """Records of tables in units, with the share of them that a sample of ten thousand is; bytes of the documents in units."""
+    out = None
+    for name in ("nation", "customer", "orders", "documents"):
+        df = table(spark, sf_dir, name)
+        size = F.coalesce(F.sum(F.octet_length("text")), F.lit(0)) if name == "documents" else F.lit(None).cast("long")
+        part = df.agg(F.count("*").alias("n"), size.alias("size")).withColumn("file_name", F.lit(name))
+        out = part if out is None else out.unionByName(part)
+    (count, count_unit), (size, size_unit) = score.scaled_count(F.col("n")), score.scaled_size(F.col("size"))
+    sampled = F.least(F.col("n"), F.lit(10_000))
+    return out.select("file_name", count.alias("records"), count_unit.alias("records_unit"), size.alias("size"), F.when(F.col("size").isNotNull(), size_unit).alias("size_unit"), score.sampling_share(sampled, F.col("n")).alias("sampling_pct"))
+
+
+def scaled_kpis_sql():
+    one = lambda t, s: f"SELECT '{t}' AS file_name, count(*) AS n, {s} AS size FROM {t}"
+    rows = " UNION ALL ".join([*(one(t, "NULL::BIGINT") for t in ("nation", "customer", "orders")), one("documents", "sum(strlen(text))::BIGINT")])
+    return f"""WITH x AS ({rows}) SELECT file_name, CASE WHEN n < 1000 THEN n ELSE n / 10000 END AS records, CASE WHEN n < 1000 THEN '건' ELSE '만건' END AS records_unit,
+ CASE WHEN size >= 1000000000 THEN size / 1000000000 WHEN size >= 1000000 THEN size / 1000000 WHEN size >= 1000 THEN size / 1000 ELSE size END AS size,
+ CASE WHEN size IS NULL THEN NULL WHEN size >= 1000000000 THEN 'GB' WHEN size >= 1000000 THEN 'MB' WHEN size >= 1000 THEN 'KB' ELSE 'Bytes' END AS size_unit, round((least(n, 10000) / n * 100)::DECIMAL(18, 6), 2)::DOUBLE AS sampling_pct FROM x"""
+
+
+def file_selection(spark, sf_dir):
+    """Tables to choose from, with keys, relations and neighbours."""
+    graph = _graph(spark, sf_dir)
+    relations = lineage.parse_relationships(lineage.levels(lineage.chains(_edges(spark, sf_dir))))
+    return display.selection(graph, lineage.table_summary(relations), lineage.physical_hierarchy(graph))
+
+
+def file_selection_sql():
+    return f"""WITH RECURSIVE {GRAPH_SQL.format(3)}, {CHAINS_SQL}, {STEPS_SQL},
+t AS (SELECT child_file AS file, cc AS fk, parent_file AS parent, NULL::VARCHAR AS child FROM rel UNION ALL SELECT parent_file, NULL, NULL, child_file FROM rel),
+sm AS (SELECT file, coalesce(string_agg(DISTINCT fk, ', ' ORDER BY fk), '') AS fk_columns, coalesce(string_agg(DISTINCT parent, ', ' ORDER BY parent), '') AS parents, coalesce(string_agg(DISTINCT child, ', ' ORDER BY child), '') AS children, count(*) AS edge_cnt FROM t GROUP BY file),
+hi AS (SELECT start AS file, count(*) FILTER (level = 1) AS level_1_cnt, count(*) FILTER (level = 2) AS level_2_cnt, count(*) FILTER (level = 3) AS level_3_cnt, coalesce(array_to_string(list_sort(list(tab) FILTER (level > 0))[1:5], ', '), '') AS related_list FROM lev GROUP BY start)
+SELECT f.file, column_cnt, pk_columns, fk_columns, parents, children, edge_cnt, level_1_cnt, level_2_cnt, level_3_cnt, related_list
+FROM (SELECT file, count(DISTINCT col) AS column_cnt, coalesce(string_agg(DISTINCT col, ', ' ORDER BY col) FILTER (pk = 1), '') AS pk_columns FROM g GROUP BY file) f LEFT JOIN sm USING (file) LEFT JOIN hi USING (file) WHERE column_cnt > 1"""
+
+
+def enriched_types(spark, sf_dir):
+    """Columns of the shown tables with their physical type, where their values' shape gives one."""
+    columns = [(t, c) for t, cs in SHOWN.items() for c in [*cs, "not_shown"]]
+    return lineage.with_types(literal(spark, "file string, column string", columns), _profiles(spark, sf_dir))
+
+
+def enriched_types_sql():
+    owner = " UNION ALL ".join(f"SELECT '{t}' AS file, '{c}' AS col" for t, cs in SHOWN.items() for c in [*cs, "not_shown"])
+    return f"""WITH {vc_sql()}, {SHAPE_SQL}, o AS ({owner}) SELECT file, col AS "column", {_oracle_case(types.CODE_NAMES)} AS type FROM o LEFT JOIN shape ON shape.column_name = o.col WHERE shape.column_name IS NOT NULL
+UNION ALL SELECT file, col, NULL FROM o WHERE col NOT IN (SELECT column_name FROM shape)"""
+
+
+def file_overview(spark, sf_dir):
+    """Customers as files with what one industry's mapping says of them."""
+    customer, nation = table(spark, sf_dir, "customer"), table(spark, sf_dir, "nation")
+    files = customer.select(F.lit("tables").alias("file_path"), F.col("c_name").alias("file_name"), F.lit(5).alias("column_cnt"))
+    keys = table(spark, sf_dir, "orders").join(customer, F.col("o_custkey") == F.col("c_custkey")).select(F.lit("tables").alias("file_path"), F.col("c_name").alias("file_name"), F.col("o_orderpriority").alias("column_name"), (F.col("o_orderstatus") == "P").cast("int").alias("pk"))
+    mapping = customer.join(nation, F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("n_name").alias("industry"), F.col("c_name").alias("file_name"), F.col("c_mktsegment").alias("activity"), F.lit("sales").alias("system"))
+    return valuechain.file_overview(files, keys, mapping, nation.orderBy("n_nationkey").first().n_name)
+
+
+def file_overview_sql():
+    return """SELECT 'tables' AS file_path, c_name AS file_name, 5 AS column_cnt, k.pk_columns, CASE WHEN n.c THEN c_mktsegment ELSE '' END AS activity, CASE WHEN n.c THEN 'sales' ELSE '' END AS system
+FROM customer LEFT JOIN (SELECT o_custkey, string_agg(DISTINCT o_orderpriority, ', ' ORDER BY o_orderpriority) AS pk_columns FROM orders WHERE o_orderstatus = 'P' GROUP BY 1) k ON k.o_custkey = c_custkey
+LEFT JOIN (SELECT n_nationkey, n_name = (SELECT n_name FROM nation ORDER BY n_nationkey LIMIT 1) AS c FROM nation) n ON n_nationkey = c_nationkey"""
+
+
+def event_top_values(spark, sf_dir):
+    """Exact distinct values and the three most frequent ones of each day, as the stream gives them."""
+    out = windowed_values(table(spark, sf_dir, "events"), "ts", ["event_type", "user_id"], "1 day", k=3)
+    return out.select(F.col("window.start").cast("timestamp_ntz").alias("day"), "column_name", "value_cnt", "unique_cnt", F.posexplode("top_values").alias("rank", "top")).select("day", "column_name", "value_cnt", "unique_cnt", "rank", "top.value", "top.cnt")
+
+
+def event_top_values_sql():
+    rows = " UNION ALL ".join(f"SELECT date_trunc('day', ts)::TIMESTAMP AS day, '{c}' AS column_name, CAST({c} AS VARCHAR) AS value FROM events WHERE {c} IS NOT NULL" for c in ("event_type", "user_id"))
+    return f"""WITH c AS (SELECT day, column_name, value, count(*) AS cnt FROM ({rows}) GROUP BY ALL),
+r AS (SELECT *, (row_number() OVER (PARTITION BY day, column_name ORDER BY cnt DESC, value) - 1)::INT AS rank, sum(cnt) OVER (PARTITION BY day, column_name)::BIGINT AS value_cnt, count(*) OVER (PARTITION BY day, column_name) AS unique_cnt FROM c)
+SELECT day, column_name, value_cnt, unique_cnt, rank, value, cnt FROM r WHERE rank < 3"""
+
+
+_ALL = (scaled_kpis, file_selection, enriched_types, file_overview, event_top_values, file_kpis, files_by_type, issue_flags, numeric_candidates, erd_mapping, shown_columns, column_roles, table_stats, reference_sets, profile_display, without_hangul)
 QUERIES = {f.__name__: f for f in _ALL}
 ORACLES = {f.__name__: globals()[f"{f.__name__}_sql"]() for f in _ALL}

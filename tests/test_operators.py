@@ -414,3 +414,58 @@ def test_contract_files(spark, tmp_path):
         ("ZipCode", "max_null_pct"): ("high", 1, False, 3.0, 75.0), ("ZipCode", "regex"): ("high", 1, False, 3.0, 75.0), ("ZipCode", "fixed_length"): ("high", 1, False, 3.0, 75.0), ("ZipCode", "leading_zero"): ("high", 1, False, 3.0, 75.0),
         ("kind", "max_null_pct"): ("low", 1, True, 1.0, 25.0), ("kind", "values"): ("low", 1, False, 1.0, 25.0),
     }
+
+
+def _graph_of(spark, pairs):
+    return spark.createDataFrame(pairs, "src string, dst string")
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_strongly_connected_components(spark, seed):
+    import random
+
+    rnd = random.Random(seed)
+    nodes = [f"n{k:02d}" for k in range(14)]
+    pairs = sorted({(rnd.choice(nodes), rnd.choice(nodes)) for _ in range(19)} - {(n, n) for n in nodes})
+    reach = {n: {n} for n in nodes}
+    for _ in nodes:
+        for a, b in pairs:
+            for n in nodes:
+                if a in reach[n]:
+                    reach[n].add(b)
+    want = {n: min(m for m in nodes if m in reach[n] and n in reach[m]) for n in nodes}
+    groups = {n for n in nodes if sum(v == want[n] for v in want.values()) > 1}
+    assert {r.node: r.component for r in lineage.cycles(_graph_of(spark, pairs)).collect()} == {n: want[n] for n in groups}
+
+
+def test_dense_cyclic_graphs_are_counted_not_listed(spark):
+    kind = "struct<file:string,column:string,type:string>"
+    dense = [((f"t{a:02d}", "c", "Master"), (f"t{b:02d}", "c", "Master"), 100.0) for a in range(40) for b in range(40) if a != b]
+    edges = spark.createDataFrame([*dense, (("x", "c", "Master"), ("t00", "c", "Master"), 90.0)], f"src {kind}, dst {kind}, weight double")
+    with pytest.raises(lineage.TooManyPaths, match=r"t00.c \(40 nodes\)"):
+        lineage.chains(edges)
+    few = lineage.walk_counts(_graph_of(spark, [("a", "b"), ("b", "c"), ("c", "a"), ("b", "d")]), 3)
+    assert {r.node: r.walks for r in few.collect()} == {"a": 3.0, "b": 3.0, "c": 2.0}
+
+
+def test_streamed_values_equal_the_batch(spark, tmp_path):
+    import random
+
+    from metaspan.streaming.profile import windowed_values
+
+    rnd = random.Random(2)
+    rows = [(f"2024-01-01 0{rnd.randint(0, 3)}:{rnd.randint(0, 59):02d}:00", rnd.choice("aabcdefg") if rnd.random() > 0.1 else None, rnd.randint(0, 40)) for _ in range(400)]
+    rows.sort(key=lambda r: (r[0][:13], rnd.random()))  # late within an hour
+    names = "t string, v string, n int"
+    for k in range(4):
+        spark.createDataFrame(rows[100 * k : 100 * k + 100], names).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    batch = spark.createDataFrame(rows, names).select(F.to_timestamp("t").alias("ts"), "v", "n")
+    spark.createDataFrame([(f"2024-01-0{d} 00:00:00", None, None) for d in (3, 5, 7)], names).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(names).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in")).select(F.to_timestamp("t").alias("ts"), "v", "n")
+    out = windowed_values(stream, "ts", ["v", "n"], late="2 hours", k=3, parts=2)
+    query = out.writeStream.outputMode("append").format("memory").queryName("valued").option("checkpointLocation", str(tmp_path / "c")).start()
+    query.processAllAvailable()
+    query.stop()
+    key = lambda df: sorted((str(r.window.start), r.column_name, r.value_cnt, r.unique_cnt, [tuple(v) for v in r.top_values]) for r in df.collect())
+    want = key(windowed_values(batch, "ts", ["v", "n"], k=3, parts=2))
+    assert len(want) == 8 and key(spark.table("valued")) == want
