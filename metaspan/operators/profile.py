@@ -36,13 +36,15 @@ def _present(counts: DataFrame) -> DataFrame:
     return counts.where("value IS NOT NULL")
 
 
-def counts(vc: DataFrame) -> DataFrame:
-    """Rows, values, nulls, distinct values and their shares."""
-    out = vc.groupBy(COLUMN).agg(
+def _count_cells() -> list[Column]:
+    return [
         F.sum("cnt").alias("record_cnt"),
         F.coalesce(F.sum(F.when(F.col("value").isNotNull(), F.col("cnt"))), F.lit(0)).alias("value_cnt"),
         F.count("value").alias("unique_cnt"),
-    )
+    ]
+
+
+def _with_shares(out: DataFrame) -> DataFrame:
     return out.withColumns(
         {
             "null_cnt": F.col("record_cnt") - F.col("value_cnt"),
@@ -52,6 +54,11 @@ def counts(vc: DataFrame) -> DataFrame:
     )
 
 
+def counts(vc: DataFrame) -> DataFrame:
+    """Rows, values, nulls, distinct values and their shares."""
+    return _with_shares(vc.groupBy(COLUMN).agg(*_count_cells()))
+
+
 def lengths(vc: DataFrame) -> DataFrame:
     """Lengths in characters: number of values, of distinct lengths, least, most, mean, mode (ties: least), median."""
     by = _present(vc).groupBy(COLUMN, F.length("value").alias("len")).agg(F.sum("cnt").alias("n"))
@@ -174,17 +181,27 @@ def edge_lists(vc: DataFrame, k: int = 10) -> DataFrame:
     return found.groupBy(COLUMN).agg(*cells)
 
 
+def _composition_cells() -> list[Column]:
+    how = {"any": F.max, "all": F.min}
+    return [how[q](F.col("value").rlike(p).cast("int")).alias(name) for name, p, q in patterns.FLAGS]
+
+
 def composition(vc: DataFrame) -> DataFrame:
     """0/1 flags of what characters the values hold."""
-    how = {"any": F.max, "all": F.min}
-    return _present(vc).groupBy(COLUMN).agg(*[how[q](F.col("value").rlike(p).cast("int")).alias(name) for name, p, q in patterns.FLAGS])
+    return _present(vc).groupBy(COLUMN).agg(*_composition_cells())
+
+
+def _first_cells() -> list[Column]:
+    """Counts by the first character; null without values."""
+    present = F.col("value").isNotNull()
+    each = {name: F.sum(F.when(present, F.when(F.col("value").rlike(p), F.col("cnt")).otherwise(0))) for name, p in patterns.FIRST_CHARACTERS}
+    rest = F.sum(F.when(present, F.col("cnt"))) - sum(each.values())
+    return [*[c.alias(name) for name, c in each.items()], rest.alias("first_special")]
 
 
 def first_characters(vc: DataFrame) -> DataFrame:
     """Values that begin with Hangul, a digit, a Latin letter, or anything else."""
-    each = [F.sum(F.when(F.col("value").rlike(p), F.col("cnt")).otherwise(0)).alias(name) for name, p in patterns.FIRST_CHARACTERS]
-    out = _present(vc).groupBy(COLUMN).agg(F.sum("cnt").alias("n"), *each)
-    return out.select(COLUMN, *[n for n, _ in patterns.FIRST_CHARACTERS], (F.col("n") - sum(F.col(n) for n, _ in patterns.FIRST_CHARACTERS)).alias("first_special"))
+    return _present(vc).groupBy(COLUMN).agg(*_first_cells())
 
 
 def wide_formats(found: DataFrame, k: int = 3) -> DataFrame:
@@ -201,8 +218,8 @@ def profile(df: DataFrame, columns: list[str] | None = None, file_name: str | No
 
     types = {c: t for c, t in df.dtypes}
     vc = value_counts(df, columns).cache()
-    out = counts(vc)
-    for part in (lengths(vc), value_stats(vc), top_values(vc), wide_formats(formats(vc)), composition(vc), first_characters(vc), numeric_shape(vc), edge_lists(vc)):
+    out = summary(vc)
+    for part in (lengths(vc), value_stats(vc), top_values(vc), wide_formats(formats(vc)), edge_lists(vc)):
         out = out.join(part, COLUMN, "left")
     kinds = F.create_map(*[F.lit(x) for c in columns or df.columns for x in (c, types[c])])
     out = out.withColumn("data_type", F.element_at(kinds, F.col(COLUMN)))
@@ -213,19 +230,29 @@ def profile(df: DataFrame, columns: list[str] | None = None, file_name: str | No
     return materialised(out, "profile")
 
 
-def numeric_shape(vc: DataFrame) -> DataFrame:
-    """What physical types are read off: shares of date-like and number-like values, leading zeros, lengths, digits."""
+def _shape_cells() -> list[Column]:
     value = F.trim("value")
     number = value.rlike(r"^[+-]?[0-9]+(\.[0-9]+)?\z")
-    share = lambda c: F.sum(F.when(c, F.col("cnt")).otherwise(0)) / F.sum("cnt")
+    share = lambda c: F.sum(F.when(F.col("value").isNotNull(), F.when(c, F.col("cnt")).otherwise(0))) / F.sum(F.when(F.col("value").isNotNull(), F.col("cnt")))
     whole = F.regexp_replace(F.regexp_extract(value, r"^[+-]?([0-9]+)", 1), "^0+(?=[0-9])", "")
     fraction = F.regexp_replace(F.regexp_extract(value, r"^[+-]?[0-9]+\.([0-9]+)\z", 1), r"0+\z", "")
-    return _present(vc).groupBy(COLUMN).agg(
+    return [
         share(value.rlike(r"^[0-9]{4}[-/.]?[0-9]{2}[-/.]?[0-9]{2}([ T][0-9]{2}:[0-9]{2}(:[0-9]{2}(\.[0-9]{1,6})?)?)?\z")).alias("date_share"),
         share(number).alias("number_share"),
         F.max(value.rlike(r"^0[0-9]+\z")).alias("leading_zero"),
-        F.countDistinct(F.length(value)).alias("trimmed_lengths"),
+        # a set of lengths is small, and needs no aggregation of its own as counting distinct ones does
+        F.size(F.collect_set(F.length(value))).cast("long").alias("trimmed_lengths"),
         F.max(F.length(value)).alias("trimmed_max"),
         F.max(F.when(number, F.length(whole))).alias("whole_digits"),
         F.max(F.when(number, F.length(fraction))).alias("fraction_digits"),
-    )
+    ]
+
+
+def numeric_shape(vc: DataFrame) -> DataFrame:
+    """What physical types are read off: shares of date-like and number-like values, leading zeros, lengths, digits."""
+    return _present(vc).groupBy(COLUMN).agg(*_shape_cells())
+
+
+def summary(vc: DataFrame) -> DataFrame:
+    """counts(), composition(), first_characters() and numeric_shape() in one aggregation."""
+    return _with_shares(vc.groupBy(COLUMN).agg(*_count_cells(), *_composition_cells(), *_first_cells(), *_shape_cells()))

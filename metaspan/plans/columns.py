@@ -173,8 +173,8 @@ def _profiles(spark, sf_dir) -> DataFrame:
     """Profiles of all shown columns, with their table as the file."""
     owner = F.create_map(*[F.lit(x) for t, cs in SHOWN.items() for c in cs for x in (c, t)])
     vc = counted(spark, sf_dir).cache()
-    out = p.counts(vc)
-    for part in (p.lengths(vc), p.value_stats(vc), p.top_values(vc), p.wide_formats(p.formats(vc)), p.composition(vc), p.first_characters(vc), p.numeric_shape(vc)):
+    out = p.summary(vc)
+    for part in (p.lengths(vc), p.value_stats(vc), p.top_values(vc), p.wide_formats(p.formats(vc))):
         out = out.join(part, "column_name", "left")
     out = score.with_scores(types.with_types(out)).withColumns({"file_name": F.element_at(owner, F.col("column_name")), "file_path": F.lit("tables"), "master_type": F.lit("Master")})
     return materialised(out, "profiles")
@@ -393,9 +393,46 @@ u AS (SELECT column_name, unnest(ms) AS z FROM m)
 SELECT m.column_name, coalesce(string_agg(z.r, '; ' ORDER BY z.s DESC, z.no), '') AS matched_rules, round(avg(z.s), 4) AS score_avg, max(z.s) AS score_max FROM m LEFT JOIN u USING (column_name) GROUP BY m.column_name"""
 
 
+FLAGSHIP = {"customer": {"c_custkey": "bigint", "c_name": "string", "c_nationkey": "int", "c_acctbal": "double", "c_mktsegment": "string"}}
+EDGES = [f"{side}{n}" for side in ("first", "last") for n in (1, 2, 3)]
+
+
 def column_profile(spark, sf_dir):
-    """The flagship: the whole profile of customer."""
-    return p.profile(table(spark, sf_dir, "customer"), file_name="customer", master_type="Master")
+    """The flagship: the whole profile of customer, its lists as texts."""
+    out = p.profile(table(spark, sf_dir, "customer"), file_name="customer", master_type="Master")
+    top = F.transform("top_values", lambda v: F.concat(v["value"], F.lit(" ("), v["cnt"].cast("string"), F.lit(")")))
+    texts = {"top_values": F.array_join(top, "; "), **{f"{e}_top10": F.array_join(f"{e}_top10", "; ") for e in EDGES}}
+    return out.withColumns(texts | {c: F.round(c, 4) for c in ("type_mixed", "length_vol", "duplicate", "date_share", "number_share")})
+
+
+def column_profile_sql():
+    shown = {t: list(cs) for t, cs in FLAGSHIP.items()}
+    kinds = ", ".join(f"('{c}', '{k}')" for cs in FLAGSHIP.values() for c, k in cs.items())
+    names = ("format", "format_value", "format_pct", "format_min", "format_max", "format_mode", "format_median")
+    forms = ", ".join(f"max({n}) FILTER (rank = {r}) AS {n}{'' if r == 1 else f'_{r}'}" for r in (1, 2, 3) for n in names)
+    flags = ", ".join(f"{'max' if q == 'any' else 'min'}(regexp_matches(value, '{e}')::INT) AS {n}" for n, e, q in patterns.FLAGS)
+    parts = " UNION ALL ".join(f"SELECT column_name, '{s}{n}' AS e, {'left' if s == 'first' else 'right'}(value, {n}) AS value, cnt FROM pv" for s in ("first", "last") for n in (1, 2, 3))
+    edges = ", ".join(f"coalesce(string_agg(value, '; ' ORDER BY rank) FILTER (e = '{e}'), '') AS {e}_top10" for e in EDGES)
+    return f"""WITH {vc_sql(shown)}, {wide_cte()},
+k(column_name, data_type) AS (VALUES {kinds}),
+lm AS (SELECT column_name, l AS len_mode FROM (SELECT *, row_number() OVER (PARTITION BY column_name ORDER BY n DESC, l) AS rn FROM (SELECT column_name, length(value) AS l, count(*) AS n FROM long WHERE value IS NOT NULL GROUP BY ALL)) WHERE rn = 1),
+le AS (SELECT o.column_name, count(*) AS len_cnt, count(DISTINCT length(value)) AS len_distinct, round((sum(length(value))::DOUBLE / count(*)::DOUBLE)::DECIMAL(18, 6), 1)::DOUBLE AS len_avg, any_value(len_mode)::INT AS len_mode,
+ quantile_cont(length(value), 0.5)::DOUBLE AS len_median FROM long o JOIN lm USING (column_name) WHERE value IS NOT NULL GROUP BY o.column_name),
+tr AS (SELECT *, row_number() OVER (PARTITION BY column_name ORDER BY cnt DESC, value) AS rank, sum(cnt) OVER (PARTITION BY column_name) AS n FROM pv),
+tp AS (SELECT column_name, string_agg(value || ' (' || cnt || ')', '; ' ORDER BY rank) AS top_values, round((sum(cnt)::DOUBLE / any_value(n)::DOUBLE * 100)::DECIMAL(18, 6), 2)::DOUBLE AS top_pct FROM tr WHERE rank <= 10 GROUP BY column_name),
+fp AS (SELECT column_name, {forms} FROM formats GROUP BY column_name), fl AS (SELECT column_name, {flags} FROM pv GROUP BY column_name),
+fx AS (SELECT column_name, sum(cnt)::BIGINT AS n, {FIRST_SQL} FROM pv GROUP BY column_name),
+eg AS (SELECT column_name, e, value, sum(cnt) AS cnt FROM ({parts}) GROUP BY ALL), er AS (SELECT *, row_number() OVER (PARTITION BY column_name, e ORDER BY cnt DESC, value) AS rank FROM eg),
+ed AS (SELECT column_name, {edges} FROM er WHERE rank <= 10 GROUP BY column_name),
+m AS (SELECT column_name, null_pct AS null_share, 100.0 - format_pct AS type_mixed, CASE WHEN len_max > 0 THEN (len_max - len_min)::DOUBLE / len_max::DOUBLE * 100 ELSE 0.0 END AS length_vol, 100.0 - unique_pct AS duplicate FROM wide),
+t AS (SELECT *, list_filter([CASE WHEN null_share > 20 THEN 'High NULLs' END, CASE WHEN type_mixed > 30 THEN 'Mixed formats' END, CASE WHEN length_vol > 30 THEN 'Length volatility' END, CASE WHEN duplicate > 90 THEN 'Very low uniqueness' END], lambda x: x IS NOT NULL) AS tags FROM m),
+ty AS (SELECT column_name, {_oracle_case(types.CODE_NAMES)} AS oracle_type, {detail_case()} AS detail_type FROM wide)
+SELECT w.column_name, record_cnt, value_cnt, unique_cnt, null_cnt, null_pct, unique_pct, len_cnt, len_distinct, w.len_min::INT AS len_min, w.len_max::INT AS len_max, len_avg, len_mode, len_median, min_string, max_string, mode_string, w.cnt::BIGINT AS mode_cnt, median_string,
+ top_values, top_pct, w.format_cnt, fp.* EXCLUDE (column_name), fl.* EXCLUDE (column_name), first_kor, first_num, first_alpha, fx.n - first_kor - first_num - first_alpha AS first_special, round(coalesce(dates, 0)::DOUBLE, 4) AS date_share, round(coalesce(numbers, 0)::DOUBLE, 4) AS number_share,
+ zero AS leading_zero, lens AS trimmed_lengths, longest::INT AS trimmed_max, CASE WHEN numbers > 0 THEN p::INT END AS whole_digits, CASE WHEN numbers > 0 THEN s::INT END AS fraction_digits, ed.* EXCLUDE (column_name), data_type, oracle_type, detail_type, (detail_type = 'UNIQUE')::INT AS pk,
+ null_share, round(type_mixed, 4) AS type_mixed, round(length_vol, 4) AS length_vol, round(duplicate, 4) AS duplicate, 0.0::DOUBLE AS rule_fail,
+ round(greatest(0.0, least(100.0, 100.0 - (0.40 * null_share + 0.25 * type_mixed + 0.15 * length_vol + 0.10 * duplicate)))::DECIMAL(18, 6), 2)::DOUBLE AS dq_score, array_to_string(tags, ', ') AS dq_issues, len(tags)::INT AS issue_count, 'customer' AS file_name, 'Master' AS master_type
+FROM wide w JOIN k USING (column_name) JOIN le USING (column_name) JOIN tp USING (column_name) JOIN fp USING (column_name) JOIN fl USING (column_name) JOIN fx USING (column_name) JOIN ed USING (column_name) JOIN t USING (column_name) JOIN ty USING (column_name)"""
 
 
 QUERIES = {
@@ -408,7 +445,7 @@ QUERIES = {
 ORACLES = {
     f.__name__.removesuffix("_sql"): f()
     for f in (
-        profile_counts_sql, profile_lengths_sql, profile_values_sql, value_top10_sql, format_top3_sql, edge_top3_sql, composition_flags_sql, first_char_counts_sql, oracle_type_sql, detail_type_sql,
+        column_profile_sql, profile_counts_sql, profile_lengths_sql, profile_values_sql, value_top10_sql, format_top3_sql, edge_top3_sql, composition_flags_sql, first_char_counts_sql, oracle_type_sql, detail_type_sql,
         dq_score_sql, quality_kpis_sql, per_file_kpis_sql, validator_rates_sql, validator_cases_sql, rule_validators_sql, numeric_control_limits_sql, rule_matches_sql, unmatched_rules_sql,
     )
 }

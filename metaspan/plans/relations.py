@@ -60,8 +60,8 @@ def _typed(spark, sf_dir) -> DataFrame:
     from metaspan.functions import types
 
     vc = reduce(DataFrame.unionByName, [p.value_counts(table(spark, sf_dir, t), cs) for t, cs in KEYS.items()]).cache()
-    out = p.counts(vc)
-    for part in (p.lengths(vc), p.value_stats(vc), p.top_values(vc), p.wide_formats(p.formats(vc)), p.composition(vc), p.numeric_shape(vc)):
+    out = p.summary(vc)
+    for part in (p.lengths(vc), p.value_stats(vc), p.top_values(vc), p.wide_formats(p.formats(vc))):
         out = out.join(part, "column_name", "left")
     file = F.element_at(owner, F.col("column_name"))
     out = types.with_types(out).withColumns({"file_name": file, "file_path": F.lit("tables"), "master_type": F.when(file.isin("nation", "region", "part"), "Reference").otherwise("Master")})
@@ -652,7 +652,12 @@ def expanded_formats_sql():
 
 def hash_sample(spark, sf_dir):
     """A sample of a fixed size is the feature here."""
-    return readers.sample_rows(table(spark, sf_dir, "orders"), 100)
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus")
+    return readers.sample_rows(orders, 100, F.md5(F.col("o_orderkey").cast("string").cast("binary")))
+
+
+def hash_sample_sql():
+    return "SELECT o_orderkey, o_custkey, o_orderstatus FROM orders ORDER BY md5(o_orderkey::VARCHAR), o_orderkey LIMIT 100"
 
 
 def event_windows(spark, sf_dir):

@@ -174,6 +174,7 @@ def file_statistics(df: DataFrame, file_path: str, file_name: str, master_type:
     )
 
 
-def sample_rows(df: DataFrame, n: int) -> DataFrame:
-    """The n rows of least hash: the same rows in any run and partitioning."""
-    return df.withColumn("_h", F.xxhash64(*df.columns)).orderBy("_h", *[c for c, t in df.dtypes if not t.startswith("map")]).limit(n).drop("_h")
+def sample_rows(df: DataFrame, n: int, hashed: Column | None = None) -> DataFrame:
+    """The n rows of least hash (of all columns, unless another is given): the same rows in any run and partitioning."""
+    hashed = F.xxhash64(*df.columns) if hashed is None else hashed
+    return df.withColumn("_h", hashed).orderBy("_h", *[c for c, t in df.dtypes if not t.startswith("map")]).limit(n).drop("_h")
