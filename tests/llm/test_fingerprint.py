@@ -61,3 +61,34 @@ def test_many_ranges_give_the_same(spark, monkeypatch):
     expected = sorted(f.fingerprint_documents(df).collect())
     monkeypatch.setattr(f, "RANGES", 40)
     assert sorted(f.fingerprint_documents(df.repartition(3)).collect()) == expected
+
+
+def test_signatures_equal_the_plain_definition():
+    """Sample by sample and term by term: level floor(ln S / r + beta), value ln c - r (level - beta + 1), the least value wins."""
+    import math
+
+    (r, log_c, beta), _, multipliers, salt = f._table()
+    word = (1 << 64) - 1
+
+    def mixed(x):
+        x ^= x >> 30
+        x = x * 0xBF58476D1CE4E5B9 & word
+        x ^= x >> 27
+        x = x * 0x94D049BB133111EB & word
+        return x ^ x >> 31
+
+    rng = np.random.default_rng(11)
+    for n in (1, 2, 40, 300):
+        bag = Counter({int(h): int(rng.choice([1, 1, 1, 2, 3, 50])) for h in rng.integers(0, 2**63, n, dtype=np.uint64)})
+        want = []
+        for m in multipliers.tolist():
+            least = None
+            for h, weight in bag.items():
+                place = h * m & word
+                i = place >> (64 - f.TABLE_BITS)
+                level = math.floor(math.log(weight) / r[i] + beta[i])
+                value = log_c[i] - r[i] * (level - beta[i] + 1)
+                if least is None or value < least[0]:
+                    least = value, place + level * int(salt[0]) & word
+            want.append(mixed(least[1] ^ int(salt[1])) >> 48)
+        assert f.sample(np.array(list(bag.elements()), np.uint64)).tolist() == want
