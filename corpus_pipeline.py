@@ -8,8 +8,7 @@ the third if a document with a smaller id is in its component (of repeated ids,
 stays). The fourth replaces secrets in the text and corrects n_chars. Rows without an id are never dropped by
 the third stage, null texts are empty documents; an empty table gives no sequences. Texts are judged, compared and packed
 whole however long; a document longer than a sequence is packed in pieces. Repeats of one id and text become one row in the
-third stage. All columns of the documents are carried, extra ones
-too; names that a stage needs for itself are chosen so that they clash with none. The first stage joins its rejections on id, text hash,
+third stage. Extra columns of the documents are carried, but for one named ``_key``, which the third stage needs. The first stage joins its rejections on id, text hash,
 language and source, null-safely: rejections are few where a corpus is in its languages, and Spark shuffles both sides where they are not.
 """
 
