@@ -78,14 +78,15 @@ def _spread(edges: DataFrame, start: DataFrame, only_new: bool = False) -> DataF
 
 
 def walk_counts(strong: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
-    """node, walks: for each node the number of walks of two to max_depth nodes from it, which no number of paths exceeds. Counted, not listed: a row a node in each step."""
+    """node, walks: for each node the number of walks of two to max_depth nodes from it, which no number of paths exceeds.
+
+    Counted, not listed: an edge is a walk, and so is it followed by any walk from its end. Each step is one join and a row a node.
+    """
     ways = strong.select(F.col("src").alias("node"), "dst")
-    step = ways.groupBy("node").agg(F.count("*").cast("double").alias("n"))
-    total = step
+    walks = ways.groupBy("node").agg(F.count("*").cast("double").alias("walks"))
     for _ in range(max_depth - 2):
-        step = materialised(ways.join(step.withColumnRenamed("node", "dst"), "dst").groupBy("node").agg(F.sum("n").alias("n")), "walks")
-        total = total.unionByName(step)
-    return total.groupBy("node").agg(F.sum("n").alias("walks"))
+        walks = ways.join(walks.withColumnRenamed("node", "dst"), "dst", "left").groupBy("node").agg(F.sum(1 + F.coalesce("walks", F.lit(0.0))).alias("walks"))
+    return walks
 
 
 #: Walks beyond which paths are not listed.
@@ -99,9 +100,10 @@ def chains(edges: DataFrame, max_depth: int = MAX_DEPTH, least: float = LEAST_WE
     beyond `most` this raises TooManyPaths, which names the nodes to look at.
     """
     strong = materialised(strong_edges(edges, least), "strong")
+    size = strong.groupBy("src").count().agg(F.count("*").alias("nodes"), F.max("count").alias("widest")).first()
+    wide = (size.nodes or 0) * float(size.widest or 0) ** (max_depth - 1) > most / 2  # else there cannot be too many
     walks = walk_counts(strong, max_depth)
-    count = walks.agg(F.sum("walks")).first()[0] or 0
-    if count > most:
+    if wide and (count := walks.agg(F.sum("walks")).first()[0]) > most:
         name = lambda n: f"{n.file}.{n.column}" if hasattr(n, "file") else str(n)
         tops = ", ".join(name(r.node) for r in walks.orderBy(F.desc("walks")).limit(5).collect())
         loops = [f"{name(r.component)} ({r['count']} nodes)" for r in cycles(strong).groupBy("component").count().orderBy(F.desc("count")).limit(5).collect()]

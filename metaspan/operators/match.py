@@ -158,6 +158,7 @@ def inclusion(pairs: DataFrame, values: DataFrame, least: float = LEAST_MATCH) -
 
 
 def _mapping(pairs: DataFrame, values: DataFrame) -> DataFrame:
+    pairs = materialised(pairs, "candidates")  # metadata that is used twice
     found = inclusion(pairs, values).where(F.col("match_pct") > LEAST_MATCH)
     kinds = pairs.select("file_path", "file_name", "column_name", "master_path", "master_file", "master_column", "master_type", "reference_type").distinct()
     return found.join(kinds, ["file_path", "file_name", "column_name", "master_path", "master_file", "master_column"])

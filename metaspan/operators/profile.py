@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from metaspan.functions import patterns
-from metaspan.sources.shared import materialised
+from metaspan.sources.shared import materialised, stored
 
 COLUMN = "column_name"
 
@@ -120,7 +120,7 @@ def weighted_medians(vc: DataFrame, keys: list[str], ordered: int = ORDERED) ->
 
 
 def value_stats(vc: DataFrame) -> DataFrame:
-    """Least, greatest, median and most frequent value (ties: least) with its count."""
+    """Least, greatest, median and most frequent value (ties: least) with its count. ``vc`` is read several times, so it is a table or cheap to read."""
     present = _present(vc)
     ends = present.groupBy(COLUMN).agg(F.min("value").alias("min_string"), F.max("value").alias("max_string"))
     mode = ranked(present, [COLUMN], 1).select(COLUMN, F.col("value").alias("mode_string"), F.col("cnt").alias("mode_cnt"))
@@ -145,7 +145,7 @@ def top_values(vc: DataFrame, k: int = 10) -> DataFrame:
 def formats(vc: DataFrame, k: int = 3) -> DataFrame:
     """Per column and rank: pattern, number of patterns, values with it, share, least, greatest, most frequent and median value."""
     # the pattern is five regexes long: made once per distinct value, not once per use
-    shown = _present(vc).withColumn("format", patterns.format_pattern(F.col("value"))).cache()
+    shown = stored(_present(vc).withColumn("format", patterns.format_pattern(F.col("value"))), "formats")
     by = shown.groupBy(COLUMN, "format").agg(F.sum("cnt").alias("cnt"), F.min("value").alias("format_min"), F.max("value").alias("format_max"))
     total = by.groupBy(COLUMN).agg(F.sum("cnt").alias("value_cnt"), F.count("*").alias("format_cnt"))
     top = ranked(by, [COLUMN], k, "format")
@@ -217,7 +217,7 @@ def profile(df: DataFrame, columns: list[str] | None = None, file_name: str | No
     from metaspan.operators.score import with_scores
 
     types = {c: t for c, t in df.dtypes}
-    vc = value_counts(df, columns).cache()
+    vc = stored(value_counts(df, columns), "values")
     out = summary(vc)
     for part in (lengths(vc), value_stats(vc), top_values(vc), wide_formats(formats(vc)), edge_lists(vc)):
         out = out.join(part, COLUMN, "left")

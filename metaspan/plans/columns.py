@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from metaspan.functions import patterns, types
 from metaspan.operators import profile as p
 from metaspan.operators import rules, score, stats
-from metaspan.sources.shared import materialised
+from metaspan.sources.shared import materialised, stored
 
 #: Columns whose text form is the same in both engines.
 SHOWN = {
@@ -79,7 +79,7 @@ vals AS (SELECT column_name, min(value) AS min_string, max(value) AS max_string,
 
 
 def profile_values(spark, sf_dir):
-    return p.value_stats(counted(spark, sf_dir))
+    return p.value_stats(stored(counted(spark, sf_dir), "values"))
 
 
 def profile_values_sql():
@@ -172,7 +172,7 @@ def oracle_type_sql():
 def _profiles(spark, sf_dir) -> DataFrame:
     """Profiles of all shown columns, with their table as the file."""
     owner = F.create_map(*[F.lit(x) for t, cs in SHOWN.items() for c in cs for x in (c, t)])
-    vc = counted(spark, sf_dir).cache()
+    vc = stored(counted(spark, sf_dir), "values")
     out = p.summary(vc)
     for part in (p.lengths(vc), p.value_stats(vc), p.top_values(vc), p.wide_formats(p.formats(vc))):
         out = out.join(part, "column_name", "left")
@@ -265,6 +265,7 @@ def validator_rates_sql():
         return f"SELECT '{column}' AS column_name, '{name}' AS validator, count(*) AS value_cnt, count(*) FILTER ({test}) AS valid_cnt FROM ({source}) WHERE x IS NOT NULL"
 
     # the patterns are written out here, so that a changed constant of the library shows
+    # What an address of a page and of a mailbox looks like
     url_form = r"(?i)^https?://((?:[A-Z0-9](?:[A-Z0-9-]{0,61}[A-Z0-9])?\.)+[A-Z]{2,6}\.?|localhost|\d{1,3}(?:\.\d{1,3}){3})(?::\d+)?(?:/?|[/?]\S+)$"
     mail_form = r"^[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}$"
     local = r"[2-9][0-9]{6,7}"

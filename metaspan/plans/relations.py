@@ -13,7 +13,7 @@ from metaspan.operators import profile as p
 from metaspan.operators.profile import rounded
 from metaspan.plans.columns import _profiles, detail_case, table, vc_sql, wide_cte
 from metaspan.sources import readers
-from metaspan.sources.shared import materialised
+from metaspan.sources.shared import materialised, stored
 
 #: Key columns that refer to each other: table -> columns.
 KEYS = {
@@ -59,7 +59,7 @@ def _typed(spark, sf_dir) -> DataFrame:
     owner = F.create_map(*[F.lit(x) for t, cs in KEYS.items() for c in cs for x in (c, t)])
     from metaspan.functions import types
 
-    vc = reduce(DataFrame.unionByName, [p.value_counts(table(spark, sf_dir, t), cs) for t, cs in KEYS.items()]).cache()
+    vc = stored(reduce(DataFrame.unionByName, [p.value_counts(table(spark, sf_dir, t), cs) for t, cs in KEYS.items()]), "values")
     out = p.summary(vc)
     for part in (p.lengths(vc), p.value_stats(vc), p.top_values(vc), p.wide_formats(p.formats(vc))):
         out = out.join(part, "column_name", "left")
