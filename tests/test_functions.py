@@ -22,20 +22,20 @@ def test_edges(spark):
     "name,good,bad",
     [
         ("DATECHAR", ["20240229", "2024-02-29", "1999.12.31"], ["20240230", "18991231", "2024", "", None, "abc"]),
-        ("YYMMDD", ["990431"[:2] + "0430", "720229"], ["720230", "990431", "12345", None, "1234567"]),
-        ("YEARMONTH", ["202412", "2024-01"], ["202413", "189912", "2024", None]),
-        ("YEAR", ["1991", "2025"], ["199", "1899", "3000", "abcd", None, "1d"]),
+        ("YYMMDD", ["990431"[:2] + "0430", "720229", "240131.0"], ["720230", "990431", "12345", None, "1234567"]),
+        ("YEARMONTH", ["202412", "2024-01", "202401.0"], ["202413", "189912", "2024", None]),
+        ("YEAR", ["1991", "2025", "2024.0"], ["199", "1899", "3000", "abcd", None, "1d"]),
         ("LATITUDE", ["37.5665", "-90", " 90.0 "], ["90.1", "x", "NaN", "1d", None]),
         ("LONGITUDE", ["126.97", "-180"], ["180.5", "", None]),
         ("TEL", ["02-123-4567"[:3] + "212-4567", "02-2123-4567", "031-234-5678", "010-2345-6789", "234-5678", "2345-6789"], ["123-4567", "0212345", "010-1234-567", "", None]),
-        ("CELLPHONE", ["010-2345-6789", "01123456789", "0162345678"], ["1023456789", "012-2345-6789", "010-1345-6789", None]),
+        ("CELLPHONE", ["010-2345-6789", "01123456789", "0162345678", "01023456789.0"], ["1023456789", "012-2345-6789", "010-1345-6789", None]),
         ("URL", ["http://a.com", "HTTPS://Sub.Example.org:80/x?y", "http://localhost/z", "http://1.2.3.4", "http://a.com./"], ["http://a.museums", "http://a.com#x", "ftp://a.com", "a.com", "http://", None]),
         ("EMAIL", ["a.b+c@d-e.co", "x%1@y.zz"], ["x@y.z", "a@b.1", "a@b.cc-", "a.b.c", "@x.y", "a@b", None]),
         ("COUNTRY_ISO3", ["KOR", " usa "], ["KO", "KORE", "K1R", None]),
         ("GENDER", ["남", "여"], ["M", None]),
         ("GENDER_EN", ["m", "F"], ["남", None]),
-        ("CAR_NUMBER", ["12가3456", "123나4567", "서울12가3456"], ["1가2345", "12a3456", None]),
-        ("TIME", ["12:34:56", "12:34.5", "12:345"], ["1:2", None]),
+        ("CAR_NUMBER", ["12가3456", "123나4567", "서울12가3456"], ["1가2345", "12a3456", "12가 3456", None]),
+        ("TIME", ["12:34:56", "12:34.5", "12:34x5"], ["1:2", "12:345", " 12:34:56", None]),
         ("KOR_NAME", ["홍길동"], [None]),
         ("ADDRESS", ["서울"], [None]),
         ("TIMESTAMP", ["x", None], []),
