@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from metaspan.operators.stats import to_number
+from metaspan.sources.shared import stored
 
 
 def ordered(df: DataFrame, first: list[str]) -> DataFrame:
@@ -57,6 +58,23 @@ def selection(columns: DataFrame, summary: DataFrame, hierarchy: DataFrame) -> D
     return files.join(summary, "file", "left").join(hierarchy, "file", "left").where("column_cnt > 1").orderBy("file")
 
 
+def placed(df: DataFrame, *order: Column, name: str = "place") -> DataFrame:
+    """The rows with their place, from 1, in the order of all of them; equal rows are told apart by where they stand.
+
+    Rows are dealt to ranges of the order; a row's place is that in its range plus the rows of the ranges before, so no task holds all rows and the only
+    running sum is over a count for each range.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    order = [*order, F.asc("_row")]
+    rows = stored(df.withColumn("_row", F.monotonically_increasing_id()), "rows-to-place")
+    dealt = stored(rows.repartitionByRange(n, *order).withColumn("_range", F.spark_partition_id()), "dealt-to-place")
+    before = F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
+    starts = dealt.groupBy("_range").agg(F.count("*").alias("_n")).select("_range", F.coalesce(before, F.lit(0)).alias("_before"))
+    inner = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
+    # a row for each shuffle partition
+    return dealt.withColumn(name, inner).join(F.broadcast(starts), "_range").select(*df.columns, (F.col(name) + F.col("_before")).alias(name))
+
+
 def reference_set(df: DataFrame, column: str, upper: bool = False) -> DataFrame:
     """The distinct normalised values of a reference column: what validators take as their sets."""
     value = F.trim(F.regexp_replace(F.col(f"`{column}`").cast("string"), r"\s+", " "))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from metaspan.plans import columns, relations, reports
+from metaspan.plans import columns, exchange, relations, reports
 
-QUERIES: dict = {**columns.QUERIES, **relations.QUERIES, **reports.QUERIES}
-ORACLES: dict[str, str] = {**columns.ORACLES, **relations.ORACLES, **reports.ORACLES}
+QUERIES: dict = {**columns.QUERIES, **relations.QUERIES, **reports.QUERIES, **exchange.QUERIES}
+ORACLES: dict[str, str] = {**columns.ORACLES, **relations.ORACLES, **reports.ORACLES, **exchange.ORACLES}

@@ -4,7 +4,7 @@
 that fits, so every byte is read once and checked while it is decoded, and no range depends on another. Line ends are single
 bytes in all supported encodings, so a range begins after the first line end at or behind its start, as usual. Values that hold line ends are not for this source.
 
-``workbook`` streams the rows of a sheet out of the zipped parts, a sheet to a task. Cells are text: shared and inline strings, numbers as written, TRUE and FALSE.
+``workbook`` streams the rows of a sheet out of the zipped parts, a sheet to a task, and writes as ``sheets`` says. Cells are text: shared and inline strings, numbers as written, TRUE and FALSE.
 
 Files are found and opened by pyarrow.fs, on driver and executors alike, so paths are those of a store that both can reach.
 """
@@ -28,6 +28,8 @@ import pyarrow.fs as pf
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StringType, StructField, StructType
 
+from metaspan.sources import sheets
+
 #: Encodings in the order in which they are tried, as Python names them.
 ENCODINGS = ("utf-8", "cp949", "euc-kr")
 #: Bytes of a file that tell its columns and possible encodings, of a range, and of text that is parsed at once.
@@ -221,7 +223,8 @@ _LINK = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id
 
 def _texts(element: ElementTree.Element) -> str:
     """The text of a string item, without phonetic hints."""
-    return "".join(t.text or "" for child in element for t in ([child] if child.tag == f"{_MAIN}t" else child.iter(f"{_MAIN}t") if child.tag == f"{_MAIN}r" else []))
+    found = [t.text or "" for child in element for t in ([child] if child.tag == f"{_MAIN}t" else child.iter(f"{_MAIN}t") if child.tag == f"{_MAIN}r" else [])]
+    return sheets.unescaped("".join(found))
 
 
 def sheet_rows(book: zipfile.ZipFile, part: str) -> Iterator[list[str | None]]:
@@ -277,7 +280,7 @@ def sheets_of(book: zipfile.ZipFile) -> dict[str, str]:
 
 
 class Workbook(DataSource):
-    """Options: path (a file, or a folder of workbooks with equal columns), sheet (a name; the first one without it), suffix, nulls."""
+    """Options: path (a file, or a folder of workbooks with equal columns), sheet (a name; the first one without it), suffix, nulls; to write: path (a folder), rows (of a sheet, at most)."""
 
     @classmethod
     def name(cls) -> str:
@@ -301,6 +304,9 @@ class Workbook(DataSource):
     def reader(self, schema: StructType) -> WorkbookReader:
         return WorkbookReader(schema, self.sheets(), dict(self.options))
 
+    def writer(self, schema: StructType, overwrite: bool) -> sheets.WorkbookWriter:
+        return sheets.WorkbookWriter(self.options["path"], schema, overwrite, int(self.options.get("rows", sheets.ROWS)))
+
 
 def _header(sheet: Sheet) -> list[str]:
     system, inner = opened(sheet.path)

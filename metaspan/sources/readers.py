@@ -122,14 +122,14 @@ def read_catalog(df: DataFrame) -> DataFrame:
     return df.where((F.upper(F.trim("execution_flag")) == "Y") & F.trim("type").isin(*MASTER_TYPES))
 
 
-def auto_numeric(df: DataFrame, named: str = r"(?i)(cnt|count|pct|%|rows|size|score)", sample: int = 100, least: float = 0.8) -> DataFrame:
-    """Text columns as numbers if their name says so or enough of the first non-empty values are numbers."""
+def auto_numeric(df: DataFrame, named: str = r"(?i)(cnt|count|pct|%|rows|size|score)", least: float = 0.8) -> DataFrame:
+    """Text columns as numbers if their name says so or enough of their non-empty values are numbers; all rows are asked, in one aggregation."""
     from metaspan.operators.stats import to_number
 
     text = [c for c, t in df.dtypes if t == "string"]
     if not text:
         return df
-    shares = df.limit(sample).agg(*[F.avg(F.when(F.trim(F.col(f"`{c}`")) != "", to_number(F.col(f"`{c}`")).isNotNull().cast("double"))).alias(c) for c in text]).first()
+    shares = df.agg(*[F.avg(F.when(F.trim(F.col(f"`{c}`")) != "", to_number(F.col(f"`{c}`")).isNotNull().cast("double"))).alias(c) for c in text]).first()
     numeric = {c for c in text if re.search(named, c) or (shares[c] is not None and shares[c] >= least)}
     return df.select(*[to_number(F.col(f"`{c}`")).alias(c) if c in numeric else F.col(f"`{c}`") for c in df.columns])
 

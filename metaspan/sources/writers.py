@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from metaspan.sources import files
+
 
 def flat(df: DataFrame) -> DataFrame:
     """Columns that flat files can hold: arrays, maps and structs as JSON."""
@@ -14,12 +16,28 @@ def flat(df: DataFrame) -> DataFrame:
 BYTE_ORDER_MARK = "\ufeff"
 
 
-def write_csv(df: DataFrame, path: str, mark: bool = False) -> None:
-    """Flat files with a header; with ``mark`` each begins with a byte-order mark, by which spreadsheet programs tell UTF-8."""
+def write_csv(df: DataFrame, path: str, mark: bool = False, encoding: str | None = None, append: bool = False) -> None:
+    """Flat files with a header; with ``mark`` each begins with a byte-order mark, by which spreadsheet programs tell UTF-8; ``encoding`` (as Java names it) is for programs that cannot read it.
+
+    ``append`` adds files to the folder, which may hold some in other encodings. A task that finds a character outside the encoding fails, it never writes a replacement.
+    """
+    if mark and encoding:
+        raise ValueError("a byte-order mark is for UTF-8")
     out = flat(df)
     if mark and out.columns:
         out = out.withColumnRenamed(out.columns[0], BYTE_ORDER_MARK + out.columns[0])
-    out.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+    writer = out.write.mode("append" if append else "overwrite").option("header", True).option("escape", '"')
+    if encoding:
+        # without it only UTF and Latin-1 names are allowed
+        out.sparkSession.conf.set("spark.sql.legacy.javaCharsets", "true")
+        writer = writer.option("encoding", encoding)
+    writer.csv(path)
+
+
+def write_excel(df: DataFrame, path: str, append: bool = False) -> None:
+    """A folder of workbooks, written by the tasks: see sheets.WorkbookWriter."""
+    df.sparkSession.dataSource.register(files.Workbook)
+    flat(df).write.format("workbook").mode("append" if append else "overwrite").save(path)
 
 
 def write_table(df: DataFrame, path: str, by: str | None = None) -> None:
