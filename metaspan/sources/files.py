@@ -19,6 +19,7 @@ import re
 import zipfile
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 from itertools import islice
 from xml.etree import ElementTree
 
@@ -218,6 +219,7 @@ class Sheet(InputPartition):
 
 
 _MAIN = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
+_CELL, _VALUE = f"{_MAIN}c", f"{_MAIN}v"
 _LINK = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id"
 
 
@@ -238,18 +240,18 @@ def sheet_rows(book: zipfile.ZipFile, part: str) -> Iterator[list[str | None]]:
                     element.clear()
     with book.open(part) as file:
         root, due = None, 1
+        places: dict[str, int] = {}
         for event, element in ElementTree.iterparse(file, ("start", "end")):
             if root is None:
                 root = element
             if event == "end" and element.tag == f"{_MAIN}row":
                 row: list[str | None] = []
-                for cell in element.iter(f"{_MAIN}c"):
-                    letters = re.match("[A-Z]*", cell.get("r", ""))[0]
-                    place = 0
-                    for c in letters:
-                        place = 26 * place + ord(c) - 64
-                    row += [None] * (place - 1 - len(row))
-                    kind, value = cell.get("t", "n"), cell.find(f"{_MAIN}v")
+                for cell in element.iterfind(_CELL):
+                    letters = cell.get("r", "").rstrip("0123456789")
+                    if letters not in places:
+                        places[letters] = reduce(lambda place, c: 26 * place + ord(c) - 64, letters, 0)
+                    row += [None] * (places[letters] - 1 - len(row))
+                    kind, value = cell.get("t", "n"), cell.find(_VALUE)
                     text = None if value is None else value.text
                     if kind == "s" and text is not None:
                         text = shared[int(text)]

@@ -14,6 +14,7 @@ import uuid
 import zipfile
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from math import isfinite
 
 import pyarrow as pa
 import pyarrow.fs as pf
@@ -59,7 +60,7 @@ def _cell(ref: str, value: object, number: bool) -> str:
     if isinstance(value, bool):
         return f'<c r="{ref}" t="b"><v>{int(value)}</v></c>'
     text = str(value)
-    if number and re.fullmatch(r"-?[0-9]+(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?", text):
+    if number and (isinstance(value, int) or isfinite(value)):
         return f'<c r="{ref}"><v>{text}</v></c>'
     if len(text) > CELL:
         raise ValueError(f"cell {ref} has {len(text)} characters; a workbook's cell holds {CELL}")
@@ -91,6 +92,7 @@ class Written(WriterCommitMessage):
 class WorkbookWriter(DataSourceArrowWriter):
     def __init__(self, path: str, schema: StructType, overwrite: bool, most: int = ROWS):
         self.path, self.names, self.overwrite, self.most = path.rstrip("/"), [f.name for f in schema], overwrite, most
+        self.letters = [letters_of(k) for k in range(len(self.names))]
         self.numbers = [f.dataType.typeName() in ("byte", "short", "integer", "long", "float", "double", "decimal") for f in schema]
 
     def _folder(self) -> tuple[pf.FileSystem, str]:
@@ -126,7 +128,7 @@ class WorkbookWriter(DataSourceArrowWriter):
             yield from zip(*(column.to_pylist() for column in batch.columns))
 
     def _cells(self, line: tuple, k: int) -> str:
-        return "".join(_cell(f"{letters_of(c)}{k}", value, number) for c, (value, number) in enumerate(zip(line, self.numbers)))
+        return "".join([_cell(f"{c}{k}", value, number) for c, value, number in zip(self.letters, line, self.numbers)])
 
     def commit(self, messages: list[Written | None]) -> None:
         system, inner = self._folder()

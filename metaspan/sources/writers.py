@@ -26,10 +26,13 @@ def write_csv(df: DataFrame, path: str, mark: bool = False, encoding: str | None
     out = flat(df)
     if mark and out.columns:
         out = out.withColumnRenamed(out.columns[0], BYTE_ORDER_MARK + out.columns[0])
-    writer = out.write.mode("append" if append else "overwrite").option("header", True).option("escape", '"')
     if encoding:
         # without it only UTF and Latin-1 names are allowed
         out.sparkSession.conf.set("spark.sql.legacy.javaCharsets", "true")
+        # the writer alone would put question marks; encode() refuses
+        out = out.select(*[F.decode(F.encode(F.col(f"`{c}`"), encoding), encoding).alias(c) if t == "string" else F.col(f"`{c}`") for c, t in out.dtypes])
+    writer = out.write.mode("append" if append else "overwrite").option("header", True).option("escape", '"')
+    if encoding:
         writer = writer.option("encoding", encoding)
     writer.csv(path)
 

@@ -1,12 +1,13 @@
 """Data sources against plain reading: ranges of every size, mixed encodings, odd lines, workbooks written by the test."""
 
+import os
 import random
 import zipfile
 from xml.sax.saxutils import escape
 
 import pytest
 
-from metaspan.sources import files, readers
+from metaspan.sources import files, readers, sheets, writers
 
 
 def rows(df):
@@ -104,3 +105,58 @@ def test_large_workbook_is_streamed(tmp_path):
     with zipfile.ZipFile(tmp_path / "b.xlsx") as z:
         got = [*files.sheet_rows(z, files.sheets_of(z)["s"])]
     assert got == [["k", "v"]] + [[str(k), f"v{k}"] for k in range(20_000)]
+
+
+@pytest.mark.parametrize("encoding, text", [("EUC-KR", "고객"), ("x-windows-949", "고객 똠")])
+def test_flat_files_in_legacy_encodings(spark, tmp_path, encoding, text):
+    path = str(tmp_path / "out")
+    writers.write_csv(spark.createDataFrame([(1, text), (2, None)], "k int, v string"), path, encoding=encoding)
+    assert rows(readers.read_csv(spark, path)) == sorted([("1", text), ("2", None)], key=repr)
+    writers.write_csv(spark.createDataFrame([(3, "é ﬁ")], "k int, v string"), path, append=True)
+    assert rows(readers.read_directory(spark, path).select("k", "v")) == sorted([("1", text), ("2", None), ("3", "é ﬁ")], key=repr)
+    with pytest.raises(Exception, match="MALFORMED_CHARACTER_CODING"):
+        writers.write_csv(spark.createDataFrame([(1, "ﬁ")], "k int, v string"), path, encoding=encoding)
+    with pytest.raises(ValueError, match="byte-order mark"):
+        writers.write_csv(spark.createDataFrame([(1, "x")], "k int, v string"), path, mark=True, encoding=encoding)
+
+
+ODD = [" a ", "", "<&>\"'", "two\nlines", "carriage\rreturn", "\x00\x1f￾", "_x0041_", "_x005F_", "김 😀", "_", "x" * sheets.CELL]
+
+
+def test_workbooks_give_back_what_was_written(spark, tmp_path):
+    path = str(tmp_path / "books")
+    schema = "text string, n long, f double, d decimal(9,2), b boolean, l array<int>"
+    data = [(t, k, k / 4, None, k % 2 == 0, [k]) for k, t in enumerate(ODD)] + [(None, None, float("nan"), None, None, None), ("min", -(2**63), -1e300, None, None, [])]
+    df = spark.createDataFrame(data, schema).repartition(3)
+    writers.write_excel(df, path)
+    got = rows(readers.read_excel(path, spark))
+    text = lambda v: None if v is None or v in readers.NULL_TOKENS else v
+    want = [(text(t), None if n is None else str(n), text(str(f)), None, None if b is None else str(b).upper(), None if a is None else f"[{','.join(map(str, a))}]") for t, n, f, _, b, a in data]
+    assert got == sorted(want, key=repr)
+    writers.write_excel(df.limit(1), path, append=True)
+    assert readers.read_excel(path, spark).count() == len(data) + 1
+    writers.write_excel(df.where("n < 0").toDF("t", "n", "f", "d", "b", "l"), path)
+    assert readers.read_excel(path, spark).select("t", "n").collect() == [("min", str(-(2**63)))]
+    writers.write_excel(df.limit(0), path)
+    empty = readers.read_excel(path, spark)
+    assert empty.columns == df.columns and empty.count() == 0
+    assert [f for f in os.listdir(path) if f.startswith(".")] == []
+
+
+def test_long_tables_become_more_workbooks(spark, tmp_path):
+    path = str(tmp_path / "many")
+    spark.dataSource.register(files.Workbook)
+    spark.range(0, 25, 1, 2).selectExpr("id", *[f"id + {k} AS c{k}" for k in range(30)]).write.format("workbook").option("rows", 5).mode("overwrite").save(path)
+    books = sorted(os.listdir(path))
+    assert len(books) == 3 + 4  # 12 and 13 rows, four to a sheet below its header
+    df = readers.read_excel(path, spark)
+    assert rows(df.select("id", "c29")) == sorted([(str(k), str(k + 29)) for k in range(25)], key=repr)
+    assert sheets.letters_of(0) == "A" and sheets.letters_of(25) == "Z" and sheets.letters_of(26) == "AA" and sheets.letters_of(702) == "AAA"
+
+
+def test_a_failed_write_leaves_the_table(spark, tmp_path):
+    path = str(tmp_path / "kept")
+    writers.write_excel(spark.createDataFrame([("a",)], "v string"), path)
+    with pytest.raises(Exception, match="a workbook's cell holds"):
+        writers.write_excel(spark.createDataFrame([("b",), ("x" * (sheets.CELL + 1),)], "v string").repartition(2), path)
+    assert rows(readers.read_excel(path, spark)) == [("a",)]

@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from metaspan.operators import checks, lineage, match, profile, rules, score, stats, valuechain
+from metaspan.operators import checks, display, lineage, match, profile, rules, score, stats, valuechain
 from metaspan.sources import readers, writers
 from metaspan.streaming.profile import windowed_profile
 
@@ -469,3 +469,21 @@ def test_streamed_values_equal_the_batch(spark, tmp_path):
     key = lambda df: sorted((str(r.window.start), r.column_name, r.value_cnt, r.unique_cnt, [tuple(v) for v in r.top_values]) for r in df.collect())
     want = key(windowed_values(batch, "ts", ["v", "n"], k=3, parts=2))
     assert len(want) == 8 and key(spark.table("valued")) == want
+
+
+@pytest.mark.parametrize("pieces", [1, 4])
+def test_places_in_an_order_of_all_rows(spark, pieces):
+    data = [(k % 3, f"v{k % 7}", k) for k in range(200)] + [(1, "same", 0)] * 50 + [(None, None, 1)]
+    df = spark.createDataFrame(data, "a int, v string, k int").repartition(pieces)
+    got = display.placed(df, F.desc_nulls_last("a"), F.asc("v")).collect()
+    assert sorted(r.place for r in got) == [*range(1, len(data) + 1)]
+    in_order = [(r.a, r.v) for r in sorted(got, key=lambda r: r.place)]
+    assert in_order == sorted(((a, v) for a, v, _ in data), key=lambda x: (x[0] is None, -(x[0] or 0), x[1] or ""))
+    assert sorted((r.a or 0, r.v or "", r.k) for r in got) == sorted((a or 0, v or "", k) for a, v, k in data)
+    assert display.placed(df.limit(0), F.asc("a")).count() == 0
+
+
+def test_numbers_are_judged_by_all_rows(spark):
+    df = spark.createDataFrame([("x" if k < 150 else "1", "" if k else "7", None) for k in range(1000)], "late string, rare string, none string").repartition(1)
+    assert dict(readers.auto_numeric(df).dtypes) == {"late": "double", "rare": "double", "none": "string"}
+    assert dict(readers.auto_numeric(df.limit(0)).dtypes) == {"late": "string", "rare": "string", "none": "string"}
