@@ -42,10 +42,11 @@ def oracle_type(name: Column, code_names: str = CODE_NAMES) -> Column:
 
 
 def _telephones(least: float) -> Column:
-    """Whether the most frequent value is a telephone number and so is the given share of the ten most frequent."""
+    """Whether the most frequent value is a telephone number and so is the given share of the ten most frequent. Columns of a number type (data_type) hold none."""
     top = F.col("top_values.value")
     hits = F.size(F.filter(top, v.telephone))
-    return F.coalesce(F.col("format").isin(TELEPHONES) & v.telephone(F.element_at(top, 1)) & (hits / F.size(top) >= least), F.lit(False))
+    number = F.coalesce(F.col("data_type").rlike("^(tinyint|smallint|int|bigint|float|double|decimal)"), F.lit(False))
+    return F.coalesce(~number & F.col("format").isin(TELEPHONES) & v.telephone(F.element_at(top, 1)) & (hits / F.size(top) >= least), F.lit(False))
 
 
 def _count(pattern: Column, character: str) -> Column:
@@ -138,7 +139,8 @@ def rule_type() -> Column:
 
 
 def with_types(profile: DataFrame, name: str = "column_name") -> DataFrame:
-    """oracle_type, detail_type and pk (a unique column is a key candidate) of a profile."""
+    """oracle_type, detail_type and pk (a unique column is a key candidate) of a profile. Without its data_type a column counts as text."""
     empty = F.col("value_cnt") == 0
-    out = profile.withColumns({"oracle_type": F.when(empty, "VARCHAR2(255)").otherwise(oracle_type(F.col(name))), "detail_type": F.when(empty, "").otherwise(detail_type())})
+    typed = profile if "data_type" in profile.columns else profile.withColumn("data_type", F.lit(None).cast("string"))
+    out = typed.withColumns({"oracle_type": F.when(empty, "VARCHAR2(255)").otherwise(oracle_type(F.col(name))), "detail_type": F.when(empty, "").otherwise(detail_type())})
     return out.withColumn("pk", (F.col("detail_type") == "UNIQUE").cast("int"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from metaspan.functions import patterns, types
@@ -33,6 +33,12 @@ def counted(spark: SparkSession, sf_dir: str, shown: dict[str, list[str]] = SHOW
     return reduce(DataFrame.unionByName, [p.value_counts(table(spark, sf_dir, t), cs) for t, cs in shown.items()])
 
 
+def data_types(spark: SparkSession, sf_dir: str, shown: dict[str, list[str]] = SHOWN) -> Column:
+    """The data type of the column that column_name names."""
+    kinds = {c: t for name, cs in shown.items() for c, t in table(spark, sf_dir, name).dtypes if c in cs}
+    return F.element_at(F.create_map(*[F.lit(x) for pair in kinds.items() for x in pair]), F.col("column_name"))
+
+
 def long_sql(shown: dict[str, list[str]] = SHOWN) -> str:
     return " UNION ALL ".join(f"SELECT '{c}' AS column_name, CAST({c} AS VARCHAR) AS value FROM {t}" for t, cs in shown.items() for c in cs)
 
@@ -176,7 +182,7 @@ def _profiles(spark, sf_dir) -> DataFrame:
     out = p.summary(vc)
     for part in (p.lengths(vc), p.value_stats(vc), p.top_values(vc), p.wide_formats(p.formats(vc))):
         out = out.join(part, "column_name", "left")
-    out = score.with_scores(types.with_types(out)).withColumns({"file_name": F.element_at(owner, F.col("column_name")), "file_path": F.lit("tables"), "master_type": F.lit("Master")})
+    out = score.with_scores(types.with_types(out.withColumn("data_type", data_types(spark, sf_dir)))).withColumns({"file_name": F.element_at(owner, F.col("column_name")), "file_path": F.lit("tables"), "master_type": F.lit("Master")})
     return materialised(out, "profiles")
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from metaspan.operators import checks, integrity, lineage, match, rules, score, stats, valuechain
 from metaspan.operators import profile as p
 from metaspan.operators.profile import rounded
-from metaspan.plans.columns import _profiles, detail_case, table, vc_sql, wide_cte
+from metaspan.plans.columns import _profiles, data_types, detail_case, table, vc_sql, wide_cte
 from metaspan.sources import readers
 from metaspan.sources.shared import materialised, stored
 
@@ -64,7 +64,7 @@ def _typed(spark, sf_dir) -> DataFrame:
     for part in (p.lengths(vc), p.value_stats(vc), p.top_values(vc), p.wide_formats(p.formats(vc))):
         out = out.join(part, "column_name", "left")
     file = F.element_at(owner, F.col("column_name"))
-    out = types.with_types(out).withColumns({"file_name": file, "file_path": F.lit("tables"), "master_type": F.when(file.isin("nation", "region", "part"), "Reference").otherwise("Master")})
+    out = types.with_types(out.withColumn("data_type", data_types(spark, sf_dir, KEYS))).withColumns({"file_name": file, "file_path": F.lit("tables"), "master_type": F.when(file.isin("nation", "region", "part"), "Reference").otherwise("Master")})
     return materialised(out, "typed")
 
 
