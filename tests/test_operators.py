@@ -487,3 +487,18 @@ def test_numbers_are_judged_by_all_rows(spark):
     df = spark.createDataFrame([("x" if k < 150 else "1", "" if k else "7", None) for k in range(1000)], "late string, rare string, none string").repartition(1)
     assert dict(readers.auto_numeric(df).dtypes) == {"late": "double", "rare": "double", "none": "string"}
     assert dict(readers.auto_numeric(df.limit(0)).dtypes) == {"late": "string", "rare": "string", "none": "string"}
+
+
+@pytest.mark.parametrize("n", [1, 2, 7, 1000])
+def test_quantiles_equal_percentile(spark, n):
+    df = spark.range(n).select(((F.col("id") * 7919) % 101 / 4).alias("a"), F.when(F.col("id") % 3 == 0, -F.col("id") / 8).alias("b"))
+    counted = stats.numeric_form(df, ["a", "b"]).groupBy("column_name", "value").agg(F.count("*").alias("n"))
+    want = stats.numeric_form(df, ["a", "b"]).groupBy("column_name").agg(F.percentile("value", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"))
+    got = {r.column_name: [r.q25, r.q50, r.q75] for r in stats.quantiles(counted, stats.QUARTILES).collect()}
+    assert got == {r.column_name: pytest.approx(r.q) for r in want.collect()}
+
+
+def test_quartiles_hold_no_column_in_one_task(spark):
+    counted = spark.range(1000).select(F.lit("a").alias("column_name"), F.col("id").cast("double").alias("value"), F.lit(1).cast("long").alias("n"))
+    plan = stats.quantiles(counted, stats.QUARTILES)._jdf.queryExecution().optimizedPlan().toString()
+    assert "percentile" not in plan and "percentile" not in stats.describe(counted, ["value"])._jdf.queryExecution().optimizedPlan().toString()
