@@ -313,8 +313,8 @@ link AS (SELECT a, b FROM sh UNION SELECT b, a FROM sh), walk(t, k) AS (SELECT '
 SELECT a, b, col AS "column", level FROM sh LEFT JOIN lev ON lev.t = sh.b"""
 
 
-def physical_edges(spark, sf_dir):
-    g = _graph(spark, sf_dir)
+def physical_edges(spark, sf_dir, graph=None):
+    g = _graph(spark, sf_dir) if graph is None else graph
     links = lineage.shared_columns(g).select("a", "b").distinct()
     levels = lineage.neighbourhood(links, literal(spark, "start string", [("lineitem",)]), 4).select("table", "level")
     return lineage.physical_edges(g, levels)
@@ -342,7 +342,8 @@ SELECT a, b, CASE WHEN p = 1 AND l = 1 THEN 'both' WHEN p = 1 THEN 'physical' EL
 
 def erd_info(spark, sf_dir):
     logical = _references(spark, sf_dir).toDF("child_file", "child_column", "parent_file", "parent_column", "weight")
-    return lineage.erd_info(_graph(spark, sf_dir), physical_edges(spark, sf_dir), logical)
+    graph = _graph(spark, sf_dir)
+    return lineage.erd_info(graph, physical_edges(spark, sf_dir, graph), logical)
 
 
 def erd_info_sql():
@@ -353,8 +354,10 @@ SELECT file, col AS "column", pk, type, physical, logical, (logical = 1 AND phys
 
 def erd_frame(spark, sf_dir):
     """The rows of a diagram around two anchors in its three modes."""
-    graph, physical = _graph(spark, sf_dir), materialised(physical_edges(spark, sf_dir), "physical")
-    logical = _references(spark, sf_dir).toDF("child_file", "child_column", "parent_file", "parent_column", "weight").drop("weight")
+    graph = _graph(spark, sf_dir)
+    physical = materialised(physical_edges(spark, sf_dir, graph), "physical")
+    # a row per pair: found once for the three modes
+    logical = materialised(_references(spark, sf_dir).toDF("child_file", "child_column", "parent_file", "parent_column", "weight").drop("weight"), "logical")
     anchors = literal(spark, "file string", [("orders",), ("nation",)])
     frames = [lineage.erd_frame(graph, physical, logical, anchors, mode).withColumn("mode", F.lit(mode)) for mode in lineage.ERD_MODES]
     return reduce(DataFrame.unionByName, frames)

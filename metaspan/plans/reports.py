@@ -85,8 +85,9 @@ SELECT file_name, column_name, shown[1] AS level_1, shown[2] AS level_2, array_t
 
 def shown_columns(spark, sf_dir):
     """Columns of a diagram around one anchor."""
-    involved = physical_edges(spark, sf_dir).select(F.col("src").alias("file"), "column")
-    return lineage.shown_columns(_graph(spark, sf_dir), involved, literal(spark, "file string", [("nation",)]))
+    graph = _graph(spark, sf_dir)
+    involved = physical_edges(spark, sf_dir, graph).select(F.col("src").alias("file"), "column")
+    return lineage.shown_columns(graph, involved, literal(spark, "file string", [("nation",)]))
 
 
 def shown_columns_sql():
