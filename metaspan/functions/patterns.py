@@ -45,12 +45,27 @@ STEPS = (
 )
 
 
+#: ASCII characters and what the steps make of each.
+ASCII = "".join(map(chr, range(128)))
+CODES = "".join("n" if c.isdigit() else "a" if c.islower() else "A" if c.isupper() else c if c in "(){}[]-=. :@/" else "s" for c in ASCII)
+
+
 def format_pattern(value: Column) -> Column:
     """n, K, A, a, a kept punctuation mark or s for each of the first 20 characters; a trailing '.0' is left out first."""
-    out = F.substring(F.regexp_replace(value, r"\.0\z", ""), 1, PATTERN_LENGTH)
+    shown = F.substring(F.when(value.endswith(".0"), F.left(value, F.length(value) - 2)).otherwise(value), 1, PATTERN_LENGTH)
+    out = shown
     for pattern, by in STEPS:
         out = F.regexp_replace(out, pattern, by)
-    return out
+    return F.when(F.octet_length(shown) == F.length(shown), F.translate(shown, ASCII, CODES)).otherwise(out)
+
+
+#: Digits but 0 and Latin letters but T (of times), each for its class.
+ALIKE = ("123456789bcdefghijklmnopqrstuvwxyzBCDEFGHIJKLMNOPQRSUVWXYZ", "1" * 9 + "a" * 25 + "A" * 24)
+
+
+def alike(value: Column) -> Column:
+    """One text for all that have the same classes of characters at the same places: FLAGS, FIRST_CHARACTERS and the shapes of dates and numbers say the same of them."""
+    return F.translate(value, *ALIKE)
 
 
 def format_pattern_sql(value: str) -> str:

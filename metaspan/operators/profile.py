@@ -40,10 +40,15 @@ def _count_cells() -> list[Column]:
     return [
         F.sum("cnt").alias("record_cnt"),
         F.coalesce(F.sum(F.when(F.col("value").isNotNull(), F.col("cnt"))), F.lit(0)).alias("value_cnt"),
-        F.count("value").alias("unique_cnt"),
+        F.coalesce(F.sum(F.when(F.col("value").isNotNull(), F.col("different"))), F.lit(0)).alias("unique_cnt"),
     ]
 
 
+def hashed(c: Column) -> Column:
+    """An aggregate of texts that is kept in a table of keys; alone, Spark would sort all rows by key for it. For few keys, as columns are."""
+    return F.when(F.size(F.collect_set(F.lit(True))) > 0, c)
+
+
 def _with_shares(out: DataFrame) -> DataFrame:
     return out.withColumns(
         {
@@ -56,7 +61,7 @@ def _with_shares(out: DataFrame) -> DataFrame:
 
 def counts(vc: DataFrame) -> DataFrame:
     """Rows, values, nulls, distinct values and their shares."""
-    return _with_shares(vc.groupBy(COLUMN).agg(*_count_cells()))
+    return _with_shares(vc.withColumn("different", F.lit(1)).groupBy(COLUMN).agg(*_count_cells()))
 
 
 def lengths(vc: DataFrame) -> DataFrame:
@@ -99,8 +104,9 @@ def weighted_medians(vc: DataFrame, keys: list[str], ordered: int = ORDERED) ->
     round or the values of a small group, however the values are distributed; each round reads the values once and moves counts only.
     """
     at = F.struct(F.lit("").alias("head"), F.lit(0).cast("long").alias("before"))
-    sizes = [F.sum("cnt").alias("n"), F.count("*").alias("different"), F.min("value").alias("low"), F.max("value").alias("high")]
-    held = materialised(vc.groupBy(*keys).agg(*sizes).withColumns({"at": at, "middle": F.floor(F.col("n") / 2)}), "medians")
+    sizes = [F.sum("cnt").alias("n"), F.count("*").alias("different")]
+    ends = [hashed(F.min("value")).alias("low"), hashed(F.max("value")).alias("high")]
+    held = materialised(vc.groupBy(*keys).agg(*sizes, *ends).withColumns({"at": at, "middle": F.floor(F.col("n") / 2)}), "medians")
     while True:
         large = held.where(f"different > {ordered}")
         if large.isEmpty():
@@ -108,11 +114,13 @@ def weighted_medians(vc: DataFrame, keys: list[str], ordered: int = ORDERED) ->
         # the values of a group are those from its low to its high one; both are its own
         large = large.select(*keys, "middle", "at", "low", "high", (_shared("low", "high") + STEP).alias("size"))
         inside = vc.join(large, keys).where("value >= low AND value <= high").withColumn("head", F.expr("left(value, size)"))
-        heads = inside.groupBy(*keys, "middle", "at", "head").agg(*sizes).drop("low", "high")
-        ends = inside.groupBy(*keys, "head").agg(F.min("value").alias("low"), F.max("value").alias("high"))
+        heads = inside.groupBy(*keys, "middle", "at", "head").agg(*sizes)
         before = F.coalesce(F.sum("n").over(Window.partitionBy(*keys).orderBy("head").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) + F.col("at.before")
         found = heads.withColumn("first", before).where((F.col("first") <= F.col("middle")) & (F.col("middle") < F.col("first") + F.col("n")))
-        found = found.join(ends, [*keys, "head"]).select(*keys, "n", "different", "low", "high", F.struct("head", F.col("first").alias("before")).alias("at"), "middle")
+        found = materialised(found.select(*keys, "n", "different", F.struct("head", F.col("first").alias("before")).alias("at"), "middle", "head"), "heads")
+        # least and greatest value of the one group of each key that is kept
+        found = found.join(inside.select(*keys, "head", "value").join(F.broadcast(found.select(*keys, "head")), [*keys, "head"]).groupBy(*keys).agg(*ends), keys)
+        found = found.select(*keys, "n", "different", "low", "high", "at", "middle")
         held = materialised(held.where(f"different <= {ordered}").unionByName(found), "medians")
     near = vc.join(held.select(*keys, "low", "high", "middle", "at.before"), keys).where("value >= low AND value <= high")
     upto = F.col("before") + F.sum("cnt").over(Window.partitionBy(*keys).orderBy("value"))
@@ -122,9 +130,11 @@ def weighted_medians(vc: DataFrame, keys: list[str], ordered: int = ORDERED) ->
 def value_stats(vc: DataFrame) -> DataFrame:
     """Least, greatest, median and most frequent value (ties: least) with its count. ``vc`` is read several times, so it is a table or cheap to read."""
     present = _present(vc)
-    ends = present.groupBy(COLUMN).agg(F.min("value").alias("min_string"), F.max("value").alias("max_string"))
-    mode = ranked(present, [COLUMN], 1).select(COLUMN, F.col("value").alias("mode_string"), F.col("cnt").alias("mode_cnt"))
-    return ends.join(mode, COLUMN).join(weighted_medians(present, [COLUMN]).withColumnRenamed("median", "median_string"), COLUMN)
+    mode = F.min_by("value", F.struct(-F.col("cnt"), "value"))
+    ends = present.groupBy(COLUMN).agg(
+        hashed(F.min("value")).alias("min_string"), hashed(F.max("value")).alias("max_string"), hashed(mode).alias("mode_string"), F.max("cnt").alias("mode_cnt")
+    )
+    return ends.join(weighted_medians(present, [COLUMN]).withColumnRenamed("median", "median_string"), COLUMN)
 
 
 def ranked(counted: DataFrame, keys: list[str], k: int, by: str = "value") -> DataFrame:
@@ -133,10 +143,26 @@ def ranked(counted: DataFrame, keys: list[str], k: int, by: str = "value") -> Da
     return counted.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+#: Groups of values, by hash, whose first ones bound the rank of others.
+GROUPS = 24
+
+
+def _leading(counted: DataFrame, k: int) -> DataFrame:
+    """The values that may be among the k most frequent of their column (ties by value): those up to the k-th of the first ones of GROUPS groups of values.
+
+    So few are left to be sorted. With fewer groups filled than k, all are left.
+    """
+    place = F.struct((-F.col("cnt")).alias("by"), "value")
+    group = F.pmod(F.xxhash64("value"), F.lit(GROUPS))
+    firsts = counted.withColumn("group", group).groupBy(COLUMN).agg(F.array_sort(F.array_compact(F.array(*[hashed(F.min(F.when(F.col("group") == g, place))) for g in range(GROUPS)]))).alias("firsts"))
+    bound = firsts.select(COLUMN, F.get("firsts", F.lit(k - 1)).alias("bound"))
+    return counted.join(F.broadcast(bound), COLUMN).where(F.col("bound").isNull() | (place <= F.col("bound"))).drop("bound")
+
+
 def top_values(vc: DataFrame, k: int = 10) -> DataFrame:
     """column_name, top_values (array of value and count, most frequent first), top_pct."""
     total = vc.groupBy(COLUMN).agg(F.sum(F.when(F.col("value").isNotNull(), F.col("cnt"))).alias("n"))
-    top = ranked(_present(vc), [COLUMN], k).groupBy(COLUMN).agg(F.sort_array(F.collect_list(F.struct("rank", "value", "cnt"))).alias("ranked"), F.sum("cnt").alias("top_cnt"))
+    top = ranked(_leading(_present(vc), k), [COLUMN], k).groupBy(COLUMN).agg(F.sort_array(F.collect_list(F.struct("rank", "value", "cnt"))).alias("ranked"), F.sum("cnt").alias("top_cnt"))
     return top.join(total, COLUMN).select(
         COLUMN, F.transform("ranked", lambda r: F.struct(r.value.alias("value"), r.cnt.alias("cnt"))).alias("top_values"), rounded(F.col("top_cnt") / F.col("n") * 100).alias("top_pct")
     )
@@ -146,11 +172,12 @@ def formats(vc: DataFrame, k: int = 3) -> DataFrame:
     """Per column and rank: pattern, number of patterns, values with it, share, least, greatest, most frequent and median value."""
     # the pattern is five regexes long: made once per distinct value, not once per use
     shown = stored(_present(vc).withColumn("format", patterns.format_pattern(F.col("value"))), "formats")
-    by = shown.groupBy(COLUMN, "format").agg(F.sum("cnt").alias("cnt"), F.min("value").alias("format_min"), F.max("value").alias("format_max"))
+    by = shown.groupBy(COLUMN, "format").agg(F.sum("cnt").alias("cnt"))
     total = by.groupBy(COLUMN).agg(F.sum("cnt").alias("value_cnt"), F.count("*").alias("format_cnt"))
-    top = ranked(by, [COLUMN], k, "format")
-    few = shown.join(top.select(COLUMN, "format"), [COLUMN, "format"])
-    modes = ranked(few, [COLUMN, "format"], 1).select(COLUMN, "format", F.col("value").alias("format_mode"))
+    top = materialised(ranked(by, [COLUMN], k, "format"), "formats-kept")
+    few = shown.join(F.broadcast(top.select(COLUMN, "format")), [COLUMN, "format"])
+    mode = F.min_by("value", F.struct(-F.col("cnt"), "value"))
+    modes = few.groupBy(COLUMN, "format").agg(hashed(F.min("value")).alias("format_min"), hashed(F.max("value")).alias("format_max"), hashed(mode).alias("format_mode"))
     medians = weighted_medians(few, [COLUMN, "format"]).withColumnRenamed("median", "format_median")
     return (
         top.join(modes, [COLUMN, "format"])
@@ -255,4 +282,6 @@ def numeric_shape(vc: DataFrame) -> DataFrame:
 
 def summary(vc: DataFrame) -> DataFrame:
     """counts(), composition(), first_characters() and numeric_shape() in one aggregation."""
-    return _with_shares(vc.groupBy(COLUMN).agg(*_count_cells(), *_composition_cells(), *_first_cells(), *_shape_cells()))
+    # what the cells say of a value they say of all that are alike, so each kind is looked at once
+    kinds = vc.groupBy(COLUMN, patterns.alike(F.col("value")).alias("value")).agg(F.sum("cnt").alias("cnt"), F.count("*").alias("different"))
+    return _with_shares(kinds.groupBy(COLUMN).agg(*_count_cells(), *_composition_cells(), *_first_cells(), *_shape_cells()))

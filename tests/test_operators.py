@@ -1,6 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from metaspan.functions import patterns
 from metaspan.operators import checks, display, lineage, match, profile, rules, score, stats, valuechain
 from metaspan.sources import readers, writers
 from metaspan.streaming.profile import windowed_profile
@@ -489,6 +490,35 @@ def test_numbers_are_judged_by_all_rows(spark):
     assert dict(readers.auto_numeric(df.limit(0)).dtypes) == {"late": "string", "rare": "string", "none": "string"}
 
 
+def test_patterns_by_characters_equal_the_steps(spark):
+    """Texts of ASCII characters alone are encoded by a table, others by the steps; both as the steps say."""
+    texts = ["", ".0", "12.0", "1.00", "aB9~", "x" * 19 + ".0", "x" * 25 + ".0", "é1", "가-1", "\t\n_\\^|", "T0T1", "".join(map(chr, range(1, 21))), "".join(map(chr, range(30, 50))), "ß٣X.0", "\x00a"]
+    df = spark.createDataFrame([(t,) for t in texts], "v string")
+    steps = F.substring(F.regexp_replace("v", r"\.0\z", ""), 1, patterns.PATTERN_LENGTH)
+    for pattern, by in patterns.STEPS:
+        steps = F.regexp_replace(steps, pattern, by)
+    assert [tuple(r) for r in df.select("v", patterns.format_pattern(F.col("v")), steps).collect() if r[1] != r[2]] == []
+
+
+def test_alike_texts_have_one_summary(spark):
+    """Characters of one class may stand for each other in the summary, and the summary is that of its parts."""
+    texts = ["2024-01-31", "2024-01-31T10:20:30.120", "007", "0", "100.50", "+5.0", "x9", "Xy", "T", "가a", "a\tb", "[z]", "🙂", "-q", "", None, " 12 ", "10", "x9"]
+    vc = profile.value_counts(spark.createDataFrame([(t, t if t and t[0] in "0127+" else None) for t in texts], "v string, n string"))
+    got = {r.column_name: r.asDict() for r in profile.summary(vc).collect()}
+    for part in (profile.counts(vc), profile.composition(vc), profile.first_characters(vc), profile.numeric_shape(vc)):
+        for row in part.collect():
+            assert {k: got[row.column_name][k] for k in row.asDict()} == row.asDict()
+
+
+def test_leading_values_are_few_and_hold_the_first(spark):
+    """Of many values of one count the first ten are found without sorting all."""
+    vc = spark.range(20000).select(F.lit("c").alias("column_name"), F.format_string("v%05d", F.col("id")).alias("value"), F.when(F.col("id") % 5000 == 4999, 3).otherwise(1).cast("long").alias("cnt"))
+    left = profile._leading(vc, 10)
+    want = ["v04999", "v09999", "v14999", "v19999", *[f"v{k:05d}" for k in range(6)]]
+    assert left.count() < 200 and {r.value for r in left.collect()} >= set(want)
+    assert [v.value for v in profile.top_values(vc).first().top_values] == want
+
+
 @pytest.mark.parametrize("n", [1, 2, 7, 1000])
 def test_quantiles_equal_percentile(spark, n):
     df = spark.range(n).select(((F.col("id") * 7919) % 101 / 4).alias("a"), F.when(F.col("id") % 3 == 0, -F.col("id") / 8).alias("b"))
