@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from metaspan.operators.profile import rounded
-from metaspan.sources.shared import materialised
+from metaspan.sources.shared import materialised, tasks_for
 
 FILE = ["file_path", "file_name", "column_name", "master_type"]
 #: Semantic types that are never keys of a relation. Spelling counts, so Kor_Flag and KOR_NAME may be keys.
@@ -119,6 +119,9 @@ def distinct_values(tables: dict[tuple[str, str], DataFrame], columns: dict[tupl
     return out
 
 
+#: Values whose holders a task puts together.
+HELD = 1 << 20
+
 #: Columns of pairs up to which their list is broadcast; beyond it the same joins shuffle.
 MOST_LISTED = 500_000
 
@@ -131,9 +134,9 @@ def inclusion(pairs: DataFrame, values: DataFrame, least: float = LEAST_MATCH) -
     """compare_count (values of both), source_count (values of the source) and match_pct of each pair, from `least` on; and in rows
     instead of values: matched_rows, source_rows and orphan_rows, those whose value the master lacks.
 
-    Each value is shuffled once, to the other columns that hold it. Then values are no longer looked at: those that are held by the same set of columns
+    Each value is shuffled once, to the other columns that hold it, to as many tasks as there are HELD of them. Then values are no longer looked at: those that are held by the same set of columns
     count alike for every pair, so they are summed by set and holder, a row for each holder of a value, combined before they move. Pairs meet the sums
-    of sets, of which there are few. ``values`` are as of distinct_values(); without cnt each counts as one row. Values of a pair with a compare length are cut to it first,
+    of sets, of which there are few. ``values`` are as of distinct_values(), read twice, and may repeat; without cnt each counts as one row. Values of a pair with a compare length are cut to it first,
     so a value has a copy for each length that its column needs.
     """
     source = ["file_path", "file_name", "column_name"]
@@ -144,9 +147,11 @@ def inclusion(pairs: DataFrame, values: DataFrame, least: float = LEAST_MATCH) -
     cut = F.when(F.col("compare_length") > 0, F.expr("left(value, compare_length)")).otherwise(F.col("value")).alias("value")
     rows = F.col("cnt") if "cnt" in values.columns else F.lit(1)
     held = values.select(name(source).alias("held"), "value", rows.cast("long").alias("cnt")).join(_listed(kinds), "held").select("compare_length", cut, "held", "cnt")
+    # dealt by value alone, so that what follows finds each value's holders together and moves nothing
+    held = held.repartition(tasks_for(values.sparkSession, values.count(), HELD), "compare_length", "value")
     held = held.groupBy("compare_length", "value", "held").agg(F.sum("cnt").alias("cnt"))
-    sets = held.groupBy("compare_length", "value").agg(F.sort_array(F.collect_list(F.struct("held", "cnt"))).alias("all"))
-    alike = sets.select("compare_length", F.transform("all", lambda x: x["held"]).alias("holders"), F.inline("all"))
+    together = Window.partitionBy("compare_length", "value").orderBy("held").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    alike = held.withColumn("holders", F.collect_list("held").over(together))
     alike = alike.groupBy("compare_length", "holders", F.col("held").alias("s")).agg(F.count("*").alias("n"), F.sum("cnt").alias("rows"))
     both = F.array_contains("holders", F.col("m"))
     counts = alike.join(_listed(short.select("s", "m", "compare_length")), ["s", "compare_length"]).groupBy("s", "m", "compare_length").agg(

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from metaspan.functions import patterns, types
 from metaspan.operators import profile as p
 from metaspan.operators import rules, score, stats
-from metaspan.sources.shared import materialised, stored
+from metaspan.sources.shared import materialised, sized, stored
 
 #: Columns whose text form is the same in both engines.
 SHOWN = {
@@ -33,6 +33,12 @@ def counted(spark: SparkSession, sf_dir: str, shown: dict[str, list[str]] = SHOW
     return reduce(DataFrame.unionByName, [p.value_counts(table(spark, sf_dir, t), cs) for t, cs in shown.items()])
 
 
+def stored_counts(spark: SparkSession, sf_dir: str, shown: dict[str, list[str]] = SHOWN) -> DataFrame:
+    """counted() as a table, made by tasks that do not grow with the tables."""
+    with sized(spark, sum(table(spark, sf_dir, t).count() * len(cs) for t, cs in shown.items())):
+        return stored(counted(spark, sf_dir, shown), "values")
+
+
 def data_types(spark: SparkSession, sf_dir: str, shown: dict[str, list[str]] = SHOWN) -> Column:
     """The data type of the column that column_name names."""
     kinds = {c: t for name, cs in shown.items() for c, t in table(spark, sf_dir, name).dtypes if c in cs}
@@ -85,7 +91,7 @@ vals AS (SELECT column_name, min(value) AS min_string, max(value) AS max_string,
 
 
 def profile_values(spark, sf_dir):
-    return p.value_stats(stored(counted(spark, sf_dir), "values"))
+    return p.value_stats(stored_counts(spark, sf_dir))
 
 
 def profile_values_sql():
@@ -178,7 +184,7 @@ def oracle_type_sql():
 def _profiles(spark, sf_dir) -> DataFrame:
     """Profiles of all shown columns, with their table as the file."""
     owner = F.create_map(*[F.lit(x) for t, cs in SHOWN.items() for c in cs for x in (c, t)])
-    vc = stored(counted(spark, sf_dir), "values")
+    vc = stored_counts(spark, sf_dir)
     out = p.summary(vc)
     for part in (p.lengths(vc), p.value_stats(vc), p.top_values(vc), p.wide_formats(p.formats(vc))):
         out = out.join(part, "column_name", "left")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from metaspan.operators import checks, integrity, lineage, match, rules, score, stats, valuechain
 from metaspan.operators import profile as p
 from metaspan.operators.profile import rounded
-from metaspan.plans.columns import _profiles, data_types, detail_case, table, vc_sql, wide_cte
+from metaspan.plans.columns import _profiles, data_types, detail_case, stored_counts, table, vc_sql, wide_cte
 from metaspan.sources import readers
 from metaspan.sources.shared import materialised, stored
 
@@ -37,13 +37,18 @@ def values_sql(names: str, rows) -> str:
     return f"(SELECT * FROM (VALUES {', '.join('(' + ', '.join(cell(v) for v in r) + ')' for r in rows)}) v({names}))"
 
 
-def _values(spark, sf_dir) -> DataFrame:
-    return match.distinct_values({("tables", t): table(spark, sf_dir, t) for t in KEYS}, {("tables", t): c for t, c in KEYS.items()})
+def _owner():
+    return F.element_at(F.create_map(*[F.lit(x) for t, cs in KEYS.items() for c in cs for x in (c, t)]), F.col("column_name"))
+
+
+def _values(vc: DataFrame) -> DataFrame:
+    """What match.distinct_values() gives of the key columns, from their counted values."""
+    return vc.select(F.lit("tables").alias("file_path"), _owner().alias("file_name"), "column_name", F.trim("value").alias("value"), "cnt").where("value IS NOT NULL AND value <> ''")
 
 
 def inclusion_match(spark, sf_dir):
     pairs = literal(spark, "file_path string, file_name string, column_name string, master_path string, master_file string, master_column string, compare_length int", [("tables", a, b, "tables", c, d, 0) for a, b, c, d in PAIRS])
-    return match.inclusion(pairs, _values(spark, sf_dir), 0.0).select("file_name", "column_name", "master_file", "master_column", "compare_count", "source_count", "match_pct")
+    return match.inclusion(pairs, _values(stored_counts(spark, sf_dir, KEYS)), 0.0).select("file_name", "column_name", "master_file", "master_column", "compare_count", "source_count", "match_pct")
 
 
 def inclusion_match_sql():
@@ -54,29 +59,28 @@ def inclusion_match_sql():
     return f"SELECT *, round((compare_count::DOUBLE / source_count::DOUBLE * 100)::DECIMAL(18, 6), 2)::DOUBLE AS match_pct FROM ({' UNION ALL '.join(rows)})"
 
 
-def _typed(spark, sf_dir) -> DataFrame:
-    """Profiles of the key columns; nation and region are the reference lists."""
-    owner = F.create_map(*[F.lit(x) for t, cs in KEYS.items() for c in cs for x in (c, t)])
+def _typed(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """Profiles of the key columns, and their values; nation and region are the reference lists."""
     from metaspan.functions import types
 
-    vc = stored(reduce(DataFrame.unionByName, [p.value_counts(table(spark, sf_dir, t), cs) for t, cs in KEYS.items()]), "values")
+    vc = stored_counts(spark, sf_dir, KEYS)
     out = p.summary(vc)
     for part in (p.lengths(vc), p.value_stats(vc), p.top_values(vc), p.wide_formats(p.formats(vc))):
         out = out.join(part, "column_name", "left")
-    file = F.element_at(owner, F.col("column_name"))
+    file = _owner()
     out = types.with_types(out.withColumn("data_type", data_types(spark, sf_dir, KEYS))).withColumns({"file_name": file, "file_path": F.lit("tables"), "master_type": F.when(file.isin("nation", "region", "part"), "Reference").otherwise("Master")})
-    return materialised(out, "typed")
+    return materialised(out, "typed"), _values(vc)
 
 
 _SHOW = ["file_name", "column_name", "master_file", "master_column", "compare_count", "source_count", "match_pct"]
 
 
 def reference_mapping(spark, sf_dir):
-    return match.reference_mapping(_typed(spark, sf_dir), _values(spark, sf_dir)).select(*_SHOW)
+    return match.reference_mapping(*_typed(spark, sf_dir)).select(*_SHOW)
 
 
 def internal_mapping(spark, sf_dir):
-    return match.internal_mapping(_typed(spark, sf_dir), _values(spark, sf_dir)).select(*_SHOW)
+    return match.internal_mapping(*_typed(spark, sf_dir)).select(*_SHOW)
 
 
 def mapping_cte() -> str:
@@ -106,7 +110,7 @@ def internal_mapping_sql():
 
 
 def mapping_top3_pivot(spark, sf_dir):
-    out = match.pivot_mapping(match.internal_mapping(_typed(spark, sf_dir), _values(spark, sf_dir)))
+    out = match.pivot_mapping(match.internal_mapping(*_typed(spark, sf_dir)))
     return out.select("file_name", "column_name", *[f"{n}_{r}" for r in (1, 2, 3) for n in ("code_file", "code_column", "matched_pct")])
 
 
@@ -118,7 +122,7 @@ SELECT file_name, column_name, {cells} FROM r GROUP BY file_name, column_name"""
 
 def final_mapping(spark, sf_dir):
     """The pivot and the best reference match assembled per column, with foreign-key flags."""
-    typed, values = _typed(spark, sf_dir), _values(spark, sf_dir)
+    typed, values = _typed(spark, sf_dir)
     out = match.final_mapping(typed, match.pivot_mapping(match.internal_mapping(typed, values)), match.reference_mapping(typed, values))
     return out.select("file_name", "column_name", "code_file_1", "code_column_1", "code_file_4", "code_column_4", "attribute", "pk", "fk")
 
@@ -138,7 +142,7 @@ KEY_RULES = [("identity", "UniqueCnt == ValueCnt", None), ("small code", "LenMax
 
 def final_mapping_rules(spark, sf_dir):
     """The final mapping with the rules that the columns match: the first of them is the attribute."""
-    typed, values = _typed(spark, sf_dir), _values(spark, sf_dir)
+    typed, values = _typed(spark, sf_dir)
     named = rules.apply_rules(typed, KEY_RULES)
     out = match.final_mapping(typed, match.pivot_mapping(match.internal_mapping(typed, values)), match.reference_mapping(typed, values), named)
     return out.select("file_name", "column_name", "rule", "code_column_4", "attribute", "fk")
@@ -158,7 +162,7 @@ CHECKED = [("customer", "c_nationkey", "LATITUDE", "abs({0}) <= 90"), ("supplier
 
 def all_mappings(spark, sf_dir):
     """Internal, reference and rule mappings in one table, told apart by their kind."""
-    typed, values = _typed(spark, sf_dir), _values(spark, sf_dir)
+    typed, values = _typed(spark, sf_dir)
     rates = reduce(DataFrame.unionByName, [rules.validator_rates(table(spark, sf_dir, t), {c: v}) for t, c, v, _ in CHECKED])
     out = match.concat_mappings(internal=match.internal_mapping(typed, values), reference=match.reference_mapping(typed, values), rule=match.rule_mapping(typed, rates))
     return out.select("mapping_kind", *_SHOW)

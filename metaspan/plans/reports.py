@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from metaspan.functions import types
 from metaspan.operators import display, lineage, match, score, stats, valuechain
 from metaspan.plans.columns import SHAPE_SQL, SHOWN, _oracle_case, _profiles, detail_case, table, vc_sql, wide_cte
-from metaspan.plans.relations import CHAINS_SQL, EDGES_SQL, GRAPH_SQL, STEPS_SQL, _edges, _graph, _typed, _values, graph_sql, literal, mapping_cte, physical_edges
+from metaspan.plans.relations import CHAINS_SQL, EDGES_SQL, GRAPH_SQL, STEPS_SQL, _edges, _graph, _typed, graph_sql, literal, mapping_cte, physical_edges
 from metaspan.streaming.profile import windowed_values
 
 STATS = [("customer", "Master"), ("orders", "Master"), ("nation", "Reference"), ("region", "Reference")]
@@ -68,7 +68,7 @@ def numeric_candidates_sql():
 
 def erd_mapping(spark, sf_dir):
     """Columns with their chains of inclusions as levels, or their code slots."""
-    typed, values = _typed(spark, sf_dir), _values(spark, sf_dir)
+    typed, values = _typed(spark, sf_dir)
     final = match.final_mapping(typed, match.pivot_mapping(match.internal_mapping(typed, values)), match.reference_mapping(typed, values))
     return lineage.erd_mapping(final).select("file_name", "column_name", "level_1", "level_2", "relationship", "depth")
 

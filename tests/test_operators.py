@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 from metaspan.functions import patterns
 from metaspan.operators import checks, display, lineage, match, profile, rules, score, stats, valuechain
-from metaspan.sources import readers, writers
+from metaspan.sources import readers, shared, writers
 from metaspan.streaming.profile import windowed_profile
 
 
@@ -532,3 +532,28 @@ def test_quartiles_hold_no_column_in_one_task(spark):
     counted = spark.range(1000).select(F.lit("a").alias("column_name"), F.col("id").cast("double").alias("value"), F.lit(1).cast("long").alias("n"))
     plan = stats.quantiles(counted, stats.QUARTILES)._jdf.queryExecution().optimizedPlan().toString()
     assert "percentile" not in plan and "percentile" not in stats.describe(counted, ["value"])._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_more_cells_are_dealt_to_more_tasks(spark):
+    names = ["spark.sql.shuffle.partitions", "spark.sql.adaptive.advisoryPartitionSizeInBytes", "spark.sql.files.maxPartitionBytes"]
+    before = [spark.conf.get(n, None) for n in names]
+    with shared.sized(spark, 10 * shared.CELLS - 1):
+        assert spark.conf.get(names[0]) == "10"
+    with pytest.raises(ValueError), shared.sized(spark, 1):
+        assert spark.conf.get(names[0]) == before[0]
+        raise ValueError
+    assert [spark.conf.get(n, None) for n in names] == before
+
+
+def test_inclusion_deals_values_by_their_number(spark, monkeypatch, capsys):
+    monkeypatch.setattr(match, "HELD", 10, raising=False)
+    rows = [("d", f, c, str(v), 1) for f, c, n in (("a", "x", 60), ("b", "y", 40)) for v in range(n)]
+    values = spark.createDataFrame(rows, "file_path string, file_name string, column_name string, value string, cnt long")
+    pairs = spark.createDataFrame([("d", "a", "x", "d", "b", "y", 0)], "file_path string, file_name string, column_name string, master_path string, master_file string, master_column string, compare_length int")
+    # values may repeat: their rows are added
+    found = match.inclusion(pairs, values.union(values), 0.0)
+    found.explain()
+    plan = capsys.readouterr().out
+    assert "20), REPARTITION_BY_NUM" in plan and "hashpartitioning(compare_length" in plan
+    got = found.first()
+    assert (got.compare_count, got.source_count, got.matched_rows, got.source_rows, got.orphan_rows, got.match_pct) == (40, 60, 80, 120, 40, 66.67)
