@@ -7,11 +7,14 @@ value is combined before the shuffle, so it is no hot spot; no column is collect
 
 from __future__ import annotations
 
+import re
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from metaspan.functions import patterns
-from metaspan.sources.shared import materialised, stored
+from metaspan.sources.shared import materialised, stored, tasks_for
 
 COLUMN = "column_name"
 
@@ -32,6 +35,27 @@ def value_counts(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     return long_form(df, columns).groupBy(COLUMN, "value").agg(F.count("*").alias("cnt"))
 
 
+#: Types of which different values have different texts, so that values may be counted before they become texts.
+TEXT_TELLS = r"tinyint|smallint|int|bigint|decimal\(.*|date|timestamp_ntz|boolean|string"
+
+
+def value_counts_apart(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """value_counts() with an aggregation for each column, of the values themselves where their type allows: cheaper a cell, but ``df`` is read once for each column. For sources that read a column by itself."""
+    kinds = dict(df.dtypes)
+
+    def part(c: str) -> DataFrame:
+        text = F.col("value").cast("string").alias("value")
+        plain = re.fullmatch(TEXT_TELLS, kinds[c])
+        # the same time may have one text for two moments, so those are counted once more; of fractions, 0.0 and -0.0 are equal with different texts
+        value = F.col(f"`{c}`") if plain or kinds[c] == "timestamp" else F.col(f"`{c}`").cast("string")
+        out = df.groupBy(value.alias("value")).agg(F.count("*").alias("cnt"))
+        if kinds[c] == "timestamp":
+            out = out.groupBy(text).agg(F.sum("cnt").alias("cnt"))
+        return out.select(F.lit(c).alias(COLUMN), text, "cnt")
+
+    return reduce(DataFrame.unionByName, [part(c) for c in columns or df.columns])
+
+
 def _present(counts: DataFrame) -> DataFrame:
     return counts.where("value IS NOT NULL")
 
@@ -127,14 +151,56 @@ def weighted_medians(vc: DataFrame, keys: list[str], ordered: int = ORDERED) ->
     return near.withColumn("upto", upto).where(F.col("upto") > F.col("middle")).groupBy(*keys).agg(F.min("value").alias("median"))
 
 
-def value_stats(vc: DataFrame) -> DataFrame:
-    """Least, greatest, median and most frequent value (ties: least) with its count. ``vc`` is read several times, so it is a table or cheap to read."""
-    present = _present(vc)
+#: Values of a range of dealt().
+DEALT = 1 << 18
+
+
+def dealt(vc: DataFrame) -> DataFrame:
+    """The values that are there, with their format and the number of a range of their order in their column: column_name, value, cnt, format, range.
+
+    A range has some DEALT values, however many a column has. Of two values of a column the one in the lower range is the less, so what is asked of an
+    order is found by sums of ranges and by ordering one range; that serves the order of a column and, as they are parts of it, the orders of its formats.
+    """
+    if "range" in vc.columns:
+        return vc
+    ranges = vc.repartitionByRange(tasks_for(vc.sparkSession, vc.count(), DEALT), COLUMN, "value").withColumn("range", F.spark_partition_id())
+    # the pattern is five regexes long: made once per distinct value, after the ranges were sought
+    return stored(_present(ranges).withColumn("format", patterns.format_pattern(F.col("value"))), "dealt")
+
+
+def _ends() -> list[Column]:
     mode = F.min_by("value", F.struct(-F.col("cnt"), "value"))
-    ends = present.groupBy(COLUMN).agg(
-        hashed(F.min("value")).alias("min_string"), hashed(F.max("value")).alias("max_string"), hashed(mode).alias("mode_string"), F.max("cnt").alias("mode_cnt")
+    return [F.sum("cnt").alias("n"), hashed(F.min("value")).alias("low"), hashed(F.max("value")).alias("high"), hashed(mode).alias("mode"), F.max("cnt").alias("mode_cnt")]
+
+
+def _ends_of_ranges() -> list[Column]:
+    """_ends() of a whole from those of its ranges."""
+    mode = F.min_by("mode", F.struct(-F.col("mode_cnt"), "mode"))
+    return [F.sum("n").alias("n"), hashed(F.min("low")).alias("low"), hashed(F.max("high")).alias("high"), hashed(mode).alias("mode"), F.max("mode_cnt").alias("mode_cnt")]
+
+
+def _medians(found: DataFrame, sums: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, median: the value at position floor(n / 2) of the sorted values, with repeats. ``found`` as of dealt(), ``sums`` its numbers of values (n) by keys and range."""
+    before = F.coalesce(F.sum("n").over(Window.partitionBy(*keys).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    places = sums.withColumns({"before": before, "middle": F.floor(F.sum("n").over(Window.partitionBy(*keys)) / 2)})
+    held = materialised(places.where("before <= middle AND middle < before + n").select(*keys, "range", "before", "middle"), "medians")
+    near = found.join(F.broadcast(held), [*keys, "range"])  # a row for each key
+    upto = F.col("before") + F.sum("cnt").over(Window.partitionBy(*keys).orderBy("value"))
+    return near.withColumn("upto", upto).where(F.col("upto") > F.col("middle")).groupBy(*keys).agg(hashed(F.min("value")).alias("median"))
+
+
+def _value_stats(found: DataFrame, ranges: DataFrame) -> DataFrame:
+    ends = ranges.groupBy(COLUMN).agg(*_ends_of_ranges())
+    medians = _medians(found, ranges.groupBy(COLUMN, "range").agg(F.sum("n").alias("n")), [COLUMN])
+    return ends.join(F.broadcast(medians), COLUMN).select(
+        COLUMN, F.col("low").alias("min_string"), F.col("high").alias("max_string"), F.col("mode").alias("mode_string"), "mode_cnt", F.col("median").alias("median_string")
     )
-    return ends.join(weighted_medians(present, [COLUMN]).withColumnRenamed("median", "median_string"), COLUMN)
+
+
+def value_stats(vc: DataFrame) -> DataFrame:
+    """Least, greatest, median and most frequent value (ties: least) with its count. ``vc`` is as of value_counts() or dealt()."""
+    found = dealt(vc)
+    return _value_stats(found, materialised(found.groupBy(COLUMN, "range").agg(*_ends()), "ranges"))
 
 
 def ranked(counted: DataFrame, keys: list[str], k: int, by: str = "value") -> DataFrame:
@@ -159,37 +225,51 @@ def _leading(counted: DataFrame, k: int) -> DataFrame:
     return counted.join(F.broadcast(bound), COLUMN).where(F.col("bound").isNull() | (place <= F.col("bound"))).drop("bound")
 
 
+def _most(found: DataFrame, k: int) -> DataFrame:
+    """The values of dealt() that may be among the k most frequent of their column (ties by value), as their count and their range tell: of each column those of k counts and ranges at most."""
+    cells = found.groupBy(COLUMN, "cnt", "range").agg(F.count("*").alias("held"))
+    before = F.coalesce(F.sum("held").over(Window.partitionBy(COLUMN).orderBy(F.desc("cnt"), "range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return found.join(F.broadcast(cells.withColumn("before", before).where(F.col("before") < k).select(COLUMN, "cnt", "range")), [COLUMN, "cnt", "range"])
+
+
 def top_values(vc: DataFrame, k: int = 10) -> DataFrame:
-    """column_name, top_values (array of value and count, most frequent first), top_pct."""
-    total = vc.groupBy(COLUMN).agg(F.sum(F.when(F.col("value").isNotNull(), F.col("cnt"))).alias("n"))
-    top = ranked(_leading(_present(vc), k), [COLUMN], k).groupBy(COLUMN).agg(F.sort_array(F.collect_list(F.struct("rank", "value", "cnt"))).alias("ranked"), F.sum("cnt").alias("top_cnt"))
+    """column_name, top_values (array of value and count, most frequent first), top_pct. ``vc`` is as of value_counts() or dealt()."""
+    found = dealt(vc)
+    total = found.groupBy(COLUMN).agg(F.sum("cnt").alias("n"))
+    top = ranked(_leading(stored(_most(found, k).select(COLUMN, "value", "cnt"), "most"), k), [COLUMN], k).groupBy(COLUMN).agg(F.sort_array(F.collect_list(F.struct("rank", "value", "cnt"))).alias("ranked"), F.sum("cnt").alias("top_cnt"))
     return top.join(total, COLUMN).select(
         COLUMN, F.transform("ranked", lambda r: F.struct(r.value.alias("value"), r.cnt.alias("cnt"))).alias("top_values"), rounded(F.col("top_cnt") / F.col("n") * 100).alias("top_pct")
     )
 
 
-def formats(vc: DataFrame, k: int = 3) -> DataFrame:
-    """Per column and rank: pattern, number of patterns, values with it, share, least, greatest, most frequent and median value."""
-    # the pattern is five regexes long: made once per distinct value, not once per use
-    shown = stored(_present(vc).withColumn("format", patterns.format_pattern(F.col("value"))), "formats")
-    by = shown.groupBy(COLUMN, "format").agg(F.sum("cnt").alias("cnt"))
+def _top_formats(found: DataFrame, k: int) -> DataFrame:
+    """column_name, rank, format, cnt, value_cnt, format_cnt as a table."""
+    by = found.groupBy(COLUMN, "format").agg(F.sum("cnt").alias("cnt"))
     total = by.groupBy(COLUMN).agg(F.sum("cnt").alias("value_cnt"), F.count("*").alias("format_cnt"))
-    top = materialised(ranked(by, [COLUMN], k, "format"), "formats-kept")
-    few = shown.join(F.broadcast(top.select(COLUMN, "format")), [COLUMN, "format"])
-    mode = F.min_by("value", F.struct(-F.col("cnt"), "value"))
-    modes = few.groupBy(COLUMN, "format").agg(hashed(F.min("value")).alias("format_min"), hashed(F.max("value")).alias("format_max"), hashed(mode).alias("format_mode"))
-    medians = weighted_medians(few, [COLUMN, "format"]).withColumnRenamed("median", "format_median")
+    return materialised(ranked(by, [COLUMN], k, "format").join(F.broadcast(total), COLUMN), "formats-kept")
+
+
+def _formats(found: DataFrame, top: DataFrame, ranges: DataFrame) -> DataFrame:
+    keys = [COLUMN, "format"]
+    ends, few = ranges.groupBy(*keys).agg(*_ends_of_ranges()), found.join(F.broadcast(top.select(*keys)), keys)
     return (
-        top.join(modes, [COLUMN, "format"])
-        .join(medians, [COLUMN, "format"])
-        .join(total, COLUMN)
+        top.join(F.broadcast(ends), keys)
+        .join(F.broadcast(_medians(few, ranges, keys)), keys)
         .select(
             COLUMN, "rank", "format", "format_cnt", F.col("cnt").alias("format_value"), rounded(F.col("cnt") / F.col("value_cnt") * 100).alias("format_pct"),
-            "format_min", "format_max", "format_mode", "format_median",
+            F.col("low").alias("format_min"), F.col("high").alias("format_max"), F.col("mode").alias("format_mode"), F.col("median").alias("format_median"),
         )
     )
 
 
+def formats(vc: DataFrame, k: int = 3) -> DataFrame:
+    """Per column and rank: pattern, number of patterns, values with it, share, least, greatest, most frequent and median value. ``vc`` is as of value_counts() or dealt()."""
+    found = dealt(vc)
+    top = _top_formats(found, k)
+    few = found.join(F.broadcast(top.select(COLUMN, "format")), [COLUMN, "format"])
+    return _formats(found, top, materialised(few.groupBy(COLUMN, "format", "range").agg(*_ends()), "ranges"))
+
+
 def edges(vc: DataFrame, k: int = 3) -> DataFrame:
     """The k most frequent beginnings and ends of one to three characters: column_name, side, n, rank, value, cnt."""
     parts = [F.struct(F.lit(side).alias("side"), F.lit(n).alias("n"), patterns.edge(F.col("value"), side, n).alias("part")) for side in ("first", "last") for n in (1, 2, 3)]
@@ -238,6 +318,21 @@ def wide_formats(found: DataFrame, k: int = 3) -> DataFrame:
     return found.groupBy(COLUMN).agg(F.first("format_cnt").alias("format_cnt"), *cells)
 
 
+def assembled(vc: DataFrame, k: int = 3) -> DataFrame:
+    """summary(), lengths(), value_stats(), top_values() and formats() side by side, a row per column. ``vc`` is read several times, so it is a table."""
+    found = dealt(vc)
+    top = _top_formats(found, k)
+    # one pass for the ends of columns and of their first formats; the other formats, which may be as many as the values, count as none
+    kept = top.select(COLUMN, "format", F.col("format").alias("kept"))
+    ranges = materialised(found.join(F.broadcast(kept), [COLUMN, "format"], "left").groupBy(COLUMN, F.col("kept").alias("format"), "range").agg(*_ends()), "ranges")
+    parts = {"lengths": lengths(vc), "ends": _value_stats(found, ranges), "top": top_values(found), "formats": wide_formats(_formats(found, top, ranges.where("format IS NOT NULL")))}
+    out = summary(vc)
+    for name, part in parts.items():
+        # tables of a row per column: put together in one task without sorts, each of which would hold pages of its own
+        out = out.join(F.broadcast(materialised(part, name)), COLUMN, "left")
+    return out
+
+
 def profile(df: DataFrame, columns: list[str] | None = None, file_name: str | None = None, master_type: str | None = None) -> DataFrame:
     """The whole profile: one row per column. All-null columns keep their counts, the rest is null."""
     from metaspan.functions.types import with_types
@@ -245,9 +340,7 @@ def profile(df: DataFrame, columns: list[str] | None = None, file_name: str | No
 
     types = {c: t for c, t in df.dtypes}
     vc = stored(value_counts(df, columns), "values")
-    out = summary(vc)
-    for part in (lengths(vc), value_stats(vc), top_values(vc), wide_formats(formats(vc)), edge_lists(vc)):
-        out = out.join(part, COLUMN, "left")
+    out = assembled(vc).join(edge_lists(vc), COLUMN, "left")
     kinds = F.create_map(*[F.lit(x) for c in columns or df.columns for x in (c, types[c])])
     out = out.withColumn("data_type", F.element_at(kinds, F.col(COLUMN)))
     out = with_scores(with_types(out))

@@ -30,12 +30,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def counted(spark: SparkSession, sf_dir: str, shown: dict[str, list[str]] = SHOWN) -> DataFrame:
     """Value counts of the columns of several tables; each table is read for its own columns only."""
-    return reduce(DataFrame.unionByName, [p.value_counts(table(spark, sf_dir, t), cs) for t, cs in shown.items()])
+    return reduce(DataFrame.unionByName, [p.value_counts_apart(table(spark, sf_dir, t), cs) for t, cs in shown.items()])
 
 
 def stored_counts(spark: SparkSession, sf_dir: str, shown: dict[str, list[str]] = SHOWN) -> DataFrame:
     """counted() as a table, made by tasks that do not grow with the tables."""
-    with sized(spark, sum(table(spark, sf_dir, t).count() * len(cs) for t, cs in shown.items())):
+    with sized(spark, max(table(spark, sf_dir, t).count() for t in shown)):  # each column is counted by itself
         return stored(counted(spark, sf_dir, shown), "values")
 
 
@@ -185,9 +185,7 @@ def _profiles(spark, sf_dir) -> DataFrame:
     """Profiles of all shown columns, with their table as the file."""
     owner = F.create_map(*[F.lit(x) for t, cs in SHOWN.items() for c in cs for x in (c, t)])
     vc = stored_counts(spark, sf_dir)
-    out = p.summary(vc)
-    for part in (p.lengths(vc), p.value_stats(vc), p.top_values(vc), p.wide_formats(p.formats(vc))):
-        out = out.join(part, "column_name", "left")
+    out = p.assembled(vc)
     out = score.with_scores(types.with_types(out.withColumn("data_type", data_types(spark, sf_dir)))).withColumns({"file_name": F.element_at(owner, F.col("column_name")), "file_path": F.lit("tables"), "master_type": F.lit("Master")})
     return materialised(out, "profiles")
 

@@ -64,9 +64,7 @@ def _typed(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     from metaspan.functions import types
 
     vc = stored_counts(spark, sf_dir, KEYS)
-    out = p.summary(vc)
-    for part in (p.lengths(vc), p.value_stats(vc), p.top_values(vc), p.wide_formats(p.formats(vc))):
-        out = out.join(part, "column_name", "left")
+    out = p.assembled(vc)
     file = _owner()
     out = types.with_types(out.withColumn("data_type", data_types(spark, sf_dir, KEYS))).withColumns({"file_name": file, "file_path": F.lit("tables"), "master_type": F.when(file.isin("nation", "region", "part"), "Reference").otherwise("Master")})
     return materialised(out, "typed"), _values(vc)

@@ -557,3 +557,45 @@ def test_inclusion_deals_values_by_their_number(spark, monkeypatch, capsys):
     assert "20), REPARTITION_BY_NUM" in plan and "hashpartitioning(compare_length" in plan
     got = found.first()
     assert (got.compare_count, got.source_count, got.matched_rows, got.source_rows, got.orphan_rows, got.match_pct) == (40, 60, 80, 120, 40, 66.67)
+
+
+def test_values_counted_apart_are_the_same(spark):
+    """Values that are counted before they become texts: equal texts are one row, different texts of equal numbers are two."""
+    df = spark.sql("SELECT * FROM VALUES (1, 0.0D, TIMESTAMP '2024-01-01 00:00:00', 'a', true), (1, -0.0D, TIMESTAMP '2024-01-01 00:00:00', 'a', NULL), (NULL, 2.5D, NULL, '', false), (3, NULL, TIMESTAMP '2024-01-02 10:00:00.5', NULL, true) AS t(n, d, t, s, b)")
+    rows = lambda found: sorted(map(tuple, found.collect()), key=repr)
+    assert rows(profile.value_counts_apart(df)) == rows(profile.value_counts(df))
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "Europe/Berlin")  # one hour has the same texts twice
+    try:
+        twice = spark.sql("SELECT timestamp_seconds(s) AS t FROM VALUES (1729987200), (1729990800) AS v(s)")
+        assert rows(profile.value_counts_apart(twice)) == rows(profile.value_counts(twice)) and profile.value_counts_apart(twice).count() == 1
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+
+
+def test_profile_of_many_ranges_equals_sorting(spark, monkeypatch, capsys):
+    """Medians, ends and most frequent values of columns and formats, found by ranges; the rows per column are joined without sorts."""
+    import random
+
+    monkeypatch.setattr(profile, "DEALT", 25)
+    rnd = random.Random(3)
+    made = {"numbers": [str(rnd.randint(0, 3000)) for _ in range(900)], "texts": [rnd.choice(["ab", "Ab", "é🙂", "x-1", ""]) + str(rnd.randint(0, 99)) for _ in range(500)], "one": ["v"] * 9, "none": [None] * 3}
+    rows = [(c, v) for c, vs in made.items() for v in vs]
+    vc = spark.createDataFrame(rows, "column_name string, value string").groupBy("column_name", "value").agg(F.count("*").alias("cnt")).localCheckpoint()
+    found = profile.dealt(vc)
+    assert found.select("range").distinct().count() > 10
+    out = profile.assembled(vc)
+    got = {r.column_name: r for r in out.collect()}
+    assert got["none"].null_cnt == 3 and got["none"].median_string is None and got["none"].top_values is None
+    for c in ("numbers", "texts", "one"):
+        values, count = sorted(made[c], key=str.encode), {v: made[c].count(v) for v in made[c]}
+        first = sorted(count, key=lambda v: (-count[v], v.encode()))[:10]
+        r = got[c]
+        assert (r.min_string, r.max_string, r.median_string, r.mode_string, r.mode_cnt) == (values[0], values[-1], values[len(values) // 2], first[0], count[first[0]])
+        assert [(v.value, v.cnt) for v in r.top_values] == [(v, count[v]) for v in first]
+        form = {r.value: r.format for r in found.where(F.col("column_name") == c).collect()}
+        held = [v for v in values if form[v] == r.format]
+        assert (r.format_min, r.format_max, r.format_median, r.format_value) == (held[0], held[-1], held[len(held) // 2], len(held))
+    capsys.readouterr()
+    out.explain()
+    assert "SortMergeJoin" not in capsys.readouterr().out
