@@ -13,7 +13,7 @@ from metaspan.operators import profile as p
 from metaspan.operators.profile import rounded
 from metaspan.plans.columns import _profiles, data_types, detail_case, stored_counts, table, vc_sql, wide_cte
 from metaspan.sources import readers
-from metaspan.sources.shared import materialised, stored
+from metaspan.sources.shared import materialised, sized, stored
 
 #: Key columns that refer to each other: table -> columns.
 KEYS = {
@@ -189,20 +189,19 @@ def _shared_name(column: str) -> str:
 
 def _graph(spark, sf_dir) -> DataFrame:
     """file, column, pk, type of the tables' columns: keys and lengths from their profiles, the rest from their schemas."""
-    out = None
+    parts, tables = [], {name: table(spark, sf_dir, name) for name in GRAPH}
     for name, columns in GRAPH.items():
-        df = table(spark, sf_dir, name)
+        df = tables[name]
         kinds = {c: "NUMBER" if t in ("int", "bigint", "double") else t.upper().removesuffix("_NTZ") for c, t in df.dtypes}
-        vc = p.value_counts(df, columns)
-        kind = F.element_at(F.create_map(*[F.lit(x) for c in columns for x in (c, kinds[c])]), F.col("column_name"))
-        shared = F.element_at(F.create_map(*[F.lit(x) for c in columns for x in (c, _shared_name(c))]), F.col("column_name"))
-        sizes = vc.groupBy("column_name").agg(F.count("value").alias("unique_cnt"), F.sum("cnt").alias("record_cnt"), F.max(F.length("value")).alias("len_max"))
-        part = sizes.select(
-            F.lit(name).alias("file"), shared.alias("column"), (F.col("unique_cnt") == F.col("record_cnt")).cast("int").alias("pk"),
-            F.when(kind == "STRING", F.concat(F.lit("VARCHAR2("), "len_max", F.lit(")"))).otherwise(kind).alias("type"),
-        )
-        out = part if out is None else out.unionByName(part)
-    return materialised(out, "graph")
+        for c in columns:
+            # values as they are, not their texts: only the lengths of texts are asked for
+            vc = df.groupBy(F.col(c).alias("value")).agg(F.count("*").alias("cnt"))
+            kind = F.concat(F.lit("VARCHAR2("), F.max(F.length("value")), F.lit(")")) if kinds[c] == "STRING" else F.lit(kinds[c])
+            parts.append(vc.agg(F.count("value").alias("unique_cnt"), F.sum("cnt").alias("record_cnt"), kind.alias("type")).select(
+                F.lit(name).alias("file"), F.lit(_shared_name(c)).alias("column"), (F.col("unique_cnt") == F.col("record_cnt")).cast("int").alias("pk"), "type",
+            ))
+    with sized(spark, max(df.count() for df in tables.values())):
+        return materialised(reduce(DataFrame.unionByName, parts), "graph")
 
 
 def graph_sql() -> str:

@@ -599,3 +599,12 @@ def test_profile_of_many_ranges_equals_sorting(spark, monkeypatch, capsys):
     capsys.readouterr()
     out.explain()
     assert "SortMergeJoin" not in capsys.readouterr().out
+
+
+def test_graph_counts_values_not_texts(spark, tmp_path, monkeypatch):
+    """0.0 and -0.0 are one value, as in SQL, though their texts differ: such a column is no key."""
+    from metaspan.plans import relations
+
+    monkeypatch.setattr(relations, "GRAPH", {"t": ["t_d", "t_s"]})
+    spark.sql("SELECT * FROM VALUES (0.0D, 'abc'), (-0.0D, 'b') AS t(t_d, t_s)").write.parquet(str(tmp_path / "t.parquet"))
+    assert sorted(map(tuple, relations._graph(spark, str(tmp_path)).collect())) == [("t", "d", 0, "NUMBER"), ("t", "s", 1, "VARCHAR2(3)")]
