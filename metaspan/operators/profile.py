@@ -335,17 +335,22 @@ def assembled(vc: DataFrame, k: int = 3) -> DataFrame:
 
 def profile(df: DataFrame, columns: list[str] | None = None, file_name: str | None = None, master_type: str | None = None) -> DataFrame:
     """The whole profile: one row per column. All-null columns keep their counts, the rest is null."""
+    types = {c: t for c, t in df.dtypes}
+    vc = stored(value_counts(df, columns), "values")
+    return profile_counted(vc, {c: types[c] for c in columns or df.columns}, None if file_name is None else F.lit(file_name), master_type)
+
+
+def profile_counted(vc: DataFrame, types: dict[str, str], file_name: Column | None = None, master_type: str | None = None) -> DataFrame:
+    """profile() of values that are counted, of one table or several at once: ``vc`` as of value_counts(), a table, and the data type of each column; ``file_name`` may depend on column_name."""
     from metaspan.functions.types import with_types
     from metaspan.operators.score import with_scores
 
-    types = {c: t for c, t in df.dtypes}
-    vc = stored(value_counts(df, columns), "values")
     out = assembled(vc).join(edge_lists(vc), COLUMN, "left")
-    kinds = F.create_map(*[F.lit(x) for c in columns or df.columns for x in (c, types[c])])
+    kinds = F.create_map(*[F.lit(x) for pair in types.items() for x in pair])
     out = out.withColumn("data_type", F.element_at(kinds, F.col(COLUMN)))
     out = with_scores(with_types(out))
     if file_name is not None:
-        out = out.withColumns({"file_name": F.lit(file_name), "master_type": F.lit(master_type)})
+        out = out.withColumns({"file_name": file_name, "master_type": F.lit(master_type)})
     # a row per column: small, and used many times by what follows
     return materialised(out, "profile")
 

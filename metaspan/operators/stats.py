@@ -72,7 +72,29 @@ def control_limits(df: DataFrame, columns: list[str], k: float = 3.0) -> DataFra
     The counted values join a row per column, which is as small as the column list.
     """
     counted = _counted(df, columns)
-    stats = materialised(_described(df, columns, counted).withColumns({"lcl": F.col("mean") - k * F.col("std"), "ucl": F.col("mean") + k * F.col("std")}), "limits")
+    return _limits(counted, _described(df, columns, counted), k)
+
+
+def numbers_counted(vc: DataFrame, types: dict[str, str]) -> DataFrame:
+    """column_name, value, n as a table, of columns whose values are counted: ``vc`` as of profile.value_counts(), and the data type of each column that is wanted."""
+    number = lambda t: to_number(F.col("value")) if t == "string" else F.col("value").try_cast(t).cast("double")
+    value = F.coalesce(*[F.when(F.col(COLUMN) == c, number(t)) for c, t in types.items()])
+    found = vc.where(F.col(COLUMN).isin(list(types))).select(COLUMN, value.alias("value"), "cnt").where("value IS NOT NULL AND NOT isnan(value)")
+    return stored(found.groupBy(COLUMN, "value").agg(F.sum("cnt").alias("n")), "numbers")  # some texts are the same number
+
+
+def control_limits_counted(vc: DataFrame, types: dict[str, str], k: float = 3.0) -> DataFrame:
+    """control_limits() of columns whose values are counted, of one table or several at once; see numbers_counted()."""
+    counted = numbers_counted(vc, types)
+    ends = counted.groupBy(COLUMN).agg(F.sum("n").alias("count"), (F.sum(F.col("value") * F.col("n")) / F.sum("n")).alias("mean"), F.min("value").alias("min"), F.max("value").alias("max"))
+    ends = materialised(ends, "ends")
+    squares = counted.join(F.broadcast(ends.select(COLUMN, "mean")), COLUMN).groupBy(COLUMN).agg(F.sum(F.col("n") * (F.col("value") - F.col("mean")) * (F.col("value") - F.col("mean"))).alias("squares"))
+    out = ends.join(squares, COLUMN).withColumn("std", F.when(F.col("count") > 1, F.sqrt(F.col("squares") / (F.col("count") - 1))))
+    return _limits(counted, out.join(quantiles(counted, QUARTILES), COLUMN).select(COLUMN, "count", "mean", "std", "min", *QUARTILES, "max"), k)
+
+
+def _limits(counted: DataFrame, described: DataFrame, k: float) -> DataFrame:
+    stats = materialised(described.withColumns({"lcl": F.col("mean") - k * F.col("std"), "ucl": F.col("mean") + k * F.col("std")}), "limits")
     outside = counted.join(F.broadcast(stats.select(COLUMN, "lcl", "ucl")), COLUMN).groupBy(COLUMN).agg(
         F.coalesce(F.sum(F.when(F.col("value") < F.col("lcl"), F.col("n"))), F.lit(0)).alias("below_lcl"), F.coalesce(F.sum(F.when(F.col("value") > F.col("ucl"), F.col("n"))), F.lit(0)).alias("above_ucl")
     )

@@ -41,9 +41,9 @@ def _owner():
     return F.element_at(F.create_map(*[F.lit(x) for t, cs in KEYS.items() for c in cs for x in (c, t)]), F.col("column_name"))
 
 
-def _values(vc: DataFrame) -> DataFrame:
-    """What match.distinct_values() gives of the key columns, from their counted values."""
-    return vc.select(F.lit("tables").alias("file_path"), _owner().alias("file_name"), "column_name", F.trim("value").alias("value"), "cnt").where("value IS NOT NULL AND value <> ''")
+def _values(vc: DataFrame, file=None) -> DataFrame:
+    """What match.distinct_values() gives of columns (their table as ``file`` tells, else key columns), from their counted values."""
+    return vc.select(F.lit("tables").alias("file_path"), (_owner() if file is None else file).alias("file_name"), "column_name", F.trim("value").alias("value"), "cnt").where("value IS NOT NULL AND value <> ''")
 
 
 def inclusion_match(spark, sf_dir):
@@ -388,15 +388,17 @@ def _planted(spark, sf_dir) -> DataFrame:
 
 def integrity_kpis(spark, sf_dir):
     """Key figures of issues in a profile with counters: orphans of a reference, dates that are none, values outside control limits."""
-    orders, customer = _planted(spark, sf_dir), table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal")
-    a = p.profile(orders, ["o_ref", "o_day", "o_totalprice"], file_name="orders", master_type="Master")
-    b = p.profile(customer, file_name="customer", master_type="Master")
-    both = a.unionByName(b).withColumn("file_path", F.lit("tables"))
-    values = match.distinct_values({("tables", "orders"): orders, ("tables", "customer"): customer}, {("tables", "orders"): ["o_ref"], ("tables", "customer"): ["c_custkey"]})
+    orders, customer = _planted(spark, sf_dir).drop("o_orderkey"), table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal")
+    file, kinds = F.when(F.col("column_name").isin(orders.columns), "orders").otherwise("customer"), dict(orders.dtypes + customer.dtypes)
+    # counted once; the profile of both tables and all counters are made from the counts
+    with sized(spark, max(orders.count(), customer.count())):
+        vc = stored(p.value_counts_apart(orders).unionByName(p.value_counts_apart(customer)), "values")
+    both = p.profile_counted(vc, kinds, file, "Master").withColumn("file_path", F.lit("tables"))
+    values = _values(vc.where(F.col("column_name").isin("o_ref", "c_custkey")), file)
     pair = literal(spark, "file_path string, file_name string, column_name string, master_path string, master_file string, master_column string, compare_length int", [("tables", "orders", "o_ref", "tables", "customer", "c_custkey", 0)])
     lost = integrity.orphans(match.inclusion(pair, values))
-    dates = integrity.date_conflicts(p.value_counts(orders, ["o_day"]), {"o_day": "DATECHAR"})
-    limits = stats.control_limits(orders, ["o_totalprice"]).unionByName(stats.control_limits(customer, ["c_acctbal"]))
+    dates = integrity.date_conflicts(vc.where("column_name = 'o_day'"), {"o_day": "DATECHAR"})
+    limits = stats.control_limits_counted(vc, {c: kinds[c] for c in ("o_totalprice", "c_acctbal")})
     return score.quality_kpis(integrity.with_counters(both, lost, dates, limits)).where("issue IN ('fk_mismatch', 'date_mismatch', 'below_lcl', 'above_ucl')")
 
 

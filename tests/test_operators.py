@@ -608,3 +608,31 @@ def test_graph_counts_values_not_texts(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(relations, "GRAPH", {"t": ["t_d", "t_s"]})
     spark.sql("SELECT * FROM VALUES (0.0D, 'abc'), (-0.0D, 'b') AS t(t_d, t_s)").write.parquet(str(tmp_path / "t.parquet"))
     assert sorted(map(tuple, relations._graph(spark, str(tmp_path)).collect())) == [("t", "d", 0, "NUMBER"), ("t", "s", 1, "VARCHAR2(3)")]
+
+
+def test_control_limits_of_counted_values_are_those_of_the_rows(spark):
+    """Of two tables at once, with texts that are the same number, fractions of four bytes, both zeros, and values that are no number or without end."""
+    inf = float("inf")
+    rows = [(f"{k % 7}.5", 0.1 * k, k * 1.25) for k in range(40)] + [("0.50", 0.1, 0.0), ("x", None, -0.0), (None, 9e3, float("nan")), (" 7e5 ", -9e3, 5e5)]
+    df = spark.createDataFrame(rows, "t string, f float, d double")
+    other = spark.createDataFrame([(1,), (None,)], "one int").withColumn("endless", F.lit(inf))
+    vc = shared.stored(profile.value_counts(df).unionByName(profile.value_counts(other)), "values")
+    got = stats.control_limits_counted(vc, dict(df.dtypes + other.dtypes)).collect()
+    want = {r.column_name: r for table in (df, other) for r in stats.control_limits(table, table.columns).collect()}
+    assert {r.column_name for r in got} == set(want) == {"t", "f", "d", "one", "endless"}
+    for r in got:
+        for name, value in want[r.column_name].asDict().items():
+            assert r[name] == (value if value is None or isinstance(value, (str, int)) else pytest.approx(value, rel=1e-12, nan_ok=True)), (r.column_name, name)
+
+
+def test_integrity_kpis_counts_each_column_once(spark, monkeypatch):
+    """The profile of both tables, the orphans, the dates and the limits come from one table of counted values."""
+    from metaspan.plans import columns, relations
+
+    made = []
+    for module in (profile, stats, columns, relations):
+        real = module.stored
+        monkeypatch.setattr(module, "stored", lambda df, name, real=real: made.append(name) or real(df, name))
+    rows = relations.integrity_kpis(spark, "/root/testdata/sf0.001").collect()
+    assert {r.issue: r["columns"] for r in rows} == {"fk_mismatch": 1, "date_mismatch": 1, "below_lcl": 0, "above_ucl": 0}
+    assert sorted(made) == ["dealt", "most", "numbers", "numbers-dealt", "values"]
