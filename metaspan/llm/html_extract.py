@@ -25,6 +25,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from operator import add
 
 import pyarrow as pa
 import xxhash
@@ -186,8 +187,13 @@ def is_article(path: str) -> bool:
     return bool(article_of(path))
 
 
+#: What _tally() makes per path: name, how two of them become one.
+_SUMS = {"pages": add, "v1": add, "v2": add, "chars": add, "linked": add, "least": min, "greatest": max, "plain": add, "inside": add, "n": add}
+_MERGE = tuple(_SUMS.values())
+
+
 def _tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per host and path, over a batch: pages, hashes of the occurrence vector, characters, linked characters, hashes of the texts, characters outside template tags and comments, characters inside it if it is named or an article, occurrences."""
+    """Per host and path, over a batch: pages, hashes of the occurrence vector, characters, linked characters, least and greatest hash of a page's texts, characters outside template tags and comments, characters inside it if it is named or an article, occurrences."""
     for batch in batches:
         sums: dict[tuple[str, str], list[int]] = {}
         around: dict[str, tuple[bool, set[str]]] = {}
@@ -212,28 +218,28 @@ def _tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for path, n in counts.items():
                 h = xxhash.xxh64_intdigest(f"{page_id}:{n}")
                 text = said.get(path, 0)
-                new = (1, h >> 33, h & 0x7FFFFFFF, chars[path], linked[path], text, text * text >> 16, 0 if path in chars and around[path][0] else chars[path], inside[path], n)
+                new = (1, h >> 33, h & 0x7FFFFFFF, chars[path], linked[path], text, text, 0 if path in chars and around[path][0] else chars[path], inside[path], n)
                 old = sums.get((host, path))
-                sums[host, path] = [a + b for a, b in zip(old, new)] if old else list(new)
+                sums[host, path] = [f(a, b) for f, a, b in zip(_MERGE, old, new)] if old else list(new)
         keys = list(sums)
         for at in range(0, len(keys), 20_000):
             own = keys[at : at + 20_000]
             yield pa.RecordBatch.from_arrays(
                 [pa.array([k[0] for k in own], pa.string()), pa.array([k[1] for k in own], pa.string()), *(pa.array([sums[k][i] for k in own], pa.int64()) for i in range(10))],
-                names=["host", "path", "pages", "v1", "v2", "chars", "linked", "t1", "t2", "plain", "inside", "n"],
+                names=["host", "path", *_SUMS],
             )
 
 
 def deduce_templates(pages: DataFrame) -> DataFrame:
     """(host, slots, closed, holding, cards): paths of each host's valid classes, those of them that its statistics mark as template, named elements that hold most text, article elements that hold no story."""
-    tallied = pages.mapInArrow(frames.tidy(_tally), "host string, path string, pages long, v1 long, v2 long, chars long, linked long, t1 long, t2 long, plain long, inside long, n long")
-    paths = tallied.groupBy("host", "path").agg(*[F.sum(c).alias(c) for c in ("pages", "v1", "v2", "chars", "linked", "t1", "t2", "plain", "inside", "n")])
+    tallied = pages.mapInArrow(frames.tidy(_tally), f"host string, path string, {', '.join(f'{c} long' for c in _SUMS)}")
+    whole = {add: F.sum, min: F.min, max: F.max}
+    paths = tallied.groupBy("host", "path").agg(*[whole[f](c).alias(c) for c, f in _SUMS.items()])
     sizes = paths.groupBy("host").agg(F.max("pages").alias("most"), F.sum("plain").alias("whole"))
     # the commonest path (the root) is on every page of its host
     supported = paths.join(sizes, "host").where(F.col("pages") >= F.greatest(F.least(F.lit(2), F.col("most")), F.ceil(F.col("most") * SUPPORT)))
-    # texts are equal on n pages if the sums are n times one text's
-    mean = F.col("t1") / F.col("pages")
-    same = (F.col("t1") % F.col("pages") == 0) & (F.abs(F.col("t2") / F.col("pages") - mean * mean / 65536) <= 1) & (F.col("t1") > 0)
+    # least and greatest, not sums of squares, which exceed 64 bits at some 32,768 pages of a host
+    same = (F.col("least") == F.col("greatest")) & (F.col("least") > 0)
     # at most 1 / SUPPORT times a page's tokens are supported, so a host's template is small
     member = F.struct("path", "pages", "v1", "v2", "chars", "linked", same.alias("same"), (2 * F.col("inside") > F.col("whole")).alias("holds"), (F.col("n") == F.col("pages")).alias("once"))
     members = supported.groupBy("host").agg(F.collect_list(member).alias("members"), F.max("most").alias("most"))

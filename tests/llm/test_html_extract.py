@@ -1,4 +1,7 @@
 import re
+import zlib
+
+from pyspark.sql import functions as F
 
 from metaspan.llm import html_extract as h
 
@@ -121,3 +124,12 @@ def test_large_templates_are_joined_without_broadcast(spark, monkeypatch):
     expected = sorted((r.page_id, r.text) for r in h.extract_pages(pages).collect())
     monkeypatch.setattr(h.frames, "SMALL", -1)
     assert sorted((r.page_id, r.text) for r in h.extract_pages(pages).collect()) == expected
+
+
+def test_hosts_with_many_pages(spark):
+    """A text on every page whose hash is near 2^32: its squares exceed 64 bits on some 32,768 pages. It is a notice; that a text is the same everywhere but on one page shows too."""
+    notice = next(f"Notice {k}" for k in range(100_000) if zlib.crc32(f"Notice {k}".encode()) >= 0xFFF0_0000)
+    said = F.when(F.col("id") == 7, "Other").otherwise("Same")
+    html = F.concat(F.lit(f"<html><body><div class=x>{notice}</div><div class=y>"), said, F.lit("</div><p>Story "), F.col("id").cast("string"), F.lit("</p>"))
+    found = h.deduce_templates(spark.range(34_000).select(F.lit("a.example.com").alias("host"), F.col("id").alias("page_id"), html.alias("html"))).first()
+    assert set(found.closed) == {"/html/body/div[class=x]"}
