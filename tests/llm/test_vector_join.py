@@ -1,3 +1,5 @@
+from pathlib import Path
+
 import duckdb
 import numpy as np
 import pytest
@@ -52,3 +54,20 @@ def test_table_equals_oracle(spark):
     c.execute("CREATE VIEW embeddings AS SELECT * FROM '/root/testdata/sf0.01/embeddings.parquet'")
     got = v.link_vectors(spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")).collect()
     assert sorted(tuple(r) for r in got) == sorted(c.sql(v.oracle()).fetchall())
+
+
+def test_many_cells_are_stored_once(spark, monkeypatch):
+    """Random directions are nearly as far from one pivot as from any other: what is written must not grow with the number of cells."""
+    monkeypatch.setattr(v, "CELL", 100)
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(3000, 64))
+    x[2000:2900] = x[rng.integers(0, 40, 900)] + rng.normal(size=(900, 64)) * rng.choice([0, 0.05, 0.12, 0.16], (900, 1))
+    x = x.astype(np.float32)
+    rows = [(k, y.tolist(), k % 10 // 9) for k, y in enumerate(x)]
+    folder = Path(v.frames.shared_folder(spark).removeprefix("file://"))
+    size = lambda: sum(f.stat().st_size for f in folder.rglob("*") if f.is_file())
+    before = size()
+    got = sorted(tuple(r) for r in v.link_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").repartition(3)).collect())
+    assert size() - before < 3 * x.nbytes
+    assert got == brute([(k, y, label) for k, y, label in rows])
+    assert len({r[2] for r in got}) < 2900 and max(r[1] for r in got) > 10
