@@ -35,3 +35,9 @@ def long_keys(tmp_path_factory):
 @pytest.mark.parametrize("name", ["erd_mapping", "final_mapping", "final_mapping_rules", "internal_mapping", "mapping_top3_pivot", "all_mappings"])
 def test_number_keys_are_no_telephone_numbers(spark, long_keys, name):
     compare(registry.QUERIES[name](spark, long_keys), connect(long_keys), registry.ORACLES[name])
+
+
+def test_types_of_all_columns(spark):
+    """Every column of the tables that the query reads has a type, those of fractions and the keys of lineitem too."""
+    got = sorted(r.column_name for r in registry.QUERIES["detail_type"](spark, SF).collect())
+    assert got == sorted(c for t in ("customer", "part", "orders", "lineitem", "nation", "region") for c in spark.read.parquet(f"{SF}/{t}.parquet").columns)
