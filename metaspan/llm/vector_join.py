@@ -175,7 +175,7 @@ def link_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
     """vec_id, n_links, component_id and kept of every row."""
     spark = df.sparkSession
     reach = float(np.sqrt(max(0.0, 2 - 2 * least))) + 1e-9
-    single = dict(df.dtypes)[vector_col] == "array<float>"
+    single = df.select(df[vector_col]).dtypes[0][1] == "array<float>"
     kind = "<f4" if single else "<f8"
     given = df.select(frames.long_id(df, id_col).alias("vec_id"), df[label_col].cast("long").alias("label"), df[vector_col].cast("array<float>" if single else "array<double>").alias("vector"))
     rows = frames.written(given.mapInArrow(frames.tidy(_named), "vec_id long, label long, high long, low long"), "names")
